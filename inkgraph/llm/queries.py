@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkgraph.llm.common import table
+from inkgraph.llm.fingerprints import fingerprint_versions
 from inkgraph.llm.token_counts import count_tokens
 
 
@@ -13,8 +14,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_token_counts": op5_token_counts,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
