@@ -8,19 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from inkgraph.llm.common import table
 from inkgraph.llm.fingerprints import fingerprint_versions
 from inkgraph.llm.token_counts import count_tokens
+from inkgraph.llm.warc import archive_pages
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_versions(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op5_token_counts": op5_token_counts,
+    "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first_page THEN first_page END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)""",
+}
