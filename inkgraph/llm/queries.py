@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from inkgraph.llm import quality
 from inkgraph.llm.common import table
 from inkgraph.llm.fingerprints import fingerprint_versions
 from inkgraph.llm.token_counts import count_tokens
@@ -23,10 +24,16 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_versions(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score_quality(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
