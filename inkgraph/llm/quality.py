@@ -58,14 +58,19 @@ def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes, chunks
 
 
-def responses(net: Network, codes: np.ndarray) -> np.ndarray:
-    """Filter responses before the bias: chunks x places x filters."""
+def responses(net: Network, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Filter responses before the bias: chunks x places x filters.
+
+    ends: the last chunks of texts. Their last places begin in padding and reach into the next text, so they count as nothing.
+    """
     rows = net.embed.take(codes, axis=0).reshape(-1, STRIDE * DIM)
     n = (len(codes) - WIDTH) // STRIDE
     total = rows[:n] @ net.filters[0]
     for k in range(1, _TAPS):
         total += rows[k : n + k] @ net.filters[k]
-    return total.reshape(-1, PLACES, FILTERS)
+    total = total.reshape(-1, PLACES, FILTERS)
+    total[ends, PLACES - _TAPS + 1 :] = -1e30
+    return total
 
 
 def pooled(top: np.ndarray, chunks: np.ndarray) -> np.ndarray:
@@ -79,10 +84,11 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
     for first, last in by.steps(offsets):
         part = offsets[first : last + 1]
         codes, chunks = chunked(data[part[0] : part[-1]], part - part[0])
-        tops = []
+        tops, ends = [], np.cumsum(chunks) - 1
         for at in range(0, int(chunks.sum()), 1024):  # a very long text goes through in runs of chunks
             run = codes[at * CHUNK : min(len(codes), (at + 1024) * CHUNK + WIDTH)]
-            tops.append(np.maximum(responses(net, run).max(axis=1) + net.bias, 0))
+            inside = ends[(ends >= at) & (ends < at + 1024)] - at
+            tops.append(np.maximum(responses(net, run, inside).max(axis=1) + net.bias, 0))
         z = pooled(np.concatenate(tops), chunks) @ net.out + net.shift
         out[first:last] = 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
     return out
@@ -106,7 +112,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = 8,
             joined = [texts[k] for k in rows]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in joined])))
             codes, chunks = chunked(np.frombuffer(b"".join(joined), np.uint8), offsets)
-            raw = responses(net, codes)
+            raw = responses(net, codes, np.cumsum(chunks) - 1)
             where = raw.argmax(axis=1)
             best = np.take_along_axis(raw, where[:, None], axis=1)[:, 0] + net.bias
             top = np.maximum(best, 0)
@@ -160,7 +166,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most_per_clas
     sample = labelled_sample(documents, labels, "quality", folds, most_per_class).select("text", "label")
     rows = sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(lambda it: _excerpts(it, chunks), "text binary, label int").collect())
     rng = np.random.default_rng(seed)
-    for raw, label in rows[: len(rows)]:  # good texts stay good when they are short; few of the rows are
+    for raw, label in list(rows):  # good texts stay good when they are short; few of the rows are
         if label == 1 and len(raw) > 200 and rng.random() < 0.25:
             at = raw.find(b" ", int(rng.integers(0, len(raw) - 160))) + 1
             rows.append((raw[at : at + int(rng.integers(20, 140))].strip(), 1))

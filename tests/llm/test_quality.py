@@ -23,7 +23,7 @@ def test_padding_and_runs_do_not_change_a_score():
     data, offsets = by.flat(pa.array(texts))
     together = quality.probabilities(net, data, offsets)
     alone = [quality.probabilities(net, *by.flat(pa.array([t])))[0] for t in texts]
-    assert np.allclose(together, alone, atol=1e-5)
+    assert np.allclose(together, alone, atol=1e-4)
 
 
 def test_every_place_reaches_the_maximum():
@@ -33,7 +33,7 @@ def test_every_place_reaches_the_maximum():
         one = text[:at] + b"#ZZZ%" + text[at + 5 :]
         codes, _ = quality.chunked(np.frombuffer(one, np.uint8), np.array([0, len(one)]))
         plain, _ = quality.chunked(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        assert not np.allclose(quality.responses(net, codes), quality.responses(net, plain))
+        assert not np.allclose(quality.responses(net, codes, np.array([2])), quality.responses(net, plain, np.array([2])))
 
 
 def test_held_out_accuracy_and_edge_cases(spark):
