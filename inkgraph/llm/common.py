@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, most_per_class: int) -> DataFrame:
-    """(doc_id, text, label) of at most so many labelled rows of either class outside fold 0.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, most: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, label) of at most so many rows labelled 0 and so many labelled 1, outside fold 0.
 
     The rows are those with the smallest hash of doc_id, so the sample does not depend on partitions.
     Only their ids, a bounded number, are broadcast to find the texts.
@@ -35,6 +35,6 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     usable = usable.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = None
     for value in (0, 1):
-        part = usable.where(F.col("label") == value).orderBy("_draw", "doc_id").limit(most_per_class)
+        part = usable.where(F.col("label") == value).orderBy("_draw", "doc_id").limit(most[value])
         picked = part if picked is None else picked.unionByName(part)
     return documents.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "label")), "doc_id")

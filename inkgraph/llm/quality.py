@@ -163,7 +163,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most_per_clas
     The two classes weigh alike in the sample.
     """
     small_batches(documents.sparkSession)
-    sample = labelled_sample(documents, labels, "quality", folds, most_per_class).select("text", "label")
+    sample = labelled_sample(documents, labels, "quality", folds, (most_per_class, most_per_class)).select("text", "label")
     rows = sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(lambda it: _excerpts(it, chunks), "text binary, label int").collect())
     rng = np.random.default_rng(seed)
     for raw, label in list(rows):  # good texts stay good when they are short; few of the rows are
