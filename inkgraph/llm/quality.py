@@ -104,6 +104,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = 8,
     rng = np.random.default_rng(seed)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in [*net.arrays(), np.zeros(1, np.float32)]]
     shift = np.array([net.shift], dtype=np.float32)
+    epochs = max(epochs, min(30, -(-300 * batch // len(texts))))  # a small sample is passed more often
     step, total = 0, epochs * -(-len(texts) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
