@@ -110,7 +110,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 10,
         bucket, owner, words = grams(np.frombuffer(b"".join(texts[k] for k in rows), np.uint8), offsets)
         by_word = np.argsort(owner, kind="stable")
         prepared.append((rows, bucket[by_word].astype(np.int32), owner[by_word].astype(np.int32), words, *windows(words)))
-    epochs = max(epochs, min(40, -(-300 // len(prepared))))  # a small sample is passed more often
+    epochs = max(epochs, min(14, -(-150 // len(prepared))))  # a small sample is passed more often
     moment = [(np.zeros_like(x), np.zeros_like(x)) for x in (vectors, u, bias)]
     step, steps = 0, epochs * len(prepared)
     for epoch in range(epochs):
