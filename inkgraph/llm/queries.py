@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkgraph.llm import quality, toxicity
+from inkgraph.llm import chat, mixing, quality, toxicity
 from inkgraph.llm.common import table
 from inkgraph.llm.fingerprints import fingerprint_versions
 from inkgraph.llm.token_counts import count_tokens
 from inkgraph.llm.warc import archive_pages
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_mix(table(spark, sf_dir, "documents"))
+
+
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.format_preferences(chat.swapped_answers(table(spark, sf_dir, "conversations")), ["conv_id"])
+    return pairs.withColumns({k: chat.spans_as_text(F.col(k)) for k in ("chosen_spans", "rejected_spans")})
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -35,7 +45,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_preferences": op4_preferences,
     "op5_token_counts": op5_token_counts,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
@@ -43,6 +55,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.sample_sql(),
+    "op4_preferences": chat.SWAPPED_SQL,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
