@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgraph.llm import chat, jaccard, mixing, quality, toxicity
+from inkgraph.llm import chat, decontaminate, jaccard, mixing, quality, toxicity
 from inkgraph.llm.common import table
 from inkgraph.llm.fingerprints import fingerprint_versions
 from inkgraph.llm.token_counts import count_tokens
@@ -31,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_preferences": op4_preferences,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_jaccard": op7_jaccard,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
