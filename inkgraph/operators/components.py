@@ -1,4 +1,4 @@
-"""Weakly connected components by alternating large-star and small-star steps."""
+"""Weakly connected components by hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,38 +8,34 @@ from pyspark.sql import functions as F
 from inkgraph.plans.scratch import written
 
 
-def _with_minimum(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the least of u and its neighbours; minima are summed up before they are joined."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of an edge; component is the smallest node that it reaches.
 
-    Direction, repeated edges and self loops do not matter; edges with a null end are left out. Rounds
-    grow with the logarithm of the longest path. Each round is written to the shared folder, so a lost
-    executor costs one round at most. An empty table of edges gives an empty result.
+    Every node points to a smaller or equal one. In a round it, and the node it points to, take the
+    least of what its neighbours' targets point to, and pointers are doubled, so rounds grow with the
+    logarithm of the longest path. Direction, repeated edges and self loops do not matter; edges with a
+    null end are left out. Each round is written to the shared folder, so a lost executor costs one
+    round at most. Minima are taken with partial sums, so a node with very many edges does no harm.
+    An empty table of edges gives an empty result.
     """
-    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    nodes = ends.select(F.col("a").alias("node")).union(ends.select("b"))
-    nodes = written(nodes.distinct(), "nodes")
-    # pairs (child, parent) with parent < child
-    pairs = written(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    state = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    both = written(ends.union(ends.select("v", "u")).distinct(), "edges")
+    points = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "points")
+    measure = [F.count("*"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))]
+    state = points.agg(*measure).first()
+    both = both.where("u <> v")
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        both = pairs.union(pairs.select("v", "u").toDF("u", "v"))
-        large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = _with_minimum(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m").toDF("u", "v"))
-        pairs = written(small.where("u <> v").distinct(), "pairs")
-        after = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        far = points.join(points.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
+        near = both.join(far.select(F.col("node").alias("v"), "far"), "v").groupBy("u").agg(F.min("far").alias("near"))
+        least = far.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", "to", F.least("to", "far", F.coalesce("near", "to")).alias("least"))
+        moves = least.select(F.explode(F.array(F.struct("node", F.col("least").alias("to")), F.struct(F.col("to").alias("node"), F.col("least").alias("to")))).alias("m")).select("m.*")
+        points = written(moves.groupBy("node").agg(F.min("to").alias("to")), "points")
+        after = points.agg(*measure).first()
         if after == state:
             break
         state = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return nodes.join(pairs, nodes.node == pairs.u, "left").select("node", F.coalesce("v", "node").alias("component"))
+    return points.withColumnRenamed("to", "component")
