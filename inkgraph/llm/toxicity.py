@@ -67,8 +67,7 @@ def windows(words: by.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.minimum(first + WINDOW, words.starts[1:][text]), text
 
 
-def _window_means(values: np.ndarray, owner: np.ndarray, words: by.Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(words.first)
+def _window_means(values: np.ndarray, owner: np.ndarray, n: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate(([0.0], np.cumsum(np.bincount(owner, values, minlength=n))))
     count = np.concatenate(([0.0], np.cumsum(np.bincount(owner, minlength=n))))
     size = count[last] - count[first]
@@ -84,7 +83,7 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.nda
         if not len(words.first):
             continue
         first, last, text = windows(words)
-        mean, _ = _window_means(model.value[bucket], owner, words, first, last)
+        mean, _ = _window_means(model.value[bucket], owner, len(words.first), first, last)
         best = np.full(end - begin, -np.inf)
         np.maximum.at(best, text, mean)
         out[begin:end] = np.where(np.isfinite(best), best + model.bias, model.bias)
@@ -109,16 +108,19 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 10,
         offsets = np.concatenate(([0], np.cumsum([len(texts[k]) for k in rows])))
         bucket, owner, words = grams(np.frombuffer(b"".join(texts[k] for k in rows), np.uint8), offsets)
         by_word = np.argsort(owner, kind="stable")
-        prepared.append((rows, bucket[by_word].astype(np.int32), owner[by_word].astype(np.int32), words, *windows(words)))
+        each = np.bincount(owner, minlength=len(words.first)).astype(np.int32)
+        prepared.append((rows, bucket[by_word].astype(np.int32), each, *(x.astype(np.int32) for x in windows(words))))
     epochs = max(epochs, min(14, -(-150 // len(prepared))))  # a small sample is passed more often
     moment = [(np.zeros_like(x), np.zeros_like(x)) for x in (vectors, u, bias)]
     step, steps = 0, epochs * len(prepared)
     for epoch in range(epochs):
-        for rows, bucket, owner, words, first, last, text in prepared:
+        for rows, bucket, each, first, last, text in prepared:
             if not len(first):
                 continue
+            n = len(each)
+            owner = np.repeat(np.arange(n), each)
             value = vectors @ u
-            mean, size = _window_means(value[bucket], owner, words, first, last)
+            mean, size = _window_means(value[bucket], owner, n, first, last)
             z = np.clip(mean + bias[0], -30, 30)
             p = 1 / (1 + np.exp(-z))
             y = labels[rows][text]
@@ -132,7 +134,6 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 10,
             g = np.where(chosen, (p - y) / keep, 0) * np.where(y > 0, 2.0, 1.0) / len(rows)
             # each window hands its share to its n-grams: by word, through running sums
             share = g / np.maximum(size, 1)
-            n = len(words.first)
             line = np.zeros(n + 1)
             np.add.at(line, first, share)
             np.add.at(line, last, -share)
@@ -163,7 +164,7 @@ def _excerpts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary()), batch.column(1).cast(pa.int32())], names=["text", "label"])
 
 
-def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most: tuple[int, int] = (4000, 1500), most_bytes: int = 8192, seed: int = 5) -> Model:
+def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most: tuple[int, int] = (3000, 1300), most_bytes: int = 4096, seed: int = 5) -> Model:
     """Learn labels.toxic from a bounded sample of labelled rows outside fold 0: so many rows labelled 0 and 1, so many bytes of each."""
     small_batches(documents.sparkSession)
     sample = labelled_sample(documents, labels, "toxic", folds, most).select("text", "label")
