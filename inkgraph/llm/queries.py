@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkgraph.llm import chat, decontaminate, jaccard, mixing, quality, toxicity
 from inkgraph.llm.common import table
+from inkgraph.llm.context_mixing import score_texts
 from inkgraph.llm.fingerprints import fingerprint_versions
 from inkgraph.llm.token_counts import count_tokens
 from inkgraph.llm.warc import archive_pages
@@ -17,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample_mix(table(spark, sf_dir, "documents"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat.format_preferences(chat.swapped_answers(table(spark, sf_dir, "conversations")), ["conv_id"])
     return pairs.withColumns({k: chat.spans_as_text(F.col(k)) for k in ("chosen_spans", "rejected_spans")})
@@ -54,6 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_context_mixing": op2_context_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_preferences": op4_preferences,
     "op5_token_counts": op5_token_counts,
