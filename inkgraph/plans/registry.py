@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this folder that hold QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("graph_queries",)
 
 
 def _merged(name: str) -> dict:
