@@ -26,7 +26,6 @@ def test_article_fields_and_references(spark):
     rows = {r.uid: r for r in fields.collect()}
     assert len(rows) == 2 and rows["22"].title == "A big title" and rows["22"].authors == ["Jo Doe"] and rows["22"].keywords == ["k1", "k2"] and rows["22"].year == "2020"
     refs = articles.references(fields)
-    assert sorted((r.pmid, r.pmcid, r.doi, r.url, r.title) for r in refs.collect() if True) != []
     assert refs.count() == 4
     assert {(r.src, r.dst) for r in articles.citation_edges(refs).collect()} == {("101", "22"), ("202", "22")}
 
