@@ -186,3 +186,64 @@ def merge_duplicate_vertices(actions: DataFrame, edges: DataFrame) -> DataFrame:
     moved = edges.join(a, "src").join(b, "dst").where("s <> d")
     best = moved.groupBy("s", "d").agg(F.max(F.struct("confidence", "relation")).alias("m"))
     return best.select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("m.relation").alias("relation"), F.col("m.confidence").alias("confidence"))
+
+
+def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Edges between vertices that lie on a cycle or between two cycles: ends without a way on are peeled from both sides."""
+    left = written(edges, "core")
+    n = left.count()
+    for _ in range(max_rounds):
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = written(kept.select(*edges.columns), "core")
+        after = left.count()
+        if after == n:
+            return left
+        n = after
+    raise RuntimeError(f"the core did not settle in {max_rounds} rounds")
+
+
+def break_cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """Edges (src, dst, confidence) without cycles: of each two opposite edges the weaker goes, then in every component of the cyclic core the edge of least (confidence, src, dst), until no core is left.
+
+    A round removes an edge from each component at once, so rounds are as many as one component has
+    edges to lose, not as many as the graph has cycles.
+    """
+    edges = edges.where("src <> dst")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.struct("confidence", "dst").alias("_back"))
+    weaker = edges.join(back, ["src", "dst"]).where(F.struct("confidence", "src") < F.col("_back")).select("src", "dst")
+    left = written(edges.join(weaker, ["src", "dst"], "left_anti").select(*edges.columns), "edges")
+    for _ in range(max_rounds):
+        core = cyclic_core(left)
+        if core.isEmpty():
+            return left
+        named = core.join(connected_components(core).withColumnRenamed("node", "src"), "src")
+        worst = named.groupBy("component").agg(F.min(F.struct("confidence", "src", "dst")).alias("w")).select("w.src", "w.dst")
+        left = written(left.join(worst, ["src", "dst"], "left_anti").select(*edges.columns), "edges")
+    raise RuntimeError(f"cycles are left after {max_rounds} rounds")
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, cutoff: int = 10, per_start: int = 1000) -> DataFrame:
+    """(start, path, confidence, complete): paths from each start that can't be made longer, or that the cutoff ends; mean confidence of their edges.
+
+    The number of paths can grow without bound, so each start keeps per_start paths a round, the most
+    confident; `capped` says whether any were left out.
+    """
+    step = edges.select("src", "dst", F.col("confidence").alias("_c"))
+    open_ = written(starts.select(F.col("v").alias("start"), F.array("v").alias("path"), F.lit(0.0).alias("sum"), F.lit(False).alias("capped")).distinct(), "paths")
+    done = None
+    for k in range(cutoff):
+        tip = F.element_at("path", -1)
+        more = open_.withColumn("_t", tip).join(step, F.col("_t") == F.col("src"), "left").where("dst IS NULL OR NOT array_contains(path, dst)")
+        grown = more.where("dst IS NOT NULL").select("start", F.concat("path", F.array("dst")).alias("path"), (F.col("sum") + F.col("_c")).alias("sum"), "capped")
+        ended = open_.join(grown.select("start", F.slice("path", 1, F.size("path") - 1).alias("path")).distinct(), ["start", "path"], "left_anti")
+        rank = W.partitionBy("start")
+        grown = grown.withColumn("_r", F.row_number().over(rank.orderBy(F.desc("sum"), "path"))).withColumn("_n", F.count("*").over(rank))
+        grown = grown.where(F.col("_r") <= per_start).select("start", "path", "sum", (F.col("capped") | (F.col("_n") > per_start)).alias("capped"))
+        ended = ended.withColumn("complete", F.lit(True))
+        done = written(ended if done is None else done.unionByName(ended), "done")
+        open_ = written(grown, "paths")
+        if open_.isEmpty():
+            break
+    rest = open_.withColumn("complete", F.lit(False))
+    out = rest if done is None else done.unionByName(rest)
+    return out.where(F.size("path") > 1).select("start", "path", F.round(F.col("sum") / (F.size("path") - 1), 6).alias("confidence"), "complete", "capped")

@@ -124,3 +124,39 @@ def virtual_sublevels(blocks: DataFrame, height: float = 520, step: float = 130)
     room = max(1, int(height // step))
     rank = F.row_number().over(W.partitionBy("sublevel", "is_pinned").orderBy("v")) - 1
     return blocks.select("v", F.when(F.col("is_pinned"), 0).otherwise(F.floor(rank / room)).cast("int").alias("chunk"))
+
+
+def barycentre(edges: DataFrame, layers: DataFrame, sweeps: int = 3) -> DataFrame:
+    """(v, layer, level) after sweeps left-right and right-left: a vertex goes to the mean place of its neighbours in the layer before, or to half of its layer.
+
+    Each half sweep handles all layers from the state before it, so it is one join whatever their number.
+    """
+    from inkgraph.plans.scratch import written
+
+    state = written(layers.where("layer IS NOT NULL").select("v", "layer", (F.row_number().over(W.partitionBy("layer").orderBy("v")) - 1).alias("level")), "levels")
+    for k in range(2 * sweeps):
+        near, far = ("dst", "src") if k % 2 == 0 else ("src", "dst")
+        other = state.select(F.col("v").alias(far), F.col("level").cast("double").alias("place"))
+        mean = edges.join(other, far).groupBy(F.col(near).alias("v")).agg(F.avg("place").alias("mean"))
+        size = F.count("*").over(W.partitionBy("layer"))
+        scored = state.join(mean, "v", "left").withColumn("score", F.round(F.coalesce("mean", size / 2.0), 9))
+        state = written(scored.select("v", "layer", (F.row_number().over(W.partitionBy("layer").orderBy("score", "v")) - 1).alias("level")), "levels")
+    return state
+
+
+def crossings(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """(src_layer, dst_layer, crossings): pairs of edges of one pair of layers whose ends are in opposite order.
+
+    An inversion count by binary digits: two source levels p < p' agree down to some digit, where the
+    one has 0 and the other 1. For each digit, edges with equal digits above it are sorted by target
+    level, and a running sum tells how many with 0 lie above each with 1. No pairs of edges are made.
+    """
+    a = placed.select(F.col("v").alias("src"), F.col("layer").alias("src_layer"), F.col("level").alias("p"))
+    b = placed.select(F.col("v").alias("dst"), F.col("layer").alias("dst_layer"), F.col("level").alias("q"))
+    cells = edges.join(a, "src").join(b, "dst").groupBy("src_layer", "dst_layer", "p", "q").agg(F.count("*").alias("n"))
+    keys = ["src_layer", "dst_layer"]
+    digits = cells.select(*keys, "q", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("p").cast("long"), k + 1).alias("above"), F.call_function("shiftright", F.col("p").cast("long"), k).bitwiseAND(F.lit(1)).alias("one")))).alias("d")).select(*keys, "q", "n", "d.*")
+    order = W.partitionBy(*keys, "k", "above").orderBy((-F.col("q")).cast("long")).rangeBetween(W.unboundedPreceding, -1)
+    higher = F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).over(order)
+    crossed = digits.withColumn("higher", F.coalesce(higher, F.lit(0))).where("one = 1")
+    return crossed.groupBy(*keys).agg(F.sum(F.col("n") * F.col("higher")).alias("crossings")).where("crossings > 0")

@@ -41,7 +41,24 @@ def _articles_with_layout(spark, d):
     return _placed(spark, d).where("level % 3 <> 0")
 
 
+def _cyclic(spark, d):
+    """Citations with some turned round, which makes cycles."""
+    k = F.col("doc_id")
+    rows = graph.clean_edges(ad.citations(spark, d))
+    back = ad.table(spark, d, "documents").where("doc_id % 10 = 4").select(F.concat(F.lit("D"), k).alias("src"), F.concat(F.lit("D"), F.floor(k / 2)).alias("dst"))
+    return rows.unionByName(back).distinct().withColumn("confidence", F.round(F.length(F.concat("src", "dst")) / 20.0 + F.pmod(F.xxhash64("src", "dst"), F.lit(100)) / 1000.0, 6))
+
+
+def _broken(spark, d):
+    return graph.is_dag(graph.assign_layers(graph.break_cycles(_cyclic(spark, d))))
+
+
 QUERIES = {
+    "graph_cyclic_core": lambda s, d: graph.cyclic_core(_cyclic(s, d).select("src", "dst")),
+    "graph_break_cycles": _broken,
+    "graph_simple_paths": lambda s, d: graph.simple_paths(graph.clean_edges(ad.citations(s, d)).withColumn("confidence", F.lit(0.5)), ad.table(s, d, "documents").where("doc_id BETWEEN 20 AND 40").select(F.concat(F.lit("D"), "doc_id").alias("v"))).select("start", F.array_join("path", ">").alias("path"), "confidence"),
+    "layout_crossings": _both(lambda e, p: layout.crossings(e, p)),
+    "layout_barycentre": _both(lambda e, p: layout.barycentre(e, p).groupBy("layer").agg(F.count("*").alias("n"), F.min("level").alias("low"), F.max("level").alias("high"))),
     "profile_totals": lambda s, d: profile.totals(ad.articles(s, d), ad.citations(s, d)),
     "profile_top_journals": lambda s, d: profile.top_values(ad.articles(s, d), "journal", 10),
     "profile_latest_years": lambda s, d: profile.latest_years(ad.articles(s, d)),
@@ -94,6 +111,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "graph_break_cycles": "SELECT true AS is_dag, CAST(0 AS BIGINT) AS cyclic_upstream",
+    "graph_simple_paths": f"WITH RECURSIVE {CLEAN}, r AS (SELECT 'D' || doc_id AS start, ['D' || doc_id] AS path FROM documents WHERE doc_id BETWEEN 20 AND 40 UNION ALL SELECT r.start, list_append(r.path, k.dst) FROM r JOIN k ON k.src = r.path[-1] WHERE NOT list_contains(r.path, k.dst)) SELECT start, array_to_string(path, '>') AS path, 0.5::DOUBLE AS confidence FROM r WHERE len(path) > 1 AND path[-1] NOT IN (SELECT src FROM k)",
+    "layout_crossings": f"WITH RECURSIVE {PLACED}, c AS (SELECT a.layer AS src_layer, b.layer AS dst_layer, a.level AS p, b.level AS q FROM e JOIN p a ON a.v = e.src JOIN p b ON b.v = e.dst) SELECT x.src_layer, x.dst_layer, count(*) AS crossings FROM c x JOIN c y USING (src_layer, dst_layer) WHERE x.p < y.p AND x.q > y.q GROUP BY 1, 2",
+    "layout_barycentre": f"WITH RECURSIVE {LAYERS} SELECT layer, count(*) AS n, CAST(0 AS INTEGER) AS low, CAST(count(*) - 1 AS INTEGER) AS high FROM l GROUP BY 1",
     "profile_totals": f"WITH {ARTICLES}, {CITATIONS} SELECT (SELECT count(*) FROM a) AS articles, (SELECT count(*) FROM c) AS links",
     "profile_top_journals": f"WITH {ARTICLES} SELECT journal, count(*) AS n FROM a WHERE journal IS NOT NULL GROUP BY 1 ORDER BY n DESC, journal LIMIT 10",
     "profile_latest_years": f"WITH {ARTICLES} SELECT year, count(*) AS n FROM a GROUP BY 1 ORDER BY year DESC LIMIT 10",

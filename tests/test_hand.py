@@ -121,3 +121,10 @@ def test_morpheme_lines(spark):
     got = {r.word: (r.morphemes, r.comment) for r in articles.morpheme_dictionary(lines).collect()}
     assert got == {"walk": (["walk", "ing"], "verb"), "go": (["go"], None)}
     assert lines.select(F.lit(1)).count() == 4
+
+
+def test_cycles_lose_their_weakest_edge(spark):
+    rows = [("a", "b", 0.9), ("b", "a", 0.5), ("b", "c", 0.8), ("c", "d", 0.7), ("d", "b", 0.6), ("x", "y", 0.1)]
+    df = spark.createDataFrame(rows, "src string, dst string, confidence double")
+    assert {(r.src, r.dst) for r in graph.break_cycles(df).collect()} == {("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")}
+    assert {(r.src, r.dst) for r in graph.cyclic_core(df).collect()} == {(a, b) for a, b, _ in rows[:5]}
