@@ -101,3 +101,33 @@ def part_of(entities: DataFrame, most: int = 10) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("start", "end")
     rows = entities.select("doc_id", F.col("text").alias("part"), F.lead("text").over(order).alias("whole"), (F.lead("start").over(order) - F.col("end")).alias("gap"))
     return rows.where(F.col("gap").between(0, most)).select("doc_id", "part", "whole").distinct()
+
+
+def upsert_sequences(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(a, b, confidence, change): created, updated or kept by pair."""
+    joined = old.select("a", "b", F.col("confidence").alias("_o")).join(new.select("a", "b", F.col("confidence").alias("_n")), ["a", "b"], "full")
+    change = F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNotNull(), "updated").otherwise("kept")
+    return joined.select("a", "b", F.coalesce("_n", "_o").alias("confidence"), change.alias("change"))
+
+
+def success_patterns(edges: DataFrame, goal_rows: DataFrame) -> DataFrame:
+    """(goal, size, depth, width, causal, score): the ancestors of each goal, by hops against the edges.
+
+    Depth is the largest fewest-hops distance, width the most vertices at one distance; causal counts
+    CAUSES and ENABLES edges among the ancestors; score = size + 2 * depth + 3 * causal.
+    """
+    from inkgraph.operators.graph import ancestors
+
+    reach = ancestors(edges, goal_rows.select(F.col("id").alias("v")))
+    per_hop = reach.groupBy("start", "hops").agg(F.count("*").alias("n"))
+    shape = per_hop.groupBy("start").agg(F.sum("n").alias("size"), F.max("hops").alias("depth"), F.max("n").alias("width"))
+    inside = edges.where("relation IN ('CAUSES', 'ENABLES')").select("src", "dst").join(reach.select("start", F.col("v").alias("src")), "src").join(reach.select("start", F.col("v").alias("dst")), ["start", "dst"])
+    causal = inside.groupBy("start").agg(F.count("*").alias("causal"))
+    out = shape.join(causal, "start", "left").na.fill(0, ["causal"])
+    return out.select(F.col("start").alias("goal"), "size", "depth", "width", "causal", (F.col("size") + 2 * F.col("depth") + 3 * F.col("causal")).alias("score"))
+
+
+def causal_listing(edges: DataFrame, actions: DataFrame) -> DataFrame:
+    """(relation, source_text, target_text) of causal edges."""
+    a, b = actions.select(F.col("id").alias("src"), F.col("object").alias("source_text")), actions.select(F.col("id").alias("dst"), F.col("object").alias("target_text"))
+    return edges.where("relation IN ('CAUSES', 'PREVENTS', 'ENABLES')").join(a, "src").join(b, "dst").select("relation", "source_text", "target_text")

@@ -110,3 +110,30 @@ def document_profile(tokens: DataFrame) -> DataFrame:
 def examples(tokens: DataFrame, most: int = 2) -> DataFrame:
     """At most so many tokens for each tag, the first by document and place."""
     return tokens.withColumn("r", F.row_number().over(W.partitionBy("tag").orderBy("doc_id", "idx"))).where(F.col("r") <= most).select("tag", "r", "doc_id", "idx", "text")
+
+
+def guessed_morph(text: Column, pos: Column) -> Column:
+    """Features from suffix and part of speech as `A=b|C=d`, null where the form says nothing."""
+    low = F.lower(text)
+    return (
+        F.when((pos == "VERB") & F.endswith(low, F.lit("ing")), "Tense=Pres|VerbForm=Part")
+        .when((pos == "VERB") & F.endswith(low, F.lit("ed")), "Tense=Past|VerbForm=Fin")
+        .when((pos == "NOUN") & F.endswith(low, F.lit("s")), "Number=Plur")
+        .when(pos == "NOUN", "Number=Sing")
+        .when((pos == "ADJ") & F.endswith(low, F.lit("est")), "Degree=Sup")
+    )
+
+
+def parsed_morph(features: Column) -> Column:
+    """`A=b|C=d` as a map."""
+    return F.str_to_map(features, F.lit("\\|"), F.lit("="))
+
+
+def with_feature(tokens: DataFrame, feature: str, value: str) -> DataFrame:
+    """Tokens whose morph map has the value."""
+    return tokens.where(F.element_at("morph", feature) == value)
+
+
+def types_by_category(tokens: DataFrame) -> DataFrame:
+    """(category, types): tags of each part-of-speech category, sorted and unique."""
+    return tokens.groupBy(pos_category(F.col("pos")).alias("category")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("types"))

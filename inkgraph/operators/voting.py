@@ -132,3 +132,42 @@ def vote_dependencies(deps: DataFrame, preferred: str, min_agreement: int = 2) -
     full = rest.join(best, [*keys, "base"]).groupBy(*keys, "votes", "relation").agg(F.count("*").alias("n"))
     named = full.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "relation"))).where("r = 1").select(*keys, "relation", "votes")
     return own.unionByName(named)
+
+
+def merge_tokens(clustered: DataFrame) -> DataFrame:
+    """(doc_id, cluster, text, pos, confidence, sources): the first token as base, majority part of speech, mean confidence, all processors."""
+    pos = clustered.groupBy("doc_id", "cluster", "pos").agg(F.count("*").alias("n")).groupBy("doc_id", "cluster").agg(F.min(F.struct((-F.col("n")).alias("k"), "pos")).alias("p"))
+    base = clustered.groupBy("doc_id", "cluster").agg(F.min(F.struct("start", "end", "processor", "text")).alias("f"), F.round(F.avg("confidence"), 6).alias("confidence"), F.array_join(F.array_sort(F.collect_set("processor")), ",").alias("sources"))
+    return base.join(pos, ["doc_id", "cluster"]).select("doc_id", "cluster", "f.text", "p.pos", "confidence", "sources")
+
+
+def merge_morph(rows: DataFrame, keys: list[str], min_agreement: int = 2) -> DataFrame:
+    """(keys, morph): for each feature the value that most processors give, if enough do; ties by value."""
+    pairs = rows.select(*keys, "processor", F.explode("morph").alias("feature", "value")).groupBy(*keys, "feature", "value").agg(F.countDistinct("processor").alias("n"))
+    best = pairs.withColumn("r", F.row_number().over(W.partitionBy(*keys, "feature").orderBy(F.desc("n"), "value"))).where((F.col("r") == 1) & (F.col("n") >= min_agreement))
+    return best.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "value")))).alias("morph"))
+
+
+def vote_entities(entities: DataFrame, min_agreement: int = 2) -> DataFrame:
+    """(doc_id, cluster, start, end, entity_type, votes) of clusters in which enough processors agree on the type; boundaries are means cut to integers."""
+    clustered = cluster_tokens(entities.withColumnRenamed("entity_type", "pos"))
+    votes = clustered.groupBy("doc_id", "cluster", "pos").agg(F.countDistinct("processor").alias("votes"))
+    best = votes.withColumn("r", F.row_number().over(W.partitionBy("doc_id", "cluster").orderBy(F.desc("votes"), "pos"))).where((F.col("r") == 1) & (F.col("votes") >= min_agreement))
+    spans = clustered.groupBy("doc_id", "cluster").agg(F.avg("start").cast("int").alias("start"), F.avg("end").cast("int").alias("end"))
+    return best.join(spans, ["doc_id", "cluster"]).select("doc_id", "cluster", "start", "end", F.col("pos").alias("entity_type"), "votes")
+
+
+def tokens_to_sentences(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, idx, sent_idx): the sentence that a token begins in, by one sort of both tables; sentences: doc_id, sent_idx, start, end."""
+    a = sentences.select("doc_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), F.struct("sent_idx", F.col("end").cast("long").alias("end")).alias("x"), F.lit(None).cast("int").alias("idx"))
+    b = tokens.select("doc_id", F.col("start").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(a.schema["x"].dataType).alias("x"), F.col("idx").cast("int").alias("idx"))
+    last = F.last("x", True).over(W.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
+    both = a.unionByName(b).withColumn("s", last).where("kind = 1")
+    return both.select("doc_id", "idx", F.when(F.col("at") < F.col("s.end"), F.col("s.sent_idx")).alias("sent_idx"))
+
+
+def overall_agreement(kinds: DataFrame) -> DataFrame:
+    """One row from (kind, agreed, total): weights tokens 1, dependencies 2, entities 1.5; kinds without items are left out."""
+    weight = F.when(F.col("kind") == "dependencies", 2.0).when(F.col("kind") == "entities", 1.5).otherwise(1.0)
+    used = kinds.where("total > 0").withColumn("w", weight)
+    return used.agg(F.round(F.coalesce(F.sum(F.col("w") * F.col("agreed") / F.col("total")) / F.sum("w"), F.lit(0.0)), 6).alias("agreement"))
