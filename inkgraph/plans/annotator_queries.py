@@ -29,7 +29,7 @@ SDEPS = SENT + """, rt AS (SELECT *, min(CASE WHEN pos = 'VERB' THEN token_idx E
 
 
 def _voted(s, d):
-    return voting.cluster_tokens(tokens.tagged(tokens.tokenize(_docs(s, d).where("n_chars < 3000"))))
+    return voting.cluster_tokens(tokens.tagged(tokens.tokenize(_docs(s, d))))
 
 
 def _resolved(s, d):
@@ -58,7 +58,7 @@ QUERIES = {
     "tokens_with_feature": lambda s, d: tokens.with_feature(_words(s, d).withColumn("morph", tokens.parsed_morph(tokens.guessed_morph(F.col("text"), F.col("pos")))), "Tense", "Past").groupBy("doc_id").agg(F.count("*").alias("n")),
     "tokens_types": lambda s, d: tokens.types_by_category(_words(s, d)),
     "vote_merge_tokens": lambda s, d: voting.merge_tokens(_voted(s, d)).groupBy("sources", "pos").agg(F.count("*").alias("n")),
-    "vote_entities": lambda s, d: voting.vote_entities(tokens.tagged(tokens.tokenize(_docs(s, d).where("n_chars < 3000"))).where("length(text) > 8").withColumnRenamed("pos", "entity_type")).groupBy("entity_type", "votes").agg(F.count("*").alias("n")),
+    "vote_entities": lambda s, d: voting.vote_entities(tokens.tagged(tokens.tokenize(_docs(s, d))).where("length(text) > 8").withColumnRenamed("pos", "entity_type")).groupBy("entity_type", "votes").agg(F.count("*").alias("n")),
     "vote_overall": lambda s, d: voting.overall_agreement(table(s, d, "labels").agg(F.count(F.when(F.col("quality") == 1 - F.col("toxic"), 1)).alias("agreed"), F.count("*").alias("total")).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), (F.col("agreed") if k == "tokens" else F.floor(F.col("agreed") / 2)).alias("agreed"), (F.lit(0).cast("long") if k == "entities" else F.col("total")).alias("total")) for k in ("tokens", "dependencies", "entities")))).alias("x")).select("x.*")),
     "chains_upsert": lambda s, d: chains.upsert_sequences(table(s, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_discount").alias("confidence")), table(s, d, "lineitem").where("l_linenumber >= 2 AND l_linenumber <= 3").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_tax").alias("confidence"))),
     "actions_success_patterns": _patterns,
