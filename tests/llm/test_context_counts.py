@@ -1,0 +1,49 @@
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from inkgraph.llm import context_mixing as cm
+
+
+def test_keys_are_told_apart():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 64, 50_000, dtype=np.uint64))
+    known, others = keys[::2], keys[1::2]
+    odds = np.random.default_rng(6).integers(1, 30_000, len(known)).astype(np.int16)
+    table = cm.Table.of(known, odds)
+    assert np.array_equal(table.take(known), odds)
+    assert (table.take(others) == 0).mean() > 0.999  # 16 check bits
+    assert cm.Table.of(known[:0], odds[:0]).take(others[:3]).tolist() == [0, 0, 0]
+
+
+def test_whole_words_are_counted_exactly_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(cm, "RANGE_WORDS", 700)
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.randint(1, 9))) for _ in range(20_000)})
+    rows = [(w.encode(), k, k % 4, max(0, k % 4 - (k % 5 == 0))) for k, w in enumerate(words)]
+    code = cm.huffman(np.bincount(np.frombuffer(b" ".join(r[0] for r in rows), np.uint8), minlength=256))
+    lexicon = spark.createDataFrame(rows, "word binary, hash long, c long, m long").repartition(8)
+    got, _, _ = cm.word_odds(lexicon, code, (7, 2))
+    counts, fitted = Counter(), Counter()
+
+    def bits(spelt):
+        for k, byte in enumerate(spelt):
+            for j in range(code.lengths[byte]):
+                yield spelt[:k], int(code.nodes[byte, j]), int(code.bits[byte, j])
+
+    for spelt, c, f in [(w + b" ", c, c - m) for w, _, c, m in rows] + [(b"\n", 7, 2)]:
+        for event in bits(spelt):
+            counts[event] += c
+            fitted[event] += f
+    for r in got.where("hash % 50 = 0").collect():
+        word, _, c, m = rows[r.hash]
+        for packed, n in ((r.odds, counts), (r.partial, counts - fitted)):
+            if packed is None:
+                assert c == m
+                continue
+            seen = [(n[a, b, 0], n[a, b, 1]) for a, b, _ in bits(word + b" ")]
+            raw = zlib.decompress(packed)
+            assert np.frombuffer(raw[: 2 * len(seen)], np.int16).tolist() == [int(np.log((y + 0.3) / (x + 0.3)) * 1024) for x, y in seen]
+            assert list(raw[2 * len(seen) :]) == [int(np.log2(x + y + 1) * 4) for x, y in seen]
+    assert got.count() == len(rows)
