@@ -135,7 +135,7 @@ QUERIES = {
     "vote_krippendorff_alpha": lambda s, d: voting.krippendorff_alpha(_ratings(s, d)),
     "vote_confidence": lambda s, d: voting.combined_confidence(_events(s, d), ["user_id"]),
     "vote_best_of_duplicates": _dups,
-    "vote_dependencies": lambda s, d: voting.vote_dependencies(table(s, d, "lineitem").select((F.col("l_orderkey") % 20).alias("doc_id"), F.col("l_partkey").alias("head"), F.col("l_linenumber").alias("dependent"), F.concat_ws(":", F.when(F.col("l_returnflag") == "R", "nmod").otherwise("obj"), "l_linestatus").alias("relation"), F.concat(F.lit("p"), F.col("l_suppkey") % 4).alias("processor"), F.col("l_discount").alias("confidence")), "p0"),
+    "vote_dependencies": lambda s, d: voting.vote_dependencies(table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("head"), F.col("l_linenumber").alias("dependent"), F.concat_ws(":", F.when(F.col("l_returnflag") == "R", "nmod").otherwise("obj"), "l_linestatus").alias("relation"), F.concat(F.lit("p"), F.col("l_suppkey") % 4).alias("processor"), F.col("l_discount").alias("confidence")), "p0"),
     "annotations_list": lambda s, d: an.listed(_annotations(s, d), ["NOUN"], ["user"], 10, 100).select("uid", "doc_id", "start"),
     "annotations_update": lambda s, d: an.updated(_annotations(s, d), _annotations(s, d).where("doc_id % 3 = 0").select("uid", F.when(F.col("confidence") > 0.5, -F.col("start") - 1).alias("start"), F.lit("CHANGED").alias("annotation_type"))).groupBy("annotation_type", "error").agg(F.count("*").alias("n")),
     "annotations_delete": lambda s, d: an.deleted(_annotations(s, d), _annotations(s, d).where("source = 'user'")).select("uid"),

@@ -41,3 +41,11 @@ def test_votes_over_texts_of_any_length(spark, tmp_path):
             entities[best, votes[best]] += 1
     got = registry.queries()["vote_entities"](spark, str(tmp_path)).collect()
     assert {(r.entity_type, r.votes): r.n for r in got} == entities
+
+
+def test_orders_vote_on_their_dependencies_alone(spark, tmp_path):
+    rows = [(1, 7, 1, 1), (21, 7, 1, 2), (41, 7, 1, 1), (41, 7, 1, 2), (3, 8, 2, 4), (23, 8, 2, 1)]
+    lines = spark.createDataFrame([(*r, "N", "O", 0.1) for r in rows], "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string, l_discount double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["vote_dependencies"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.head, r.dependent, r.relation, r.votes) for r in got) == [(3, 8, 2, "obj:O", 1), (41, 7, 1, "obj:O", 2)]
