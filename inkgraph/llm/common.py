@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, most: tuple[int, int]) -> DataFrame:
-    """(doc_id, text, label) of at most so many rows labelled 0 and so many labelled 1, outside fold 0.
+    """(doc_id, text, label) of at most so many documents labelled 0 and so many labelled 1, outside fold 0: whole texts.
 
-    The rows are those with the smallest hash of doc_id, so the sample does not depend on partitions.
-    Only their ids, a bounded number, are broadcast to find the texts.
+    They are those with the smallest hash of doc_id, so the sample does not depend on partitions.
+    Only their ids, a bounded number, are broadcast to find the texts. A doc_id with both labels has
+    label 1; of texts with the same doc_id one counts, that with the smallest hash.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != 0))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("label")).withColumn("_draw", F.xxhash64("doc_id"))
@@ -37,4 +38,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     for value in (0, 1):
         part = usable.where(F.col("label") == value).orderBy("_draw", "doc_id").limit(most[value])
         picked = part if picked is None else picked.unionByName(part)
-    return documents.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "label")), "doc_id")
+    rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked.select("doc_id", "label")), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

@@ -26,6 +26,8 @@ from inkgraph.llm.common import small_batches
 RADIUS = 22
 #: Items of one index. A larger benchmark is gone through in blocks of as many.
 ITEMS = 20_000
+#: Bytes that the windows of one run take, about.
+RUN_BYTES = 1 << 26
 _BLOCKS = 8
 
 
@@ -126,21 +128,28 @@ def leaks(index: Index, column: pa.Array, size: int, percent: int) -> dict[tuple
                 starts = starts[running[starts + wide] - running[starts] >= need]
                 if not len(starts):
                     continue
-                windows = hashes[starts[:, None] + np.arange(wide)]
-                prints = simhash(windows)
-                parts = prints.view(np.uint8).reshape(-1, _BLOCKS)
-                some = index.near[0, parts[:, 0]]
-                for block in range(1, _BLOCKS):
-                    some = some | index.near[block, parts[:, block]]
-                at_window, item = np.nonzero(np.unpackbits(some, axis=1, count=len(index.ids)))
-                close = (index.sizes[item] == length) & (np.bitwise_count(index.prints[item] ^ prints[at_window]) <= RADIUS)
-                for w, k in zip(at_window[close].tolist(), item[close].tolist(), strict=True):
-                    value = similarity(index.bags[k], windows[w].tolist())
-                    if 100 * value >= percent - 1e-9:
-                        keep(first + int(row), k, value, int(starts[w] - a))
+                run = max(1, RUN_BYTES // max(64 * wide, len(index.ids)))  # a long text goes through in runs of windows
+                for begin in range(0, len(starts), run):
+                    _verify(index, hashes, starts[begin : begin + run], wide, length, percent, lambda k, value, start: keep(first + int(row), k, value, int(start - a)))
     return found
 
 
+def _verify(index: Index, hashes: np.ndarray, starts: np.ndarray, wide: int, length: int, percent: int, keep) -> None:
+    """Fingerprints of windows, the items within the radius by blocks, and the exact similarity of each such pair."""
+    windows = hashes[starts[:, None] + np.arange(wide)]
+    prints = simhash(windows)
+    parts = prints.view(np.uint8).reshape(-1, _BLOCKS)
+    some = index.near[0, parts[:, 0]]
+    for block in range(1, _BLOCKS):
+        some = some | index.near[block, parts[:, block]]
+    at_window, item = np.nonzero(np.unpackbits(some, axis=1, count=len(index.ids)))
+    close = (index.sizes[item] == length) & (np.bitwise_count(index.prints[item] ^ prints[at_window]) <= RADIUS)
+    for w, k in zip(at_window[close].tolist(), item[close].tolist(), strict=True):
+        value = similarity(index.bags[k], windows[w].tolist())
+        if 100 * value >= percent - 1e-9:
+            keep(k, value, starts[w])
+
+
 def _short(words: by.Words, few: int, by_hash: dict[int, list[int]], first: int, keep) -> None:
     """Items of fewer words than a shingle: the same words in a row."""
     n = len(words.hashes) - few + 1
@@ -158,15 +167,13 @@ def _short(words: by.Words, few: int, by_hash: dict[int, list[int]], first: int,
             keep(first + row, item, 1.0, int(at[w] - words.starts[row]))
 
 
-def indexes(benchmark: DataFrame, size: int) -> list[Index]:
+def indexes(benchmark: DataFrame, size: int) -> Iterator[Index]:
     """Indexes over blocks of at most about ITEMS items; the benchmark is the fixed side, its blocks are what is sent to the executors."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-items.count() // ITEMS))
-    out = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        out.append(build(sorted(((r[0], r[1]) for r in rows), key=str), size))
-    return out
+        yield build(sorted(((r[0], r[1]) for r in rows), key=str), size)
 
 
 def _found(batches: Iterator[pa.RecordBatch], index: Index, size: int, percent: int, names: list[str], item_type: pa.DataType) -> Iterator[pa.RecordBatch]:

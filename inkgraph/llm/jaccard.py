@@ -60,13 +60,13 @@ def _identified(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         parts = list(text_sets(batch.column(1), size))
         sids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         n = np.concatenate([np.diff(p[2]) for p in parts]) if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids), pa.array(n)], names=[batch.schema.names[0], "sid", "n_shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sids), pa.array(n)], names=[batch.schema.names[0], "text_hash", "sid", "n_shingles"])
 
 
 def identities(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, sid, n_shingles): equal sets have equal sids, 0 stands for the empty set."""
+    """(doc_id, text_hash, sid, n_shingles): equal sets have equal sids, 0 stands for the empty set."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(lambda it: _identified(it, size), f"doc_id {kind}, sid long, n_shingles long")
+    return documents.select("doc_id", F.col("text").cast("string").alias("_text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(lambda it: _identified(it, size), f"doc_id {kind}, text_hash long, sid long, n_shingles long")
 
 
 def _low_shingles(batches: Iterator[pa.RecordBatch], size: int, percent: int, part: float) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
     for batch in batches:
         found = [(sid, values[ends[k] : ends[k + 1]]) for own, values, ends in text_sets(batch.column(7), size) for k, sid in enumerate(own.tolist())]
         for pool, band, kind, i, j, s, want, (sid, own) in zip(*(batch.column(k).to_pylist() for k in range(7)), found, strict=True):
-            if sid != want:  # another text of the same doc_id
+            if sid != want:  # another text with the same hash
                 continue
             tile = (pool, band, kind, i, j)
             if tile != held:
@@ -267,8 +267,9 @@ def set_links(documents: DataFrame, slim: DataFrame, size: int, percent: int) ->
     shared = written(candidates(documents, size, percent), "candidates")
     places = written(tiles(pools(shared), percent), "tiles")
     first = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    chosen = slim.join(places.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(first).alias("_doc"))
-    texts = documents.select(first.alias("_doc"), F.col("text").cast("string").alias("_text")).join(chosen, "_doc")
+    # one row of each set: ids alone may repeat, or be null, with other texts
+    chosen = slim.join(places.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(first.alias("_doc"), "text_hash")).alias("_row")).select("sid", "_row.*")
+    texts = documents.select(first.alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("_text")).join(chosen, ["_doc", "text_hash"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = places.join(texts, "sid").select("pool", "band", "kind", "i", "j", "side", "sid", "_text")
     rows = rows.repartition(parts, "pool", "band", "kind", "i", "j").sortWithinPartitions("pool", "band", "kind", "i", "j", "sid")

@@ -16,6 +16,8 @@ from inkgraph.llm.common import fold, labelled_sample, small_batches
 #: Bytes of a chunk, of a filter, and between two places of a filter; size of a byte's vector; filters.
 CHUNK, WIDTH, STRIDE, DIM, FILTERS = 256, 8, 2, 8, 24
 PLACES = CHUNK // STRIDE
+#: Chunks whose filter responses are held at once.
+RUN_CHUNKS = 1024
 _TAPS = WIDTH // STRIDE
 
 
@@ -79,21 +81,44 @@ def pooled(top: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     return np.concatenate([np.maximum.reduceat(top, ends), np.add.reduceat(top, ends) / chunks[:, None]], axis=1)
 
 
+def strongest(net: Network, codes: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, response with bias) of each filter's maximum in each chunk. Texts go through in runs of chunks, so that a very long one needs little memory."""
+    where, best, ends = [], [], np.cumsum(chunks) - 1
+    for at in range(0, int(chunks.sum()), RUN_CHUNKS):
+        run = codes[at * CHUNK : min(len(codes), (at + RUN_CHUNKS) * CHUNK + WIDTH)]
+        raw = responses(net, run, ends[(ends >= at) & (ends < at + RUN_CHUNKS)] - at)
+        place = raw.argmax(axis=1)
+        where.append(place)
+        best.append(np.take_along_axis(raw, place[:, None], axis=1)[:, 0] + net.bias)
+    return np.concatenate(where), np.concatenate(best)
+
+
 def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offsets) - 1)
     for first, last in by.steps(offsets):
         part = offsets[first : last + 1]
         codes, chunks = chunked(data[part[0] : part[-1]], part - part[0])
         tops, ends = [], np.cumsum(chunks) - 1
-        for at in range(0, int(chunks.sum()), 1024):  # a very long text goes through in runs of chunks
-            run = codes[at * CHUNK : min(len(codes), (at + 1024) * CHUNK + WIDTH)]
-            inside = ends[(ends >= at) & (ends < at + 1024)] - at
-            tops.append(np.maximum(responses(net, run, inside).max(axis=1) + net.bias, 0))
+        for at in range(0, int(chunks.sum()), RUN_CHUNKS):
+            run = codes[at * CHUNK : min(len(codes), (at + RUN_CHUNKS) * CHUNK + WIDTH)]
+            tops.append(np.maximum(responses(net, run, ends[(ends >= at) & (ends < at + RUN_CHUNKS)] - at).max(axis=1) + net.bias, 0))
         z = pooled(np.concatenate(tops), chunks) @ net.out + net.shift
         out[first:last] = 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
     return out
 
 
+def _batches(lengths: np.ndarray, order: np.ndarray, most_texts: int, most_bytes: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Texts in the given order, in batches of so many texts and bytes, or one text."""
+    first, size = 0, 0
+    for k, n in enumerate(lengths[order].tolist()):
+        if k > first and (k - first == most_texts or size + n > most_bytes):
+            yield order[first:k]
+            first, size = k, 0
+        size += n
+    if len(order):
+        yield order[first:]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = 8, batch: int = 32, rate: float = 0.01) -> Network:
     """Adam on the log loss; gradients reach a filter at its maximum in each chunk."""
     net = fresh(seed)
@@ -105,17 +130,15 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = 8,
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in [*net.arrays(), np.zeros(1, np.float32)]]
     shift = np.array([net.shift], dtype=np.float32)
     epochs = max(epochs, min(30, -(-300 * batch // len(texts))))  # a small sample is passed more often
-    step, total = 0, epochs * -(-len(texts) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
+    lengths = np.array([len(x) for x in texts])
+    orders = [rng.permutation(len(texts)) for _ in range(epochs)]
+    step, total = 0, sum(1 for order in orders for _ in _batches(lengths, order, batch))
+    for order in orders:
+        for rows in _batches(lengths, order, batch):
             joined = [texts[k] for k in rows]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in joined])))
             codes, chunks = chunked(np.frombuffer(b"".join(joined), np.uint8), offsets)
-            raw = responses(net, codes, np.cumsum(chunks) - 1)
-            where = raw.argmax(axis=1)
-            best = np.take_along_axis(raw, where[:, None], axis=1)[:, 0] + net.bias
+            where, best = strongest(net, codes, chunks)
             top = np.maximum(best, 0)
             features = pooled(top, chunks)
             p = 1 / (1 + np.exp(-np.clip(features @ net.out + shift[0], -30, 30)))
@@ -126,12 +149,16 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = 8,
             to_top = to_features[owner, FILTERS:] / chunks[owner][:, None] + to_features[owner, :FILTERS] * is_top
             to_top = (to_top * (best > 0)).astype(np.float32)
             first = (np.arange(len(where))[:, None] * CHUNK + where * STRIDE).ravel()
-            windows = codes[first[:, None] + np.arange(WIDTH)]  # (chunks * FILTERS) x WIDTH
-            vectors = net.embed[windows].reshape(len(where), FILTERS, WIDTH * DIM)
-            to_filters = np.einsum("cf,cfd->df", to_top, vectors, optimize=True).reshape(_TAPS, STRIDE * DIM, FILTERS)
             flat = net.filters.reshape(WIDTH * DIM, FILTERS).T
-            to_vectors = (to_top.ravel()[:, None] * np.tile(flat, (len(where), 1))).reshape(-1, DIM)
-            to_embed = np.stack([np.bincount(windows.ravel(), to_vectors[:, d], minlength=257) for d in range(DIM)], axis=1).astype(np.float32)
+            to_filters, to_embed = np.zeros((WIDTH * DIM, FILTERS), np.float32), np.zeros((257, DIM), np.float32)
+            for a in range(0, len(where), RUN_CHUNKS):
+                own = to_top[a : a + RUN_CHUNKS]
+                windows = codes[first[a * FILTERS : (a + RUN_CHUNKS) * FILTERS, None] + np.arange(WIDTH)]  # (chunks * FILTERS) x WIDTH
+                vectors = net.embed[windows].reshape(len(own), FILTERS, WIDTH * DIM)
+                to_filters += np.einsum("cf,cfd->df", own, vectors, optimize=True)
+                to_vectors = (own.ravel()[:, None] * np.tile(flat, (len(own), 1))).reshape(-1, DIM)
+                to_embed += np.stack([np.bincount(windows.ravel(), to_vectors[:, d], minlength=257) for d in range(DIM)], axis=1).astype(np.float32)
+            to_filters = to_filters.reshape(_TAPS, STRIDE * DIM, FILTERS)
             to_embed[256] = 0
             grads = [to_embed, to_filters, to_top.sum(axis=0), features.T @ g + 1e-4 * net.out, np.array([g.sum()], np.float32)]
             step += 1
@@ -144,28 +171,14 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = 8,
     return net
 
 
-def _excerpts(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
-    """Texts for training, bounded: so many chunks, evenly spread over the whole text."""
-    for batch in batches:
-        out = []
-        for text in batch.column(0).to_pylist():
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if len(raw) > chunks * CHUNK:
-                starts = np.linspace(0, len(raw) - CHUNK, chunks).astype(int)
-                raw = b"".join(raw[s : s + CHUNK] for s in starts)
-            out.append(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary()), batch.column(1).cast(pa.int32())], names=["text", "label"])
-
-
-def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most_per_class: int = 1500, chunks: int = 16, seed: int = 11) -> Network:
-    """Learn labels.quality from a bounded sample of labelled rows outside fold 0.
+def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most_per_class: int = 1500, seed: int = 11) -> Network:
+    """Learn labels.quality from a bounded sample outside fold 0: at most most_per_class documents of either label, their whole texts.
 
-    At most most_per_class rows of either label and `chunks` chunks of each reach the driver.
-    The two classes weigh alike in the sample.
+    The driver holds these texts; the two classes weigh alike in the sample.
     """
     small_batches(documents.sparkSession)
-    sample = labelled_sample(documents, labels, "quality", folds, (most_per_class, most_per_class)).select("text", "label")
-    rows = sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(lambda it: _excerpts(it, chunks), "text binary, label int").collect())
+    sample = labelled_sample(documents, labels, "quality", folds, (most_per_class, most_per_class)).select(F.col("text").cast("binary"), "label").toArrow()
+    rows = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), strict=True))
     rng = np.random.default_rng(seed)
     for raw, label in list(rows):  # good texts stay good when they are short; few of the rows are
         if label == 1 and len(raw) > 200 and rng.random() < 0.25:

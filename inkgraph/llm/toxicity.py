@@ -21,8 +21,10 @@ from inkgraph.llm import bytes as by
 from inkgraph.llm.common import fold, labelled_sample, small_batches
 
 #: Hash buckets (a power of two), size of vectors, lengths of n-grams in bytes, words of a window and between windows.
-BUCKETS, DIM, GRAMS, WINDOW, HOP = 1 << 17, 12, (3, 4, 5), 6, 3
-_SHIFT = np.uint64(64 - 17)
+BUCKETS, DIM, GRAMS, WINDOW, HOP = 1 << 16, 12, (3, 4, 5), 6, 3
+_SHIFT = np.uint64(64 - 16)
+#: Words whose n-grams are made at once.
+RUN_WORDS = 50_000
 
 
 @dataclass
@@ -33,28 +35,28 @@ class Model:
     bias: float
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, by.Words]:
-    """(bucket, word) of every n-gram and every whole word, words in order; an n-gram may hold one space before or behind its word."""
-    words = by.Words(data, offsets)
-    if not len(words.first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), words
-    length = words.last - words.first
-    buckets, owners = [(words.hashes >> _SHIFT).astype(np.int64)], [np.arange(len(length))]
+def grams(words: by.Words, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every n-gram and every whole word of the words from begin to end; an n-gram may hold one space before or behind its word."""
+    first, last = words.first[begin:end], words.last[begin:end]
+    if not len(first):
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    length = last - first
+    buckets, owners = [(words.hashes[begin:end] >> _SHIFT).astype(np.uint16)], [np.arange(len(length))]
     # each word with one space byte on either side, laid end to end
-    begin = np.concatenate(([0], np.cumsum(length + 2)))
-    padded = np.full(begin[-1], 32, dtype=np.uint8)
-    inside = np.repeat(begin[:-1] + 1 - words.first, length)
-    places = np.repeat(words.first - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+    start = np.concatenate(([0], np.cumsum(length + 2)))
+    padded = np.full(start[-1], 32, dtype=np.uint8)
+    inside = np.repeat(start[:-1] + 1 - first, length)
+    places = np.repeat(first - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
     padded[places + inside] = words.low[places]
     prefix = by.prefix_hash(padded)
     owner = np.repeat(np.arange(len(length)), length + 2)
-    end = begin[1:][owner]
+    stop = start[1:][owner]
     at = np.arange(len(padded))
     for n in GRAMS:
-        first = at[at + n <= end]
-        buckets.append((by.span_hash(prefix, first, first + n) >> _SHIFT).astype(np.int64))
-        owners.append(owner[first])
-    return np.concatenate(buckets), np.concatenate(owners), words
+        here = at[at + n <= stop]
+        buckets.append((by.span_hash(prefix, here, here + n) >> _SHIFT).astype(np.uint16))
+        owners.append(owner[here])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def windows(words: by.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,9 +69,10 @@ def windows(words: by.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.minimum(first + WINDOW, words.starts[1:][text]), text
 
 
-def _window_means(values: np.ndarray, owner: np.ndarray, n: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = np.concatenate(([0.0], np.cumsum(np.bincount(owner, values, minlength=n))))
-    count = np.concatenate(([0.0], np.cumsum(np.bincount(owner, minlength=n))))
+def _window_means(values: np.ndarray, counts: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means over windows, from sums and counts of their words."""
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    count = np.concatenate(([0.0], np.cumsum(counts)))
     size = count[last] - count[first]
     return (total[last] - total[first]) / np.maximum(size, 1), size
 
@@ -79,11 +82,17 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.nda
     out = np.full(len(offsets) - 1, model.bias, dtype=np.float64)
     for begin, end in by.steps(offsets):
         part = offsets[begin : end + 1]
-        bucket, owner, words = grams(data[part[0] : part[-1]], part - part[0])
-        if not len(words.first):
+        words = by.Words(data[part[0] : part[-1]], part - part[0])
+        n = len(words.first)
+        if not n:
             continue
+        values, counts = np.zeros(n), np.zeros(n)
+        for a in range(0, n, RUN_WORDS):  # a very long text goes through in runs of words
+            b = min(n, a + RUN_WORDS)
+            bucket, owner = grams(words, a, b)
+            values[a:b], counts[a:b] = np.bincount(owner, model.value[bucket], minlength=b - a), np.bincount(owner, minlength=b - a)
         first, last, text = windows(words)
-        mean, _ = _window_means(model.value[bucket], owner, len(words.first), first, last)
+        mean, _ = _window_means(values, counts, first, last)
         best = np.full(end - begin, -np.inf)
         np.maximum.at(best, text, mean)
         out[begin:end] = np.where(np.isfinite(best), best + model.bias, model.bias)
@@ -101,16 +110,20 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 10,
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     u, bias = rng.normal(0, 0.3, DIM).astype(np.float32), np.array([-1.0], np.float32)
-    prepared = []
+    prepared, batch = [], max(12, min(batch, len(texts) // 30))
     order = np.argsort(rng.random(len(texts)), kind="stable")
     for at in range(0, len(order), batch):
         rows = order[at : at + batch]
         offsets = np.concatenate(([0], np.cumsum([len(texts[k]) for k in rows])))
-        bucket, owner, words = grams(np.frombuffer(b"".join(texts[k] for k in rows), np.uint8), offsets)
-        by_word = np.argsort(owner, kind="stable")
-        each = np.bincount(owner, minlength=len(words.first)).astype(np.int32)
-        prepared.append((rows, bucket[by_word].astype(np.int32), each, *(x.astype(np.int32) for x in windows(words))))
-    epochs = max(epochs, min(14, -(-150 // len(prepared))))  # a small sample is passed more often
+        words = by.Words(np.frombuffer(b"".join(texts[k] for k in rows), np.uint8), offsets)
+        buckets, sizes = [], []
+        for a in range(0, len(words.first), RUN_WORDS):
+            bucket, owner = grams(words, a, min(len(words.first), a + RUN_WORDS))
+            buckets.append(bucket[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner))
+        each = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int32)
+        prepared.append((rows, np.concatenate([np.zeros(0, np.uint16), *buckets]), each, *(x.astype(np.int32) for x in windows(words))))
+    epochs = max(epochs, min(20, -(-400 // len(prepared))))  # a small sample is passed more often
     moment = [(np.zeros_like(x), np.zeros_like(x)) for x in (vectors, u, bias)]
     step, steps = 0, epochs * len(prepared)
     for epoch in range(epochs):
@@ -120,7 +133,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 10,
             n = len(each)
             owner = np.repeat(np.arange(n), each)
             value = vectors @ u
-            mean, size = _window_means(value[bucket], owner, n, first, last)
+            mean, size = _window_means(np.bincount(owner, value[bucket], minlength=n), each, first, last)
             z = np.clip(mean + bias[0], -30, 30)
             p = 1 / (1 + np.exp(-z))
             y = labels[rows][text]
@@ -151,24 +164,15 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 10,
     return Model((vectors @ u).astype(np.float32), float(bias[0]))
 
 
-def _excerpts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Texts for training, bounded. A longer one gives parts that are evenly spread over the whole text."""
-    for batch in batches:
-        out = []
-        for text in batch.column(0).to_pylist():
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if len(raw) > most:
-                starts = np.linspace(0, len(raw) - 1024, most // 1024).astype(int)
-                raw = b"\n".join(raw[s : s + 1024] for s in starts)
-            out.append(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary()), batch.column(1).cast(pa.int32())], names=["text", "label"])
-
-
-def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most: tuple[int, int] = (3000, 1300), most_bytes: int = 4096, seed: int = 5) -> Model:
-    """Learn labels.toxic from a bounded sample of labelled rows outside fold 0: so many rows labelled 0 and 1, so many bytes of each."""
+def train(documents: DataFrame, labels: DataFrame, folds: int = 5, most: tuple[int, int] = (2500, 1200), seed: int = 5) -> Model:
+    """Learn labels.toxic from a bounded sample outside fold 0: so many documents labelled 0 and so many labelled 1, their whole texts.
+
+    The driver holds these texts and two bytes for each of their n-grams.
+    """
     small_batches(documents.sparkSession)
-    sample = labelled_sample(documents, labels, "toxic", folds, most).select("text", "label")
-    rows = sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(lambda it: _excerpts(it, most_bytes), "text binary, label int").collect())
+    sample = labelled_sample(documents, labels, "toxic", folds, most).select(F.col("text").cast("binary"), "label").toArrow()
+    rows = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), strict=True))
+    del sample
     return fit([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float32), seed)
 
 

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from inkgraph.llm import decontaminate as de
 
 
@@ -66,3 +68,13 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert kept.count() == len(docs) - rows
     assert de.find_leaks(df.limit(0), bench).count() == 0 and de.find_leaks(df, bench.limit(0)).count() == 0
     assert de.without_leaks(df, bench.limit(0)).count() == len(docs)
+
+
+def test_windows_of_a_long_text_go_through_in_runs(monkeypatch):
+    rng = random.Random(12)
+    item = " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(60))
+    text = " ".join([item] * 40 + ["filler words here"] * 50 + [item])
+    index = de.build([(1, item)], 5)
+    whole = de.leaks(index, pa.array([text]), 5, 80)
+    monkeypatch.setattr(de, "RUN_BYTES", 64 * 56 * 7)
+    assert de.leaks(index, pa.array([text]), 5, 80) == whole and len(whole) == 1

@@ -59,3 +59,45 @@ def test_one_class_or_no_labels(spark):
     for rows in ([], [(1, 1)]):
         net = quality.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
         assert quality.score_quality(docs, net).first().predicted == 1
+
+
+def plain_score(net, text):
+    """The network on one text, one filter place after the other."""
+    codes = list(text) + [256] * (-(-(len(text) + quality.WIDTH) // quality.CHUNK) * quality.CHUNK - len(text))
+    taps = net.filters.reshape(quality.WIDTH * quality.DIM, quality.FILTERS)
+    tops = []
+    for begin in range(0, len(codes), quality.CHUNK):
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(begin, begin + quality.CHUNK, quality.STRIDE):
+            seen = codes[at : at + quality.WIDTH]
+            if len(seen) == quality.WIDTH:
+                best = np.maximum(best, net.embed[seen].ravel() @ taps)
+        tops.append(np.maximum(best + net.bias, 0))
+    z = np.concatenate((np.max(tops, axis=0), np.mean(tops, axis=0))) @ net.out + net.shift
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_scores_equal_a_plain_convolution(monkeypatch):
+    monkeypatch.setattr(quality, "RUN_CHUNKS", 3)
+    rng, net = random.Random(5), quality.fresh(4)
+    texts = [b"", b"a", b"x" * 248, b"y" * 256] + [bytes(rng.choices(range(32, 250), k=rng.randint(1, 3000))) for _ in range(8)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    assert np.allclose(quality.probabilities(net, np.frombuffer(b"".join(texts), np.uint8), offsets), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_training_does_not_depend_on_runs_and_reads_whole_texts(monkeypatch):
+    rng = random.Random(6)
+    texts, labels = [], []
+    for k in range(120):
+        words = rng.choices(["lamp", "river", "stone", "of", "the"], k=1500)
+        if k % 2:
+            for at in rng.sample(range(1500), 60):
+                words[at] = "%%!~~"
+        texts.append(" ".join(words).encode())
+        labels.append(1.0 - k % 2)
+    whole = quality.fit(texts[:90], np.array(labels[:90], np.float32), epochs=4)
+    monkeypatch.setattr(quality, "RUN_CHUNKS", 7)
+    again = quality.fit(texts[:90], np.array(labels[:90], np.float32), epochs=4)
+    data, offsets = by.flat(pa.array([t.decode() for t in texts[90:]]))
+    assert np.allclose(quality.probabilities(whole, data, offsets), quality.probabilities(again, data, offsets), atol=0.05)
+    assert np.mean((quality.probabilities(whole, data, offsets) >= 0.3) == np.array(labels[90:])) > 0.9
