@@ -71,8 +71,10 @@ def shifted(annotations: DataFrame, edits: DataFrame) -> DataFrame:
     """Annotations after an edit of their document that replaces [from, to) by `length` characters.
 
     Before the edit: unchanged. Behind it: moved. Around it: the end moves. Cut on the left or right:
-    the part outside stays. Inside: scaled. What has no length left is deleted.
+    the part outside stays. Inside: scaled. What has no length left is deleted. A document has one edit;
+    of several the first by (from, to, length) counts.
     """
+    edits = edits.groupBy("doc_id").agg(F.min(F.struct("from", "to", "length")).alias("_e")).select("doc_id", "_e.*")
     e = edits.select("doc_id", F.col("from").alias("_a"), F.col("to").alias("_b"), F.col("length").alias("_n"))
     s, t, a, b, n = (F.col(c) for c in ("start", "end", "_a", "_b", "_n"))
     delta = n - (b - a)
@@ -92,7 +94,9 @@ def text_changed(annotations: DataFrame, texts: DataFrame) -> DataFrame:
 
 def validation_issues(annotations: DataFrame, texts: DataFrame) -> DataFrame:
     """(uid, severity, rule) of every rule that an annotation breaks."""
-    joined = annotations.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left").withColumn("_n", F.count("*").over(W.partitionBy("uid")))
+    repeated = annotations.groupBy("uid").agg(F.count("*").alias("_n")).where("_n > 1")
+    # texts meet the annotations last, so that no text goes through another shuffle
+    joined = annotations.join(repeated, "uid", "left").join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
     off = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_text")), F.lit(False))
     rules = [
         ("error", "required field", F.col("annotation_type").isNull() | F.col("text").isNull()),
@@ -132,3 +136,110 @@ def pattern_properties(rows: DataFrame) -> DataFrame:
 def pivoted(properties: DataFrame) -> DataFrame:
     """One row for each pattern, a column for each type."""
     return properties.groupBy("pattern_id").pivot("type", ["text", "annotation_type", "confidence"]).agg(F.max("value"))
+
+
+def updates_reported(annotations: DataFrame, changes: DataFrame) -> DataFrame:
+    """(uid, error) of every row of an offset change table (uid, start, end): unknown uid, a broken offset rule, or null where it holds."""
+    known = annotations.select("uid", F.lit(True).alias("_known"))
+    joined = changes.join(known, "uid", "left")
+    return joined.select("uid", F.when(F.col("_known").isNull(), "unknown annotation").when(F.col("start") < 0, "start below 0").when(F.col("end") <= F.col("start"), "end not behind start").alias("error"))
+
+
+def of_categories(annotations: DataFrame, types: DataFrame, categories: list[str]) -> DataFrame:
+    """Annotations whose type belongs to one of the categories; types: category, annotation_type."""
+    return annotations.join(F.broadcast(types.where(F.col("category").isin(categories)).select("annotation_type").distinct()), "annotation_type", "left_semi")
+
+
+def from_tokens(tokens: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, category, annotation_type, start, end, text, confidence): a part-of-speech row and, for each feature of its morph map, a morphology row of every token sure enough."""
+    sure = tokens.where(F.col("confidence") >= least)
+    pos = sure.select("doc_id", F.lit("pos").alias("category"), F.col("pos").alias("annotation_type"), "start", "end", "text", "confidence")
+    morph = sure.select("doc_id", "start", "end", "text", "confidence", F.explode("morph").alias("feature", "value"))
+    return pos.unionByName(morph.select("doc_id", F.lit("morphology").alias("category"), F.concat_ws("=", "feature", "value").alias("annotation_type"), "start", "end", "text", "confidence"))
+
+
+def for_selections(tokens: DataFrame, entities: DataFrame, selections: DataFrame) -> DataFrame:
+    """(sel_id, token, entity): the first token and the first entity that begin in a selection [start, end) of their document."""
+    s = selections.select("sel_id", "doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
+
+    def first(rows: DataFrame, name: str) -> DataFrame:
+        inside = rows.select("doc_id", "start", "text").join(s, "doc_id").where("start >= a AND start < b")
+        return inside.groupBy("sel_id").agg(F.min_by("text", F.struct("start", "text")).alias(name))
+
+    return s.select("sel_id").join(first(tokens, "token"), "sel_id", "left").join(first(entities, "entity"), "sel_id", "left")
+
+
+def from_votes(voted: DataFrame, documents: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, start, end, text, annotation_type, confidence) of agreed tokens that are sure enough, no white space, and stand in the text at their offsets."""
+    rows = voted.where(F.col("agreed") & (F.col("confidence") >= least) & (F.trim("text") != "")).select("doc_id", "start", "end", F.col("text").alias("word"), F.col("pos").alias("annotation_type"), "confidence")
+    joined = rows.join(documents.select("doc_id", "text"), "doc_id")
+    there = F.substring("text", F.col("start").cast("int") + 1, F.length("word")) == F.col("word")
+    return joined.where(there).select("doc_id", "start", "end", F.col("word").alias("text"), "annotation_type", "confidence")
+
+
+def relations_from_dependencies(deps: DataFrame, annotated: DataFrame, least: float = 0.5) -> DataFrame:
+    """(source_uid, target_uid, relation_type) from dependent to head where both tokens are annotated; annotated: doc_id, sent_idx, token_idx, uid."""
+    keys = ["doc_id", "sent_idx"]
+    sure = deps.where((F.col("confidence") >= least) & (F.col("head") != F.col("dependent")))
+    a = annotated.select(*keys, F.col("token_idx").alias("dependent"), F.col("uid").alias("source_uid"))
+    b = annotated.select(*keys, F.col("token_idx").alias("head"), F.col("uid").alias("target_uid"))
+    return sure.join(a, [*keys, "dependent"]).join(b, [*keys, "head"]).select("source_uid", "target_uid", F.col("relation").alias("relation_type"))
+
+
+def display_graph(tokens: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, label, kind; edges: source, target, label) of content words and the dependencies between them."""
+    key = F.concat_ws(".", "doc_id", "sent_idx", "token_idx")
+    nodes = tokens.where(F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV")).select("doc_id", "sent_idx", "token_idx", key.alias("id"), F.col("text").alias("label"), F.lower("pos").alias("kind"))
+    ends = nodes.select("doc_id", "sent_idx", "token_idx", "id")
+    edges = deps.where("head <> dependent").join(ends.withColumnsRenamed({"token_idx": "head", "id": "target"}), ["doc_id", "sent_idx", "head"]).join(ends.withColumnsRenamed({"token_idx": "dependent", "id": "source"}), ["doc_id", "sent_idx", "dependent"])
+    return nodes.select("id", "label", "kind"), edges.select("source", "target", F.col("relation").alias("label"))
+
+
+def property_graph(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, kind; edges: source, target, kind): documents hold sentences, sentences hold tokens, a token is followed by the next of its sentence."""
+    doc, sent = F.col("doc_id").cast("string"), F.concat_ws(".", "doc_id", "sent_idx")
+    token = F.concat_ws(".", "doc_id", "sent_idx", "token_idx")
+    follow = F.lead(token).over(W.partitionBy("doc_id", "sent_idx").orderBy("token_idx"))
+    nodes = tokens.select(F.explode(F.array(F.struct(doc.alias("id"), F.lit("document").alias("kind")), F.struct(sent.alias("id"), F.lit("sentence").alias("kind")), F.struct(token.alias("id"), F.lit("token").alias("kind")))).alias("n")).select("n.*").distinct()
+    rows = tokens.withColumn("_next", follow)
+    edges = rows.select(F.explode(F.array(F.struct(doc.alias("source"), sent.alias("target"), F.lit("HAS_SENTENCE").alias("kind")), F.struct(sent.alias("source"), token.alias("target"), F.lit("HAS_TOKEN").alias("kind")), F.struct(token.alias("source"), F.col("_next").alias("target"), F.lit("NEXT").alias("kind")))).alias("e")).select("e.*").where("target IS NOT NULL").distinct()
+    return nodes, edges
+
+
+def linguistic_relations(relations: DataFrame, pattern_rows: DataFrame) -> DataFrame:
+    """(source_pattern, target_pattern, relation_type): relations of annotations lifted to the patterns made from them."""
+    a = pattern_rows.select(F.col("source_token_uid").alias("source_uid"), F.col("pattern_id").alias("source_pattern"))
+    b = pattern_rows.select(F.col("source_token_uid").alias("target_uid"), F.col("pattern_id").alias("target_pattern"))
+    return relations.join(a, "source_uid").join(b, "target_uid").select("source_pattern", "target_pattern", "relation_type")
+
+
+def relation_issues(relations: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(source_uid, target_uid, severity, rule): a missing end or type, an end that is no annotation; a self loop is a warning."""
+    known = annotations.select("uid").distinct()
+    joined = relations.join(known.select(F.col("uid").alias("source_uid"), F.lit(True).alias("_s")), "source_uid", "left").join(known.select(F.col("uid").alias("target_uid"), F.lit(True).alias("_t")), "target_uid", "left")
+    rules = [("error", "required field", F.col("source_uid").isNull() | F.col("target_uid").isNull() | F.col("relation_type").isNull()), ("error", "source unknown", F.col("source_uid").isNotNull() & F.col("_s").isNull()), ("error", "target unknown", F.col("target_uid").isNotNull() & F.col("_t").isNull()), ("warning", "self loop", F.col("source_uid") == F.col("target_uid"))]
+    found = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, bad in rules)))
+    return joined.select("source_uid", "target_uid", F.explode(found).alias("x")).select("source_uid", "target_uid", "x.*")
+
+
+def chain_issues(chains: DataFrame, types: list[str]) -> DataFrame:
+    """(chain_id, severity, rule) of chains (chain_id, sequence_type, verbs, confidence): the type is none of the allowed, fewer than two verbs (a warning), confidence outside 0 to 1."""
+    rules = [("error", "sequence type", ~F.coalesce(F.col("sequence_type").isin(types), F.lit(False))), ("warning", "fewer than two verbs", F.coalesce(F.size("verbs"), F.lit(0)) < 2), ("error", "confidence", F.col("confidence").isNotNull() & ~F.col("confidence").between(0, 1))]
+    found = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, bad in rules)))
+    return chains.select("chain_id", F.explode(found).alias("x")).select("chain_id", "x.*")
+
+
+def missing_parts(present: DataFrame, required: DataFrame) -> DataFrame:
+    """(sample_id, part): required parts (part) that a sample of (sample_id, part) rows lacks."""
+    wanted = present.select("sample_id").distinct().crossJoin(F.broadcast(required.select("part").distinct()))  # a fixed handful of parts
+    return wanted.join(present.select("sample_id", "part"), ["sample_id", "part"], "left_anti")
+
+
+def compared_with_golden(run: DataFrame, golden: DataFrame, near: float = 0.05, least: float = 0.6) -> DataFrame:
+    """(doc_id, golden, found, coverage, passes): how many golden annotations a run has with the same span, type and text and a confidence within `near`."""
+    keys = ["doc_id", "start", "end", "annotation_type", "text"]
+    hits = golden.select(*keys, F.col("confidence").alias("g")).join(run.select(*keys, F.col("confidence").alias("r")), keys, "left").withColumn("hit", F.coalesce(F.abs(F.col("g") - F.col("r")) <= near + 1e-9, F.lit(False)))
+    one = hits.groupBy(*keys).agg(F.max("hit").alias("hit"))
+    per = one.groupBy("doc_id").agg(F.count("*").alias("golden"), F.count(F.when(F.col("hit"), 1)).alias("found"))
+    share = F.col("found") / F.col("golden")
+    return per.select("doc_id", "golden", "found", F.round(share, 6).alias("coverage"), (share >= least).alias("passes"))

@@ -6,45 +6,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+KEYS = ["doc_id", "sent_idx"]
 #: Words that mark a sequence, and its type.
-MARKERS = {"then": "temporal", "after": "temporal", "before": "temporal", "when": "conditional", "if": "conditional", "because": "causal", "therefore": "causal", "to": "purpose", "for": "purpose", "by": "mechanism"}
+MARKERS = {
+    "after": "TEMPORAL_AFTER", "then": "TEMPORAL_AFTER", "next": "TEMPORAL_AFTER", "following": "TEMPORAL_AFTER", "subsequently": "TEMPORAL_AFTER",
+    "before": "TEMPORAL_BEFORE", "previously": "TEMPORAL_BEFORE", "first": "TEMPORAL_BEFORE", "finally": "TEMPORAL_AFTER",
+    "because": "CAUSAL", "therefore": "RESULT", "thus": "RESULT", "consequently": "RESULT", "hence": "RESULT",
+    "to": "PURPOSE", "in order to": "PURPOSE", "so that": "PURPOSE",
+}
+#: The type of a sequence that a dependency makes, and all types.
+BY_DEPENDENCY = {"xcomp": "PURPOSE", "advcl": "TEMPORAL_AFTER", "ccomp": "RESULT", "conj": "COORDINATION"}
+TYPES = ["TEMPORAL_AFTER", "TEMPORAL_BEFORE", "CAUSAL", "PURPOSE", "RESULT", "COORDINATION", "SEQUENTIAL"]
 #: What evidence of a pair counts, and what it takes.
-DEPENDENCY, MARKER, SHARED, SAME_SENTENCE, LEAST = 0.7, 0.6, 0.3, 0.15, 0.7
+DEPENDENCY, MARKER, SHARED, SAME_SENTENCE, ADJACENT, LEAST = 0.7, 0.6, 0.3, 0.15, 0.2, 0.7
 
 
-def verbs_in_sentences(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, token_idx, verb, entity): verbs with the noun before them as entity."""
-    order = W.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
-    nouns = F.last(F.when(F.col("pos") == "NOUN", F.lower("text")), True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = tokens.withColumn("entity", nouns)
-    return rows.where("pos = 'VERB'").select("doc_id", "sent_idx", "token_idx", F.lower("text").alias("verb"), "entity")
+def verb_table(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, token_idx, verb, subject, object, entities): verbs with their first nsubj and obj children, and all entities: these and the obl, iobj, xcomp and ccomp children."""
+    text = tokens.select(*KEYS, F.col("token_idx").alias("dependent"), F.lower("text").alias("word"))
+    child = deps.where("head <> dependent AND relation IN ('nsubj', 'obj', 'obl', 'iobj', 'xcomp', 'ccomp')").join(text, [*KEYS, "dependent"])
+    first = lambda rel: F.min(F.when(F.col("relation") == rel, F.struct("dependent", "word")))["word"]
+    own = child.groupBy(*KEYS, F.col("head").alias("token_idx")).agg(first("nsubj").alias("subject"), first("obj").alias("object"), F.array_sort(F.collect_set("word")).alias("entities"))
+    verbs = tokens.where("pos = 'VERB'").select(*KEYS, "token_idx", F.lower("text").alias("verb"))
+    return verbs.join(own, [*KEYS, "token_idx"], "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
 
-def next_verb_pairs(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, a, b, marker): each verb and the next of its sentence, with the first marker strictly between.
+def marked_tokens(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, token_idx, marker): places where a marker of up to three words begins; the longest counts."""
+    order = W.partitionBy(*KEYS).orderBy("token_idx")
+    one, two, three = F.lower("text"), F.lower(F.lead("text", 1).over(order)), F.lower(F.lead("text", 2).over(order))
+    known = lambda words: F.when(words.isin(list(MARKERS)), words)
+    found = F.coalesce(known(F.concat(one, F.lit(" "), two, F.lit(" "), three)), known(F.concat(one, F.lit(" "), two)), known(one))
+    return tokens.select(*KEYS, "token_idx", found.alias("marker")).where("marker IS NOT NULL")
 
-    Positions of markers come from one window per sentence; no pairs of tokens are made.
+
+def sequences(tokens: DataFrame, deps: DataFrame, links: DataFrame, reach: int = 5) -> DataFrame:
+    """(doc_id, sent_a, a, sent_b, b, sequence_type, confidence, evidence) of verb pairs, the earlier first, that reach 0.7.
+
+    Three kinds of pair can reach it: verbs joined by a dependency (links), verbs of a sentence with a
+    marker strictly between, and verbs two sentences apart or more with a marker in a sentence strictly
+    between and a shared entity. A verb is paired with the `reach` verbs behind it in the sentence, and
+    with the `reach` next verbs of the document with the same entity, so nothing pairs all with all.
+    The type is that of the dependency, or of the first marker where there is one.
     """
-    verb, low = F.col("pos") == "VERB", F.lower("text")
-    order = W.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
-    marked = tokens.withColumn("m", F.when(low.isin(list(MARKERS)), low)).withColumn("run", F.sum(F.when(verb, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    first = marked.where(~verb & F.col("m").isNotNull()).groupBy("doc_id", "sent_idx", "run").agg(F.min_by("m", "token_idx").alias("marker"))
-    heads = marked.where(verb).select("doc_id", "sent_idx", "run", F.col("token_idx").alias("a"), F.lead("token_idx").over(order).alias("b")).where("b IS NOT NULL")
-    return heads.join(first, ["doc_id", "sent_idx", "run"], "left").select("doc_id", "sent_idx", "a", "b", "marker")
-
-
-def scored_sequences(verbs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, a, b, sequence_type, confidence) of pairs that reach 0.7: marker, shared entity, same sentence."""
-    keys = ["doc_id", "sent_idx"]
-    left = verbs.select(*keys, F.col("token_idx").alias("a"), F.col("entity").alias("ea"))
-    right = verbs.select(*keys, F.col("token_idx").alias("b"), F.col("entity").alias("eb"))
-    joined = pairs.join(left, [*keys, "a"]).join(right, [*keys, "b"])
-    shared = F.coalesce(F.col("ea") == F.col("eb"), F.lit(False))
-    score = F.when(F.col("marker").isNotNull(), MARKER).otherwise(0.0) + F.when(shared, SHARED).otherwise(0.0) + SAME_SENTENCE
-    types = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])
-    strong = F.col("marker").isNotNull() | shared
-    out = joined.select(*keys, "a", "b", F.coalesce(types[F.col("marker")], F.lit("sequential")).alias("sequence_type"), F.round(F.least(F.lit(1.0), score), 6).alias("confidence"), strong.alias("s"))
-    return out.where((F.col("confidence") >= LEAST) & F.col("s")).drop("s")
+    verbs = verb_table(tokens, deps)
+    place = F.struct("sent_idx", "token_idx", "entities")
+    in_sentence = W.partitionBy(*KEYS).orderBy("token_idx").rowsBetween(1, reach)
+    behind = lambda rows, window: rows.select("doc_id", place.alias("x"), F.collect_list(place).over(window).alias("ys")).select("doc_id", "x", F.explode("ys").alias("y"))
+    near = behind(verbs, in_sentence)
+    of_entity = W.partitionBy("doc_id", "entity").orderBy("sent_idx", "token_idx").rowsBetween(1, reach)
+    shared = behind(verbs.withColumn("entity", F.explode("entities")), of_entity)
+    joined = links.select("doc_id", "sent_idx", "a", "b", "relation")
+    left, right = verbs.select(*KEYS, F.col("token_idx").alias("a"), place.alias("x")), verbs.select(*KEYS, F.col("token_idx").alias("b"), place.alias("y"))
+    linked = joined.join(left, [*KEYS, "a"]).join(right, [*KEYS, "b"]).select("doc_id", "x", "y")
+    pairs = near.unionByName(shared).unionByName(linked).select("doc_id", F.col("x.sent_idx").alias("sent_a"), F.col("x.token_idx").alias("a"), F.col("y.sent_idx").alias("sent_b"), F.col("y.token_idx").alias("b"), F.array_intersect("x.entities", "y.entities").alias("common")).distinct()
+    # the first marker behind a verb in its sentence, and in the sentences behind it
+    marks = marked_tokens(tokens).select(*KEYS, "token_idx", F.struct("sent_idx", "token_idx", "marker").alias("m"))
+    spots = verbs.select(*KEYS, "token_idx", F.lit(None).cast(marks.schema["m"].dataType).alias("m"), F.lit(True).alias("is_verb")).unionByName(marks.withColumn("is_verb", F.lit(False)))
+    here = F.first("m", True).over(W.partitionBy(*KEYS).orderBy("token_idx").rangeBetween(1, W.unboundedFollowing))
+    later = F.first("m", True).over(W.partitionBy("doc_id").orderBy("sent_idx").rangeBetween(1, W.unboundedFollowing))
+    first_later = marks.groupBy(*KEYS).agg(F.min("m").alias("m"))
+    sents = verbs.select(*KEYS).distinct().withColumn("m", F.lit(None).cast(marks.schema["m"].dataType)).unionByName(first_later).groupBy(*KEYS).agg(F.max("m").alias("m")).withColumn("later", later).select(*KEYS, "later")
+    ahead = spots.withColumn("here", here).where("is_verb").join(sents, KEYS).select("doc_id", F.col("sent_idx").alias("sent_a"), F.col("token_idx").alias("a"), "here", "later")
+    rows = pairs.join(ahead, ["doc_id", "sent_a", "a"]).join(links.select("doc_id", F.col("sent_idx").alias("sent_a"), "a", F.col("sent_idx").alias("sent_b"), "b", "relation"), ["doc_id", "sent_a", "a", "sent_b", "b"], "left")
+    gap = F.col("sent_b") - F.col("sent_a")
+    marker = F.when((gap == 0) & (F.col("here.token_idx") < F.col("b")), F.col("here.marker")).when((gap > 1) & (F.col("later.sent_idx") < F.col("sent_b")), F.col("later.marker"))
+    common, dep = F.size("common") > 0, F.col("relation").isNotNull()
+    rows = rows.withColumn("marker", marker)
+    strong = dep | F.col("marker").isNotNull()
+    score = F.when(dep, DEPENDENCY).otherwise(0.0) + F.when(F.col("marker").isNotNull(), MARKER).otherwise(0.0) + F.when(common, SHARED).otherwise(0.0) + F.when(gap == 0, SAME_SENTENCE).when((gap == 1) & common, ADJACENT).otherwise(0.0)
+    of = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    kind = F.coalesce(of(MARKERS)[F.col("marker")], of(BY_DEPENDENCY)[F.col("relation")], F.lit("SEQUENTIAL"))
+    evidence = F.concat_ws(";", F.concat(F.lit("direct_dependency:"), "relation"), F.concat(F.lit("marker:"), "marker"), F.when(common, F.concat(F.lit("shared_entities:"), F.array_join("common", ","))), F.when(gap == 0, "same_sentence").when((gap == 1) & common, "adjacent_with_shared_entity"))
+    out = rows.where(strong | ((gap <= 1) & common)).select("doc_id", "sent_a", "a", "sent_b", "b", kind.alias("sequence_type"), F.round(F.least(F.lit(1.0), score), 6).alias("confidence"), evidence.alias("evidence"))
+    return out.where(F.col("confidence") >= LEAST)
+
+
+def page(sequence_rows: DataFrame, skip: int, limit: int) -> DataFrame:
+    """Sequences by descending confidence, ties by place."""
+    return sequence_rows.orderBy(F.desc("confidence"), "doc_id", "sent_a", "a", "sent_b", "b").offset(skip).limit(limit)
+
+
+def exported(sequence_rows: DataFrame, verbs: DataFrame) -> DataFrame:
+    """(doc_id, verb1, verb2, subject, object, sequence_type, confidence, evidence) for export: the subject of the first verb, the object of the second."""
+    first = verbs.select("doc_id", F.col("sent_idx").alias("sent_a"), F.col("token_idx").alias("a"), F.col("verb").alias("verb1"), "subject")
+    second = verbs.select("doc_id", F.col("sent_idx").alias("sent_b"), F.col("token_idx").alias("b"), F.col("verb").alias("verb2"), "object")
+    return sequence_rows.join(first, ["doc_id", "sent_a", "a"]).join(second, ["doc_id", "sent_b", "b"]).select("doc_id", "verb1", "verb2", "subject", "object", "sequence_type", "confidence", "evidence").distinct()
+
+
+def cleared(sequence_rows: DataFrame) -> DataFrame:
+    """No sequences, with the same columns."""
+    return sequence_rows.where(F.lit(False))
 
 
 def sequence_statistics(sequences: DataFrame) -> DataFrame:
@@ -52,10 +104,11 @@ def sequence_statistics(sequences: DataFrame) -> DataFrame:
 
 
 def entity_stars(verbs: DataFrame) -> DataFrame:
-    """(entity, doc_id, first, member): verbs of a document with the same entity, linked to the first of them."""
+    """(doc_id, entity, first, member): verbs of a document that share an entity, linked to the first of them; a star for each entity instead of all pairs."""
     place = F.struct("sent_idx", "token_idx")
-    first = verbs.where("entity IS NOT NULL").withColumn("f", F.min(place).over(W.partitionBy("doc_id", "entity")))
-    return first.where(place != F.col("f")).select("entity", "doc_id", F.concat_ws(".", "f.sent_idx", "f.token_idx").alias("first"), F.concat_ws(".", "sent_idx", "token_idx").alias("member"))
+    rows = verbs.select("doc_id", "sent_idx", "token_idx", F.explode("entities").alias("entity")).where("entity <> ''")
+    first = rows.withColumn("f", F.min(place).over(W.partitionBy("doc_id", "entity")))
+    return first.where(place != F.col("f")).select("doc_id", "entity", F.concat_ws(".", "f.sent_idx", "f.token_idx").alias("first"), F.concat_ws(".", "sent_idx", "token_idx").alias("member"))
 
 
 def nearest_actions(actions: DataFrame, hits: DataFrame, tolerance: int = 500) -> DataFrame:
@@ -77,32 +130,6 @@ def resolve_conflicts(deps: DataFrame, priority: dict[str, int]) -> DataFrame:
     return best.select("src", "dst", F.col("m.relation").alias("relation"), F.col("m.confidence").alias("confidence"), F.array_join("markers", ",").alias("markers"))
 
 
-def goals(edges: DataFrame, actions: DataFrame, words: list[str]) -> DataFrame:
-    """Actions whose object has a goal word or that are the target of a PURPOSE edge, without hubs (3 in and 2 out, or more)."""
-    named = actions.where(F.lower("object").rlike("|".join(words))).select("id")
-    aimed = edges.where("relation = 'PURPOSE'").select(F.col("dst").alias("id"))
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
-    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
-    hubs = into.join(out, "id").where("i >= 3 AND o >= 2").select("id")
-    return named.union(aimed).distinct().join(actions.select("id"), "id", "left_semi").join(hubs, "id", "left_anti")
-
-
-def coordinated(entities: DataFrame, most: int = 20) -> DataFrame:
-    """(doc_id, island, members, last): runs of entities less than `most` characters apart, two or more."""
-    order = W.partitionBy("doc_id").orderBy("start", "end")
-    gap = F.col("start") - F.lag("end").over(order)
-    rows = entities.withColumn("new", F.when(gap.isNull() | (gap >= most) | (gap < 0), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy("doc_id", "island").agg(F.count("*").alias("members"), F.max_by("text", F.struct("start", "end")).alias("last")).where("members > 1")
-
-
-def part_of(entities: DataFrame, most: int = 10) -> DataFrame:
-    """(doc_id, part, whole): neighbouring entities of one document at most so many characters apart, the earlier is the part."""
-    order = W.partitionBy("doc_id").orderBy("start", "end")
-    rows = entities.select("doc_id", F.col("text").alias("part"), F.lead("text").over(order).alias("whole"), (F.lead("start").over(order) - F.col("end")).alias("gap"))
-    return rows.where(F.col("gap").between(0, most)).select("doc_id", "part", "whole").distinct()
-
-
 def upsert_sequences(old: DataFrame, new: DataFrame) -> DataFrame:
     """(a, b, confidence, change): created, updated or kept by pair."""
     joined = old.select("a", "b", F.col("confidence").alias("_o")).join(new.select("a", "b", F.col("confidence").alias("_n")), ["a", "b"], "full")
@@ -110,21 +137,31 @@ def upsert_sequences(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.coalesce("_n", "_o").alias("confidence"), change.alias("change"))
 
 
-def success_patterns(edges: DataFrame, goal_rows: DataFrame) -> DataFrame:
-    """(goal, size, depth, width, causal, score): the ancestors of each goal, by hops against the edges.
+def success_patterns(edges: DataFrame, goal_rows: DataFrame, cutoff: int = 10) -> DataFrame:
+    """(goal, size, depth, width, causal, score) of the ancestors of each goal in an acyclic graph, largest score first.
 
-    Depth is the largest fewest-hops distance, width the most vertices at one distance; causal counts
-    CAUSES and ENABLES edges among the ancestors; score = size + 2 * depth + 3 * causal.
+    Depth: edges of the longest path to the goal, `cutoff` at most, by one pass over the layers of paths and
+    not over the paths. Width: the most vertices at one distance. causal: CAUSES and ENABLES edges among
+    the ancestors. score = size + 2 * depth + 3 * causal.
     """
     from inkgraph.operators.graph import ancestors
+    from inkgraph.plans.scratch import written
 
-    reach = ancestors(edges, goal_rows.select(F.col("id").alias("v")))
+    reach = written(ancestors(edges, goal_rows.select(F.col("id").alias("v"))), "reach")
     per_hop = reach.groupBy("start", "hops").agg(F.count("*").alias("n"))
-    shape = per_hop.groupBy("start").agg(F.sum("n").alias("size"), F.max("hops").alias("depth"), F.max("n").alias("width"))
+    shape = per_hop.groupBy("start").agg(F.sum("n").alias("size"), F.max("n").alias("width"))
+    front = goal_rows.select(F.col("id").alias("start"), F.col("id").alias("v")).distinct()
+    depth = front.select("start", F.lit(0).alias("d"))
+    for k in range(1, cutoff + 1):  # which vertices a path of k edges leads from
+        front = written(front.join(edges.select(F.col("dst").alias("v"), "src"), "v").select("start", F.col("src").alias("v")).distinct(), "front")
+        if front.isEmpty():
+            break
+        depth = depth.unionByName(front.select("start", F.lit(k).alias("d")).distinct())
+    depth = depth.groupBy("start").agg(F.max("d").alias("depth"))
     inside = edges.where("relation IN ('CAUSES', 'ENABLES')").select("src", "dst").join(reach.select("start", F.col("v").alias("src")), "src").join(reach.select("start", F.col("v").alias("dst")), ["start", "dst"])
     causal = inside.groupBy("start").agg(F.count("*").alias("causal"))
-    out = shape.join(causal, "start", "left").na.fill(0, ["causal"])
-    return out.select(F.col("start").alias("goal"), "size", "depth", "width", "causal", (F.col("size") + 2 * F.col("depth") + 3 * F.col("causal")).alias("score"))
+    out = shape.join(depth, "start").join(causal, "start", "left").na.fill(0, ["causal"])
+    return out.select(F.col("start").alias("goal"), "size", "depth", "width", "causal", (F.col("size") + 2 * F.col("depth") + 3 * F.col("causal")).alias("score")).orderBy(F.desc("score"), "goal")
 
 
 def causal_listing(edges: DataFrame, actions: DataFrame) -> DataFrame:

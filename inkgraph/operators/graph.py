@@ -136,7 +136,7 @@ def graph_statistics(edges: DataFrame) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 100_000) -> DataFrame:
     """(start, v, hops) with the fewest hops from each start to every vertex it reaches, itself with 0."""
     edges = edges.select("src", "dst")
     front = start.select(F.col("v").alias("start"), "v", F.lit(0).alias("hops")).distinct()
@@ -146,16 +146,18 @@ def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 100) -> DataFr
         front = written(step.join(seen, ["start", "v"], "left_anti").withColumn("hops", F.lit(k + 1)), "front")
         if front.isEmpty():
             return seen
-        seen = written(seen.unionByName(front), "seen")
+        seen = seen.unionByName(front)
+        if k % 8 == 7:  # what was found is read from its own files, and joined into one table now and then
+            seen = written(seen, "seen")
     raise RuntimeError(f"more than {max_hops} hops")
 
 
-def ancestors(edges: DataFrame, goals: DataFrame, max_hops: int = 100) -> DataFrame:
+def ancestors(edges: DataFrame, goals: DataFrame, max_hops: int = 100_000) -> DataFrame:
     """(start, v, hops) against the direction of the edges."""
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goals, max_hops)
 
 
-def would_close_cycle(edges: DataFrame, new_edges: DataFrame, max_hops: int = 100) -> DataFrame:
+def would_close_cycle(edges: DataFrame, new_edges: DataFrame, max_hops: int = 100_000) -> DataFrame:
     """The new edges whose source can be reached from their target, or is it."""
     reach = reachable(edges, new_edges.select(F.col("dst").alias("v")), max_hops)
     found = reach.select(F.col("start").alias("dst"), F.col("v").alias("src"))
@@ -202,48 +204,79 @@ def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"the core did not settle in {max_rounds} rounds")
 
 
+def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(v, component) of vertices that lie on a cycle, some of its components at least: those whose largest vertex reaches no larger one's component.
+
+    Every vertex takes the largest id that reaches it. The vertices of one such colour that reach the
+    vertex they are named by make a strongly connected component.
+    """
+    edges = edges.select("src", "dst")
+    colour = written(vertices(edges).select("v", F.col("v").alias("c")), "colour")
+    for _ in range(max_rounds):
+        come = edges.join(colour.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("n"))
+        new = written(colour.join(come, "v", "left").select("v", F.greatest("c", F.coalesce("n", "c")).alias("c"), (F.coalesce("n", "c") > F.col("c")).alias("moved")), "colour")
+        colour = new.select("v", "c")
+        if new.where("moved").isEmpty():
+            break
+    inside = written(edges.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").where("c = d").select("src", "dst", "c"), "inside")
+    found = front = written(colour.where("v = c"), "front")
+    for _ in range(max_rounds):
+        step = front.select(F.col("v").alias("dst"), "c").join(inside, ["dst", "c"]).select(F.col("src").alias("v"), "c").distinct()
+        front = written(step.join(found, ["v", "c"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        found = written(found.unionByName(front), "found")
+    return found.select("v", F.col("c").alias("component"))
+
+
 def break_cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Edges (src, dst, confidence) without cycles: of each two opposite edges the weaker goes, then in every component of the cyclic core the edge of least (confidence, src, dst), until no core is left.
+    """Edges (src, dst, confidence, ...) without cycles: of each strongly connected component the edge of least (confidence, src, dst) goes, until no cycle is left.
 
-    A round removes an edge from each component at once, so rounds are as many as one component has
-    edges to lose, not as many as the graph has cycles.
+    Edges that lie on no cycle all stay. A round looks at the cyclic core alone and takes an edge from
+    each component that it finds.
     """
-    edges = edges.where("src <> dst")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.struct("confidence", "dst").alias("_back"))
-    weaker = edges.join(back, ["src", "dst"]).where(F.struct("confidence", "src") < F.col("_back")).select("src", "dst")
-    left = written(edges.join(weaker, ["src", "dst"], "left_anti").select(*edges.columns), "edges")
+    left = written(edges.where("src <> dst"), "edges")
     for _ in range(max_rounds):
         core = cyclic_core(left)
         if core.isEmpty():
             return left
-        named = core.join(connected_components(core).withColumnRenamed("node", "src"), "src")
-        worst = named.groupBy("component").agg(F.min(F.struct("confidence", "src", "dst")).alias("w")).select("w.src", "w.dst")
-        left = written(left.join(worst, ["src", "dst"], "left_anti").select(*edges.columns), "edges")
+        named = strong_components(core)
+        own = core.join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst").where("a = b")
+        worst = own.groupBy("a").agg(F.min(F.struct("confidence", "src", "dst")).alias("w")).select("w.src", "w.dst")
+        left = written(left.join(F.broadcast(worst), ["src", "dst"], "left_anti").select(*edges.columns), "edges")
     raise RuntimeError(f"cycles are left after {max_rounds} rounds")
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, cutoff: int = 10, per_start: int = 1000) -> DataFrame:
-    """(start, path, confidence, complete): paths from each start that can't be made longer, or that the cutoff ends; mean confidence of their edges.
+def simple_paths(edges: DataFrame, starts: DataFrame, cutoff: int = 10, per_start: int | None = None) -> DataFrame:
+    """(start, path, confidence, complete, capped): paths from each start that can't be made longer, or that the cutoff ends (complete is false); mean confidence of their edges.
 
-    The number of paths can grow without bound, so each start keeps per_start paths a round, the most
-    confident; `capped` says whether any were left out.
+    The number of paths can grow without bound. per_start, if given, keeps so many paths of a start in a
+    round, the most confident; capped then says whether any were left out.
     """
     step = edges.select("src", "dst", F.col("confidence").alias("_c"))
     open_ = written(starts.select(F.col("v").alias("start"), F.array("v").alias("path"), F.lit(0.0).alias("sum"), F.lit(False).alias("capped")).distinct(), "paths")
-    done = None
-    for k in range(cutoff):
-        tip = F.element_at("path", -1)
-        more = open_.withColumn("_t", tip).join(step, F.col("_t") == F.col("src"), "left").where("dst IS NULL OR NOT array_contains(path, dst)")
-        grown = more.where("dst IS NOT NULL").select("start", F.concat("path", F.array("dst")).alias("path"), (F.col("sum") + F.col("_c")).alias("sum"), "capped")
-        ended = open_.join(grown.select("start", F.slice("path", 1, F.size("path") - 1).alias("path")).distinct(), ["start", "path"], "left_anti")
-        rank = W.partitionBy("start")
-        grown = grown.withColumn("_r", F.row_number().over(rank.orderBy(F.desc("sum"), "path"))).withColumn("_n", F.count("*").over(rank))
-        grown = grown.where(F.col("_r") <= per_start).select("start", "path", "sum", (F.col("capped") | (F.col("_n") > per_start)).alias("capped"))
-        ended = ended.withColumn("complete", F.lit(True))
-        done = written(ended if done is None else done.unionByName(ended), "done")
-        open_ = written(grown, "paths")
+    ended = []
+    for _ in range(cutoff):
+        more = open_.withColumn("_t", F.element_at("path", -1)).join(step, F.col("_t") == F.col("src"), "left").withColumn("_on", F.coalesce(~F.array_contains("path", F.col("dst")), F.lit(False)))
+        grown = written(more.where("_on").select("start", F.concat("path", F.array("dst")).alias("path"), (F.col("sum") + F.col("_c")).alias("sum"), "capped"), "grown")
+        done = more.groupBy("start", "path", "sum", "capped").agg(F.max("_on").alias("_on")).where("NOT _on").drop("_on")
+        ended.append(written(done.withColumn("complete", F.lit(True)), "done"))
+        if per_start is not None:
+            rank = W.partitionBy("start")
+            grown = grown.withColumn("_r", F.row_number().over(rank.orderBy(F.desc("sum"), "path"))).withColumn("_n", F.count("*").over(rank))
+            grown = written(grown.where(F.col("_r") <= per_start).select("start", "path", "sum", (F.col("capped") | (F.col("_n") > per_start)).alias("capped")), "paths")
+        open_ = grown
         if open_.isEmpty():
             break
-    rest = open_.withColumn("complete", F.lit(False))
-    out = rest if done is None else done.unionByName(rest)
+    out = open_.withColumn("complete", F.lit(False))
+    for part in ended:
+        out = out.unionByName(part)
     return out.where(F.size("path") > 1).select("start", "path", F.round(F.col("sum") / (F.size("path") - 1), 6).alias("confidence"), "complete", "capped")
+
+
+def path_statistics(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of a path (position, v): vertices, first and last, steps that are no edge, and whether it is a path."""
+    steps = path.select(F.col("v").alias("src"), F.lead("v").over(W.orderBy("position")).alias("dst")).where("dst IS NOT NULL")
+    missing = steps.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").agg(F.count("*").alias("broken"))
+    ends = path.agg(F.count("*").alias("length"), F.min_by("v", "position").alias("first"), F.max_by("v", "position").alias("last"))
+    return ends.crossJoin(missing).select("length", "first", "last", "broken", (F.col("broken") == 0).alias("valid"))

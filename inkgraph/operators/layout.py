@@ -160,3 +160,33 @@ def crossings(edges: DataFrame, placed: DataFrame) -> DataFrame:
     higher = F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).over(order)
     crossed = digits.withColumn("higher", F.coalesce(higher, F.lit(0))).where("one = 1")
     return crossed.groupBy(*keys).agg(F.sum(F.col("n") * F.col("higher")).alias("crossings")).where("crossings > 0")
+
+
+def display_titles(blocks: DataFrame) -> DataFrame:
+    """(uid, display): the title, else the name, the content, the uid."""
+    return blocks.select("uid", F.coalesce("title", "name", "content", "uid").alias("display"))
+
+
+def blocks_with_tags(blocks: DataFrame, tags: DataFrame) -> DataFrame:
+    """Blocks with their tags (uid, tag) in order, joined by commas; empty without any."""
+    own = tags.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    return blocks.join(own, "uid", "left").na.fill("", ["tags"])
+
+
+def without_blocks(gone: DataFrame, blocks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, links) without the blocks that go and all links at either of their ends."""
+    g = gone.select("v")
+    return blocks.join(g, "v", "left_anti"), links.join(g.withColumnRenamed("v", "src"), "src", "left_anti").join(g.withColumnRenamed("v", "dst"), "dst", "left_anti")
+
+
+def with_pins(blocks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Blocks (v, level, is_pinned, scale) after a change table (v, pin, scale, level): pin or unpin, a scale with a pin, a level for blocks that are pinned; null leaves a value."""
+    c = changes.select("v", F.col("pin").alias("_pin"), F.col("scale").alias("_scale"), F.col("level").alias("_level"))
+    joined = blocks.join(c, "v", "left")
+    pinned = F.coalesce("_pin", "is_pinned")
+    return joined.select("v", F.when(pinned, F.coalesce("_level", "level")).otherwise(F.col("level")).alias("level"), pinned.alias("is_pinned"), F.when(pinned, F.coalesce("_scale", "scale")).otherwise(F.col("scale")).alias("scale"))
+
+
+def page_boxes(boxes: DataFrame) -> DataFrame:
+    """(uid, doc_id, page, bbox): the box as a struct, null where x is null."""
+    return boxes.select("uid", "doc_id", "page", F.when(F.col("x").isNotNull(), F.struct("x", "y", "width", "height")).alias("bbox"))

@@ -55,3 +55,48 @@ def linked_arguments(entities: DataFrame, arguments: DataFrame) -> DataFrame:
     roles = F.array(F.struct(F.lit("LINKED_AS_SUBJECT").alias("relation"), F.col("subject").alias("arg")), F.struct(F.lit("LINKED_AS_OBJECT").alias("relation"), F.col("object").alias("arg")))
     args = arguments.select(*KEYS, "verb", F.explode(roles).alias("r")).select(*KEYS, "verb", "r.*").where("arg IS NOT NULL")
     return entities.join(args, KEYS).where(F.lower("arg").contains(F.lower("entity"))).select(*KEYS, "entity", "verb", "relation").distinct()
+
+
+def clauses(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, verb, subtree, dependents): each verb with the positions of all tokens under it, itself included, and of its own dependents.
+
+    All tokens go up one edge at a time; as many rounds as the deepest tree has levels.
+    """
+    from inkgraph.plans.scratch import written
+
+    up = written(deps.where("head <> dependent").select(*KEYS, "dependent", "head"), "up")
+    front = up.select(*KEYS, "dependent", F.col("head").alias("verb"))
+    ways = front
+    for _ in range(1000):
+        front = written(front.join(up.select(*KEYS, F.col("dependent").alias("verb"), "head"), [*KEYS, "verb"]).where("head <> dependent").select(*KEYS, "dependent", F.col("head").alias("verb")), "front")
+        if front.isEmpty():
+            break
+        ways = ways.unionByName(front)
+    verbs = tokens.where("pos = 'VERB'").select(*KEYS, F.col("token_idx").alias("verb"))
+    under = ways.join(verbs, [*KEYS, "verb"], "left_semi").select(*KEYS, "verb", F.col("dependent").alias("i")).unionByName(verbs.withColumn("i", F.col("verb")))
+    trees = under.groupBy(*KEYS, "verb").agg(F.array_sort(F.collect_set("i")).alias("subtree"))
+    own = deps.where("head <> dependent").groupBy(*KEYS, F.col("head").alias("verb")).agg(F.array_sort(F.collect_set("dependent")).alias("dependents"))
+    return trees.join(own, [*KEYS, "verb"], "left").select(*KEYS, "verb", F.array_join("subtree", ",").alias("subtree"), F.coalesce(F.array_join("dependents", ","), F.lit("")).alias("dependents"))
+
+
+def noun_phrases(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, noun, phrase): a noun with its amod, compound, det and nummod children and its conj children with their cc, in token order."""
+    nouns = tokens.where("pos = 'NOUN'").select(*KEYS, F.col("token_idx").alias("noun"))
+    direct = deps.where("relation IN ('amod', 'compound', 'det', 'nummod', 'conj')").select(*KEYS, F.col("head").alias("noun"), F.col("dependent").alias("i"), "relation").join(nouns, [*KEYS, "noun"], "left_semi")
+    cc = direct.where("relation = 'conj'").select(*KEYS, "noun", F.col("i").alias("head")).join(deps.where("relation = 'cc'").select(*KEYS, "head", F.col("dependent").alias("i")), [*KEYS, "head"]).select(*KEYS, "noun", "i")
+    members = nouns.withColumn("i", F.col("noun")).unionByName(direct.select(*KEYS, "noun", "i")).unionByName(cc).distinct()
+    words = members.join(tokens.select(*KEYS, F.col("token_idx").alias("i"), "text"), [*KEYS, "i"])
+    return words.groupBy(*KEYS, "noun").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("w")).select(*KEYS, "noun", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("phrase"))
+
+
+def verb_phrase_texts(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, verb, phrase): the words of a verb phrase's span in order."""
+    spans = verb_phrases(tokens, deps)
+    places = spans.select(*KEYS, "verb", F.explode(F.sequence("start", F.col("end") - 1)).alias("token_idx"))
+    words = places.join(tokens.select(*KEYS, "token_idx", "text"), [*KEYS, "token_idx"])
+    return words.groupBy(*KEYS, "verb").agg(F.array_sort(F.collect_list(F.struct("token_idx", "text"))).alias("w")).select(*KEYS, "verb", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("phrase"))
+
+
+def entities_of_types(entities: DataFrame, types: list[str]) -> DataFrame:
+    """Entities of the given types, in any case."""
+    return entities.where(F.lower("entity_type").isin([t.lower() for t in types]))

@@ -54,29 +54,92 @@ def to_original(offsets: DataFrame, segments: DataFrame) -> DataFrame:
     return both.where("kind = 1").select("doc_id", F.col("at").alias("offset"), F.when(F.col("at") < 0, 0).otherwise(F.coalesce(F.col("lo") + F.col("at") - F.col("lf"), F.col("at"))).alias("original"))
 
 
-def chunks(documents: DataFrame, max_tokens: int = 200) -> DataFrame:
+def chunks(documents: DataFrame, max_tokens: int = 200, overlap: int = 0) -> DataFrame:
     """(doc_id, chunk_no, text, n_tokens, oversize): paragraphs packed in order up to max_tokens; a token is four characters.
 
     A paragraph over the limit is packed by its sentences; a sentence over the limit stays whole and is
-    marked. Pieces of one document are folded in order.
+    marked. overlap: a chunk begins with the longest run of last sentences of the one before that has at
+    most so many tokens. Pieces of one document are folded in order.
     """
     size = lambda s: F.ceil(F.length(s) / 4.0).cast("int")
     pieces = F.flatten(F.transform(F.filter(F.split("text", r"\n+"), lambda p: F.trim(p) != ""), lambda p: F.when(size(p) > max_tokens, F.split(p, r"(?<=[.!?])\s+")).otherwise(F.array(p))))
-    kind = "struct<done:array<string>,open:string>"
-    init = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")).cast(kind)
+    kind = "struct<done:array<string>,open:string,own:boolean>"
+    init = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(False).alias("own")).cast(kind)
+
+    def tail(s: Column) -> Column:
+        if not overlap:
+            return F.lit("")
+        parts = F.split(s, r"(?<=[.!?])\s+")
+        runs = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), " "))
+        return F.when(F.size(parts) > 1, F.coalesce(F.get(F.filter(runs, lambda r: size(r) <= overlap), F.lit(0)), F.lit(""))).otherwise("")
 
     def step(acc: Column, p: Column) -> Column:
         longer = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n"), p))
-        fits = (acc["open"] == "") | (size(longer) <= max_tokens)
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, longer).otherwise(p).alias("open"))
+        fits = ~acc["own"] | (size(longer) <= max_tokens)  # what a chunk has from the one before doesn't close it
+        kept = tail(acc["open"])
+        fresh = F.when(kept == "", p).otherwise(F.concat(kept, F.lit("\n"), p))
+        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, longer).otherwise(fresh).alias("open"), F.lit(True).alias("own"))
 
     folded = F.aggregate(pieces, init, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda s: s != ""))
     return documents.select("doc_id", F.posexplode(folded).alias("chunk_no", "text")).withColumn("n_tokens", size(F.col("text"))).withColumn("oversize", F.col("n_tokens") > max_tokens)
 
 
 def merged(chunk_rows: DataFrame) -> DataFrame:
-    """(doc_id, text): chunks joined again in order by an empty line."""
-    return chunk_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("c")).select("doc_id", F.array_join(F.transform("c", lambda x: x["text"]), "\n\n").alias("text"))
+    """(doc_id, text): chunks joined again in order by an empty line; front matter stays in the first alone."""
+    body = lambda x: F.when(x["chunk_no"] == 0, x["text"]).otherwise(F.regexp_replace(x["text"], r"(?s)\A---\n.*?\n---\n", ""))
+    return chunk_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("c")).select("doc_id", F.array_join(F.transform("c", body), "\n\n").alias("text"))
+
+
+def captions_only(text: Column) -> Column:
+    """HTML tables and figures reduced to the text of their caption; without one they go."""
+    inside = r"(?:(?!</\1>).)*?"
+    kept = F.regexp_replace(text, rf"(?is)<(table|figure)\b{inside}<(?:fig)?caption[^>]*>((?:(?!</\1>).)*?)</(?:fig)?caption>{inside}</\1>", "$2")
+    return F.regexp_replace(kept, r"(?is)<(table|figure)\b.*?</\1>", "")
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    """(doc_id, front, body, references): the `key: value` lines of leading front matter as a map, the text behind it, and the numbered lines `[n]: text` as a map."""
+    block = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1)
+    entries = lambda lines, pattern: F.map_from_entries(F.array_distinct(F.transform(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), F.trim(F.regexp_extract(x, pattern, 2)).alias("v")))))
+    first = lambda m: F.map_from_entries(F.map_entries(m))
+    lines = F.split("text", "\n")
+    return documents.select("doc_id", first(entries(F.split(block, "\n"), r"^([A-Za-z_][\w-]*):\s*(.*)$")).alias("front"), F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n", "").alias("body"), first(entries(lines, r"^\[(\d+)\]:?\s+(.*)$")).alias("references"))
+
+
+def spans_to_original(spans: DataFrame, segments: DataFrame) -> DataFrame:
+    """(doc_id, start, end, original_start, original_end): the start by its own place, the end by that of the last character, plus one."""
+    wanted = spans.select("doc_id", F.explode(F.array("start", F.col("end") - 1)).alias("offset")).distinct()
+    found = to_original(wanted, segments)
+    a, b = found.select("doc_id", F.col("offset").alias("start"), F.col("original").alias("original_start")), found.select("doc_id", (F.col("offset") + 1).alias("end"), (F.col("original") + 1).alias("original_end"))
+    return spans.join(a, ["doc_id", "start"]).join(b, ["doc_id", "end"]).select("doc_id", "start", "end", "original_start", "original_end")
+
+
+def pages_to_chunks(pages: DataFrame, size: int = 18_000, overlap: int = 1_000) -> DataFrame:
+    """(doc_id, chunk_no, first_page, last_page, text): the pages of a document (doc_id, page, text), one behind the other, in pieces of `size` characters that overlap."""
+    order = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, 0)
+    ends = pages.withColumn("e", F.sum(F.length("text")).over(order)).withColumn("s", F.col("e") - F.length("text"))
+    step = size - overlap
+    # each page names the pieces that it has a part of
+    low = F.greatest(F.lit(0), F.ceil((F.col("s") - size + 1) / F.lit(float(step)))).cast("int")
+    pieces = ends.where("e > s").withColumn("total", F.max("e").over(W.partitionBy("doc_id"))).withColumn("chunk_no", F.explode(F.sequence(low, F.floor((F.col("e") - 1) / F.lit(float(step))).cast("int"))))
+    begin = F.col("chunk_no") * step
+    own = pieces.where((F.col("chunk_no") == 0) | (begin + overlap < F.col("total"))).withColumn("part", F.substring("text", (F.greatest(begin - F.col("s"), F.lit(0)) + 1).cast("int"), (F.least(begin + size, F.col("e")) - F.greatest(begin, F.col("s"))).cast("int"))).where("part <> ''")
+    return own.groupBy("doc_id", "chunk_no").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "part"))), lambda x: x["part"]), "").alias("text"))
+
+
+def readiness(documents: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """(doc_id, <name> count for each of parts, missing, is_ready): how many rows of each table a document has, and which it lacks."""
+    out = documents.select("doc_id")
+    for name, rows in parts.items():
+        out = out.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
+    out = out.na.fill(0, list(parts))
+    missing = F.concat_ws(",", *(F.when(F.col(k) == 0, F.lit(k)) for k in parts))
+    return out.withColumn("missing", missing).withColumn("is_ready", F.col("missing") == "")
+
+
+def without_documents(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each table (with a doc_id) without the rows of the documents that go."""
+    return {name: rows.join(gone.select("doc_id"), "doc_id", "left_anti") for name, rows in tables.items()}
 
 
 def content_hashes(documents: DataFrame) -> DataFrame:

@@ -94,7 +94,13 @@ def pos_ngrams(tokens: DataFrame, size: int, most: int = 10) -> DataFrame:
 
 def statistics(tokens: DataFrame) -> DataFrame:
     """One row for each processor: tokens, documents, mean length, distinct forms and tags."""
-    return tokens.groupBy("processor").agg(F.count("*").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.round(F.avg(F.length("text")), 6).alias("mean_length"), F.countDistinct(F.lower("text")).alias("forms"), F.countDistinct("pos").alias("tags"))
+    # tokens are counted by form first; what is distinct is counted over forms and over documents, which are far fewer
+    forms = tokens.groupBy("processor", F.lower("text").alias("form"), "pos").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    by_form = forms.groupBy("processor", "form").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    counts = by_form.groupBy("processor").agg(F.sum("n").alias("tokens"), F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_length"), F.count("*").alias("forms"))
+    tags = forms.select("processor", "pos").distinct().groupBy("processor").agg(F.count("pos").alias("tags"))
+    documents = tokens.select("processor", "doc_id").distinct().groupBy("processor").agg(F.count("doc_id").alias("documents"))
+    return counts.join(tags, "processor").join(documents, "processor").select("processor", "tokens", "documents", "mean_length", "forms", "tags")
 
 
 def verb_forms(tokens: DataFrame) -> DataFrame:
@@ -137,3 +143,44 @@ def with_feature(tokens: DataFrame, feature: str, value: str) -> DataFrame:
 def types_by_category(tokens: DataFrame) -> DataFrame:
     """(category, types): tags of each part-of-speech category, sorted and unique."""
     return tokens.groupBy(pos_category(F.col("pos")).alias("category")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("types"))
+
+
+def tag_morph(tag: Column, pos: Column) -> Column:
+    """Features of a treebank tag and part of speech as `A=b|C=d`, null without any. Fixed values."""
+    noun, verb, adj, adv = pos.isin("NOUN", "PROPN"), pos == "VERB", pos == "ADJ", pos == "ADV"
+    return (
+        F.when(verb & (tag == "VB"), "VerbForm=Inf")
+        .when(verb & (tag == "VBD"), "Tense=Past|VerbForm=Fin")
+        .when(verb & (tag == "VBG"), "Aspect=Prog|Tense=Pres|VerbForm=Part")
+        .when(verb & (tag == "VBN"), "Aspect=Perf|Tense=Past|VerbForm=Part")
+        .when(verb & (tag == "VBP"), "Tense=Pres|VerbForm=Fin")
+        .when(verb & (tag == "VBZ"), "Number=Sing|Person=3|Tense=Pres|VerbForm=Fin")
+        .when(noun & tag.endswith("S"), "Number=Plur")
+        .when(noun, "Number=Sing")
+        .when((adj | adv) & tag.isin("JJR", "RBR"), "Degree=Cmp")
+        .when((adj | adv) & tag.isin("JJS", "RBS"), "Degree=Sup")
+        .when(adj, "Degree=Pos")
+        .when((pos == "PRON") & (tag == "PRP"), "PronType=Prs")
+        .when((pos == "PRON") & (tag == "WP"), "PronType=Int")
+    )
+
+
+def function_words(tokens: DataFrame) -> DataFrame:
+    return tokens.where(F.col("pos").isin(CLOSED_CLASS))
+
+
+def noun_forms(tokens: DataFrame) -> DataFrame:
+    """(number, n, forms): nouns by the number of their tag."""
+    number = F.when(F.col("tag").endswith("S"), "Plur").otherwise("Sing")
+    return tokens.where("pos IN ('NOUN', 'PROPN')").groupBy(number.alias("number")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("forms"))
+
+
+def feature_table(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, token_idx, text, pos, relation, head_text, children, lefts, rights) of tokens with a dependency."""
+    keys = ["doc_id", "sent_idx"]
+    real = deps.where("head <> dependent")
+    children = real.groupBy(*keys, F.col("head").alias("token_idx")).agg(F.count("*").alias("children"), F.count(F.when(F.col("dependent") < F.col("head"), 1)).alias("lefts"), F.count(F.when(F.col("dependent") > F.col("head"), 1)).alias("rights"))
+    heads = tokens.select(*keys, F.col("token_idx").alias("head"), F.col("text").alias("head_text"))
+    own = deps.select(*keys, F.col("dependent").alias("token_idx"), "head", "relation")
+    out = tokens.join(own, [*keys, "token_idx"]).join(heads, [*keys, "head"]).join(children, [*keys, "token_idx"], "left").na.fill(0, ["children", "lefts", "rights"])
+    return out.select(*keys, "token_idx", "text", "pos", "relation", "head_text", "children", "lefts", "rights")

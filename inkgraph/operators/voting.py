@@ -11,13 +11,20 @@ def cluster_tokens(tokens: DataFrame, iou: float = 0.5) -> DataFrame:
     """Adds cluster: the first free span of a document, by (start, end, processor), is a seed and takes all free spans that overlap it by iou or more.
 
     Spans that no overlap connects cannot meet in a cluster, so a document falls into islands first, by
-    a running maximum of ends. The order matters inside an island alone, where the spans are folded.
+    a running maximum of ends. Most islands are settled at once: all their spans overlap the first by iou
+    or more. The order matters inside the others alone, where the spans are folded.
     """
     order = W.partitionBy("doc_id").orderBy("start", "end", "processor", "idx")
     ahead = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = tokens.withColumn("_new", F.when(F.col("start") < ahead, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = F.array_sort(F.collect_list(F.struct("start", "end", "processor", "idx", "text", "pos", "confidence")))
-    grouped = islands.groupBy("doc_id", "_island").agg(spans.alias("s"))
+    island = W.partitionBy("doc_id", "_island")
+    seed = F.first(F.struct("start", "end")).over(island.orderBy("start", "end", "processor", "idx"))
+    share = F.greatest(F.lit(0), F.least("end", "_seed.end") - F.greatest("start", "_seed.start")) / (F.greatest("end", "_seed.end") - F.least("start", "_seed.start"))
+    islands = islands.withColumn("_seed", seed).withColumn("_least", F.min(share).over(island))
+    names = ["start", "end", "processor", "idx", "text", "pos", "confidence"]
+    settled = islands.where(F.col("_least") >= iou).select("doc_id", F.concat_ws(".", "_island", F.lit(0)).alias("cluster"), *names)
+    spans = F.array_sort(F.collect_list(F.struct(*names)))
+    grouped = islands.where(~F.coalesce(F.col("_least") >= iou, F.lit(False))).groupBy("doc_id", "_island").agg(spans.alias("s"))
     kind = "array<struct<start:bigint,end:bigint,cluster:int>>"
 
     def overlap(a: Column, b: Column) -> Column:
@@ -36,7 +43,8 @@ def cluster_tokens(tokens: DataFrame, iou: float = 0.5) -> DataFrame:
         return F.struct(F.when(joins, alive).otherwise(F.concat(alive, seed)).alias("open"), F.when(joins, acc["next"]).otherwise(acc["next"] + 1).alias("next"), F.concat(acc["out"], F.array(number)).alias("out"))
 
     folded = grouped.withColumn("c", F.aggregate("s", init, step, lambda acc: acc["out"]))
-    return folded.select("doc_id", "_island", F.explode(F.arrays_zip("s", "c")).alias("x")).select("doc_id", F.concat_ws(".", "_island", "x.c").alias("cluster"), "x.s.*")
+    rest = folded.select("doc_id", "_island", F.explode(F.arrays_zip("s", "c")).alias("x")).select("doc_id", F.concat_ws(".", "_island", "x.c").alias("cluster"), "x.s.*")
+    return settled.unionByName(rest)
 
 
 def vote_tokens(clustered: DataFrame, min_agreement: int = 2) -> DataFrame:
@@ -171,3 +179,45 @@ def overall_agreement(kinds: DataFrame) -> DataFrame:
     weight = F.when(F.col("kind") == "dependencies", 2.0).when(F.col("kind") == "entities", 1.5).otherwise(1.0)
     used = kinds.where("total > 0").withColumn("w", weight)
     return used.agg(F.round(F.coalesce(F.sum(F.col("w") * F.col("agreed") / F.col("total")) / F.sum("w"), F.lit(0.0)), 6).alias("agreement"))
+
+
+def trimmed_means(rows: DataFrame, keys: list[str], share: float = 0.1, value: str = "confidence") -> DataFrame:
+    """(keys, trimmed): the mean without the lowest and highest share of a group, counted down to whole rows."""
+    w = W.partitionBy(*keys)
+    placed = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    cut = F.floor(F.col("_n") * share)
+    return placed.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*keys).agg(F.round(F.avg(value), 6).alias("trimmed"))
+
+
+def cluster_entities(entities: DataFrame, iou: float = 0.5) -> DataFrame:
+    """Entities (doc_id, start, end, ...) with cluster: spans belong together where a chain of overlaps of iou or more joins them.
+
+    Overlaps are looked for inside islands of touching spans only. The cluster is named by its first span.
+    """
+    from inkgraph.operators.components import connected_components
+
+    order = W.partitionBy("doc_id").orderBy("start", "end")
+    ahead = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = entities.select("doc_id", "start", "end").distinct().withColumn("_new", F.when(F.col("start") < ahead, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    named = spans.withColumn("node", F.format_string("%s:%012d:%012d", F.col("doc_id").cast("string"), F.col("start").cast("long"), F.col("end").cast("long")))
+    b = named.select("doc_id", "_island", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("node").alias("node2"))
+    both = named.join(b, ["doc_id", "_island"]).where("node < node2")
+    share = F.greatest(F.lit(0), F.least("end", "e2") - F.greatest("start", "s2")) / (F.greatest("end", "e2") - F.least("start", "s2"))
+    classes = connected_components(both.where(share >= iou).select("node", "node2"), "node", "node2")
+    out = named.join(classes, "node", "left").select("doc_id", "start", "end", F.coalesce("component", "node").alias("cluster"))
+    return entities.join(out, ["doc_id", "start", "end"])
+
+
+def fan_out(documents: DataFrame, processors: dict) -> tuple[DataFrame | None, dict[str, str]]:
+    """(rows of all processors, errors by name): each processor is a function from documents to rows; one that can't be planned is left out and named."""
+    rows, failed = None, {}
+    for name, make in processors.items():
+        try:
+            part = make(documents)
+            part.schema  # noqa: B018
+        except Exception as error:  # a processor is a user's function
+            failed[name] = str(error).splitlines()[0][:200]
+            continue
+        part = part.withColumn("processor", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows, failed

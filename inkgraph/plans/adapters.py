@@ -6,6 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from inkgraph.operators import chains, tokens
+from inkgraph.plans.scratch import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,3 +90,71 @@ CITATIONS = """c AS (
     SELECT CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'D' || (doc_id // 2) END, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'D' || doc_id END FROM documents)"""
 
 CLEAN = CITATIONS + ", k AS (SELECT DISTINCT src, dst FROM c WHERE trim(src) <> '' AND trim(dst) <> '' AND src <> dst)"
+
+
+TAGS = """CASE WHEN NOT regexp_matches(w, '[\\p{L}\\p{N}]') THEN '.' WHEN regexp_matches(w, '^\\p{N}+$') THEN 'CD' WHEN lower(w) IN ('the','a','an','this','that') THEN 'DT' WHEN lower(w) IN ('and','or') THEN 'CC'
+    WHEN lower(w) IN ('of','to','in','for','with','on','by','from','at','as') THEN 'IN' WHEN lower(w) LIKE '%ing' THEN 'VBG' WHEN lower(w) LIKE '%ed' THEN 'VBD' WHEN lower(w) LIKE '%ly' THEN 'RB' WHEN lower(w) LIKE '%ble' THEN 'JJ' WHEN lower(w) LIKE '%es' THEN 'NNS' ELSE 'NN' END"""
+POS = "CASE tag WHEN 'NN' THEN 'NOUN' WHEN 'NNS' THEN 'NOUN' WHEN 'VBG' THEN 'VERB' WHEN 'VBD' THEN 'VERB' WHEN 'JJ' THEN 'ADJ' WHEN 'RB' THEN 'ADV' WHEN 'DT' THEN 'DET' WHEN 'IN' THEN 'ADP' WHEN 'CC' THEN 'CCONJ' WHEN 'CD' THEN 'NUM' WHEN '.' THEN 'PUNCT' ELSE 'X' END"
+#: Words that the rule tagger takes for auxiliaries in sentences.
+AUXILIARY = ["is", "are", "was", "were", "be", "been", "has", "have", "had", "will", "can", "may"]
+
+
+def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_idx, token_idx, idx, text, tag, pos, start, end): words of documents with their sentence; a gap with . ! ? and white space ends one."""
+    word = r"[\p{L}\p{N}]+"
+    found, gaps = F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1)), F.split("text", word, -1)
+    pairs = F.transform(F.arrays_zip(found.alias("t"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x: F.struct(x["t"].alias("text"), (F.length(x["g"]) + F.length(x["t"])).alias("n"), F.when(x["g"].rlike(r"[.!?]\s"), 1).otherwise(0).alias("new")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairs).alias("idx", "x")).select("doc_id", "idx", "x.*")
+    order = W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum("n").over(order)).withColumn("sent_idx", F.sum("new").over(order)).withColumn("token_idx", F.row_number().over(W.partitionBy("doc_id", "sent_idx").orderBy("idx")) - 1)
+    tagged = tokens.tagged(rows.withColumn("processor", F.lit("word")))
+    pos = F.when(F.lower("text").isin(AUXILIARY), "AUX").otherwise(F.col("pos"))
+    return tagged.select("doc_id", "sent_idx", "token_idx", "idx", "text", "tag", pos.alias("pos"), (F.col("end") - F.length("text")).alias("start"), "end")
+
+
+SW = f"""sw0 AS (SELECT doc_id, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS g, generate_subscripts(ws, 1) - 1 AS idx FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') AS gs FROM documents)),
+    sw1 AS (SELECT *, {TAGS} AS tag, CAST(sum(length(g) + length(w)) OVER o AS BIGINT) AS e, CAST(sum(CASE WHEN regexp_matches(g, '[.!?]\\s') THEN 1 ELSE 0 END) OVER o AS BIGINT) AS sent_idx FROM sw0 WINDOW o AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+    sw AS (SELECT doc_id, sent_idx, CAST(row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY idx) - 1 AS INTEGER) AS token_idx, CAST(idx AS INTEGER) AS idx, w AS text, tag, CASE WHEN lower(w) IN ({", ".join(f"'{x}'" for x in AUXILIARY)}) THEN 'AUX' ELSE {POS} END AS pos, e - length(w) AS start, e AS "end" FROM sw1)"""
+
+
+def sentence_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_idx, head, dependent, relation) by rules: the first verb is the root, and what stands before and behind a word names its relation."""
+    t = sentence_words(spark, sf_dir)
+    whole, order = W.partitionBy("doc_id", "sent_idx"), W.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
+    at, pos = F.col("token_idx"), F.col("pos")
+    rows = t.withColumn("root", F.min(F.when(pos == "VERB", at)).over(whole)).withColumn("pl", F.lag(F.lower("text")).over(order)).withColumn("pp", F.lag("pos").over(order)).withColumn("np", F.lead("pos").over(order)).withColumn("nn", F.lead("pos", 2).over(order)).where("root IS NOT NULL")
+    last = (F.col("np") == "NOUN") & (F.coalesce(F.col("nn"), F.lit("")) != "NOUN")
+    relation = (
+        F.when(at == F.col("root"), "root").when((pos == "VERB") & (F.col("pl") == "to"), "xcomp").when((pos == "VERB") & (F.col("tag") == "VBG"), "advcl").when(pos == "VERB", "conj").when(pos == "AUX", "aux")
+        .when((pos == "NOUN") & (F.col("pp") == "ADP"), "obl").when((pos == "NOUN") & last, "compound").when((pos == "NOUN") & (at < F.col("root")), "nsubj").when(pos == "NOUN", "obj")
+        .when(pos == "ADJ", "amod").when(pos == "DET", "det").when(pos == "ADP", "case").when(pos == "CCONJ", "cc").when(pos == "NUM", "nummod").when(pos == "ADV", "advmod").otherwise("dep")
+    )
+    out = rows.withColumn("relation", relation)
+    head = F.when(F.col("relation").isin("amod", "det", "case", "cc", "nummod", "compound") & (F.col("np") == "NOUN"), at + 1).otherwise(F.col("root"))
+    return out.select("doc_id", "sent_idx", head.alias("head"), at.alias("dependent"), "relation")
+
+
+SD = """sd0 AS (SELECT *, min(CASE WHEN pos = 'VERB' THEN token_idx END) OVER (PARTITION BY doc_id, sent_idx) AS root, lag(lower(text)) OVER o AS pl, lag(pos) OVER o AS pp, lead(pos) OVER o AS np, lead(pos, 2) OVER o AS nn FROM sw WINDOW o AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)),
+    sd1 AS (SELECT *, CASE WHEN token_idx = root THEN 'root' WHEN pos = 'VERB' AND pl = 'to' THEN 'xcomp' WHEN pos = 'VERB' AND tag = 'VBG' THEN 'advcl' WHEN pos = 'VERB' THEN 'conj' WHEN pos = 'AUX' THEN 'aux' WHEN pos = 'NOUN' AND pp = 'ADP' THEN 'obl' WHEN pos = 'NOUN' AND np = 'NOUN' AND coalesce(nn, '') <> 'NOUN' THEN 'compound' WHEN pos = 'NOUN' AND token_idx < root THEN 'nsubj' WHEN pos = 'NOUN' THEN 'obj'
+        WHEN pos = 'ADJ' THEN 'amod' WHEN pos = 'DET' THEN 'det' WHEN pos = 'ADP' THEN 'case' WHEN pos = 'CCONJ' THEN 'cc' WHEN pos = 'NUM' THEN 'nummod' WHEN pos = 'ADV' THEN 'advmod' ELSE 'dep' END AS relation FROM sd0 WHERE root IS NOT NULL),
+    sd AS (SELECT doc_id, sent_idx, CASE WHEN relation IN ('amod','det','case','cc','nummod','compound') AND np = 'NOUN' THEN token_idx + 1 ELSE root END AS head, token_idx AS dependent, relation, text, pos, idx FROM sd1)"""
+
+
+def dependencies_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, relation, confidence, marker): parts as actions, each followed by the part of the next line of its order."""
+    li = table(spark, sf_dir, "lineitem")
+    after = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = li.select(F.col("l_partkey").cast("string").alias("src"), after.cast("string").alias("dst"), F.when(F.col("l_linenumber") == 1, "CAUSES").when(F.col("l_linenumber") == 2, "PURPOSE").otherwise("BEFORE").alias("relation"), F.round(F.col("l_quantity") / 50, 4).alias("confidence"), F.col("l_returnflag").alias("marker"))
+    return rows.where("dst IS NOT NULL AND src <> dst")
+
+
+DEPS = "d AS (SELECT * FROM (SELECT CAST(l_partkey AS VARCHAR) AS src, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS VARCHAR) AS dst, CASE l_linenumber WHEN 1 THEN 'CAUSES' WHEN 2 THEN 'PURPOSE' ELSE 'BEFORE' END AS relation, round(l_quantity / 50, 4) AS confidence, l_returnflag AS marker FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"
+
+
+def resolved_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sure ones of them, one for each pair, from smaller to larger ids: an acyclic graph."""
+    found = chains.resolve_conflicts(dependencies_of_parts(spark, sf_dir), {"CAUSES": 3, "PURPOSE": 2, "BEFORE": 1})
+    return written(found.where("confidence > 0.9 AND src < dst"), "deps")
+
+
+RESOLVED = DEPS + ", q AS (SELECT *, CASE relation WHEN 'CAUSES' THEN 3 WHEN 'PURPOSE' THEN 2 ELSE 1 END AS p FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY p DESC, confidence DESC, relation DESC) AS r FROM q), x AS (SELECT src, dst, relation, confidence FROM b WHERE r = 1 AND confidence > 0.9 AND src < dst)"

@@ -3,77 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from inkgraph.operators import chains, syntax, tokens, voting
-from inkgraph.plans.adapters import table
-from inkgraph.plans.scratch import written
-from inkgraph.plans.text_queries import DEPS, SENT, _deps, _docs, _sent_tokens, _words
+from inkgraph.plans.adapters import SD, SW, sentence_deps, sentence_words, table
+from inkgraph.plans.text_queries import RATINGS, WORDS, _docs, _ratings, _words
 
 
-def _sentence_deps(s, d):
-    """Rule dependencies: the first verb is the root, a noun before it its subject, one behind it its object, other words hang on the word before."""
-    t = _sent_tokens(s, d).select("doc_id", "sent_idx", "token_idx", "text", "pos")
-    w = W.partitionBy("doc_id", "sent_idx")
-    root = F.min(F.when(F.col("pos") == "VERB", F.col("token_idx"))).over(w)
-    at = F.col("token_idx")
-    rows = t.withColumn("root", root).where("root IS NOT NULL")
-    relation = F.when(at == F.col("root"), "root").when((F.col("pos") == "NOUN") & (at < F.col("root")), "nsubj").when((F.col("pos") == "NOUN") & (at > F.col("root")), "obj").when(F.col("pos") == "VERB", "conj").otherwise("dep")
-    head = F.when(at == F.col("root"), at).when(F.col("pos").isin("NOUN", "VERB"), F.col("root")).otherwise(F.greatest(at - 1, F.lit(0)))
-    return t, rows.select("doc_id", "sent_idx", head.alias("head"), at.alias("dependent"), relation.alias("relation"))
-
-
-SDEPS = SENT + """, rt AS (SELECT *, min(CASE WHEN pos = 'VERB' THEN token_idx END) OVER (PARTITION BY doc_id, sent_idx) AS root FROM s),
-    dp AS (SELECT doc_id, sent_idx, CASE WHEN token_idx = root THEN token_idx WHEN pos IN ('NOUN','VERB') THEN root ELSE greatest(token_idx - 1, 0) END AS head, token_idx AS dependent,
-    CASE WHEN token_idx = root THEN 'root' WHEN pos = 'NOUN' AND token_idx < root THEN 'nsubj' WHEN pos = 'NOUN' AND token_idx > root THEN 'obj' WHEN pos = 'VERB' THEN 'conj' ELSE 'dep' END AS relation, text FROM rt WHERE root IS NOT NULL)"""
+SDEPS = f"{SW}, {SD}, dp AS (SELECT * FROM sd)"
 
 
 def _voted(s, d):
     return voting.cluster_tokens(tokens.tagged(tokens.tokenize(_docs(s, d))))
 
 
-def _resolved(s, d):
-    return written(chains.resolve_conflicts(_deps(s, d), {"CAUSES": 3, "PURPOSE": 2, "BEFORE": 1}).where("confidence > 0.9 AND src < dst"), "deps")
-
-
-RESOLVED = DEPS + ", q AS (SELECT *, CASE relation WHEN 'CAUSES' THEN 3 WHEN 'PURPOSE' THEN 2 ELSE 1 END AS p FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY p DESC, confidence DESC, relation DESC) AS r FROM q), x AS (SELECT src, dst, relation FROM b WHERE r = 1 AND confidence > 0.9 AND src < dst)"
-
-
-def _patterns(s, d):
-    goals = table(s, d, "part").where("p_partkey < 5").select(F.col("p_partkey").cast("string").alias("id"))
-    e = _resolved(s, d)
-    return chains.success_patterns(e, goals)
+def _pairs_of_raters(s, d):
+    """(kind, agreed, total) of each two raters, in the places of tokens, dependencies and entities."""
+    r = _ratings(s, d)
+    frames = None
+    for kind, a, b in (("tokens", "quality", "civil"), ("dependencies", "quality", "long"), ("entities", "civil", "long")):
+        x, y = r.where(F.col("rater") == a).select("item", F.col("category").alias("x")), r.where(F.col("rater") == b).select("item", F.col("category").alias("y"))
+        part = x.join(y, "item").agg(F.count(F.when(F.col("x") == F.col("y"), 1)).alias("agreed"), F.count("*").alias("total")).withColumn("kind", F.lit(kind))
+        frames = part if frames is None else frames.unionByName(part)
+    return frames
 
 
 QUERIES = {
-    "syntax_roots": lambda s, d: syntax.roots(_sentence_deps(s, d)[1]).groupBy("doc_id").agg(F.count("*").alias("n")),
-    "syntax_dependents": lambda s, d: syntax.dependents(_sentence_deps(s, d)[1]).groupBy("doc_id").agg(F.count("*").alias("heads"), F.sum(F.size("dependents")).alias("dependents")),
-    "syntax_svo": lambda s, d: syntax.subject_verb_object(*_sentence_deps(s, d)),
-    "syntax_patterns": lambda s, d: syntax.sentences_with(_sentence_deps(s, d)[1], ["nsubj", "obj", "conj"]),
-    "syntax_verb_phrases": lambda s, d: syntax.verb_phrases(*_sentence_deps(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")),
-    "syntax_relations": lambda s, d: syntax.relation_distribution(_sentence_deps(s, d)[1]),
-    "chains_direct_links": lambda s, d: syntax.direct_verb_links(*_sentence_deps(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")),
-    "actions_linked_arguments": lambda s, d: syntax.linked_arguments(_sentence_deps(s, d)[0].where("pos = 'NOUN' AND length(text) > 8").select("doc_id", "sent_idx", F.col("text").alias("entity")), syntax.subject_verb_object(*_sentence_deps(s, d))).groupBy("relation").agg(F.count("*").alias("n")),
+    "syntax_roots": lambda s, d: syntax.roots(sentence_deps(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")),
+    "syntax_dependents": lambda s, d: syntax.dependents(sentence_deps(s, d)).groupBy("doc_id").agg(F.count("*").alias("heads"), F.sum(F.size("dependents")).alias("dependents")),
+    "syntax_svo": lambda s, d: syntax.subject_verb_object(sentence_words(s, d), sentence_deps(s, d)),
+    "syntax_patterns": lambda s, d: syntax.sentences_with(sentence_deps(s, d), ["nsubj", "obj", "conj"]),
+    "syntax_verb_phrases": lambda s, d: syntax.verb_phrases(sentence_words(s, d), sentence_deps(s, d)),
+    "syntax_relations": lambda s, d: syntax.relation_distribution(sentence_deps(s, d)),
+    "chains_direct_links": lambda s, d: syntax.direct_verb_links(sentence_words(s, d), sentence_deps(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")),
     "tokens_morph": lambda s, d: _words(s, d).groupBy(tokens.guessed_morph(F.col("text"), F.col("pos")).alias("morph")).agg(F.count("*").alias("n")),
     "tokens_with_feature": lambda s, d: tokens.with_feature(_words(s, d).withColumn("morph", tokens.parsed_morph(tokens.guessed_morph(F.col("text"), F.col("pos")))), "Tense", "Past").groupBy("doc_id").agg(F.count("*").alias("n")),
     "tokens_types": lambda s, d: tokens.types_by_category(_words(s, d)),
     "vote_merge_tokens": lambda s, d: voting.merge_tokens(_voted(s, d)).groupBy("sources", "pos").agg(F.count("*").alias("n")),
     "vote_entities": lambda s, d: voting.vote_entities(tokens.tagged(tokens.tokenize(_docs(s, d))).where("length(text) > 8").withColumnRenamed("pos", "entity_type")).groupBy("entity_type", "votes").agg(F.count("*").alias("n")),
-    "vote_overall": lambda s, d: voting.overall_agreement(table(s, d, "labels").agg(F.count(F.when(F.col("quality") == 1 - F.col("toxic"), 1)).alias("agreed"), F.count("*").alias("total")).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), (F.col("agreed") if k == "tokens" else F.floor(F.col("agreed") / 2)).alias("agreed"), (F.lit(0).cast("long") if k == "entities" else F.col("total")).alias("total")) for k in ("tokens", "dependencies", "entities")))).alias("x")).select("x.*")),
+    "vote_overall": lambda s, d: voting.overall_agreement(_pairs_of_raters(s, d)),
     "chains_upsert": lambda s, d: chains.upsert_sequences(table(s, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_discount").alias("confidence")), table(s, d, "lineitem").where("l_linenumber >= 2 AND l_linenumber <= 3").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_tax").alias("confidence"))),
-    "actions_success_patterns": _patterns,
-    "actions_causal_listing": lambda s, d: chains.causal_listing(_resolved(s, d), table(s, d, "part").where("p_partkey < 50").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("object"))),
 }
 
 ORACLE_SQL = {
+    "vote_overall": f"WITH {RATINGS}, p AS (SELECT x.rater || '-' || y.rater AS k, avg(CASE WHEN x.category = y.category THEN 1.0 ELSE 0.0 END) AS a FROM r x JOIN r y USING (item) WHERE (x.rater, y.rater) IN (('quality','civil'), ('quality','long'), ('civil','long')) GROUP BY 1) SELECT round(sum(a * CASE k WHEN 'quality-civil' THEN 1 WHEN 'quality-long' THEN 2 ELSE 1.5 END) / 4.5, 6)::DOUBLE AS agreement FROM p",
+    "tokens_morph": f"WITH {WORDS} SELECT CASE WHEN pos = 'VERB' AND lower(text) LIKE '%ing' THEN 'Tense=Pres|VerbForm=Part' WHEN pos = 'VERB' AND lower(text) LIKE '%ed' THEN 'Tense=Past|VerbForm=Fin' WHEN pos = 'NOUN' AND lower(text) LIKE '%s' THEN 'Number=Plur' WHEN pos = 'NOUN' THEN 'Number=Sing' WHEN pos = 'ADJ' AND lower(text) LIKE '%est' THEN 'Degree=Sup' END AS morph, count(*) AS n FROM t GROUP BY 1",
+    "tokens_with_feature": f"WITH {WORDS} SELECT doc_id, count(*) AS n FROM t WHERE tag = 'VBD' GROUP BY 1",
+    "tokens_types": f"WITH {WORDS}, c AS (SELECT DISTINCT CASE WHEN pos IN ('ADJ','ADV','NOUN','VERB') THEN 'open' WHEN pos IN ('ADP','CCONJ','DET','NUM') THEN 'closed' ELSE 'other' END AS category, tag FROM t) SELECT category, string_agg(tag, ',' ORDER BY tag) AS types FROM c GROUP BY 1",
     "syntax_roots": f"WITH {SDEPS} SELECT doc_id, count(*) AS n FROM dp WHERE relation = 'root' GROUP BY 1",
     "syntax_dependents": f"WITH {SDEPS} SELECT doc_id, count(DISTINCT (sent_idx, head)) AS heads, count(DISTINCT (sent_idx, head, dependent)) AS dependents FROM dp WHERE relation <> 'root' GROUP BY 1",
-    "syntax_svo": f"WITH {SDEPS}, v AS (SELECT doc_id, sent_idx, dependent AS i, text AS verb FROM dp WHERE relation = 'root') SELECT doc_id, CAST(sent_idx AS INTEGER) AS sent_idx, verb, (SELECT arg_max(text, dependent) FROM dp WHERE dp.doc_id = v.doc_id AND dp.sent_idx = v.sent_idx AND relation = 'nsubj') AS subject, (SELECT arg_max(text, dependent) FROM dp WHERE dp.doc_id = v.doc_id AND dp.sent_idx = v.sent_idx AND relation = 'obj') AS object FROM v",
-    "syntax_patterns": f"WITH {SDEPS} SELECT doc_id, CAST(sent_idx AS INTEGER) AS sent_idx, count(*) AS pairs FROM dp WHERE relation IN ('nsubj','obj','conj') GROUP BY 1, 2 HAVING count(DISTINCT relation) = 3",
-    "syntax_verb_phrases": f"WITH {SENT} SELECT doc_id, count(*) AS n FROM s WHERE pos = 'VERB' GROUP BY 1",
+    "syntax_svo": f"WITH {SDEPS}, v AS (SELECT doc_id, sent_idx, dependent AS i, text AS verb FROM dp WHERE relation = 'root') SELECT doc_id, sent_idx, verb, (SELECT arg_max(text, dependent) FROM dp WHERE dp.doc_id = v.doc_id AND dp.sent_idx = v.sent_idx AND relation = 'nsubj') AS subject, (SELECT arg_max(text, dependent) FROM dp WHERE dp.doc_id = v.doc_id AND dp.sent_idx = v.sent_idx AND relation = 'obj') AS object FROM v",
+    "syntax_patterns": f"WITH {SDEPS} SELECT doc_id, sent_idx, count(*) AS pairs FROM dp WHERE relation IN ('nsubj','obj','conj') GROUP BY 1, 2 HAVING count(DISTINCT relation) = 3",
+    "syntax_verb_phrases": f"WITH {SDEPS} SELECT doc_id, sent_idx, verb, CAST(min(i) AS INTEGER) AS start, CAST(max(i) + 1 AS INTEGER) AS \"end\" FROM (SELECT doc_id, sent_idx, token_idx AS verb, token_idx AS i FROM sw WHERE pos = 'VERB' UNION ALL SELECT doc_id, sent_idx, head, dependent FROM dp WHERE relation = 'aux') GROUP BY 1, 2, 3",
     "syntax_relations": f"WITH {SDEPS} SELECT relation, count(*) AS n FROM dp GROUP BY 1 ORDER BY n DESC, relation LIMIT 15",
-    "chains_direct_links": f"WITH {SDEPS} SELECT doc_id, count(DISTINCT (sent_idx, least(head, dependent), greatest(head, dependent))) AS n FROM dp WHERE relation = 'conj' GROUP BY 1",
+    "chains_direct_links": f"WITH {SDEPS} SELECT doc_id, count(DISTINCT (sent_idx, least(head, dependent), greatest(head, dependent))) AS n FROM dp WHERE relation IN ('conj','xcomp','advcl') GROUP BY 1",
     "chains_upsert": "WITH o AS (SELECT l_orderkey AS a, l_linenumber AS b, l_discount AS o FROM lineitem WHERE l_linenumber <= 2), w AS (SELECT l_orderkey AS a, l_linenumber AS b, l_tax AS n FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3) SELECT a, b, coalesce(n, o) AS confidence, CASE WHEN o IS NULL THEN 'created' WHEN n IS NOT NULL THEN 'updated' ELSE 'kept' END AS change FROM o FULL JOIN w USING (a, b)",
-    "actions_success_patterns": f"WITH RECURSIVE {RESOLVED}, g AS (SELECT CAST(p_partkey AS VARCHAR) AS v FROM part WHERE p_partkey < 5), r AS (SELECT v AS goal, v, 0 AS hops FROM g UNION SELECT r.goal, x.src, r.hops + 1 FROM r JOIN x ON x.dst = r.v), h AS (SELECT goal, v, min(hops) AS hops FROM r GROUP BY 1, 2), z AS (SELECT goal, hops, count(*) AS n FROM h GROUP BY 1, 2), y AS (SELECT goal, CAST(sum(n) AS BIGINT) AS size, max(hops) AS depth, max(n) AS width FROM z GROUP BY 1), c AS (SELECT a.goal, count(*) AS causal FROM x JOIN h a ON a.v = x.src JOIN h b ON b.v = x.dst AND a.goal = b.goal WHERE relation IN ('CAUSES', 'ENABLES') GROUP BY 1) SELECT goal, size, depth, width, coalesce(causal, 0) AS causal, size + 2 * depth + 3 * coalesce(causal, 0) AS score FROM y LEFT JOIN c USING (goal)",
-    "actions_causal_listing": f"WITH {RESOLVED} SELECT relation, a.p_type AS source_text, b.p_type AS target_text FROM x JOIN part a ON CAST(a.p_partkey AS VARCHAR) = src JOIN part b ON CAST(b.p_partkey AS VARCHAR) = dst WHERE relation = 'CAUSES'",
 }

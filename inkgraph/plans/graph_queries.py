@@ -49,14 +49,17 @@ def _cyclic(spark, d):
     return rows.unionByName(back).distinct().withColumn("confidence", F.round(F.length(F.concat("src", "dst")) / 20.0 + F.pmod(F.xxhash64("src", "dst"), F.lit(100)) / 1000.0, 6))
 
 
-def _broken(spark, d):
-    return graph.is_dag(graph.assign_layers(graph.break_cycles(_cyclic(spark, d))))
+def _same_source(spark, d):
+    """Citations inside one source: a graph that falls apart."""
+    docs = ad.table(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("v"), "source")
+    rows = graph.clean_edges(ad.citations(spark, d)).join(docs.toDF("src", "a"), "src").join(docs.toDF("dst", "b"), "dst")
+    return rows.where("a = b").select("src", "dst")
 
 
 QUERIES = {
     "graph_cyclic_core": lambda s, d: graph.cyclic_core(_cyclic(s, d).select("src", "dst")),
-    "graph_break_cycles": _broken,
-    "graph_simple_paths": lambda s, d: graph.simple_paths(graph.clean_edges(ad.citations(s, d)).withColumn("confidence", F.lit(0.5)), ad.table(s, d, "documents").where("doc_id BETWEEN 20 AND 40").select(F.concat(F.lit("D"), "doc_id").alias("v"))).select("start", F.array_join("path", ">").alias("path"), "confidence"),
+    "graph_break_cycles": lambda s, d: graph.break_cycles(_cyclic(s, d)).select("src", "dst"),
+    "graph_simple_paths": lambda s, d: graph.simple_paths(graph.clean_edges(ad.citations(s, d)).withColumn("confidence", F.lit(0.5)), ad.table(s, d, "documents").where("doc_id > 0 AND doc_id % 50 = 0").select(F.concat(F.lit("D"), "doc_id").alias("v"))).select("start", F.array_join("path", ">").alias("path"), "confidence", "complete", "capped"),
     "layout_crossings": _both(lambda e, p: layout.crossings(e, p)),
     "layout_barycentre": _both(lambda e, p: layout.barycentre(e, p).groupBy("layer").agg(F.count("*").alias("n"), F.min("level").alias("low"), F.max("level").alias("high"))),
     "profile_totals": lambda s, d: profile.totals(ad.articles(s, d), ad.citations(s, d)),
@@ -79,14 +82,14 @@ QUERIES = {
     "ingest_resume": lambda s, d: profile.resume(ad.table(s, d, "pages").select(F.col("url").alias("file")), ad.table(s, d, "pages").where("page_id % 2 = 0").select(F.col("url").alias("file"))),
     "graph_clean_edges": lambda s, d: graph.clean_edges(ad.citations(s, d)),
     "graph_degrees": lambda s, d: graph.degrees(ad.dag_edges(s, d)),
-    "graph_component_sizes": lambda s, d: graph.component_sizes(graph.clean_edges(ad.citations(s, d)).where("src LIKE '%3' OR dst LIKE '%1'")),
+    "graph_component_sizes": lambda s, d: graph.component_sizes(_same_source(s, d)),
     "graph_statistics": lambda s, d: graph.graph_statistics(ad.dag_edges(s, d)),
-    "graph_isolated": lambda s, d: graph.isolated(ad.articles(s, d).select(F.col("uid").alias("v")), graph.clean_edges(ad.citations(s, d)).where("src LIKE '%3' OR dst LIKE '%1'")),
+    "graph_isolated": lambda s, d: graph.isolated(ad.articles(s, d).select(F.col("uid").alias("v")), _same_source(s, d)),
     "graph_topological_order": lambda s, d: graph.topological_order(_layers(s, d)),
     "graph_order_violations": _order_check,
     "graph_is_dag": lambda s, d: graph.is_dag(_layers(s, d)),
     "graph_longest_path": _both(lambda e, p: graph.longest_path(e, p)),
-    "graph_ancestors": lambda s, d: graph.ancestors(written(ad.dag_edges(s, d), "edges"), ad.table(s, d, "part").where("p_size = 50").select(F.concat(F.lit("P"), "p_partkey").alias("v")).orderBy("v").limit(5)).select(F.col("start").alias("goal"), "v", "hops"),
+    "graph_ancestors": lambda s, d: graph.ancestors(written(ad.dag_edges(s, d), "edges"), ad.table(s, d, "part").where("p_size = 50").select(F.concat(F.lit("P"), "p_partkey").alias("v"))).select(F.col("start").alias("goal"), "v", "hops"),
     "graph_descendants": lambda s, d: graph.reachable(written(ad.dag_edges(s, d), "edges"), ad.table(s, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("v"))),
     "graph_would_close_cycle": lambda s, d: graph.would_close_cycle(written(graph.clean_edges(ad.citations(s, d)), "edges"), ad.table(s, d, "documents").where("doc_id > 0").select(F.concat(F.lit("D"), "doc_id").alias("src"), F.concat(F.lit("D"), F.floor(F.col("doc_id") / 4)).alias("dst"))),
     "graph_merge_duplicates": lambda s, d: graph.merge_duplicate_vertices(ad.table(s, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("id"), F.upper("lang").alias("subject"), F.col("source").alias("verb"), F.when(F.col("doc_id") % 2 == 0, F.lit(" x")).alias("object")), graph.clean_edges(ad.citations(s, d)).select("src", "dst", F.lit("NEXT").alias("relation"), (F.length("dst") / 10.0).alias("confidence"))),
@@ -111,8 +114,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "graph_break_cycles": "SELECT true AS is_dag, CAST(0 AS BIGINT) AS cyclic_upstream",
-    "graph_simple_paths": f"WITH RECURSIVE {CLEAN}, r AS (SELECT 'D' || doc_id AS start, ['D' || doc_id] AS path FROM documents WHERE doc_id BETWEEN 20 AND 40 UNION ALL SELECT r.start, list_append(r.path, k.dst) FROM r JOIN k ON k.src = r.path[-1] WHERE NOT list_contains(r.path, k.dst)) SELECT start, array_to_string(path, '>') AS path, 0.5::DOUBLE AS confidence FROM r WHERE len(path) > 1 AND path[-1] NOT IN (SELECT src FROM k)",
+    "graph_simple_paths": f"WITH RECURSIVE {CLEAN}, r AS (SELECT 'D' || doc_id AS start, ['D' || doc_id] AS path FROM documents WHERE doc_id > 0 AND doc_id % 50 = 0 UNION ALL SELECT r.start, list_append(r.path, k.dst) FROM r JOIN k ON k.src = r.path[-1] WHERE NOT list_contains(r.path, k.dst)) SELECT start, array_to_string(path, '>') AS path, 0.5::DOUBLE AS confidence, true AS complete, false AS capped FROM r WHERE len(path) > 1 AND path[-1] NOT IN (SELECT src FROM k)",
     "layout_crossings": f"WITH RECURSIVE {PLACED}, c AS (SELECT a.layer AS src_layer, b.layer AS dst_layer, a.level AS p, b.level AS q FROM e JOIN p a ON a.v = e.src JOIN p b ON b.v = e.dst) SELECT x.src_layer, x.dst_layer, count(*) AS crossings FROM c x JOIN c y USING (src_layer, dst_layer) WHERE x.p < y.p AND x.q > y.q GROUP BY 1, 2",
     "layout_barycentre": f"WITH RECURSIVE {LAYERS} SELECT layer, count(*) AS n, CAST(0 AS INTEGER) AS low, CAST(count(*) - 1 AS INTEGER) AS high FROM l GROUP BY 1",
     "profile_totals": f"WITH {ARTICLES}, {CITATIONS} SELECT (SELECT count(*) FROM a) AS articles, (SELECT count(*) FROM c) AS links",
@@ -135,14 +137,14 @@ ORACLE_SQL = {
     "ingest_resume": "SELECT url AS file FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
     "graph_clean_edges": f"WITH {CLEAN} SELECT src, dst FROM k",
     "graph_degrees": f"WITH {EDGES} SELECT v, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS v, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY v",
-    "graph_component_sizes": f"WITH RECURSIVE {CLEAN}, q AS (SELECT src, dst FROM k WHERE src LIKE '%3' OR dst LIKE '%1'), u AS (SELECT src AS a, dst AS b FROM q UNION SELECT dst, src FROM q), r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON u.a = r.w) SELECT component, count(*) AS size FROM (SELECT v, min(w) AS component FROM r GROUP BY v) GROUP BY component",
+    "graph_component_sizes": f"WITH RECURSIVE {CLEAN}, q AS (SELECT src, dst FROM k JOIN documents a ON 'D' || a.doc_id = src JOIN documents b ON 'D' || b.doc_id = dst WHERE a.source = b.source), u AS (SELECT src AS a, dst AS b FROM q UNION SELECT dst, src FROM q), r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON u.a = r.w) SELECT component, count(*) AS size FROM (SELECT v, min(w) AS component FROM r GROUP BY v) GROUP BY component",
     "graph_statistics": f"WITH {EDGES}, g AS (SELECT v, sum(o) AS o, sum(i) AS i FROM (SELECT src AS v, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY v), t AS (SELECT count(*) AS vertices, CAST(sum(o) AS BIGINT) AS edges, CAST(max(o) AS BIGINT) AS max_out, CAST(max(i) AS BIGINT) AS max_in FROM g) SELECT *, round(edges / vertices, 6) AS mean_out, round(2 * edges / vertices, 6) AS mean_degree, round(edges / (vertices * (vertices - 1.0::DOUBLE)), 9) AS density FROM t",
-    "graph_isolated": f"WITH {ARTICLES}, {CLEAN}, q AS (SELECT src, dst FROM k WHERE src LIKE '%3' OR dst LIKE '%1') SELECT uid AS v FROM a WHERE uid NOT IN (SELECT src FROM q UNION SELECT dst FROM q)",
+    "graph_isolated": f"WITH {ARTICLES}, {CLEAN}, q AS (SELECT src, dst FROM k JOIN documents a ON 'D' || a.doc_id = src JOIN documents b ON 'D' || b.doc_id = dst WHERE a.source = b.source) SELECT uid AS v FROM a WHERE uid NOT IN (SELECT src FROM q UNION SELECT dst FROM q)",
     "graph_topological_order": f"WITH RECURSIVE {LAYERS} SELECT v, layer, row_number() OVER (ORDER BY layer, v) - 1 AS position FROM l",
-    "graph_order_violations": "SELECT CAST(0 AS BIGINT) AS violations",
-    "graph_is_dag": "SELECT true AS is_dag, CAST(0 AS BIGINT) AS cyclic_upstream",
+    "graph_order_violations": f"WITH RECURSIVE {LAYERS}, o AS (SELECT v, row_number() OVER (ORDER BY layer, v) AS p FROM l) SELECT count(*) AS violations FROM e JOIN o a ON a.v = e.src JOIN o b ON b.v = e.dst WHERE a.p >= b.p",
+    "graph_is_dag": f"WITH RECURSIVE {LAYERS}, z AS (SELECT count(*) AS n FROM (SELECT src AS v FROM e UNION SELECT dst FROM e) WHERE v NOT IN (SELECT v FROM l)) SELECT n = 0 AS is_dag, n AS cyclic_upstream FROM z",
     "graph_longest_path": f"WITH RECURSIVE {LAYERS}, b AS (SELECT e.dst, min(e.src) AS src FROM e JOIN l x ON x.v = e.src JOIN l y ON y.v = e.dst WHERE y.layer = x.layer + 1 GROUP BY 1), w AS (SELECT (SELECT max(layer) FROM l) AS position, (SELECT min(v) FROM l WHERE layer = (SELECT max(layer) FROM l)) AS v UNION SELECT w.position - 1, b.src FROM w JOIN b ON b.dst = w.v) SELECT CAST(position AS INTEGER) AS position, v FROM w",
-    "graph_ancestors": f"WITH RECURSIVE {EDGES}, g AS (SELECT 'P' || p_partkey AS v FROM part WHERE p_size = 50 ORDER BY v LIMIT 5), r AS (SELECT v AS goal, v, 0 AS hops FROM g UNION SELECT r.goal, e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.v) SELECT goal, v, min(hops) AS hops FROM r GROUP BY 1, 2",
+    "graph_ancestors": f"WITH RECURSIVE {EDGES}, g AS (SELECT 'P' || p_partkey AS v FROM part WHERE p_size = 50), r AS (SELECT v AS goal, v, 0 AS hops FROM g UNION SELECT r.goal, e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.v) SELECT goal, v, min(hops) AS hops FROM r GROUP BY 1, 2",
     "graph_descendants": f"WITH RECURSIVE {EDGES}, r AS (SELECT 'R' || r_regionkey AS start, 'R' || r_regionkey AS v, 0 AS hops FROM region UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.v) SELECT start, v, min(hops) AS hops FROM r GROUP BY 1, 2",
     "graph_would_close_cycle": f"WITH RECURSIVE {CLEAN}, n AS (SELECT 'D' || doc_id AS src, 'D' || (doc_id // 4) AS dst FROM documents WHERE doc_id > 0), r AS (SELECT DISTINCT dst AS s, dst AS v FROM n UNION SELECT r.s, k.dst FROM r JOIN k ON k.src = r.v) SELECT src, dst FROM n WHERE EXISTS (SELECT 1 FROM r WHERE r.s = n.dst AND r.v = n.src)",
     "graph_merge_duplicates": f"WITH {CLEAN}, m AS (SELECT 'D' || doc_id AS id, min('D' || doc_id) OVER (PARTITION BY lower(lang), lower(source), CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE '' END) AS t FROM documents) SELECT x.t AS src, y.t AS dst, 'NEXT' AS relation, max(length(k.dst) / 10.0::DOUBLE) AS confidence FROM k JOIN m x ON x.id = k.src JOIN m y ON y.id = k.dst WHERE x.t <> y.t GROUP BY 1, 2",

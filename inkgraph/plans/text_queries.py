@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkgraph.operators import annotations as an
 from inkgraph.operators import chains, text, tokens, voting
-from inkgraph.plans.adapters import table
+from inkgraph.plans.adapters import POS, TAGS, table
 from inkgraph.sources import articles
 
 
@@ -32,23 +32,8 @@ def _words(s, d):
     return tokens.tagged(tokens.tokenize(_docs(s, d), {"word": tokens.PATTERNS["word"]}))
 
 
-TAGS = """CASE WHEN NOT regexp_matches(w, '[\\p{L}\\p{N}]') THEN '.' WHEN regexp_matches(w, '^\\p{N}+$') THEN 'CD' WHEN lower(w) IN ('the','a','an','this','that') THEN 'DT' WHEN lower(w) IN ('and','or') THEN 'CC'
-    WHEN lower(w) IN ('of','to','in','for','with','on','by','from','at','as') THEN 'IN' WHEN lower(w) LIKE '%ing' THEN 'VBG' WHEN lower(w) LIKE '%ed' THEN 'VBD' WHEN lower(w) LIKE '%ly' THEN 'RB' WHEN lower(w) LIKE '%ble' THEN 'JJ' WHEN lower(w) LIKE '%es' THEN 'NNS' ELSE 'NN' END"""
-POS = "CASE tag WHEN 'NN' THEN 'NOUN' WHEN 'NNS' THEN 'NOUN' WHEN 'VBG' THEN 'VERB' WHEN 'VBD' THEN 'VERB' WHEN 'JJ' THEN 'ADJ' WHEN 'RB' THEN 'ADV' WHEN 'DT' THEN 'DET' WHEN 'IN' THEN 'ADP' WHEN 'CC' THEN 'CCONJ' WHEN 'CD' THEN 'NUM' WHEN '.' THEN 'PUNCT' ELSE 'X' END"
-WORDS = f"""u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS idx FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents)),
-    t0 AS (SELECT *, {TAGS} AS tag FROM u), t AS (SELECT doc_id, idx, w AS text, tag, {POS} AS pos FROM t0)"""
-
-
-def _sent_tokens(s, d):
-    """(doc_id, sent_idx, token_idx, text, pos) with words of sentences."""
-    sent = text.sentences(_docs(s, d))
-    rows = sent.select("doc_id", "sent_idx", F.posexplode(F.regexp_extract_all("sentence", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("token_idx", "text"))
-    return tokens.tagged(rows.withColumn("processor", F.lit("word")))
-
-
-SENT = f"""s0 AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_idx FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents)),
-    s1 AS (SELECT doc_id, sent_idx, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS token_idx FROM (SELECT doc_id, sent_idx, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+') AS ws FROM s0)),
-    s2 AS (SELECT *, {TAGS} AS tag FROM s1), s AS (SELECT doc_id, sent_idx, token_idx, w AS text, tag, {POS} AS pos FROM s2)"""
+WORDS = f"""u AS (SELECT doc_id, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS g, generate_subscripts(ws, 1) - 1 AS idx FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') AS gs FROM documents)),
+    t0 AS (SELECT *, {TAGS} AS tag, CAST(sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS e FROM u), t AS (SELECT doc_id, idx, w AS text, tag, {POS} AS pos, e - length(w) AS start, e AS "end" FROM t0)"""
 
 
 def _annotations(s, d):
@@ -75,19 +60,7 @@ def _events(s, d):
     return e.select("user_id", "event_type", (F.col("value") / (1 + F.abs("value"))).alias("confidence"), (1 + F.col("event_id") % 3).cast("double").alias("weight"), "event_id")
 
 
-def _actions(s, d):
-    """Verbs as actions with their character position; markers as hits."""
-    w = _words(s, d)
-    return w.where("pos = 'VERB'").select("doc_id", F.col("start").cast("int").alias("pos"), F.concat_ws("-", "doc_id", "idx").alias("id")), w.where("lower(text) IN ('then', 'to')").select("doc_id", F.col("start").cast("int").alias("at"))
-
-
-def _deps(s, d):
-    li = table(s, d, "lineitem")
-    return li.select((F.col("l_orderkey") % 50).cast("string").alias("src"), (F.col("l_partkey") % 50).cast("string").alias("dst"), F.when(F.col("l_linenumber") == 1, "CAUSES").when(F.col("l_linenumber") == 2, "PURPOSE").otherwise("BEFORE").alias("relation"), F.round(F.col("l_quantity") / 50, 4).alias("confidence"), F.col("l_returnflag").alias("marker"))
-
-
-DEPS = "d AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS src, CAST(l_partkey % 50 AS VARCHAR) AS dst, CASE l_linenumber WHEN 1 THEN 'CAUSES' WHEN 2 THEN 'PURPOSE' ELSE 'BEFORE' END AS relation, round(l_quantity / 50, 4) AS confidence, l_returnflag AS marker FROM lineitem)"
-ANN = f"{WORDS}, o AS (SELECT *, length(text) AS n FROM t), an AS (SELECT doc_id || '-' || idx AS uid, doc_id, idx, pos AS annotation_type, text, CASE WHEN idx % 2 = 0 THEN 'user' ELSE 'multilevel' END AS source, idx % 10 / 10.0::DOUBLE AS confidence FROM o WHERE n >= 9)"
+ANN = f"{WORDS}, o AS (SELECT *, length(text) AS n FROM t), an AS (SELECT doc_id || '-' || idx AS uid, doc_id, idx, pos AS annotation_type, text, start, \"end\", CASE WHEN idx % 2 = 0 THEN 'user' ELSE 'multilevel' END AS source, idx % 10 / 10.0::DOUBLE AS confidence FROM o WHERE n >= 9)"
 
 
 def _edit_check(s, d):
@@ -142,28 +115,19 @@ QUERIES = {
     "annotations_relations": lambda s, d: an.relations_of(an.relations_created(_annotations(s, d).select(F.col("uid").alias("source_uid"), F.concat_ws("-", "doc_id", F.lit("12")).alias("target_uid"), F.when(F.col("source") == "user", "NEXT").alias("relation_type")), _annotations(s, d))),
     "annotations_edit_range": _edit_check,
     "annotations_shift": lambda s, d: an.shifted(_annotations(s, d), _docs(s, d).where("doc_id % 2 = 0").select("doc_id", F.lit(100).alias("from"), F.lit(180).alias("to"), F.lit(30).alias("length"))).select("uid", "start", "end"),
-    "annotations_text_changed": lambda s, d: an.text_changed(_annotations(s, d), _docs(s, d).select("doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "x").otherwise(""), "text").alias("text"))).groupBy((F.split("uid", "-")[0].cast("long") % 4).alias("rest")).agg((F.count("*") > 0).alias("some")),
+    "annotations_text_changed": lambda s, d: an.text_changed(_annotations(s, d), _docs(s, d).select("doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "x").otherwise(""), "text").alias("text"))),
     "annotations_issues": lambda s, d: an.validation_issues(_annotations(s, d).withColumn("confidence", F.col("confidence") * 1.2), _docs(s, d)).groupBy("severity", "rule").agg(F.count("*").alias("n")),
     "annotations_verdict": lambda s, d: an.verdict(an.validation_issues(_annotations(s, d).withColumn("confidence", F.col("confidence") * F.when(F.col("doc_id") % 2 == 0, 1.2).otherwise(1.0)), _docs(s, d)), _annotations(s, d)),
     "annotations_for_selections": lambda s, d: an.overlapping_types(_annotations(s, d), _docs(s, d).select(F.col("doc_id").alias("sel_id"), "doc_id", F.lit(0).alias("start"), F.lit(10000000).alias("end"))),
     "patterns_properties": lambda s, d: an.pattern_properties(an.patterns(_annotations(s, d), "multilevel")).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values")),
     "patterns_pivot": lambda s, d: an.pivoted(an.pattern_properties(an.patterns(_annotations(s, d), "multilevel"))).select("pattern_id", "text", "annotation_type"),
-    "chains_pairs": lambda s, d: chains.next_verb_pairs(_sent_tokens(s, d)).groupBy("marker").agg(F.count("*").alias("n")),
-    "chains_sequences": lambda s, d: chains.scored_sequences(chains.verbs_in_sentences(_sent_tokens(s, d), None), chains.next_verb_pairs(_sent_tokens(s, d))),
-    "chains_statistics": lambda s, d: chains.sequence_statistics(chains.scored_sequences(chains.verbs_in_sentences(_sent_tokens(s, d), None), chains.next_verb_pairs(_sent_tokens(s, d)))),
-    "chains_entity_stars": lambda s, d: chains.entity_stars(chains.verbs_in_sentences(_sent_tokens(s, d), None)).groupBy("doc_id").agg(F.count("*").alias("n")),
-    "actions_nearest": lambda s, d: chains.nearest_actions(*_actions(s, d)).groupBy("doc_id").agg(F.count("before").alias("before"), F.count("after").alias("after"), F.count("*").alias("hits")),
-    "actions_resolve_conflicts": lambda s, d: chains.resolve_conflicts(_deps(s, d), {"CAUSES": 3, "PURPOSE": 2, "BEFORE": 1}),
-    "actions_goals": lambda s, d: chains.goals(chains.resolve_conflicts(_deps(s, d), {"CAUSES": 3, "PURPOSE": 2, "BEFORE": 1}).where("confidence > 0.9"), table(s, d, "part").where("p_partkey < 50").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("object")), ["brass", "steel"]),
-    "actions_coordinated": lambda s, d: chains.coordinated(_annotations(s, d)).groupBy("members").agg(F.count("*").alias("n")),
-    "actions_part_of": lambda s, d: chains.part_of(_annotations(s, d), 3).groupBy("doc_id").agg(F.count("*").alias("n")),
 }
 
 ORACLE_SQL = {
     "ingest_page_links": "SELECT page_id, unnest(h) AS href, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)",
     "ingest_tag_counts": "SELECT lower(t) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) GROUP BY 1",
     "text_sentences": "SELECT doc_id, count(*) AS sentences, max(length(x)) AS longest FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM documents) GROUP BY 1",
-    "text_first_heading": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Title of ' || doc_id END AS title FROM documents",
+    "text_first_heading": f"WITH {MARKED} SELECT doc_id, trim(substr(trim([l FOR l IN string_split(text, chr(10)) IF regexp_matches(trim(l), '^# ')][1]), 3)) AS title FROM m",
     "text_content_hashes": "SELECT md5(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "text_active_version": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'user' WHEN doc_id % 2 = 0 THEN 'formatted' WHEN doc_id % 7 <> 0 THEN 'raw' END AS version, md5(CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 2 = 0 THEN reverse(text) WHEN doc_id % 7 <> 0 THEN source END) AS hash FROM documents",
     "text_absolute_images": "SELECT doc_id, '![a](https://img/' || source || '.png) ![b](http://x/y.png)' AS text FROM documents",
@@ -176,11 +140,6 @@ ORACLE_SQL = {
     "tokens_examples": f"WITH {WORDS}, g AS (SELECT *, CAST(row_number() OVER (PARTITION BY tag ORDER BY doc_id, idx) AS INTEGER) AS r FROM t) SELECT tag, r, doc_id, CAST(idx AS INTEGER) AS idx, text FROM g WHERE r <= 2",
     "tokens_categories": f"WITH {WORDS} SELECT CASE WHEN pos IN ('ADJ','ADV','NOUN','VERB') THEN 'open' WHEN pos IN ('ADP','CCONJ','DET','NUM') THEN 'closed' ELSE 'other' END AS category, count(*) AS n FROM t GROUP BY 1",
     "tokens_content_words": f"WITH {WORDS} SELECT doc_id, count(*) AS n FROM t WHERE pos IN ('NOUN','VERB','ADJ','ADV') GROUP BY 1",
-    "chains_sequences": f"""WITH {SENT}, q AS (SELECT *, sum((pos = 'VERB')::INT) OVER w AS run, last_value(CASE WHEN pos = 'NOUN' THEN lower(text) END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entity FROM s WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)),
-        h AS (SELECT doc_id, sent_idx, run, token_idx AS a, entity AS ea, lead(token_idx) OVER w AS b, lead(entity) OVER w AS eb FROM q WHERE pos = 'VERB' WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)),
-        m AS (SELECT doc_id, sent_idx, run, arg_min(lower(text), token_idx) AS marker FROM q WHERE pos <> 'VERB' AND lower(text) IN ('then','after','before','when','if','because','therefore','to','for','by') GROUP BY 1, 2, 3)
-        SELECT doc_id, CAST(sent_idx AS INTEGER) AS sent_idx, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CASE WHEN marker IN ('then','after','before') THEN 'temporal' WHEN marker IN ('when','if') THEN 'conditional' WHEN marker IN ('because','therefore') THEN 'causal' WHEN marker IN ('to','for') THEN 'purpose' ELSE 'mechanism' END AS sequence_type,
-        round(least(1.0, 0.75 + CASE WHEN coalesce(ea = eb, false) THEN 0.3 ELSE 0 END), 6)::DOUBLE AS confidence FROM h JOIN m USING (doc_id, sent_idx, run) WHERE b IS NOT NULL""",
     "vote_pairwise_jaccard": f"WITH {RATINGS}, q AS (SELECT DISTINCT rater, item FROM r WHERE category = '1'), z AS (SELECT rater, count(*) AS n FROM q GROUP BY 1) SELECT a.rater AS a, b.rater AS b, round((SELECT count(*) FROM q x JOIN q y ON x.item = y.item WHERE x.rater = a.rater AND y.rater = b.rater) / (a.n + b.n - (SELECT count(*) FROM q x JOIN q y ON x.item = y.item WHERE x.rater = a.rater AND y.rater = b.rater)), 6) AS jaccard FROM z a JOIN z b ON a.rater < b.rater",
     "vote_fleiss_kappa": f"WITH {CELLS}, o AS (SELECT count(*) AS items, CAST(max(m) AS BIGINT) AS raters, avg((s - m) / (m * (m - 1))) AS po FROM i), x AS (SELECT sum(n * n) / (sum(n) * sum(n)) AS pe FROM g) SELECT items, raters, round((po - pe) / (1 - pe), 6) AS kappa FROM o, x",
     "vote_cohen_kappa": f"WITH {RATINGS}, q AS (SELECT a.category AS a, b.category AS b FROM r a JOIN r b ON a.item = b.item WHERE a.rater = 'quality' AND b.rater = 'long'), k AS (SELECT count(*) AS items, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po FROM q), p AS (SELECT sum((SELECT count(*) FROM q WHERE a = c) * (SELECT count(*) FROM q WHERE b = c))::DOUBLE AS ch FROM (SELECT DISTINCT a AS c FROM q)), z AS (SELECT items, round((po - ch / (items * items)) / (1 - ch / (items * items)), 6) AS kappa FROM k, p) SELECT *, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM z",
@@ -189,13 +148,17 @@ ORACLE_SQL = {
     "vote_best_of_duplicates": "WITH e AS (SELECT user_id AS doc_id, event_type, value / (1 + abs(value)) AS confidence, CAST(event_id AS VARCHAR) AS processor, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value / (1 + abs(value)) DESC, CAST(event_id AS VARCHAR)) AS r FROM events) SELECT doc_id, event_type, confidence, processor FROM e WHERE r = 1",
     "annotations_delete": f"WITH {ANN} SELECT uid FROM an WHERE source <> 'user'",
     "annotations_edit_range": "SELECT count(*) AS pairs, count(*) AS rebuilt FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
-    "annotations_text_changed": "SELECT CAST(0 AS BIGINT) AS rest, true AS some",
+    "annotations_text_changed": f"WITH {ANN} SELECT uid FROM an JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END || text AS new FROM documents) USING (doc_id) WHERE substr(new, start + 1, \"end\" - start) <> text",
+    "annotations_list": f"WITH {ANN} SELECT uid, doc_id, start FROM an WHERE annotation_type = 'NOUN' AND source = 'user' ORDER BY doc_id, start, uid LIMIT 100 OFFSET 10",
+    "annotations_update": f"WITH {ANN} SELECT CASE WHEN doc_id % 3 = 0 THEN 'CHANGED' ELSE annotation_type END AS annotation_type, CASE WHEN doc_id % 3 = 0 AND confidence > 0.5 THEN 'start below 0' END AS error, count(*) AS n FROM an GROUP BY 1, 2",
+    "annotations_shift": f"WITH {ANN}, h AS (SELECT uid, CASE WHEN doc_id % 2 <> 0 OR \"end\" <= 100 THEN start WHEN start >= 180 THEN start - 50 WHEN start <= 100 AND \"end\" >= 180 THEN start WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((start - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN start ELSE 130 END AS start, CASE WHEN doc_id % 2 <> 0 OR \"end\" <= 100 THEN \"end\" WHEN start >= 180 THEN \"end\" - 50 WHEN start <= 100 AND \"end\" >= 180 THEN \"end\" - 50 WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((\"end\" - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN 100 ELSE \"end\" - 50 END AS \"end\" FROM an) SELECT * FROM h WHERE \"end\" > start",
+    "tokens_flags": f"WITH {WORDS} SELECT count(*) FILTER (lower(text) IN ({', '.join(repr(w) for w in tokens.STOP_WORDS)})) AS is_stop, CAST(0 AS BIGINT) AS is_punct, count(*) FILTER (regexp_matches(text, '^\\p{{L}}+$')) AS is_alpha, count(*) FILTER (regexp_matches(text, '^[0-9]+$')) AS is_digit, count(*) FILTER (regexp_matches(text, '^[+-]?[0-9][0-9,.]*$')) AS like_num, count(*) FILTER (regexp_matches(text, '^(https?://|www\\.)')) AS like_url, count(*) FILTER (regexp_matches(text, '^[^@\\s]+@[^@\\s]+\\.[a-z]+$')) AS like_email, count(DISTINCT regexp_replace(regexp_replace(regexp_replace(text, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Nd}}', 'd', 'g')) AS shapes FROM t",
+    "vote_dependencies": "WITH x AS (SELECT l_orderkey AS doc_id, l_partkey AS head, l_linenumber AS dependent, CASE WHEN l_returnflag = 'R' THEN 'nmod' ELSE 'obj' END AS base, CASE WHEN l_returnflag = 'R' THEN 'nmod' ELSE 'obj' END || ':' || l_linestatus AS relation, 'p' || l_suppkey % 4 AS processor, l_discount AS confidence FROM lineitem), own AS (SELECT doc_id, head, dependent, arg_max(relation, (confidence, relation)) AS relation, CAST(1 AS BIGINT) AS votes FROM x WHERE processor = 'p0' GROUP BY 1, 2, 3), rest AS (SELECT * FROM x WHERE (doc_id, head, dependent) NOT IN (SELECT (doc_id, head, dependent) FROM own)), g AS (SELECT doc_id, head, dependent, base, count(DISTINCT processor) AS votes, avg(confidence) AS sure FROM rest GROUP BY 1, 2, 3, 4), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, head, dependent ORDER BY votes DESC, sure DESC, base) AS r FROM g), f AS (SELECT doc_id, head, dependent, b.votes, relation, count(*) AS n FROM rest JOIN b USING (doc_id, head, dependent, base) WHERE r = 1 AND b.votes >= 2 GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, head, dependent ORDER BY n DESC, relation) AS r FROM f) SELECT * FROM own UNION ALL SELECT doc_id, head, dependent, relation, votes FROM z WHERE r = 1",
+    "text_heading_periods": f"WITH {MARKED} SELECT doc_id, md5(array_to_string([CASE WHEN regexp_matches(l, '^#{{1,6}}\\s+.*[^.\\s][ \\t]*$') THEN regexp_replace(l, '^(#{{1,6}})\\s+(.*[^.\\s])[ \\t]*$', '\\1 \\2.') ELSE l END FOR l IN string_split(text, chr(10))], chr(10))) AS hash FROM m",
     "annotations_issues": f"WITH {ANN} SELECT 'error' AS severity, 'confidence' AS rule, count(*) AS n FROM an WHERE confidence * 1.2 > 1 HAVING count(*) > 0",
     "annotations_verdict": f"WITH {ANN} SELECT doc_id, CASE WHEN count(*) FILTER (doc_id % 2 = 0 AND confidence * 1.2 > 1) > 0 THEN 'failed' ELSE 'valid' END AS verdict FROM an GROUP BY 1",
     "annotations_for_selections": f"WITH {ANN} SELECT doc_id AS sel_id, annotation_type, max(confidence) AS confidence FROM an GROUP BY 1, 2",
     "annotations_relations": f"WITH {ANN}, q AS (SELECT uid AS s, doc_id || '-12' AS g, CASE WHEN source = 'user' THEN 'NEXT' ELSE 'RELATED' END AS k FROM an), v AS (SELECT * FROM q WHERE s <> g AND g IN (SELECT uid FROM an)) SELECT s AS uid, g AS other, k AS relation_type, 'outgoing' AS direction FROM v UNION ALL SELECT g, s, k, 'incoming' FROM v",
     "patterns_properties": f"WITH {ANN} SELECT 'text' AS type, count(*) AS n, count(DISTINCT text) AS values FROM an WHERE source = 'multilevel' UNION ALL SELECT 'annotation_type', count(*), count(DISTINCT annotation_type) FROM an WHERE source = 'multilevel' UNION ALL SELECT 'confidence', count(*), count(DISTINCT confidence) FROM an WHERE source = 'multilevel'",
     "patterns_pivot": f"WITH {ANN} SELECT md5(doc_id || ':' || uid) AS pattern_id, text, annotation_type FROM an WHERE source = 'multilevel'",
-    "chains_pairs": f"WITH {SENT}, q AS (SELECT *, sum((pos = 'VERB')::INT) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS run FROM s), h AS (SELECT doc_id, sent_idx, run, token_idx AS a, lead(token_idx) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS b FROM q WHERE pos = 'VERB'), m AS (SELECT doc_id, sent_idx, run, arg_min(lower(text), token_idx) AS marker FROM q WHERE pos <> 'VERB' AND lower(text) IN ('then','after','before','when','if','because','therefore','to','for','by') GROUP BY 1, 2, 3) SELECT marker, count(*) AS n FROM h LEFT JOIN m USING (doc_id, sent_idx, run) WHERE b IS NOT NULL GROUP BY 1",
-    "actions_resolve_conflicts": f"WITH {DEPS}, q AS (SELECT *, CASE relation WHEN 'CAUSES' THEN 3 WHEN 'PURPOSE' THEN 2 ELSE 1 END AS p FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY p DESC, confidence DESC, relation DESC) AS r FROM q), m AS (SELECT src, dst, string_agg(marker, ',' ORDER BY marker) AS markers FROM (SELECT DISTINCT src, dst, marker FROM d) GROUP BY 1, 2) SELECT src, dst, relation, confidence, markers FROM b JOIN m USING (src, dst) WHERE r = 1",
 }
