@@ -26,9 +26,10 @@ def article_fields(files: DataFrame) -> DataFrame:
     xml = F.col("xml")
     meta = "/article/front/article-meta"
     pmid, pmcid = _text(xml, f"{meta}/article-id[@pub-id-type='pmid']"), _bare(_text(xml, f"{meta}/article-id[@pub-id-type='pmc' or @pub-id-type='pmcid']"))
-    given = F.xpath(xml, F.lit(f"{meta}//contrib[@contrib-type='author']/name/given-names/text()"))
-    surname = F.xpath(xml, F.lit(f"{meta}//contrib[@contrib-type='author']/name/surname/text()"))
-    authors = F.transform(F.arrays_zip(given.alias("g"), surname.alias("s")), lambda x: F.trim(F.concat_ws(" ", x["g"], x["s"])))
+    # each author by itself: one part of a name may be missing, and a collaboration has neither
+    contribs = F.filter(F.regexp_extract_all("xml", F.lit(r"(?s)(<(?:\w+:)?contrib\s[^>]*>.*?</(?:\w+:)?contrib>)"), F.lit(1)), lambda c: c.rlike("^[^>]*contrib-type=[\"']author[\"']"))
+    part = lambda c, tag: F.trim(F.regexp_replace(F.regexp_extract(c, rf"(?s)<(?:\w+:)?{tag}[^>]*>(.*?)</(?:\w+:)?{tag}>", 1), "<[^>]*>", ""))
+    authors = F.filter(F.transform(contribs, lambda c: F.trim(F.concat_ws(" ", part(c, "given-names"), part(c, "surname")))), lambda a: a != "")
     keywords = F.filter(F.transform(F.xpath(xml, F.lit(f"{meta}//kwd/text()")), lambda k: F.trim(k)), lambda k: F.length(k).between(1, 200))
     return files.where(F.xpath_boolean(xml, F.lit("/article"))).select(
         F.coalesce(pmcid, pmid, F.concat(F.lit("temp_id_"), F.xxhash64("path").cast("string"))).alias("uid"),
@@ -44,12 +45,10 @@ def references(articles: DataFrame) -> DataFrame:
 
     References are taken one by one by their position in the list, since parts of them may be missing.
     """
-    base = "/article/back//ref-list/ref"
-    count = F.xpath_int("xml", F.lit(f"count({base})"))
     # the XML of each reference is cut out by its tags, so that every path below sees one reference
-    parts = F.regexp_extract_all("xml", F.lit(r"(?s)(<ref[\s>].*?</ref>)"), F.lit(1))
-    rows = articles.where(count > 0).select(F.col("uid").alias("citing"), F.posexplode(parts).alias("pos", "ref"))
-    ref = F.regexp_replace("ref", r"xlink:href", "href")
+    parts = F.regexp_extract_all("xml", F.lit(r"(?s)(<(?:\w+:)?ref(?:\s[^>]*[^/>])?>.*?</(?:\w+:)?ref>)"), F.lit(1))  # not <ref id="1"/>
+    rows = articles.select(F.col("uid").alias("citing"), F.posexplode(parts).alias("pos", "ref"))
+    ref = F.regexp_replace(F.regexp_replace("ref", r"xlink:href", "href"), r"(</?)\w+:", "$1")
     url = F.xpath_string(ref, F.lit("//ext-link/@href"))
     title = F.coalesce(_text(ref, "//article-title"), _text(ref, "//source"))
     found = rows.select(

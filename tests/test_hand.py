@@ -128,3 +128,13 @@ def test_cycles_lose_their_weakest_edge(spark):
     df = spark.createDataFrame(rows, "src string, dst string, confidence double")
     assert {(r.src, r.dst) for r in graph.break_cycles(df).collect()} == {("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")}
     assert {(r.src, r.dst) for r in graph.cyclic_core(df).collect()} == {(a, b) for a, b, _ in rows[:5]}
+
+
+def test_authors_and_references_one_by_one(spark):
+    xml = """<article><front><article-meta><article-id pub-id-type="pmid">5</article-id><contrib-group>
+    <contrib contrib-type="author"><name><surname>Consortium</surname></name></contrib><contrib contrib-type="editor"><name><surname>No</surname></name></contrib>
+    <contrib contrib-type="author"><name><given-names>Jo</given-names><surname>Roe</surname></name></contrib><contrib contrib-type="author"><collab>A group</collab></contrib></contrib-group></article-meta></front>
+    <back><ref-list><ref id="1"/><ref id="2"><element-citation><pub-id pub-id-type="pmid">7</pub-id></element-citation></ref><m:ref id="3"><m:pub-id pub-id-type="pmid">8</m:pub-id></m:ref></ref-list></back></article>""".replace("<article>", '<article xmlns:m="urn:x">')
+    fields = articles.article_fields(spark.createDataFrame([("a", xml)], "path string, xml string"))
+    assert fields.first().authors == ["Consortium", "Jo Roe"]
+    assert sorted(r.pmid for r in articles.references(fields).collect()) == ["7", "8"]
