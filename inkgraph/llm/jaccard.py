@@ -10,8 +10,9 @@ The join never lists the pairs of a group. Four steps keep it exact and in propo
    size, so that links stay inside a band or between neighbours, and large bands into blocks. A tile is
    a pair of blocks.
 4. In a tile every set has a hashed bitmap; the bits in which two differ bound their overlap from above.
-   Only pairs that the bound lets through, and that are not connected yet, have their sorted arrays
-   intersected.
+   Only pairs that the bound lets through have their sorted arrays intersected. A tile gives as few links
+   as connect what it links, and for each set the number of its links there. Every pair is in one tile at
+   most, so these numbers add up. Where they are not asked for, connected pairs are passed over.
 """
 
 from __future__ import annotations
@@ -188,12 +189,48 @@ def bitmaps(values: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(flat.astype(np.uint8).reshape(len(values), bits), axis=1).view(np.uint64)
 
 
-def links_in_tile(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all that the tile's links connect. cross: only pairs with one set on either side."""
+class _Overlaps:
+    """Sizes of the intersections of a tile's sets, which are sorted arrays."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.ends = np.concatenate(([0], np.cumsum([len(v) for v in sets])))
+        self.ranks: np.ndarray | None = None
+        self.held = np.zeros(0, dtype=bool)
+
+    def of(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Of set a with each of the others; for many of them by ranks among the tile's shingles."""
+        if len(others) < 8:
+            return np.array([self._pair(self.sets[a], self.sets[b]) for b in others.tolist()], dtype=np.int64)
+        if self.ranks is None:
+            distinct, ranks = np.unique(np.concatenate(self.sets), return_inverse=True)
+            self.ranks, self.held = ranks.astype(np.int32), np.zeros(len(distinct), dtype=bool)
+        own = self.ranks[self.ends[a] : self.ends[a + 1]]
+        self.held[own] = True
+        first, last = int(others[0]), int(others[-1]) + 1
+        start = self.ends[first]
+        both = np.add.reduceat(self.held[self.ranks[start : self.ends[last]]], self.ends[first:last] - start, dtype=np.int64)
+        self.held[own] = False
+        return both[others - first]
+
+    @staticmethod
+    def _pair(small: np.ndarray, large: np.ndarray) -> int:
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        return int((large[at] == small).sum())
+
+
+def links_in_tile(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, percent: int, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """(links that connect all that the tile's links connect, sid -> texts that it links with). cross: only pairs with one set on either side.
+
+    copies: texts of each set. Without it nothing is counted, and pairs that are connected already are not intersected.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sids, sets, side = sids[order], [sets[k] for k in order], side[order]
+    weight = None if copies is None else copies[order]
     n = np.array([len(s) for s in sets], dtype=np.int64)
     maps = bitmaps(sets, max(64, 1 << int(n[-1] - 1).bit_length()))
+    overlaps = _Overlaps(sets)
+    totals = np.zeros(len(sets), dtype=np.int64)
     parent = np.arange(len(sets))
 
     def root(x: int) -> int:
@@ -203,6 +240,13 @@ def links_in_tile(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cr
         return int(x)
 
     out = []
+
+    def connect(a: int, b: int) -> None:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(sids[a]), int(sids[b])))
+
     for a in range(len(sets) - 1):
         last = int(np.searchsorted(n, n[a] * 100 // percent, side="right"))
         if last <= a + 1:
@@ -214,85 +258,106 @@ def links_in_tile(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cr
         fits = 100 * most >= percent * (both - most)
         if cross:
             fits &= side[near] != side[a]
-        for b in np.flatnonzero(fits) + a + 1:
-            x, y = root(a), root(int(b))
-            if x == y:
-                continue
-            small, large = sets[a], sets[b]
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            overlap = int((large[at] == small).sum())
-            if 100 * overlap >= percent * (len(small) + len(large) - overlap):
-                parent[max(x, y)] = min(x, y)
-                out.append((int(sids[a]), int(sids[b])))
-    return out
-
-
-def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Tiles arrive whole and one after the other: pool, band, kind, i, j, side, sid, text."""
+        others = np.flatnonzero(fits) + a + 1
+        if weight is None:
+            for b in others.tolist():
+                if root(a) != root(b):
+                    overlap = overlaps._pair(sets[a], sets[b])
+                    if 100 * overlap >= percent * (int(n[a] + n[b]) - overlap):
+                        connect(a, b)
+        elif len(others):
+            overlap = overlaps.of(a, others)
+            linked = others[100 * overlap >= percent * (n[a] + n[others] - overlap)]
+            totals[a] += weight[linked].sum()
+            totals[linked] += weight[a]
+            for b in linked.tolist():
+                connect(a, b)
+    some = np.flatnonzero(totals)
+    return out, dict(zip(sids[some].tolist(), totals[some].tolist(), strict=True))
+
+
+def _linked(batches: Iterator[pa.RecordBatch], size: int, percent: int, count: bool) -> Iterator[pa.RecordBatch]:
+    """Tiles arrive whole and one after the other: pool, band, kind, i, j, side, sid, copies, text. Rows with a null b hold a's number of links in a tile."""
     held: tuple | None = None
     sids: list[int] = []
     sets: list[np.ndarray] = []
     side: list[int] = []
-    out: list[tuple[int, int]] = []
+    copies: list[int] = []
+    out: list[tuple[int, int | None, int]] = []
 
     def close() -> None:
         if len(sets) > 1:
-            out.extend(links_in_tile(np.array(sids), sets, np.array(side), held[2] == 1 or held[3] != held[4], percent))
+            links, totals = links_in_tile(np.array(sids), sets, np.array(side), held[2] == 1 or held[3] != held[4], percent, np.array(copies) if count else None)
+            out.extend((a, b, 0) for a, b in links)
+            out.extend((sid, None, n) for sid, n in totals.items())
+
+    def rows() -> pa.RecordBatch:
+        columns = [pa.array([row[k] for row in out], type=pa.int64()) for k in range(3)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
 
     for batch in batches:
-        found = [(sid, values[ends[k] : ends[k + 1]]) for own, values, ends in text_sets(batch.column(7), size) for k, sid in enumerate(own.tolist())]
-        for pool, band, kind, i, j, s, want, (sid, own) in zip(*(batch.column(k).to_pylist() for k in range(7)), found, strict=True):
+        found = [(sid, values[ends[k] : ends[k + 1]]) for own, values, ends in text_sets(batch.column(8), size) for k, sid in enumerate(own.tolist())]
+        for pool, band, kind, i, j, s, want, c, (sid, own) in zip(*(batch.column(k).to_pylist() for k in range(8)), found, strict=True):
             if sid != want:  # another text with the same hash
                 continue
             tile = (pool, band, kind, i, j)
             if tile != held:
                 close()
-                held, sids, sets, side = tile, [], [], []
+                held, sids, sets, side, copies = tile, [], [], [], []
             if not sids or sids[-1] != sid:
                 sids.append(sid)
                 sets.append(own.copy())
                 side.append(s)
+                copies.append(c)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], type=pa.int64()), pa.array([b for _, b in out], type=pa.int64())], names=["a", "b"])
-            out.clear()
+            yield rows()
     if held is not None:
         close()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], type=pa.int64()), pa.array([b for _, b in out], type=pa.int64())], names=["a", "b"])
+        yield rows()
 
 
-def set_links(documents: DataFrame, slim: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between different sets, enough of them to connect all that links connect."""
+def set_links(documents: DataFrame, slim: DataFrame, size: int, percent: int, count: bool) -> DataFrame:
+    """(a, b, n): links between different sets, enough of them to connect all that links connect; with count, rows without b add n to a's number of links."""
     spark = documents.sparkSession
     shared = written(candidates(documents, size, percent), "candidates")
     places = written(tiles(pools(shared), percent), "tiles")
     first = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     # one row of each set: ids alone may repeat, or be null, with other texts
-    chosen = slim.join(places.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(first.alias("_doc"), "text_hash")).alias("_row")).select("sid", "_row.*")
+    chosen = slim.join(places.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(first.alias("_doc"), "text_hash")).alias("_row"), F.count("*").alias("copies")).select("sid", "copies", "_row.*")
     texts = documents.select(first.alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("_text")).join(chosen, ["_doc", "text_hash"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = places.join(texts, "sid").select("pool", "band", "kind", "i", "j", "side", "sid", "_text")
+    rows = places.join(texts, "sid").select("pool", "band", "kind", "i", "j", "side", "sid", "copies", "_text")
     rows = rows.repartition(parts, "pool", "band", "kind", "i", "j").sortWithinPartitions("pool", "band", "kind", "i", "j", "sid")
-    return rows.mapInArrow(lambda it: _linked(it, size, percent), "a long, b long")
+    return rows.mapInArrow(lambda it: _linked(it, size, percent, count), "a long, b long, n long")
+
+
+def _classified(documents: DataFrame, size: int, percent: int, count: bool) -> DataFrame:
+    """link_classes, whose n_links are counted only where count is set."""
+    small_batches(documents.sparkSession)
+    slim = written(identities(documents, size), "sets")
+    found = written(set_links(documents, slim, size, percent, count), "links")
+    classes = connected_components(found.where("b IS NOT NULL").select("a", "b"), "a", "b")
+    sets = slim.where(F.col("sid") != _EMPTY).groupBy("sid").agg(F.min("doc_id").alias("least"), (F.count("*") - 1).alias("equal"))
+    sets = sets.join(classes, sets.sid == classes.node, "left").select("sid", "least", "equal", F.coalesce("component", "sid").alias("class"))
+    named = sets.join(sets.groupBy("class").agg(F.min("least").alias("component_id")), "class")
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("other"))
+    named = named.join(counts, "sid", "left").select("sid", "component_id", (F.col("equal") + F.coalesce("other", F.lit(0))).alias("n_links"))
+    component = F.when(F.col("sid") == _EMPTY, F.col("doc_id")).otherwise(F.col("component_id"))
+    return slim.join(named, "sid", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def link_classes(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: texts link when 100 * overlap >= percent * union of their shingle sets.
+    """(doc_id, n_shingles, component_id, n_links) of each row: texts link when 100 * overlap >= percent * union of their shingle sets.
 
     Words are runs of bytes other than white space, A-Z lower-cased; a text of fewer than `size` words
     has its whole sequence as one shingle. Shingles are compared by 64-bit hashes. component_id is the
-    smallest doc_id that links reach. A text without words (null, empty, blank) has an empty set and is
+    smallest doc_id that links reach, n_links the number of other rows that the row links with. A text without words (null, empty, blank) has an empty set and is
     its own class. Rows that repeat a doc_id are each a text of their own; null ids are never smallest,
     and a class of null ids has a null component_id. Other columns are not read. No rows: no result.
     """
-    small_batches(documents.sparkSession)
-    slim = written(identities(documents, size), "sets")
-    links = written(set_links(documents, slim, size, percent), "links")
-    classes = connected_components(links, "a", "b")
-    sets = slim.where(F.col("sid") != _EMPTY).groupBy("sid").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(classes, sets.sid == classes.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("class"))
-    named = sets.join(sets.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("sid", "component_id")
-    return slim.join(named, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid") == _EMPTY, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _classified(documents, size, percent, count=True)
 
 
 def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -300,6 +365,6 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
     Rows of one doc_id share a fate: they stay if the id is the smallest of a class of any of them. Null ids stay.
     """
-    classes = link_classes(documents, size, percent)
+    classes = _classified(documents, size, percent, count=False)
     going = classes.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("NOT stays").select(F.col("doc_id").alias("_gone"))
     return documents.join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
