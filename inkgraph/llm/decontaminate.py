@@ -24,8 +24,8 @@ from inkgraph.llm.common import small_batches
 
 #: Hamming distance that the index guarantees. Two sets of similarity 0.8 are about 10 bits apart, with a deviation of 3.
 RADIUS = 22
-#: Items of one index. A larger benchmark is gone through in blocks of as many.
-ITEMS = 20_000
+#: Items of one index and the bytes of their texts, about. A larger benchmark is gone through in blocks of as many.
+ITEMS, ITEM_BYTES = 20_000, 1 << 24
 #: Bytes that the windows of one run take, about.
 RUN_BYTES = 1 << 26
 _BLOCKS = 8
@@ -168,9 +168,10 @@ def _short(words: by.Words, few: int, by_hash: dict[int, list[int]], first: int,
 
 
 def indexes(benchmark: DataFrame, size: int) -> Iterator[Index]:
-    """Indexes over blocks of at most about ITEMS items; the benchmark is the fixed side, its blocks are what is sent to the executors."""
+    """Indexes over blocks of at most about ITEMS items and ITEM_BYTES bytes; the benchmark is the fixed side, its blocks are what is sent to the executors."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // ITEMS))
+    n, size_of = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-size_of // ITEM_BYTES))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         yield build(sorted(((r[0], r[1]) for r in rows), key=str), size)

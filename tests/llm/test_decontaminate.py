@@ -62,6 +62,10 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(de, "ITEMS", 7)
     again = sorted([(r.doc_id, r.item_id, r.similarity) for r in de.find_leaks(df, bench).collect()], key=str)
     assert again == want
+    monkeypatch.setattr(de, "ITEMS", 20_000)
+    monkeypatch.setattr(de, "ITEM_BYTES", 1500)
+    assert len(list(de.indexes(bench, 5))) > 2
+    assert sorted([(r.doc_id, r.item_id, r.similarity) for r in de.find_leaks(df, bench).collect()], key=str) == want
     kept = de.without_leaks(df, bench)
     assert kept.columns == df.columns
     rows = sum(len(brute([d], items)) > 0 for d in docs)
