@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkgraph.operators.components import connected_components
+from inkgraph.operators.ranks import ranked
 from inkgraph.plans.scratch import written
 
 
@@ -75,14 +76,11 @@ def is_dag(layers: DataFrame) -> DataFrame:
 
 
 def topological_order(layers: DataFrame) -> DataFrame:
-    """(v, layer, position): positions over (layer, v), counted layer by layer so that no task sorts all vertices.
-
-    A layer's share is sorted by itself; the number of layers before it is a sum over the layer sizes.
-    """
+    """(v, layer, position): positions over (layer, v): the place in the layer, which many tasks sort, behind the sizes of the layers before."""
     sizes = layers.where("layer IS NOT NULL").groupBy("layer").agg(F.count("*").alias("n"))
     before = sizes.select("layer", (F.sum("n").over(W.orderBy("layer").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    ranked = layers.where("layer IS NOT NULL").withColumn("r", F.row_number().over(W.partitionBy("layer").orderBy("v")) - 1)
-    return ranked.join(before, "layer").select("v", "layer", (F.col("before") + F.col("r")).alias("position"))
+    placed = ranked(layers.where("layer IS NOT NULL").select("v", "layer"), "layer", ["v"], "r")
+    return placed.join(before, "layer").select("v", "layer", (F.col("before") + F.col("r")).alias("position"))
 
 
 def order_violations(edges: DataFrame, order: DataFrame) -> DataFrame:

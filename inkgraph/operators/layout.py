@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inkgraph.operators.ranks import ranked
+
 
 def place(layers: DataFrame, width: float = 200, height: float = 80, hgap: float = 40, vgap: float = 50) -> DataFrame:
     """(v, layer, level, x, y): level is the rank of the id in its layer."""
-    level = F.row_number().over(W.partitionBy("layer").orderBy("v")) - 1
-    out = layers.where("layer IS NOT NULL").withColumn("level", level)
+    out = ranked(layers.where("layer IS NOT NULL").select("v", "layer"), "layer", ["v"], "level")
     return out.select("v", "layer", "level", (F.col("layer") * F.lit(float(width + hgap))).alias("x"), (F.col("level") * F.lit(float(height + vgap))).alias("y"))
 
 
 def place_centred(layers: DataFrame, step_x: float = 250, step_y: float = 130) -> DataFrame:
     """(v, x, y) with each layer centred on y = 0."""
-    by_layer = W.partitionBy("layer")
-    ranked = layers.where("layer IS NOT NULL").select("v", "layer", (F.row_number().over(by_layer.orderBy("v")) - 1).alias("r"), F.count("*").over(by_layer).alias("n"))
-    return ranked.select("v", (F.col("layer") * F.lit(float(step_x))).alias("x"), (-(F.col("n") - 1) * F.lit(step_y / 2.0) + F.col("r") * F.lit(float(step_y))).alias("y"))
+    known = layers.where("layer IS NOT NULL").select("v", "layer")
+    rows = ranked(known, "layer", ["v"], "r").join(known.groupBy("layer").agg(F.count("*").alias("n")), "layer")
+    return rows.select("v", (F.col("layer") * F.lit(float(step_x))).alias("x"), (-(F.col("n") - 1) * F.lit(step_y / 2.0) + F.col("r") * F.lit(float(step_y))).alias("y"))
 
 
 def compact(placed: DataFrame, step: float = 130) -> DataFrame:
@@ -133,14 +134,15 @@ def barycentre(edges: DataFrame, layers: DataFrame, sweeps: int = 3) -> DataFram
     """
     from inkgraph.plans.scratch import written
 
-    state = written(layers.where("layer IS NOT NULL").select("v", "layer", (F.row_number().over(W.partitionBy("layer").orderBy("v")) - 1).alias("level")), "levels")
+    known = layers.where("layer IS NOT NULL").select("v", "layer")
+    sizes = known.groupBy("layer").agg(F.count("*").alias("size"))
+    state = written(ranked(known, "layer", ["v"], "level"), "levels")
     for k in range(2 * sweeps):
         near, far = ("dst", "src") if k % 2 == 0 else ("src", "dst")
         other = state.select(F.col("v").alias(far), F.col("level").cast("double").alias("place"))
         mean = edges.join(other, far).groupBy(F.col(near).alias("v")).agg(F.avg("place").alias("mean"))
-        size = F.count("*").over(W.partitionBy("layer"))
-        scored = state.join(mean, "v", "left").withColumn("score", F.round(F.coalesce("mean", size / 2.0), 9))
-        state = written(scored.select("v", "layer", (F.row_number().over(W.partitionBy("layer").orderBy("score", "v")) - 1).alias("level")), "levels")
+        scored = state.join(mean, "v", "left").join(sizes, "layer").select("v", "layer", F.round(F.coalesce("mean", F.col("size") / 2.0), 9).alias("score"))
+        state = written(ranked(scored, "layer", ["score", "v"], "level").drop("score"), "levels")
     return state
 
 
