@@ -66,10 +66,15 @@ def features(df: DataFrame, mix: Mix) -> list[Column]:
 Cell = tuple[str, str, str]
 
 
-def raked(tokens: Mapping[Cell, float], targets: list[Mapping[str, float]], rounds: int) -> dict[Cell, float]:
-    """Shares of the cells, scaled to one target after the other, so many rounds. Sums to 1 where anything is wanted."""
+def raked(tokens: Mapping[Cell, float], targets: list[Mapping[str, float]], rounds: int, most: float = float("inf")) -> dict[Cell, float]:
+    """Shares of the cells, scaled to one target after the other, so many rounds; no cell gets over `most` times its share of tokens.
+
+    A cell at its bound stays there, and the next rounds give what it lacks to the other cells of
+    its categories, so that the targets are met wherever the bounds allow it. Sums to 1 where anything is wanted.
+    """
     total = sum(tokens.values())
     share = {cell: n / total for cell, n in sorted(tokens.items()) if n > 0}
+    bounds = {cell: most * x for cell, x in share.items()}
     goals = []
     for k, target in enumerate(targets):
         present = {c[k] for c in share}
@@ -80,7 +85,7 @@ def raked(tokens: Mapping[Cell, float], targets: list[Mapping[str, float]], roun
             sums: dict[str, float] = {}
             for cell, x in share.items():
                 sums[cell[k]] = sums.get(cell[k], 0.0) + x
-            share = {cell: x * goal.get(cell[k], 0.0) / sums[cell[k]] if sums[cell[k]] > 0 else 0.0 for cell, x in share.items()}
+            share = {cell: min(bounds[cell], x * goal.get(cell[k], 0.0) / sums[cell[k]]) if sums[cell[k]] > 0 else 0.0 for cell, x in share.items()}
     whole = sum(share.values())
     return {cell: x / whole for cell, x in share.items()} if whole > 0 else share
 
@@ -89,24 +94,52 @@ def calibrated(tokens: Mapping[Cell, float], share: Mapping[Cell, float], take:
     """Inclusion probabilities min(1, c * share / tokens), with c such that the expected tokens are `take` of all, or all wanted ones."""
     budget = take * sum(tokens.values())
     cells = sorted((c for c in share if share[c] > 0), key=lambda c: (-share[c] / tokens[c], c))
-    full, left, factor = 0.0, 1.0, float("inf")
-    for cell in cells:
-        ratio = share[cell] / tokens[cell]
-        if (budget - full) / left * ratio <= 1:
-            factor = max(0.0, (budget - full) / left)
+    left = [0.0]  # shares from each cell on
+    for cell in reversed(cells):
+        left.append(left[-1] + share[cell])
+    full, factor = 0.0, float("inf")
+    for cell, rest in zip(cells, reversed(left)):
+        if (budget - full) / rest * share[cell] / tokens[cell] <= 1 + 1e-9:
+            factor = max(0.0, (budget - full) / rest)
             break
         full += tokens[cell]
-        left -= share[cell]
     return {c: min(1.0, factor * share[c] / tokens[c]) for c in cells}
 
 
-def probabilities(cells: DataFrame, mix: Mix) -> dict[Cell, float]:
+def _tokens_by_cell(cells: DataFrame) -> dict[Cell, float]:
     """From rows with _mix_ columns. The cells are at most one for each combination of named categories and "*", so their number does not grow with the data."""
     rows = cells.groupBy("_mix_source", "_mix_lang", "_mix_topic").agg(F.sum("_mix_tokens")).collect()
-    tokens = {(r[0], r[1], r[2]): float(r[3]) for r in rows if r[3]}
-    if not tokens:
-        return {}
-    return calibrated(tokens, raked(tokens, [mix.sources, mix.languages, mix.topics], mix.rounds), mix.take)
+    return {(r[0], r[1], r[2]): float(r[3]) for r in rows if r[3]}
+
+
+def _fitted(tokens: Mapping[Cell, float], mix: Mix) -> dict[Cell, float]:
+    most = 1 / mix.take if mix.take > 0 else float("inf")
+    return calibrated(tokens, raked(tokens, [mix.sources, mix.languages, mix.topics], mix.rounds, most), mix.take) if tokens else {}
+
+
+def mix_report(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """(dimension, category, target, available, expected): shares of tokens wanted, there, and expected in the sample.
+
+    A category that no document has, or that is not wanted, has target 0; where expected stays off the
+    target, the texts do not suffice for it at this `take`. No words at all: no rows.
+    """
+    tokens = _tokens_by_cell(documents.select(*features(documents, mix)))
+    found = _fitted(tokens, mix)
+    whole, drawn = sum(tokens.values()), sum(p * tokens[c] for c, p in found.items())
+    rows = []
+    for k, (dimension, target) in enumerate((("source", mix.sources), ("lang", mix.languages), ("topic", mix.topics))):
+        present = {c[k] for c in tokens}
+        wanted = sum(w for name, w in target.items() if name in present)
+        for name in sorted(present | set(target)) if tokens else []:
+            there = sum(n for c, n in tokens.items() if c[k] == name)
+            taken = sum(p * tokens[c] for c, p in found.items() if c[k] == name)
+            rows.append((dimension, name, target.get(name, 0.0) / wanted if name in present and wanted else 0.0, there / whole, taken / drawn if drawn else 0.0))
+    return documents.sparkSession.createDataFrame(rows, "dimension string, category string, target double, available double, expected double")
+
+
+def probabilities(cells: DataFrame, mix: Mix) -> dict[Cell, float]:
+    """Inclusion probabilities by cell, from rows with _mix_ columns."""
+    return _fitted(_tokens_by_cell(cells), mix)
 
 
 def _chosen(df: DataFrame, found: Mapping[Cell, float]) -> DataFrame:
@@ -149,7 +182,7 @@ def sample_sql(mix: Mix = Mix(), documents: str = "documents") -> str:
             CAST(CAST('0x' || substr(md5('{mix.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS draw
             FROM (SELECT *, coalesce(text, '') AS t FROM {documents}))""",
         "n AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
-        "s0 AS (SELECT *, n / sum(n) OVER () AS x FROM n)",
+        f"s0 AS (SELECT *, n / sum(n) OVER () AS x, n / sum(n) OVER () / {mix.take!r} AS most FROM n)",
     ]
     for key, target in (("source", mix.sources), ("lang", mix.languages), ("topic", mix.topics)):
         values = ", ".join(f"('{k}', {float(w)!r})" for k, w in target.items())
@@ -157,12 +190,12 @@ def sample_sql(mix: Mix = Mix(), documents: str = "documents") -> str:
     step = 0
     for _ in range(mix.rounds):
         for key in ("source", "lang", "topic"):
-            parts.append(f"s{step + 1} AS MATERIALIZED (SELECT s.source, s.lang, s.topic, s.n, CASE WHEN sum(s.x) OVER (PARTITION BY s.{key}) > 0 THEN s.x * coalesce(g.goal, 0) / sum(s.x) OVER (PARTITION BY s.{key}) ELSE 0 END AS x FROM s{step} s LEFT JOIN g_{key} g ON g.k = s.{key})")
+            parts.append(f"s{step + 1} AS MATERIALIZED (SELECT s.source, s.lang, s.topic, s.n, s.most, CASE WHEN sum(s.x) OVER (PARTITION BY s.{key}) > 0 THEN least(s.most, s.x * coalesce(g.goal, 0) / sum(s.x) OVER (PARTITION BY s.{key})) ELSE 0 END AS x FROM s{step} s LEFT JOIN g_{key} g ON g.k = s.{key})")
             step += 1
     parts += [
         f"f AS (SELECT source, lang, topic, n, x / sum(x) OVER () AS x, {mix.take!r} * sum(n) OVER () AS budget FROM s{step})",
-        "o AS (SELECT *, row_number() OVER w AS k, (budget - (sum(n) OVER w - n)) / (1 - (sum(x) OVER w - x)) AS c FROM f WHERE x > 0 WINDOW w AS (ORDER BY x / n DESC, source, lang, topic ROWS UNBOUNDED PRECEDING))",
-        "c AS (SELECT coalesce((SELECT greatest(c, 0) FROM o WHERE c * x / n <= 1 ORDER BY k LIMIT 1), 'inf'::DOUBLE) AS c)",
+        "o AS (SELECT *, row_number() OVER w AS k, (budget - (sum(n) OVER w - n)) / sum(x) OVER (ORDER BY x / n DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM f WHERE x > 0 WINDOW w AS (ORDER BY x / n DESC, source, lang, topic ROWS UNBOUNDED PRECEDING))",
+        "c AS (SELECT coalesce((SELECT greatest(c, 0) FROM o WHERE c * x / n <= 1 + 1e-9 ORDER BY k LIMIT 1), 'inf'::DOUBLE) AS c)",
         "p AS (SELECT source, lang, topic, least(1.0, c.c * x / n) AS probability FROM o, c)",
     ]
     return "WITH " + ",\n".join(parts) + "\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(p.probability, 9) AS probability FROM d JOIN p USING (source, lang, topic) WHERE d.draw < p.probability"
