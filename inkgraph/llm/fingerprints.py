@@ -9,10 +9,12 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from inkgraph.llm.bytes import mixed
 from inkgraph.llm.common import small_batches
@@ -20,6 +22,7 @@ from inkgraph.llm.common import small_batches
 #: Cells of a stored fingerprint, in three sub-tables.
 CELLS = 24
 _CHECK = np.uint64(0xA5A5F00D12345677)
+_LOW = np.uint64(0xFFFFFFFF)  # checks are kept in 32 bits
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 
 
@@ -75,12 +78,24 @@ class Sketches:
         """Insert with sign 1, remove with sign -1; sums wrap modulo 2**64."""
         factor = np.broadcast_to(np.asarray(sign, dtype=np.int64), keys.shape)
         weight = factor.view(np.uint64) if factor.flags.c_contiguous else factor.astype(np.uint64)
-        first, second = keys * weight, mixed(keys ^ _CHECK) * weight
+        first, second = keys * weight, mixed(keys ^ _CHECK) * weight & _LOW
         for table in range(3):
             at = self.cell(owner, keys, table)
             np.add.at(self.count, at, factor)
             np.add.at(self.keys, at, first)
             np.add.at(self.checks, at, second)
+        self.checks &= _LOW
+
+    def subtract(self, other: Sketches) -> None:
+        """Cell by cell; both have the same numbers of cells."""
+        self.count -= other.count
+        self.keys -= other.keys
+        self.checks = self.checks - other.checks & _LOW
+
+    def sizes(self) -> np.ndarray:
+        """The number of digests in each sketch: the sum of the counts of its first sub-table."""
+        ends = np.concatenate(([0], np.cumsum(self.count)))
+        return ends[self.base[:-1] + self.sub] - ends[self.base[:-1]]
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(owner, digest, sign) of all recovered entries, and for each sketch whether nothing is left."""
@@ -99,7 +114,7 @@ class Sketches:
                 weight = sign.astype(np.uint64)
                 keys = self.keys[at] * weight
                 owner = owners[at]
-                pure = (mixed(keys ^ _CHECK) == self.checks[at] * weight) & (self.cell(owner, keys, table) == at)
+                pure = (mixed(keys ^ _CHECK) & _LOW == self.checks[at] * weight & _LOW) & (self.cell(owner, keys, table) == at)
                 if pure.any():
                     progress = True
                     found.append((owner[pure], keys[pure], sign[pure]))
@@ -114,14 +129,61 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets) if sum(sizes) else np.zeros(0, np.uint64)
 
 
-def differing(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS, tries: int = 8) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def _by_pair(peeled: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """What was peeled, for each sketch: digests with sign 1 and with sign -1, or None where something is left."""
+    owner, keys, sign, done = peeled
+    order = np.argsort(owner, kind="stable")
+    owner, keys, sign = owner[order], keys[order], sign[order]
+    ends = np.searchsorted(owner, np.arange(len(done) + 1))
+    out: list = []
+    for k, whole in enumerate(done):
+        mine = slice(ends[k], ends[k + 1])
+        out.append((keys[mine][sign[mine] > 0], keys[mine][sign[mine] < 0]) if whole else None)
+    return out
+
+
+def stored(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
+    """The sketches as base64 text: counts in 32 bits, digest sums in 64, check sums in 32."""
+    sketches = Sketches(np.full(len(sets), cells, dtype=np.int64))
+    owner, keys = _flat(sets)
+    sketches.add(owner, keys, 1)
+    out = []
+    for first, last in zip(sketches.base[:-1], sketches.base[1:], strict=True):
+        raw = sketches.count[first:last].astype("<i4").tobytes() + sketches.keys[first:last].astype("<u8").tobytes() + sketches.checks[first:last].astype("<u4").tobytes()
+        out.append(base64.b64encode(raw).decode())
+    return out
+
+
+def loaded(fingerprints: list[str]) -> Sketches:
+    """The sketches that stored() has written."""
+    raws = [base64.b64decode(x) for x in fingerprints]
+    sketches = Sketches(np.array([len(x) // 16 for x in raws], dtype=np.int64))
+    for raw, first, last in zip(raws, sketches.base[:-1], sketches.base[1:], strict=True):
+        n = last - first
+        sketches.count[first:last] = np.frombuffer(raw, "<i4", n)
+        sketches.keys[first:last] = np.frombuffer(raw, "<u8", n, 4 * n)
+        sketches.checks[first:last] = np.frombuffer(raw, "<u4", n, 12 * n)
+    return sketches
+
+
+def compared(left: list[str], right: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray] | None], np.ndarray]:
+    """From stored fingerprints alone: the digests that only the left and only the right has, or None where they differ in too many, and the digests of both."""
+    ours, theirs = loaded(left), loaded(right)
+    if (ours.sub != theirs.sub).any():
+        raise ValueError("fingerprints of different sizes")
+    total = ours.sizes() + theirs.sizes()
+    ours.subtract(theirs)
+    return _by_pair(ours.peel()), total
+
+
+def differing(left: list[np.ndarray], right: list[np.ndarray], cells: int | np.ndarray = CELLS, tries: int = 8) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For each pair the digests that only the left and only the right version has, and the cells it took.
 
     The sketches are subtracted and peeled; where something is left, both are built again with twice
     as many cells as there are digests, and then twice that. What no try resolves is compared digest by digest.
     """
+    size = np.array(np.broadcast_to(cells, len(left)), dtype=np.int64)
     out: list = [None] * len(left)
-    size = np.full(len(left), cells, dtype=np.int64)
     todo = np.arange(len(left))
     for _ in range(tries):
         if not len(todo):
@@ -130,38 +192,43 @@ def differing(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELL
         for sets, sign in ((left, 1), (right, -1)):
             owner, keys = _flat([sets[k] for k in todo])
             sketches.add(owner, keys, sign)
-        owner, keys, sign, done = sketches.peel()
-        order = np.argsort(owner, kind="stable")
-        owner, keys, sign = owner[order], keys[order], sign[order]
-        ends = np.searchsorted(owner, np.arange(len(todo) + 1))
-        for k in np.flatnonzero(done):
-            mine = slice(ends[k], ends[k + 1])
-            out[todo[k]] = (keys[mine][sign[mine] > 0], keys[mine][sign[mine] < 0])
-        todo = todo[~done]
-        both = np.array([len(left[k]) + len(right[k]) for k in todo], dtype=np.int64)
-        size[todo] = 3 * np.maximum(2 * size[todo] // 3, (2 * both + 2) // 3)
+        for k, part in zip(todo, _by_pair(sketches.peel()), strict=True):
+            out[k] = part
+        todo = todo[[out[k] is None for k in todo]]
+        size[todo] = np.maximum(2 * size[todo], _twice([left[k] for k in todo], [right[k] for k in todo]))
     for k in todo:
         out[k] = (np.setdiff1d(left[k], right[k]), np.setdiff1d(right[k], left[k]))
     return out, size
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """1 - differing / all digests of each pair; 1 where neither has any."""
-    parts, _ = differing(left, right, cells)
-    wrong = np.array([len(a) + len(b) for a, b in parts], dtype=float)
-    total = np.array([len(a) + len(b) for a, b in zip(left, right, strict=True)], dtype=float)
+def _twice(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Cells for twice the digests of each pair, in three sub-tables."""
+    return np.array([3 * ((2 * (len(a) + len(b)) + 2) // 3) for a, b in zip(left, right, strict=True)], dtype=np.int64)
+
+
+def likeness(left: list[np.ndarray], right: list[np.ndarray], left_stored: list[str], right_stored: list[str]) -> np.ndarray:
+    """1 - differing / all digests of each pair; 1 where neither has any.
+
+    The stored fingerprints are subtracted and peeled; those that differ in too many digests are built again larger.
+    """
+    parts, total = compared(left_stored, right_stored)
+    again = [k for k, part in enumerate(parts) if part is None]
+    a, b = [left[k] for k in again], [right[k] for k in again]
+    for k, part in zip(again, differing(a, b, np.maximum(6, _twice(a, b)))[0], strict=True):
+        parts[k] = part
+    wrong = np.array([len(x[0]) + len(x[1]) for x in parts], dtype=float)
     return np.where(total > 0, 1 - wrong / np.maximum(total, 1), 1.0)
 
 
-def stored(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
-    """The sketches as base64 text: counts in 16 bits, digest sums in 64, check sums in 32."""
-    sketches = Sketches(np.full(len(sets), cells, dtype=np.int64))
-    owner, keys = _flat(sets)
-    sketches.add(owner, keys, 1)
-    out = []
-    for first, last in zip(sketches.base[:-1], sketches.base[1:], strict=True):
-        raw = sketches.count[first:last].astype("<i2").tobytes() + sketches.keys[first:last].astype("<u8").tobytes() + sketches.checks[first:last].astype("<u4").tobytes()
-        out.append(base64.b64encode(raw).decode())
+@F.pandas_udf(DoubleType())
+def fingerprint_likeness(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Likeness of two columns of stored fingerprints of one size, null where one is null or they differ in more digests than peel (about 18 of 24 cells)."""
+    out = pd.Series(np.nan, index=left.index)
+    known = left.notna() & right.notna()
+    if known.any():
+        parts, total = compared(list(left[known]), list(right[known]))
+        near = [np.nan if x is None else 1.0 if not n else 1 - (len(x[0]) + len(x[1])) / n for x, n in zip(parts, total, strict=True)]
+        out[known] = near
     return out
 
 
@@ -181,15 +248,18 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch], cells: int, names: list[st
         edits = [edited_text(a, b) for a, b in zip(texts, nexts, strict=True)]
         own = [digests(x) for x in texts]
         changed = [digests(x) for x in edits]
-        after = own[1:] + [digests(nexts[-1])] if all(a is b for a, b in zip(nexts[:-1], texts[1:], strict=True)) else [digests(x) for x in nexts]
-        near = likeness(own + own, changed + after, cells)
+        chained = all(a is b for a, b in zip(nexts[:-1], texts[1:], strict=True))
+        after = own[1:] + [digests(nexts[-1])] if chained else [digests(x) for x in nexts]
+        prints, changed_prints = stored(own, cells), stored(changed, cells)
+        after_prints = prints[1:] + stored(after[-1:], cells) if chained else stored(after, cells)
+        near = likeness(own + own, changed + after, prints + prints, changed_prints + after_prints)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, type=id_type),
                 pa.array([len(x) for x in texts], type=pa.int64()),
                 pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edits]),
-                pa.array(stored(own, cells)),
-                pa.array(stored(changed, cells)),
+                pa.array(prints),
+                pa.array(changed_prints),
                 pa.array(near[: len(own)]),
                 pa.array(near[len(own) :]),
             ],
