@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -102,8 +101,8 @@ def http_parts(body: bytes) -> tuple[bytes, bytes]:
     return b"", body
 
 
-def warc_record(kind: str, ident: str, url: str, date: str, ip: str, head: bytes, payload: bytes, digest: str, refers_to: tuple[str, str] | None = None, extra: str = "") -> bytes:
-    """Header and block of a response, resource or revisit record, without the two line ends behind it."""
+def warc_record(kind: str, ident: str, url: str, date: str, ip: str, head: bytes, payload: bytes, digest: str, refers_to: tuple[str, str] | None = None, extra: str = "", mime: str = "text/html") -> bytes:
+    """Header and block of a response, resource or revisit record, without the two line ends behind it. mime: content type of a block without HTTP head."""
     block = head if kind == "revisit" else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}"]
     if ip and ip != "0.0.0.0":
@@ -112,35 +111,61 @@ def warc_record(kind: str, ident: str, url: str, date: str, ip: str, head: bytes
     if refers_to:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[0]}", f"WARC-Refers-To-Target-URI: {refers_to[1]}"]
     lines += [extra] if extra else []
-    lines += [f"Content-Type: {'application/http; msgtype=response' if head else 'text/html'}", f"Content-Length: {len(block)}"]
+    lines += [f"Content-Type: {'application/http; msgtype=response' if head else mime or 'application/octet-stream'}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + END + block
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        cut = data.find(END, at)
-        if cut < 0 or not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:cut].decode("utf-8", "replace").split("\r\n")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        first = cut + 4
-        last = first + int(head["content-length"])
-        if data[last : last + 4] != END:
-            raise ValueError(f"the WARC record at byte {at} has another length than declared")
-        yield head, data[first:last]
-        at = last + 4
+def warcinfo(ident: str, date: str) -> bytes:
+    """The record a file begins with, without the two line ends behind it."""
+    block = b"software: inkgraph\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {ident}", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + block
+
+
+def read_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record, by declared lengths.
+
+    pieces: what lies between double line ends, in order, of one file or of several. Blocks may hold
+    double line ends; no more than a record and a piece is in memory.
+    """
+    held = bytearray()
+    head: dict[str, str] | None = None
+    length = 0
+    for piece in pieces:
+        held += piece
+        held += END
+        while True:
+            if head is None:
+                while held.startswith(END):  # the last piece of a file has no double line end of its own
+                    del held[:4]
+                cut = held.find(END)
+                if cut < 0:
+                    break
+                if not held.startswith(b"WARC/1."):
+                    raise ValueError(f"no WARC record: {bytes(held[:80])!r}")
+                lines = held[:cut].decode("utf-8", "replace").split("\r\n")
+                head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+                length = int(head["content-length"])
+                del held[: cut + 4]
+            if len(held) < length + 4:
+                break
+            if held[length : length + 4] != END:
+                raise ValueError(f"the WARC record {head.get('warc-record-id')} has another length than declared")
+            yield head, bytes(held[:length])
+            del held[: length + 4]
+            head = None
+    if head is not None or held:
+        raise ValueError("the last WARC record is cut off")
 
 
 # Spark side
 
-_CONVERTED = "page_id long, url string, ip string, date string, version int, head binary, payload binary, payload_bytes long, payload_digest string"
+_CONVERTED = "page_id long, url string, ip string, date string, version int, head binary, payload binary, payload_bytes long, payload_digest string, mime string"
 
 
 def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages as legacy ARC files of either version, parsed again and given WARC dates and digests."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("version", pa.int32()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("version", pa.int32()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("mime", pa.string())])
     for batch in batches:
         by_version: dict[int, list[ArcRecord]] = {1: [], 2: []}
         for page, url, html in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -155,12 +180,12 @@ def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in read_arc(arc_file(records, version)):
                 head, payload = http_parts(r.body)
                 ident = head.rpartition(b"X-Page-Id: ")[2].strip()
-                rows.append((int(ident) if ident else None, r.url, r.ip, r.date, r.version, head, payload, len(payload), hashlib.sha256(payload).hexdigest()))
+                rows.append((int(ident) if ident else None, r.url, r.ip, r.date, r.version, head, payload, len(payload), hashlib.sha256(payload).hexdigest(), r.mime))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), type=f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
 def convert_pages(pages: DataFrame) -> DataFrame:
-    """Pages put into ARC records, which the converter parses: page_id, url, ip, date, version, head, payload, payload_bytes, payload_digest."""
+    """Pages put into ARC records, which the converter parses: page_id, url, ip, date, version, head, payload, payload_bytes, payload_digest, mime."""
     small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("html")).mapInArrow(_converted, _CONVERTED)
 
@@ -182,47 +207,62 @@ def with_revisits(converted: DataFrame) -> DataFrame:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a file, which begins with a warcinfo record. What has no HTTP head is a resource of its own content type."""
+    begun = False
     for batch in batches:
         out = []
-        for page, url, ip, date, _, head, payload, n, digest, refers, refers_url, refers_date in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for page, url, ip, date, _, head, payload, n, digest, mime, refers, refers_url, refers_date in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            ident = record_id(url, date, page)
+            if not begun:
+                out.append(warcinfo(record_id(ident, date, "warcinfo"), warc_date(date)))
+                begun = True
             to = None if refers is None else (record_id(refers_url, refers_date, refers), refers_url)
             extra = f"X-Page-Id: {'' if page is None else page}\r\nX-Payload-Length: {n}" + ("" if refers is None else f"\r\nX-Refers-To-Page-Id: {refers}")
-            out.append(warc_record("response" if refers is None else "revisit", record_id(url, date, page), url, warc_date(date), ip, head, payload, digest, to, extra))
+            kind = "revisit" if refers is not None else "response" if head else "resource"
+            out.append(warc_record(kind, ident, url, warc_date(date), ip, head, payload, digest, to, extra, mime))
         yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["value"])
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Writes .gz files of WARC records, the two line ends behind each being the writer's line separator."""
+def write_warc(records: DataFrame, path: str) -> None:
+    """Writes .gz files of WARC records, one a task, the two line ends behind each record being the writer's line separator."""
     small_batches(records.sparkSession)
     values = records.mapInArrow(_records, "value binary").select(F.col("value").cast("string").alias("value"))
-    values.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    values.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string())])
-    for batch in batches:
-        for (content,) in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("mime", pa.string())])
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), type=f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for head, block in read_warc(piece for batch in batches for piece in batch.column(0).to_pylist()):
+        kind = head["warc-type"]
+        if kind == "warcinfo":
+            continue
+        digest, size = head["warc-payload-digest"].partition(":")[2], int(head["x-payload-length"])
+        if hashlib.sha256(block).hexdigest() != head["warc-block-digest"].partition(":")[2]:
+            raise ValueError(f"block digest of {head['warc-record-id']}")
+        if kind != "revisit":
+            payload = http_parts(block)[1] if kind == "response" else block
+            size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        to = head.get("x-refers-to-page-id")
+        page = head["x-page-id"].strip()
+        rows.append((int(page) if page else None, size, digest, kind, int(to) if to else None, head["warc-record-id"], head["warc-target-uri"], head["warc-date"], head["content-type"]))
+        if len(rows) == 1000:
+            yield out()
             rows = []
-            for head, block in read_warc(zlib.decompress(content, zlib.MAX_WBITS | 16) if content[:2] == b"\x1f\x8b" else content):
-                kind, digest, size = head["warc-type"], head["warc-payload-digest"].partition(":")[2], int(head["x-payload-length"])
-                if hashlib.sha256(block).hexdigest() != head["warc-block-digest"].partition(":")[2]:
-                    raise ValueError(f"block digest of {head['warc-record-id']}")
-                if kind != "revisit":
-                    payload = http_parts(block)[1]
-                    size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                to = head.get("x-refers-to-page-id")
-                page = head["x-page-id"].strip()
-                rows.append((int(page) if page else None, size, digest, kind, int(to) if to else None, head["warc-record-id"], head["warc-target-uri"], head["warc-date"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), type=f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    if rows:
+        yield out()
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the files in a folder; a file is one task's unit, of bounded records."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return files.mapInArrow(_parsed, schema)
+    """A row for each record, warcinfo ones left out, of the .gz files that write_warc makes. A file is one task's work, of which a record at a time is in memory."""
+    small_batches(spark)
+    pieces = spark.read.option("lineSep", END.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string, mime string"
+    return pieces.mapInArrow(_parsed, schema)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
