@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
+def _turn() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _in_order(turns: Column) -> Column:
+    return F.transform(F.array_sort(turns), lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
+
+
 def conversations_as_arrays(turns: DataFrame, name: str = "turns") -> DataFrame:
     """(conv_id, turns): each conversation's turns in order, ties by role and text; null role and text count as empty.
 
-    A conversation is one row, as its rendering is. Turns without a conv_id form one conversation with a null id.
+    A conversation is one row, as its rendering is. Turns without a conv_id belong to no conversation.
     """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_turns")).select("conv_id", F.transform("_turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias(name))
+    return turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(_in_order(F.collect_list(_turn())).alias(name))
 
 
 def common_turns(left: Column, right: Column) -> Column:
@@ -66,15 +73,24 @@ def format_preferences(pairs: DataFrame, keys: list[str], chosen: str = "chosen"
 def swapped_answers(turns: DataFrame) -> DataFrame:
     """Pairs (conv_id, chosen, rejected): a conversation, and itself with its last answer taken from its neighbour.
 
-    Neighbours are the ids 2k and 2k + 1. A conversation is paired if both have an assistant turn.
+    Neighbours are the ids 2k and 2k + 1, which one shuffle brings together. A conversation is paired
+    if both have an assistant turn; turns without a conv_id are in no pair.
     """
-    convs = conversations_as_arrays(turns, "chosen")
-    answers = F.filter("chosen", lambda t: t.role == "assistant")
-    place = F.array_max(F.filter(F.transform("chosen", lambda t, k: F.when(t.role == "assistant", k)), lambda k: k.isNotNull()))
-    convs = convs.withColumn("_answer", F.element_at(F.when(F.size(answers) > 0, answers), -1)).withColumn("_place", place).where("_answer IS NOT NULL AND conv_id IS NOT NULL")
-    other = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("_answer").alias("_other"))
-    joined = convs.join(other, "conv_id")
-    return joined.select("conv_id", "chosen", F.transform("chosen", lambda t, k: F.when(k == F.col("_place"), F.col("_other")).otherwise(t)).alias("rejected"))
+    def half(k: int) -> Column:
+        return _in_order(F.collect_list(F.when(F.col("_half") == k, _turn())))
+
+    def answer(side: Column) -> Column:  # the place of the last one
+        return F.array_max(F.filter(F.transform(side, lambda t, k: F.when(t.role == "assistant", k)), lambda k: k.isNotNull()))
+
+    known = turns.where("conv_id IS NOT NULL").withColumn("_pair", F.shiftright(F.col("conv_id").cast("long"), 1)).withColumn("_half", F.col("conv_id").cast("long").bitwiseAND(F.lit(1).cast("long")))
+    pairs = known.groupBy("_pair").agg(F.min(F.when(F.col("_half") == 0, F.col("conv_id"))).alias("_id0"), F.min(F.when(F.col("_half") == 1, F.col("conv_id"))).alias("_id1"), half(0).alias("_t0"), half(1).alias("_t1"))
+    pairs = pairs.select("*", answer(F.col("_t0")).alias("_a0"), answer(F.col("_t1")).alias("_a1")).where("_a0 IS NOT NULL AND _a1 IS NOT NULL")
+
+    def side(k: int) -> Column:
+        return F.struct(F.col(f"_id{k}").alias("conv_id"), F.col(f"_t{k}").alias("chosen"), F.col(f"_a{k}").alias("_place"), F.get(f"_t{1 - k}", F.col(f"_a{1 - k}")).alias("_other"))
+
+    both = pairs.select(F.explode(F.array(side(0), side(1))).alias("_side")).select("_side.*")
+    return both.select("conv_id", "chosen", F.transform("chosen", lambda t, k: F.when(k == F.col("_place"), F.col("_other")).otherwise(t)).alias("rejected"))
 
 
 def spans_as_text(spans: Column) -> Column:

@@ -30,3 +30,13 @@ def test_general_pairs(spark):
     assert got[0].n_prompt_turns == 1 and got[0].chosen == got[0].rejected == ""
     assert got[1].n_prompt_turns == 0 and got[1].prompt == "" and got[1].rejected == ""
     assert format_preferences(df.limit(0), ["id"], "a", "b").count() == 0
+
+
+def test_pairs_need_one_shuffle_and_keep_long_conversations(spark):
+    turns = [(k, j, "assistant" if j % 2 else "user", f"{k} {j} " + "w" * 200) for k in (-2, -1, 4) for j in range(3000)]
+    pairs = swapped_answers(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {r.conv_id: r for r in format_preferences(pairs, ["conv_id"]).collect()}
+    assert sorted(got) == [-2, -1] and got[-1].n_prompt_turns == 2999
+    assert got[-1].rejected == "<|assistant|>\n-2 2999 " + "w" * 200 + "<|end|>\n"
