@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgraph.llm import chat, decontaminate, jaccard, mixing, quality, toxicity
+from inkgraph.llm import chat, decontaminate, jaccard, mixing, quality, toxicity, url_filter
 from inkgraph.llm.common import table
 from inkgraph.llm.context_mixing import score_texts
 from inkgraph.llm.fingerprints import fingerprint_versions
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark), url_filter.labelled_table(spark))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_context_mixing": op2_context_mixing,
@@ -68,11 +72,13 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
+    "op11_url_filter": op11_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.sample_sql(),
     "op4_preferences": chat.SWAPPED_SQL,
+    "op11_url_filter": url_filter.filter_sql(),
     "op8_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
