@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgraph.llm import chat, decontaminate, jaccard, mixing, quality, ranked_search, toxicity, url_filter
+from inkgraph.llm import chat, decontaminate, jaccard, mixing, quality, ranked_search, spelling, toxicity, url_filter
 from inkgraph.llm.common import table
 from inkgraph.llm.context_mixing import score_texts
 from inkgraph.llm.fingerprints import fingerprint_versions
@@ -61,6 +61,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark), url_filter.labelled_table(spark))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
     "op11_url_filter": op11_url_filter,
+    "op12_spelling": op12_spelling,
     "op13_ranked_search": op13_ranked_search,
 }
 
