@@ -107,10 +107,6 @@ QUERIES = {
     "layout_route_statistics": _both(lambda e, p: layout.route_statistics(layout.route_lengths(layout.routes(e, p)))),
     "layout_orthogonal_lengths": _both(lambda e, p: layout.route_lengths(layout.orthogonal_routes(e, p))),
     "serve_laid_out": _both(lambda e, p: layout.laid_out_with_links(p, e.where("src LIKE 'C%'")).select("v", "layer", "level")),
-    "serve_viewport_nodes": lambda s, d: layout.viewport_nodes(_placed(s, d), 200, 0, 800, 1300),
-    "serve_viewport_edges": _both(lambda e, p: layout.viewport_edges(e, layout.viewport_nodes(p, 200, 0, 800, 1300), 3)),
-    "serve_page_by_distance": lambda s, d: layout.page_by_distance(_placed(s, d), 500, 700, 20, 50),
-    "serve_overlapping_blocks": lambda s, d: layout.overlapping_blocks(_placed(s, d), 300, 300, 600, 900).select("v", "x", "y"),
 }
 
 ORACLE_SQL = {
@@ -162,8 +158,4 @@ ORACLE_SQL = {
     "layout_route_statistics": f"WITH RECURSIVE {PLACED}, w AS (SELECT greatest(1, abs(b.layer - a.layer)) - 1 AS n FROM e JOIN p a ON a.v = e.src JOIN p b ON b.v = e.dst) SELECT count(*) AS routes, count(*) FILTER (n = 0) AS straight, count(*) FILTER (n > 0) AS polylines, round(avg(n), 6) AS mean_waypoints FROM w",
     "layout_orthogonal_lengths": f"WITH RECURSIVE {PLACED} SELECT e.src, e.dst, CAST(2 AS INTEGER) AS waypoints, round(abs(b.x - a.x - 200) + abs(b.y - a.y), 3) AS length FROM e JOIN xy a ON a.v = e.src JOIN xy b ON b.v = e.dst",
     "serve_laid_out": f"WITH RECURSIVE {PLACED} SELECT v, layer, level FROM p WHERE v IN (SELECT src FROM e WHERE src LIKE 'C%' UNION SELECT dst FROM e WHERE src LIKE 'C%')",
-    "serve_viewport_nodes": f"WITH RECURSIVE {PLACED} SELECT v, layer, level, x, y FROM xy WHERE x BETWEEN 200 AND 800 AND y BETWEEN 0 AND 1300",
-    "serve_viewport_edges": f"WITH RECURSIVE {PLACED}, n AS (SELECT v FROM xy WHERE x BETWEEN 200 AND 800 AND y BETWEEN 0 AND 1300), o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM e WHERE src IN (SELECT v FROM n)), i AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM e WHERE dst IN (SELECT v FROM n)) SELECT src, dst FROM o WHERE r <= 3 UNION SELECT src, dst FROM i WHERE r <= 3",
-    "serve_page_by_distance": f"WITH RECURSIVE {PLACED} SELECT v, distance FROM (SELECT v, layer, round(sqrt((x - 500) ** 2 + (y - 700) ** 2), 6) AS distance FROM xy) ORDER BY distance, layer, v LIMIT 50 OFFSET 20",
-    "serve_overlapping_blocks": f"WITH RECURSIVE {PLACED} SELECT v, x, y FROM xy WHERE x + 200 >= 300 - 400 AND x <= 600 + 400 AND y + 80 >= 300 - 160 AND y <= 900 + 160",
 }
