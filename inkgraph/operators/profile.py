@@ -71,6 +71,12 @@ def missing_reasons(df: DataFrame, required: list[str]) -> DataFrame:
     return df.groupBy(F.when(lacking != "", F.concat(F.lit("missing: "), lacking)).otherwise("").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def validate_mandatory(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): rows that have all mandatory fields, and the others with the reason `missing: a, b`."""
+    lacking = F.concat_ws(", ", *(F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in required))
+    return df.where(lacking == ""), df.where(lacking != "").withColumn("reason", F.concat(F.lit("missing: "), lacking))
+
+
 def upsert_articles(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of the batch replace those of equal uid and are unprocessed; others stay as they are."""
     kept = target.join(batch.select("uid"), "uid", "left_anti")

@@ -22,7 +22,10 @@ def _bare(pmcid: Column) -> Column:
 
 
 def article_fields(files: DataFrame) -> DataFrame:
-    """uid, pmid, pmcid, doi, title, journal, year, abstract, authors, keywords (200 characters at most) of rows with an article root."""
+    """uid, pmid, pmcid, doi, title, journal, year, abstract, authors, keywords (200 characters at most), xml and body of rows with an article root.
+
+    Files must be well formed (`archives.read_members` or `archives.checked` put others aside); body is there if they bring it.
+    """
     xml = F.col("xml")
     meta = "/article/front/article-meta"
     pmid, pmcid = _text(xml, f"{meta}/article-id[@pub-id-type='pmid']"), _bare(_text(xml, f"{meta}/article-id[@pub-id-type='pmc' or @pub-id-type='pmcid']"))
@@ -36,7 +39,7 @@ def article_fields(files: DataFrame) -> DataFrame:
         pmid.alias("pmid"), pmcid.alias("pmcid"), _text(xml, f"{meta}/article-id[@pub-id-type='doi']").alias("doi"), _text(xml, f"{meta}//article-title").alias("title"),
         _text(xml, "/article/front/journal-meta//journal-title").alias("journal"),
         F.nullif(F.regexp_extract(F.xpath_string(xml, F.lit(f"{meta}//pub-date/year")), r"\b((?:19|20)\d{2})\b", 1), F.lit("")).alias("year"),
-        _text(xml, f"{meta}/abstract").alias("abstract"), authors.alias("authors"), keywords.alias("keywords"), "xml",
+        _text(xml, f"{meta}/abstract").alias("abstract"), authors.alias("authors"), keywords.alias("keywords"), "xml", *(["body"] if "body" in files.columns else []),
     )
 
 
