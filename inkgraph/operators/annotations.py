@@ -67,23 +67,34 @@ def edit_range(old: Column, new: Column) -> Column:
     return F.struct(prefix.alias("start"), (F.length(old) - suffix).alias("old_end"), (F.length(new) - suffix).alias("new_end"))
 
 
+def _after(span: Column, e: Column) -> Column:
+    """A span after one edit; a span without length stays as it is."""
+    s, t, a, b, n = span["s"], span["t"], e["from"], e["to"], e["length"]
+    delta = n - (b - a)
+    inside = (s >= a) & (t <= b) & (b > a)
+    scaled = lambda x: (a + F.floor((x - a) * n / (b - a))).cast("long")
+    start = F.when(t <= a, s).when(s >= b, s + delta).when((s <= a) & (t >= b), s).when(inside, scaled(s)).when(s < a, s).otherwise(a + n)
+    end = F.when(t <= a, t).when(s >= b, t + delta).when((s <= a) & (t >= b), t + delta).when(inside, scaled(t)).when(s < a, a).otherwise(t + delta)
+    gone = t <= s
+    return F.struct(F.when(gone, s).otherwise(start).cast("long").alias("s"), F.when(gone, t).otherwise(end).cast("long").alias("t"))
+
+
 def shifted(annotations: DataFrame, edits: DataFrame) -> DataFrame:
-    """Annotations after an edit of their document that replaces [from, to) by `length` characters.
+    """Annotations after the edits of their document, each of which replaces [from, to) by `length` characters.
 
-    Before the edit: unchanged. Behind it: moved. Around it: the end moves. Cut on the left or right:
-    the part outside stays. Inside: scaled. What has no length left is deleted. A document has one edit;
-    of several the first by (from, to, length) counts.
+    Before an edit: unchanged. Behind it: moved. Around it: the end moves. Cut on the left or right:
+    the part outside stays. Inside: scaled. What has no length left is deleted. With a column seq the edits follow
+    each other and each means the text as the one before left it; without it all mean the text as it was, and
+    are taken from the last position to the first, so that none moves another. Edits with a null are left out.
     """
-    edits = edits.groupBy("doc_id").agg(F.min(F.struct("from", "to", "length")).alias("_e")).select("doc_id", "_e.*")
-    e = edits.select("doc_id", F.col("from").alias("_a"), F.col("to").alias("_b"), F.col("length").alias("_n"))
-    s, t, a, b, n = (F.col(c) for c in ("start", "end", "_a", "_b", "_n"))
-    delta = n - (b - a)
-    inside = (s >= a) & (t <= b) & (b > a)
-    start = F.when(t <= a, s).when(s >= b, s + delta).when((s <= a) & (t >= b), s).when(inside, a + F.floor((s - a) * n / (b - a))).when(s < a, s).otherwise(a + n)
-    end = F.when(t <= a, t).when(s >= b, t + delta).when((s <= a) & (t >= b), t + delta).when(inside, a + F.floor((t - a) * n / (b - a))).when(s < a, a).otherwise(t + delta)
-    out = annotations.join(e, "doc_id", "left").withColumn("_s", F.when(a.isNull(), s).otherwise(start).cast("long")).withColumn("_t", F.when(a.isNull(), t).otherwise(end).cast("long"))
+    known = edits.where("from IS NOT NULL AND to IS NOT NULL AND length IS NOT NULL")
+    place = F.col("seq").cast("long") if "seq" in edits.columns else -F.col("from").cast("long")
+    one = F.struct(place.alias("k"), (-F.col("to")).cast("long").alias("l"), F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"), F.col("length").cast("long").alias("length"))
+    per = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_edits"))
+    span = F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("t"))
+    out = annotations.join(per, "doc_id", "left").withColumn("_p", F.when(F.col("_edits").isNull(), span).otherwise(F.aggregate("_edits", span, _after)))
     kept = [c for c in annotations.columns if c not in ("start", "end")]
-    return out.where("_t > _s").select(*kept, F.col("_s").alias("start"), F.col("_t").alias("end"))
+    return out.where("_p.t > _p.s").select(*kept, F.col("_p.s").alias("start"), F.col("_p.t").alias("end"))
 
 
 def text_changed(annotations: DataFrame, texts: DataFrame) -> DataFrame:

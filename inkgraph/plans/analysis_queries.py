@@ -125,7 +125,7 @@ QUERIES = {
     "actions_success_patterns": lambda s, d: chains.success_patterns(resolved_dependencies(s, d), table(s, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").cast("string").alias("id"))),
     "actions_causal_listing": lambda s, d: chains.causal_listing(resolved_dependencies(s, d), _goal_rows(s, d)),
     "actions_dag": lambda s, d: actions.action_dag(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("subject"), F.col("p_partkey").cast("string").alias("verb"), F.col("p_type").alias("object")), resolved_dependencies(s, d)),
-    "actions_goal_information": lambda s, d: actions.goal_information(resolved_dependencies(s, d), table(s, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").cast("string").alias("id")), 6),
+    "actions_goal_information": lambda s, d: actions.goal_information(resolved_dependencies(s, d), table(s, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").cast("string").alias("id"))),
     "actions_linked_arguments": lambda s, d: syntax.linked_arguments(_entities(s, d).select("doc_id", "sent_idx", F.col("text").alias("entity")), syntax.subject_verb_object(sentence_words(s, d), sentence_deps(s, d))),
     "syntax_clauses": lambda s, d: syntax.clauses(sentence_words(s, d), sentence_deps(s, d)),
     "syntax_noun_phrases": lambda s, d: syntax.noun_phrases(sentence_words(s, d), sentence_deps(s, d)),
@@ -175,6 +175,7 @@ _PARTS = "(?i)" + "|".join(map(_unicode, actions.PART_MARKERS))
 _WHOLE = "(?i)" + _unicode(actions.WHOLE_FIRST.removeprefix("(?i)"))
 
 ORACLE_SQL = {
+    "actions_goal_information": f"WITH RECURSIVE {RESOLVED}, r AS (SELECT CAST(p_partkey AS VARCHAR) AS goal, [CAST(p_partkey AS VARCHAR)] AS path FROM part WHERE p_type = 'PROMO' UNION ALL SELECT r.goal, list_prepend(x.src, r.path) FROM r JOIN x ON x.dst = r.path[1] WHERE len(r.path) <= 10), c AS (SELECT *, path[1] NOT IN (SELECT dst FROM x) AS ended FROM r WHERE len(path) > 1), w AS (SELECT goal, array_to_string(path, '>') AS p, ended, len(path) AS n FROM c) SELECT goal, count(*) FILTER (ended) AS paths, count(*) FILTER (NOT ended) AS longer, coalesce(array_to_string(list_sort(list(p) FILTER (ended))[1:5], ' '), '') AS first FROM w WHERE ended OR n = 11 GROUP BY goal",
     "chains_verbs": f"WITH {SW}, {SD}, {VERBS} SELECT doc_id, sent_idx, token_idx, verb, subject, object, array_to_string(entities, ',') AS entities FROM vt",
     "chains_sequences": f"WITH {SEQUENCES} SELECT * FROM sq",
     "chains_statistics": f"WITH {SEQUENCES} SELECT sequence_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM sq GROUP BY 1",
@@ -187,7 +188,7 @@ ORACLE_SQL = {
     "actions_arguments": f"WITH {SW}, {SD}, {_ACT}, ow AS (SELECT doc_id, sent_idx, head AS token_idx, arg_min(lower(text), dependent) FILTER (relation = 'nsubj') AS subject, arg_min(lower(text), dependent) FILTER (relation = 'obj') AS object, string_agg(lower(text), ' ' ORDER BY dependent) FILTER (relation IN ('obl','advmod')) AS modifiers FROM sd GROUP BY 1, 2, 3), pa AS (SELECT d.doc_id, d.sent_idx, d.dependent AS token_idx, o.subject AS above FROM sd d JOIN ow o ON o.doc_id = d.doc_id AND o.sent_idx = d.sent_idx AND o.token_idx = d.head WHERE d.relation = 'xcomp') SELECT doc_id, sent_idx, token_idx, coalesce(subject, above) AS subject, object, CAST(NULL AS VARCHAR) AS indirect, coalesce(modifiers, '') AS modifiers FROM ac LEFT JOIN ow USING (doc_id, sent_idx, token_idx) LEFT JOIN pa USING (doc_id, sent_idx, token_idx)",
     "actions_passives": f"WITH {SW}, q AS (SELECT *, lag(lower(text)) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS prev FROM sw), b AS (SELECT *, first_value(CASE WHEN pos = 'NOUN' AND prev = 'by' THEN lower(text) END IGNORE NULLS) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS agent FROM q) SELECT doc_id, sent_idx, token_idx, lower(text) AS verb, agent, CASE WHEN regexp_matches(lower(text), '^(inhibit|block|suppress|prevent)') THEN 'PREVENTS' WHEN regexp_matches(lower(text), '^(activat|enabl|promot|facilitat)') THEN 'ENABLES' ELSE 'CAUSES' END AS relation, 0.85::DOUBLE AS confidence FROM b WHERE prev IN ('is','are','was','were','be','been') AND regexp_matches(lower(text), '(ed|en)$') AND agent IS NOT NULL",
     "actions_coordinated": f"WITH {SW}, {ENT}, q AS (SELECT en.*, lag(\"end\") OVER (PARTITION BY doc_id ORDER BY start) AS before FROM en), g AS (SELECT q.*, CASE WHEN start - before < 20 AND regexp_matches(substr(d.text, before + 1, start - before), '(?i)^\\s*(,|,?\\s*\\b(and|or)\\b)\\s*$') THEN 0 ELSE 1 END AS new FROM q JOIN documents d USING (doc_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM g), l AS (SELECT *, last_value(text) OVER w AS target, last_value(start) OVER w AS place FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT doc_id, text AS source, target, 0.7::DOUBLE AS confidence FROM l WHERE start <> place",
-    "actions_part_of": f"WITH {SW}, {ENT}, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY start) AS o FROM en), p AS (SELECT x.doc_id, x.text AS e1, y.text AS e2, substr(d.text, x.\"end\" + 1, y.start - x.\"end\") AS gap FROM q x JOIN q y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND y.o - x.o BETWEEN 1 AND 3 JOIN documents d ON d.doc_id = x.doc_id WHERE y.start - x.\"end\" <= 100) SELECT DISTINCT doc_id, CASE WHEN regexp_matches(gap, '{_WHOLE}') THEN e2 ELSE e1 END AS part, CASE WHEN regexp_matches(gap, '{_WHOLE}') THEN e1 ELSE e2 END AS whole, CASE WHEN length(gap) <= 50 THEN 0.8 ELSE 0.75 END::DOUBLE AS confidence FROM p WHERE regexp_matches(gap, '{_PARTS}')",
+    "actions_part_of": f"WITH {SW}, {ENT}, p AS (SELECT x.doc_id, x.text AS e1, y.text AS e2, substr(d.text, x.\"end\" + 1, y.start - x.\"end\") AS gap FROM en x JOIN en y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND y.start >= x.\"end\" AND y.start - x.\"end\" <= 100 JOIN documents d ON d.doc_id = x.doc_id) SELECT DISTINCT doc_id, CASE WHEN regexp_matches(gap, '{_WHOLE}') THEN e2 ELSE e1 END AS part, CASE WHEN regexp_matches(gap, '{_WHOLE}') THEN e1 ELSE e2 END AS whole, CASE WHEN length(gap) <= 50 THEN 0.8 ELSE 0.75 END::DOUBLE AS confidence FROM p WHERE regexp_matches(gap, '{_PARTS}')",
     "actions_entity_cascade": f"WITH {SW}, o AS (SELECT *, lead(pos) OVER w AS p2, lead(\"end\") OVER w AS e2 FROM sw WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)), k1 AS (SELECT doc_id, start, \"end\", CAST(1 AS INTEGER) AS priority FROM o WHERE length(text) >= 12), k2 AS (SELECT doc_id, start, e2 AS \"end\", CAST(2 AS INTEGER) AS priority FROM o WHERE pos = 'NOUN' AND p2 = 'NOUN' AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.doc_id = o.doc_id AND k1.start < o.e2 AND k1.\"end\" > o.start)), k12 AS (FROM k1 UNION ALL FROM k2), k3 AS (SELECT doc_id, start, \"end\", CAST(3 AS INTEGER) AS priority FROM o WHERE length(text) BETWEEN 9 AND 11 AND NOT EXISTS (SELECT 1 FROM k12 WHERE k12.doc_id = o.doc_id AND k12.start < o.\"end\" AND k12.\"end\" > o.start)) SELECT * FROM k12 UNION ALL SELECT * FROM k3",
     "actions_nearest": f"WITH {SW}, a AS (SELECT doc_id, start AS pos, CAST(idx AS VARCHAR) AS id FROM sw WHERE pos = 'VERB'), h AS (SELECT doc_id, start AS at FROM sw WHERE lower(text) IN ('then','to')), b AS (SELECT h.doc_id, h.at, CASE WHEN h.at - a.pos <= 500 THEN a.id END AS before FROM h ASOF LEFT JOIN a ON h.doc_id = a.doc_id AND h.at >= a.pos) SELECT b.doc_id, CAST(b.at AS INTEGER) AS at, before, CASE WHEN a.pos - b.at <= 500 THEN a.id END AS after FROM b ASOF LEFT JOIN a ON b.doc_id = a.doc_id AND b.at <= a.pos",
     "actions_resolve_conflicts": f"WITH {DEPS}, q AS (SELECT *, CASE relation WHEN 'CAUSES' THEN 3 WHEN 'PURPOSE' THEN 2 ELSE 1 END AS p FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY p DESC, confidence DESC, relation DESC) AS r FROM q), m AS (SELECT src, dst, string_agg(marker, ',' ORDER BY marker) AS markers FROM (SELECT DISTINCT src, dst, marker FROM d) GROUP BY 1, 2) SELECT src, dst, relation, confidence, markers FROM b JOIN m USING (src, dst) WHERE r = 1",

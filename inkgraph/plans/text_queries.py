@@ -63,6 +63,13 @@ def _events(s, d):
 ANN = f"{WORDS}, o AS (SELECT *, length(text) AS n FROM t), an AS (SELECT doc_id || '-' || idx AS uid, doc_id, idx, pos AS annotation_type, text, start, \"end\", CASE WHEN idx % 2 = 0 THEN 'user' ELSE 'multilevel' END AS source, idx % 10 / 10.0::DOUBLE AS confidence FROM o WHERE n >= 9)"
 
 
+def _edits(s, d):
+    """Every second document has two edits, every sixth a third one; all mean the text as it was."""
+    three = F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.lit(n).alias("length")) for a, b, n in ((100, 180, 30), (300, 310, 40), (20, 60, 0))))
+    docs = _docs(s, d).where("doc_id % 2 = 0")
+    return docs.select("doc_id", F.explode(F.slice(three, F.lit(1), F.when(F.col("doc_id") % 3 == 0, 3).otherwise(2))).alias("e")).select("doc_id", "e.*")
+
+
 def _edit_check(s, d):
     a, b = _docs(s, d).select("doc_id", F.col("text").alias("old")), _docs(s, d).select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new"))
     r = an.edit_range(F.col("old"), F.col("new"))
@@ -114,7 +121,7 @@ QUERIES = {
     "annotations_delete": lambda s, d: an.deleted(_annotations(s, d), _annotations(s, d).where("source = 'user'")).select("uid"),
     "annotations_relations": lambda s, d: an.relations_of(an.relations_created(_annotations(s, d).select(F.col("uid").alias("source_uid"), F.concat_ws("-", "doc_id", F.lit("12")).alias("target_uid"), F.when(F.col("source") == "user", "NEXT").alias("relation_type")), _annotations(s, d))),
     "annotations_edit_range": _edit_check,
-    "annotations_shift": lambda s, d: an.shifted(_annotations(s, d), _docs(s, d).where("doc_id % 2 = 0").select("doc_id", F.lit(100).alias("from"), F.lit(180).alias("to"), F.lit(30).alias("length"))).select("uid", "start", "end"),
+    "annotations_shift": lambda s, d: an.shifted(_annotations(s, d), _edits(s, d)).select("uid", "start", "end"),
     "annotations_text_changed": lambda s, d: an.text_changed(_annotations(s, d), _docs(s, d).select("doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "x").otherwise(""), "text").alias("text"))),
     "annotations_issues": lambda s, d: an.validation_issues(_annotations(s, d).withColumn("confidence", F.col("confidence") * 1.2), _docs(s, d)).groupBy("severity", "rule").agg(F.count("*").alias("n")),
     "annotations_verdict": lambda s, d: an.verdict(an.validation_issues(_annotations(s, d).withColumn("confidence", F.col("confidence") * F.when(F.col("doc_id") % 2 == 0, 1.2).otherwise(1.0)), _docs(s, d)), _annotations(s, d)),
@@ -151,7 +158,7 @@ ORACLE_SQL = {
     "annotations_text_changed": f"WITH {ANN} SELECT uid FROM an JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END || text AS new FROM documents) USING (doc_id) WHERE substr(new, start + 1, \"end\" - start) <> text",
     "annotations_list": f"WITH {ANN} SELECT uid, doc_id, start FROM an WHERE annotation_type = 'NOUN' AND source = 'user' ORDER BY doc_id, start, uid LIMIT 100 OFFSET 10",
     "annotations_update": f"WITH {ANN} SELECT CASE WHEN doc_id % 3 = 0 THEN 'CHANGED' ELSE annotation_type END AS annotation_type, CASE WHEN doc_id % 3 = 0 AND confidence > 0.5 THEN 'start below 0' END AS error, count(*) AS n FROM an GROUP BY 1, 2",
-    "annotations_shift": f"WITH {ANN}, h AS (SELECT uid, CASE WHEN doc_id % 2 <> 0 OR \"end\" <= 100 THEN start WHEN start >= 180 THEN start - 50 WHEN start <= 100 AND \"end\" >= 180 THEN start WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((start - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN start ELSE 130 END AS start, CASE WHEN doc_id % 2 <> 0 OR \"end\" <= 100 THEN \"end\" WHEN start >= 180 THEN \"end\" - 50 WHEN start <= 100 AND \"end\" >= 180 THEN \"end\" - 50 WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((\"end\" - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN 100 ELSE \"end\" - 50 END AS \"end\" FROM an) SELECT * FROM h WHERE \"end\" > start",
+    "annotations_shift": f"WITH {ANN}, h1 AS (SELECT uid, doc_id, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 300 THEN start WHEN start >= 310 THEN start + (30) WHEN start <= 300 AND \"end\" >= 310 THEN start WHEN start >= 300 AND \"end\" <= 310 THEN 300 + CAST(floor((start - 300) * 40 / 10.0) AS BIGINT) WHEN start < 300 THEN start ELSE 340 END AS start, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 300 THEN \"end\" WHEN start >= 310 THEN \"end\" + (30) WHEN start <= 300 AND \"end\" >= 310 THEN \"end\" + (30) WHEN start >= 300 AND \"end\" <= 310 THEN 300 + CAST(floor((\"end\" - 300) * 40 / 10.0) AS BIGINT) WHEN start < 300 THEN 300 ELSE \"end\" + (30) END AS \"end\" FROM an WHERE \"end\" > start), h2 AS (SELECT uid, doc_id, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 100 THEN start WHEN start >= 180 THEN start + (-50) WHEN start <= 100 AND \"end\" >= 180 THEN start WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((start - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN start ELSE 130 END AS start, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 100 THEN \"end\" WHEN start >= 180 THEN \"end\" + (-50) WHEN start <= 100 AND \"end\" >= 180 THEN \"end\" + (-50) WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((\"end\" - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN 100 ELSE \"end\" + (-50) END AS \"end\" FROM h1 WHERE \"end\" > start), h3 AS (SELECT uid, doc_id, CASE WHEN NOT (doc_id % 6 = 0) OR \"end\" <= 20 THEN start WHEN start >= 60 THEN start + (-40) WHEN start <= 20 AND \"end\" >= 60 THEN start WHEN start >= 20 AND \"end\" <= 60 THEN 20 + CAST(floor((start - 20) * 0 / 40.0) AS BIGINT) WHEN start < 20 THEN start ELSE 20 END AS start, CASE WHEN NOT (doc_id % 6 = 0) OR \"end\" <= 20 THEN \"end\" WHEN start >= 60 THEN \"end\" + (-40) WHEN start <= 20 AND \"end\" >= 60 THEN \"end\" + (-40) WHEN start >= 20 AND \"end\" <= 60 THEN 20 + CAST(floor((\"end\" - 20) * 0 / 40.0) AS BIGINT) WHEN start < 20 THEN 20 ELSE \"end\" + (-40) END AS \"end\" FROM h2 WHERE \"end\" > start) SELECT uid, start, \"end\" FROM h3 WHERE \"end\" > start",
     "tokens_flags": f"WITH {WORDS} SELECT count(*) FILTER (lower(text) IN ({', '.join(repr(w) for w in tokens.STOP_WORDS)})) AS is_stop, CAST(0 AS BIGINT) AS is_punct, count(*) FILTER (regexp_matches(text, '^\\p{{L}}+$')) AS is_alpha, count(*) FILTER (regexp_matches(text, '^[0-9]+$')) AS is_digit, count(*) FILTER (regexp_matches(text, '^[+-]?[0-9][0-9,.]*$')) AS like_num, count(*) FILTER (regexp_matches(text, '^(https?://|www\\.)')) AS like_url, count(*) FILTER (regexp_matches(text, '^[^@\\s]+@[^@\\s]+\\.[a-z]+$')) AS like_email, count(DISTINCT regexp_replace(regexp_replace(regexp_replace(text, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Nd}}', 'd', 'g')) AS shapes FROM t",
     "vote_dependencies": "WITH x AS (SELECT l_orderkey AS doc_id, l_partkey AS head, l_linenumber AS dependent, CASE WHEN l_returnflag = 'R' THEN 'nmod' ELSE 'obj' END AS base, CASE WHEN l_returnflag = 'R' THEN 'nmod' ELSE 'obj' END || ':' || l_linestatus AS relation, 'p' || l_suppkey % 4 AS processor, l_discount AS confidence FROM lineitem), own AS (SELECT doc_id, head, dependent, arg_max(relation, (confidence, relation)) AS relation, CAST(1 AS BIGINT) AS votes FROM x WHERE processor = 'p0' GROUP BY 1, 2, 3), rest AS (SELECT * FROM x WHERE (doc_id, head, dependent) NOT IN (SELECT (doc_id, head, dependent) FROM own)), g AS (SELECT doc_id, head, dependent, base, count(DISTINCT processor) AS votes, avg(confidence) AS sure FROM rest GROUP BY 1, 2, 3, 4), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, head, dependent ORDER BY votes DESC, sure DESC, base) AS r FROM g), f AS (SELECT doc_id, head, dependent, b.votes, relation, count(*) AS n FROM rest JOIN b USING (doc_id, head, dependent, base) WHERE r = 1 AND b.votes >= 2 GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, head, dependent ORDER BY n DESC, relation) AS r FROM f) SELECT * FROM own UNION ALL SELECT doc_id, head, dependent, relation, votes FROM z WHERE r = 1",
     "text_heading_periods": f"WITH {MARKED} SELECT doc_id, md5(array_to_string([CASE WHEN regexp_matches(l, '^#{{1,6}}\\s+.*[^.\\s][ \\t]*$') THEN regexp_replace(l, '^(#{{1,6}})\\s+(.*[^.\\s])[ \\t]*$', '\\1 \\2.') ELSE l END FOR l IN string_split(text, chr(10))], chr(10))) AS hash FROM m",
