@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inkgraph.plans.scratch import written
+
 KEYS = ["doc_id", "sent_idx"]
 #: Words that mark a sequence, and its type.
 MARKERS = {
@@ -40,35 +42,33 @@ def marked_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.select(*KEYS, "token_idx", found.alias("marker")).where("marker IS NOT NULL")
 
 
-def sequences(tokens: DataFrame, deps: DataFrame, links: DataFrame, reach: int = 5) -> DataFrame:
-    """(doc_id, sent_a, a, sent_b, b, sequence_type, confidence, evidence) of verb pairs, the earlier first, that reach 0.7.
+def sequences(tokens: DataFrame, deps: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, sent_a, a, sent_b, b, sequence_type, confidence, evidence) of all verb pairs, the earlier first, that reach 0.7.
 
     Three kinds of pair can reach it: verbs joined by a dependency (links), verbs of a sentence with a
     marker strictly between, and verbs two sentences apart or more with a marker in a sentence strictly
-    between and a shared entity. A verb is paired with the `reach` verbs behind it in the sentence, and
-    with the `reach` next verbs of the document with the same entity, so nothing pairs all with all.
+    between and a shared entity. For each verb the first marker behind it is known before it meets another, so
+    the joins by sentence and by (document, entity) make only pairs that are results.
     The type is that of the dependency, or of the first marker where there is one.
     """
     verbs = verb_table(tokens, deps)
-    place = F.struct("sent_idx", "token_idx", "entities")
-    in_sentence = W.partitionBy(*KEYS).orderBy("token_idx").rowsBetween(1, reach)
-    behind = lambda rows, window: rows.select("doc_id", place.alias("x"), F.collect_list(place).over(window).alias("ys")).select("doc_id", "x", F.explode("ys").alias("y"))
-    near = behind(verbs, in_sentence)
-    of_entity = W.partitionBy("doc_id", "entity").orderBy("sent_idx", "token_idx").rowsBetween(1, reach)
-    shared = behind(verbs.withColumn("entity", F.explode("entities")), of_entity)
-    joined = links.select("doc_id", "sent_idx", "a", "b", "relation")
-    left, right = verbs.select(*KEYS, F.col("token_idx").alias("a"), place.alias("x")), verbs.select(*KEYS, F.col("token_idx").alias("b"), place.alias("y"))
-    linked = joined.join(left, [*KEYS, "a"]).join(right, [*KEYS, "b"]).select("doc_id", "x", "y")
-    pairs = near.unionByName(shared).unionByName(linked).select("doc_id", F.col("x.sent_idx").alias("sent_a"), F.col("x.token_idx").alias("a"), F.col("y.sent_idx").alias("sent_b"), F.col("y.token_idx").alias("b"), F.array_intersect("x.entities", "y.entities").alias("common")).distinct()
     # the first marker behind a verb in its sentence, and in the sentences behind it
     marks = marked_tokens(tokens).select(*KEYS, "token_idx", F.struct("sent_idx", "token_idx", "marker").alias("m"))
-    spots = verbs.select(*KEYS, "token_idx", F.lit(None).cast(marks.schema["m"].dataType).alias("m"), F.lit(True).alias("is_verb")).unionByName(marks.withColumn("is_verb", F.lit(False)))
+    none = F.lit(None).cast(marks.schema["m"].dataType)
+    spots = verbs.select(*KEYS, "token_idx", "entities", none.alias("m"), F.lit(True).alias("is_verb")).unionByName(marks.withColumn("is_verb", F.lit(False)), allowMissingColumns=True)
     here = F.first("m", True).over(W.partitionBy(*KEYS).orderBy("token_idx").rangeBetween(1, W.unboundedFollowing))
     later = F.first("m", True).over(W.partitionBy("doc_id").orderBy("sent_idx").rangeBetween(1, W.unboundedFollowing))
     first_later = marks.groupBy(*KEYS).agg(F.min("m").alias("m"))
-    sents = verbs.select(*KEYS).distinct().withColumn("m", F.lit(None).cast(marks.schema["m"].dataType)).unionByName(first_later).groupBy(*KEYS).agg(F.max("m").alias("m")).withColumn("later", later).select(*KEYS, "later")
-    ahead = spots.withColumn("here", here).where("is_verb").join(sents, KEYS).select("doc_id", F.col("sent_idx").alias("sent_a"), F.col("token_idx").alias("a"), "here", "later")
-    rows = pairs.join(ahead, ["doc_id", "sent_a", "a"]).join(links.select("doc_id", F.col("sent_idx").alias("sent_a"), "a", F.col("sent_idx").alias("sent_b"), "b", "relation"), ["doc_id", "sent_a", "a", "sent_b", "b"], "left")
+    sents = verbs.select(*KEYS).distinct().withColumn("m", none).unionByName(first_later).groupBy(*KEYS).agg(F.max("m").alias("m")).withColumn("later", later).select(*KEYS, "later")
+    found = written(spots.withColumn("here", here).where("is_verb").join(sents, KEYS).select("doc_id", "sent_idx", "token_idx", "entities", "here", "later"), "found")
+    left = found.select("doc_id", F.col("sent_idx").alias("sent_a"), F.col("token_idx").alias("a"), F.col("entities").alias("ea"), "here", "later")
+    right = found.select("doc_id", F.col("sent_idx").alias("sent_b"), F.col("token_idx").alias("b"), F.col("entities").alias("eb"))
+    out = ["doc_id", "sent_a", "a", "sent_b", "b", "ea", "eb", "here", "later"]
+    near = left.where("here IS NOT NULL").join(right.withColumn("sent_a", F.col("sent_b")), ["doc_id", "sent_a"]).where("b > here.token_idx").select(*out)
+    shared = left.where("later IS NOT NULL").withColumn("entity", F.explode("ea")).join(right.withColumn("entity", F.explode("eb")), ["doc_id", "entity"]).where("sent_b > later.sent_idx").select(*out)
+    linked = links.select("doc_id", F.col("sent_idx").alias("sent_a"), "a", F.col("sent_idx").alias("sent_b"), "b").join(left, ["doc_id", "sent_a", "a"]).join(right, ["doc_id", "sent_b", "b"]).select(*out)
+    pairs = near.unionByName(shared).unionByName(linked).dropDuplicates(out[:5]).withColumn("common", F.array_intersect("ea", "eb"))
+    rows = pairs.join(links.select("doc_id", F.col("sent_idx").alias("sent_a"), "a", F.col("sent_idx").alias("sent_b"), "b", "relation"), ["doc_id", "sent_a", "a", "sent_b", "b"], "left")
     gap = F.col("sent_b") - F.col("sent_a")
     marker = F.when((gap == 0) & (F.col("here.token_idx") < F.col("b")), F.col("here.marker")).when((gap > 1) & (F.col("later.sent_idx") < F.col("sent_b")), F.col("later.marker"))
     common, dep = F.size("common") > 0, F.col("relation").isNotNull()

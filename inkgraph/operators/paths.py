@@ -66,4 +66,4 @@ def best_paths(edges: DataFrame, most: int = 50, least_edges: int = 2, maximal:
     if maximal:
         rows = rows.join(ended, "v", "left_anti")
     top = rows.orderBy(*order).limit(most)  # a bounded number of rows, so one task ranks them
-    return top.select("path", "length", F.round(F.col("sum") / F.col("length") / UNIT, 6).alias("confidence"), F.row_number().over(W.orderBy(*order)).alias("rank"))
+    return top.select("path", "length", F.round(F.col("sum") / F.greatest(F.col("length"), F.lit(1)) / UNIT, 6).alias("confidence"), F.row_number().over(W.orderBy(*order)).alias("rank"))

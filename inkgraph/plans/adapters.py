@@ -12,6 +12,21 @@ from inkgraph.operators import chains, tokens
 from inkgraph.plans.scratch import written
 
 
+#: Tables that several operators of a query read, by application, input folder and name.
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(make):
+    """The table that make gives, written at its first use in an application."""
+    def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _stored:
+            _stored[key] = written(make(spark, sf_dir), make.__name__)
+        return _stored[key]
+    stored.__doc__ = make.__doc__
+    return stored
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,14 +114,16 @@ POS = "CASE tag WHEN 'NN' THEN 'NOUN' WHEN 'NNS' THEN 'NOUN' WHEN 'VBG' THEN 'VE
 AUXILIARY = ["is", "are", "was", "were", "be", "been", "has", "have", "had", "will", "can", "may"]
 
 
+@_once
 def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sent_idx, token_idx, idx, text, tag, pos, start, end): words of documents with their sentence; a gap with . ! ? and white space ends one."""
     word = r"[\p{L}\p{N}]+"
     found, gaps = F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1)), F.split("text", word, -1)
     pairs = F.transform(F.arrays_zip(found.alias("t"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x: F.struct(x["t"].alias("text"), (F.length(x["g"]) + F.length(x["t"])).alias("n"), F.when(x["g"].rlike(r"[.!?]\s"), 1).otherwise(0).alias("new")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairs).alias("idx", "x")).select("doc_id", "idx", "x.*")
+    # texts are dealt by document before they are cut, so that no window over a document moves the words
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(pairs).alias("idx", "x")).select("doc_id", "idx", "x.*")
     order = W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum("n").over(order)).withColumn("sent_idx", F.sum("new").over(order)).withColumn("token_idx", F.row_number().over(W.partitionBy("doc_id", "sent_idx").orderBy("idx")) - 1)
+    rows = rows.withColumn("end", F.sum("n").over(order)).withColumn("sent_idx", F.sum("new").over(order)).withColumn("token_idx", F.col("idx") - F.coalesce(F.max(F.when(F.col("new") == 1, F.col("idx"))).over(order), F.lit(0)))
     tagged = tokens.tagged(rows.withColumn("processor", F.lit("word")))
     pos = F.when(F.lower("text").isin(AUXILIARY), "AUX").otherwise(F.col("pos"))
     return tagged.select("doc_id", "sent_idx", "token_idx", "idx", "text", "tag", pos.alias("pos"), (F.col("end") - F.length("text")).alias("start"), "end")
@@ -117,6 +134,7 @@ SW = f"""sw0 AS (SELECT doc_id, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS g, gen
     sw AS (SELECT doc_id, sent_idx, CAST(row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY idx) - 1 AS INTEGER) AS token_idx, CAST(idx AS INTEGER) AS idx, w AS text, tag, CASE WHEN lower(w) IN ({", ".join(f"'{x}'" for x in AUXILIARY)}) THEN 'AUX' ELSE {POS} END AS pos, e - length(w) AS start, e AS "end" FROM sw1)"""
 
 
+@_once
 def sentence_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sent_idx, head, dependent, relation) by rules: the first verb is the root, and what stands before and behind a word names its relation."""
     t = sentence_words(spark, sf_dir)

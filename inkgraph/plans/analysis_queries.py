@@ -24,8 +24,8 @@ _DEP = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in chains.BY_DEPENDENCY.items(
 SEQUENCES = f"""{SW}, {SD}, {LINKS}, {VERBS},
     vo AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS o FROM vt),
     ve AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity ORDER BY sent_idx, token_idx) AS o FROM (SELECT doc_id, sent_idx, token_idx, entities, unnest(entities) AS entity FROM vt)),
-    pr AS (SELECT x.doc_id, x.sent_idx AS sent_a, x.token_idx AS a, y.sent_idx AS sent_b, y.token_idx AS b FROM vo x JOIN vo y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND y.o - x.o BETWEEN 1 AND 5
-        UNION SELECT x.doc_id, x.sent_idx, x.token_idx, y.sent_idx, y.token_idx FROM ve x JOIN ve y ON x.doc_id = y.doc_id AND x.entity = y.entity AND y.o - x.o BETWEEN 1 AND 5
+    pr AS (SELECT x.doc_id, x.sent_idx AS sent_a, x.token_idx AS a, y.sent_idx AS sent_b, y.token_idx AS b FROM vo x JOIN vo y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND y.o > x.o
+        UNION SELECT x.doc_id, x.sent_idx, x.token_idx, y.sent_idx, y.token_idx FROM ve x JOIN ve y ON x.doc_id = y.doc_id AND x.entity = y.entity AND y.o > x.o
         UNION SELECT doc_id, sent_idx, a, sent_idx, b FROM lk),
     m0 AS (SELECT doc_id, sent_idx, token_idx, lower(text) AS w1, lower(lead(text) OVER o) AS w2, lower(lead(text, 2) OVER o) AS w3 FROM sw WINDOW o AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)),
     mk AS (SELECT * FROM (SELECT doc_id, sent_idx, token_idx, CASE WHEN w1 || ' ' || w2 || ' ' || w3 IN ({_IN(chains.MARKERS)}) THEN w1 || ' ' || w2 || ' ' || w3 WHEN w1 || ' ' || w2 IN ({_IN(chains.MARKERS)}) THEN w1 || ' ' || w2 WHEN w1 IN ({_IN(chains.MARKERS)}) THEN w1 END AS marker FROM m0) WHERE marker IS NOT NULL),
