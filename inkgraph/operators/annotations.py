@@ -13,14 +13,25 @@ def checked(annotations: DataFrame) -> DataFrame:
     return annotations.withColumn("error", error)
 
 
-def listed(annotations: DataFrame, types: list[str], sources: list[str], skip: int, limit: int) -> DataFrame:
-    """A page in order of start, filtered by type and source where lists are given."""
+def _selected(annotations: DataFrame, types: list[str], sources: list[str]) -> DataFrame:
     out = annotations
     if types:
         out = out.where(F.col("annotation_type").isin(types))
     if sources:
         out = out.where(F.col("source").isin(sources))
-    return out.orderBy("doc_id", "start", "uid").offset(skip).limit(limit)
+    return out
+
+
+def listed(annotations: DataFrame, types: list[str], sources: list[str], skip: int, limit: int) -> DataFrame:
+    """A page in order of start, filtered by type and source where lists are given."""
+    return _selected(annotations, types, sources).orderBy("doc_id", "start", "uid").offset(skip).limit(limit)
+
+
+def page_facts(annotations: DataFrame, types: list[str], sources: list[str], skip: int, limit: int) -> DataFrame:
+    """One row of such a page: total of the filter, rows returned, and whether more follow."""
+    total = F.count("*")
+    returned = F.least(F.greatest(total - skip, F.lit(0)), F.lit(limit))
+    return _selected(annotations, types, sources).agg(total.alias("total"), returned.alias("returned"), (total > skip + limit).alias("has_more"))
 
 
 def updated(annotations: DataFrame, changes: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -82,6 +85,50 @@ def sequences(tokens: DataFrame, deps: DataFrame, links: DataFrame) -> DataFrame
     return out.where(F.col("confidence") >= LEAST)
 
 
+def top_chains(sequence_rows: DataFrame, most: int = 50, least: int = 2) -> DataFrame:
+    """(rank, doc_id, position, sent_idx, token_idx, sequence_type, length, confidence): the `most` best chains of verbs, a row for each verb.
+
+    A chain goes along sequences from a verb that none leads to, to one that leads nowhere, over `least` sequences or
+    more. The best are the longest, then those of highest mean confidence; ties by document and then by the places of the verbs from
+    the end. sequence_type is that of the step to the next verb. Chains don't leave a document, so each document is
+    one group: its verbs are taken in order of the text, and each keeps its `most` best chains as pointers to those of the
+    verbs before it. The documents' best meet in a bounded top list.
+    """
+
+    def best(key: tuple, rows: pa.Table) -> pa.Table:
+        into: dict[tuple, list[tuple]] = {}
+        ends, kinds = set(), {}
+        for sa, a, sb, b, kind, c in zip(*(rows.column(k).to_pylist() for k in ("sent_a", "a", "sent_b", "b", "sequence_type", "confidence"))):
+            u, v = (sa, a), (sb, b)
+            if u < v and (u, v) not in kinds:
+                into.setdefault(v, []).append((u, round((c or 0.0) * 1_000_000)))
+                kinds[u, v] = kind
+                ends.add(u)
+        kept: dict[tuple, list[tuple]] = {v: [(0, 0, None, 0)] for v in ends if v not in into}
+        for v in sorted(into):
+            found = ((n + 1, s + c, u, k) for u, c in into[v] for k, (n, s, _, _) in enumerate(kept[u]))
+            kept[v] = heapq.nsmallest(most, found, key=lambda x: (-x[0], -x[1], x[2], x[3]))
+        last = heapq.nsmallest(most, ((-n, -s, v, k) for v in into if v not in ends for k, (n, s, _, _) in enumerate(kept[v]) if n >= least))
+        out: dict[str, list] = {k: [] for k in ("doc_id", "place", "length", "sum", "steps")}
+        for place, (n, s, v, k) in enumerate(last):
+            steps, onward = [], None
+            while v is not None:
+                steps.append({"sent_idx": v[0], "token_idx": v[1], "sequence_type": kinds.get((v, onward))})
+                onward, (_, _, v, k) = v, kept[v][k]
+            for name, value in zip(out, (key[0].as_py(), place, -n, -s, steps[::-1])):
+                out[name].append(value)
+        step = pa.list_(pa.struct([("sent_idx", pa.int64()), ("token_idx", pa.int64()), ("sequence_type", pa.string())]))
+        return pa.table([pa.array(out[k], t) for k, t in zip(out, (key[0].type, pa.int64(), pa.int64(), pa.int64(), step))], names=list(out))
+
+    kind = sequence_rows.schema["doc_id"].dataType.simpleString()
+    rows = sequence_rows.select("doc_id", "sent_a", "a", "sent_b", "b", "sequence_type", "confidence")
+    found = rows.groupBy("doc_id").applyInArrow(best, f"doc_id {kind}, place long, length long, sum long, steps array<struct<sent_idx:long,token_idx:long,sequence_type:string>>")
+    mean = F.col("sum") / F.col("length")
+    order = [F.desc("length"), F.desc("sum"), F.asc("doc_id"), F.asc("place")]
+    top = found.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(W.orderBy(*order)))  # a bounded number of rows
+    return top.select("rank", "doc_id", "length", F.round(mean / 1_000_000, 6).alias("confidence"), F.posexplode("steps").alias("position", "x")).select("rank", "doc_id", "position", "x.sent_idx", "x.token_idx", "x.sequence_type", "length", "confidence")
+
+
 def page(sequence_rows: DataFrame, skip: int, limit: int) -> DataFrame:
     """Sequences by descending confidence, ties by place."""
     return sequence_rows.orderBy(F.desc("confidence"), "doc_id", "sent_a", "a", "sent_b", "b").offset(skip).limit(limit)

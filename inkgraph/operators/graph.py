@@ -75,8 +75,13 @@ def is_dag(layers: DataFrame) -> DataFrame:
     return layers.agg((F.count(F.when(F.col("layer").isNull(), 1)) == 0).alias("is_dag"), F.count(F.when(F.col("layer").isNull(), 1)).alias("cyclic_upstream"))
 
 
-def topological_order(layers: DataFrame) -> DataFrame:
-    """(v, layer, position): positions over (layer, v): the place in the layer, which many tasks sort, behind the sizes of the layers before."""
+def topological_order(layers: DataFrame, strict: bool = False) -> DataFrame:
+    """(v, layer, position): positions over (layer, v): the place in the layer, which many tasks sort, behind the sizes of the layers before.
+
+    Vertices on a cycle or behind one have no layer and so no place: they are left out, or strict raises ValueError.
+    """
+    if strict and not layers.where("layer IS NULL").isEmpty():
+        raise ValueError("the graph has a cycle")
     sizes = layers.where("layer IS NOT NULL").groupBy("layer").agg(F.count("*").alias("n"))
     before = sizes.select("layer", (F.sum("n").over(W.orderBy("layer").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     placed = ranked(layers.where("layer IS NOT NULL").select("v", "layer"), "layer", ["v"], "r")

@@ -91,6 +91,14 @@ def upsert_edges(articles: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return ends.join(articles.select("uid"), "uid", "left_anti"), clean
 
 
+def stub_titles(articles: DataFrame, edges: DataFrame) -> DataFrame:
+    """Articles whose blank title is filled from the edges (src, dst, src_title, dst_title) that name them: the smallest title that isn't blank; other titles stay."""
+    named = edges.select(F.explode(F.array(F.struct(F.col("src").alias("uid"), F.col("src_title").alias("t")), F.struct(F.col("dst").alias("uid"), F.col("dst_title").alias("t")))).alias("e")).select("e.*")
+    titles = named.where("uid IS NOT NULL AND trim(t) <> ''").groupBy("uid").agg(F.min("t").alias("_title"))
+    blank = F.coalesce(F.trim("title"), F.lit("")) == ""
+    return articles.join(titles, "uid", "left").withColumn("title", F.when(blank, F.coalesce("_title", "title")).otherwise(F.col("title"))).select(*articles.columns)
+
+
 def resume(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files that are not loaded yet."""
     return files.join(done.select("file"), "file", "left_anti")

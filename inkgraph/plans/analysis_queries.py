@@ -104,6 +104,7 @@ RELS = AN9 + ", rl AS (SELECT uid AS source_uid, CASE WHEN split_part(uid, '-',
 QUERIES = {
     "chains_verbs": lambda s, d: _verbs(s, d).select("doc_id", "sent_idx", "token_idx", "verb", "subject", "object", F.array_join("entities", ",").alias("entities")),
     "chains_sequences": _sequences,
+    "chains_top": lambda s, d: chains.top_chains(_sequences(s, d)).join(_verbs(s, d).select("doc_id", "sent_idx", "token_idx", "verb", "subject", "object"), ["doc_id", "sent_idx", "token_idx"], "left"),
     "chains_statistics": lambda s, d: chains.sequence_statistics(_sequences(s, d)),
     "chains_page": lambda s, d: chains.page(_sequences(s, d), 20, 50),
     "chains_export": lambda s, d: chains.exported(_sequences(s, d), _verbs(s, d)),

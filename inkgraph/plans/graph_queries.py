@@ -79,13 +79,15 @@ QUERIES = {
     "ingest_missing_reasons": lambda s, d: profile.missing_reasons(ad.articles(s, d), ["title", "doi", "abstract"]),
     "ingest_upsert_articles": lambda s, d: profile.upsert_articles(ad.articles(s, d).select("uid", "title", F.lit("processed").alias("layout_status")).where("uid NOT LIKE '%7'"), ad.articles(s, d).select("uid", F.concat(F.lit("new "), F.coalesce("title", F.lit(""))).alias("title")).where("uid LIKE '%7' OR uid LIKE '%8'")),
     "ingest_stub_vertices": lambda s, d: profile.upsert_edges(ad.articles(s, d).where("uid NOT LIKE '%5'"), ad.citations(s, d).where("src <> ' '"))[0],
+    "ingest_kept_edges": lambda s, d: profile.upsert_edges(ad.articles(s, d).where("uid NOT LIKE '%5'"), ad.citations(s, d).where("src <> ' '"))[1],
+    "ingest_stub_titles": lambda s, d: profile.stub_titles(ad.articles(s, d), ad.citations(s, d).select("src", "dst", F.concat(F.lit("from "), "dst").alias("src_title"), F.when(F.col("src") != " ", F.concat(F.lit("to "), "src")).alias("dst_title"))).select("uid", "title"),
     "ingest_resume": lambda s, d: profile.resume(ad.table(s, d, "pages").select(F.col("url").alias("file")), ad.table(s, d, "pages").where("page_id % 2 = 0").select(F.col("url").alias("file"))),
     "graph_clean_edges": lambda s, d: graph.clean_edges(ad.citations(s, d)),
     "graph_degrees": lambda s, d: graph.degrees(ad.dag_edges(s, d)),
     "graph_component_sizes": lambda s, d: graph.component_sizes(_same_source(s, d)),
     "graph_statistics": lambda s, d: graph.graph_statistics(ad.dag_edges(s, d)),
     "graph_isolated": lambda s, d: graph.isolated(ad.articles(s, d).select(F.col("uid").alias("v")), _same_source(s, d)),
-    "graph_topological_order": lambda s, d: graph.topological_order(_layers(s, d)),
+    "graph_topological_order": lambda s, d: graph.topological_order(_layers(s, d), strict=True),
     "graph_order_violations": _order_check,
     "graph_is_dag": lambda s, d: graph.is_dag(_layers(s, d)),
     "graph_longest_path": _both(lambda e, p: graph.longest_path(e, p)),
@@ -130,6 +132,8 @@ ORACLE_SQL = {
     "ingest_missing_reasons": f"WITH {ARTICLES}, t AS (SELECT concat_ws(', ', CASE WHEN coalesce(trim(title), '') = '' THEN 'title' END, CASE WHEN coalesce(trim(doi), '') = '' THEN 'doi' END, CASE WHEN coalesce(trim(abstract), '') = '' THEN 'abstract' END) AS m FROM a) SELECT CASE WHEN m <> '' THEN 'missing: ' || m ELSE '' END AS reason, count(*) AS n FROM t GROUP BY 1",
     "ingest_upsert_articles": f"WITH {ARTICLES} SELECT uid, title, 'processed' AS layout_status FROM a WHERE uid NOT LIKE '%7' AND uid NOT LIKE '%8' UNION ALL SELECT uid, 'new ' || coalesce(title, ''), 'unprocessed' FROM a WHERE uid LIKE '%7' OR uid LIKE '%8'",
     "ingest_stub_vertices": f"WITH {ARTICLES}, {CITATIONS}, k AS (SELECT src, dst FROM c WHERE src <> ' ' AND dst IS NOT NULL AND src <> dst) SELECT DISTINCT uid FROM (SELECT src AS uid FROM k UNION SELECT dst FROM k) WHERE uid NOT IN (SELECT uid FROM a WHERE uid NOT LIKE '%5')",
+    "ingest_kept_edges": f"WITH {CITATIONS} SELECT DISTINCT src, dst FROM c WHERE src <> ' ' AND dst IS NOT NULL AND src <> dst",
+    "ingest_stub_titles": f"WITH {ARTICLES}, {CITATIONS}, n AS (SELECT src AS uid, 'from ' || dst AS t FROM c UNION ALL SELECT dst, CASE WHEN src <> ' ' THEN 'to ' || src END FROM c), m AS (SELECT uid, min(t) AS t FROM n WHERE t IS NOT NULL GROUP BY uid) SELECT uid, CASE WHEN coalesce(trim(title), '') = '' THEN coalesce(m.t, title) ELSE title END AS title FROM a LEFT JOIN m USING (uid)",
     "ingest_resume": "SELECT url AS file FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
     "graph_clean_edges": f"WITH {CLEAN} SELECT src, dst FROM k",
     "graph_degrees": f"WITH {EDGES} SELECT v, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS v, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY v",

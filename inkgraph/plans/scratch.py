@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where that is unset (single-machine tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new local one if all runs in one process, else ValueError."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-inkgraph-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

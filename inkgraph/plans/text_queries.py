@@ -117,6 +117,7 @@ QUERIES = {
     "vote_best_of_duplicates": _dups,
     "vote_dependencies": lambda s, d: voting.vote_dependencies(table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("head"), F.col("l_linenumber").alias("dependent"), F.concat_ws(":", F.when(F.col("l_returnflag") == "R", "nmod").otherwise("obj"), "l_linestatus").alias("relation"), F.concat(F.lit("p"), F.col("l_suppkey") % 4).alias("processor"), F.col("l_discount").alias("confidence")), "p0"),
     "annotations_list": lambda s, d: an.listed(_annotations(s, d), ["NOUN"], ["user"], 10, 100).select("uid", "doc_id", "start"),
+    "annotations_page_facts": lambda s, d: an.page_facts(_annotations(s, d), ["NOUN"], ["user"], 10, 100),
     "annotations_update": lambda s, d: an.updated(_annotations(s, d), _annotations(s, d).where("doc_id % 3 = 0").select("uid", F.when(F.col("confidence") > 0.5, -F.col("start") - 1).alias("start"), F.lit("CHANGED").alias("annotation_type"))).groupBy("annotation_type", "error").agg(F.count("*").alias("n")),
     "annotations_delete": lambda s, d: an.deleted(_annotations(s, d), _annotations(s, d).where("source = 'user'")).select("uid"),
     "annotations_relations": lambda s, d: an.relations_of(an.relations_created(_annotations(s, d).select(F.col("uid").alias("source_uid"), F.concat_ws("-", "doc_id", F.lit("12")).alias("target_uid"), F.when(F.col("source") == "user", "NEXT").alias("relation_type")), _annotations(s, d))),
@@ -157,6 +158,7 @@ ORACLE_SQL = {
     "annotations_edit_range": "SELECT count(*) AS pairs, count(*) AS rebuilt FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
     "annotations_text_changed": f"WITH {ANN} SELECT uid FROM an JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END || text AS new FROM documents) USING (doc_id) WHERE substr(new, start + 1, \"end\" - start) <> text",
     "annotations_list": f"WITH {ANN} SELECT uid, doc_id, start FROM an WHERE annotation_type = 'NOUN' AND source = 'user' ORDER BY doc_id, start, uid LIMIT 100 OFFSET 10",
+    "annotations_page_facts": f"WITH {ANN}, c AS (SELECT count(*) AS total FROM an WHERE annotation_type = 'NOUN' AND source = 'user') SELECT total, (SELECT count(*) FROM (SELECT uid FROM an WHERE annotation_type = 'NOUN' AND source = 'user' ORDER BY uid LIMIT 100 OFFSET 10)) AS returned, total > 110 AS has_more FROM c",
     "annotations_update": f"WITH {ANN} SELECT CASE WHEN doc_id % 3 = 0 THEN 'CHANGED' ELSE annotation_type END AS annotation_type, CASE WHEN doc_id % 3 = 0 AND confidence > 0.5 THEN 'start below 0' END AS error, count(*) AS n FROM an GROUP BY 1, 2",
     "annotations_shift": f"WITH {ANN}, h1 AS (SELECT uid, doc_id, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 300 THEN start WHEN start >= 310 THEN start + (30) WHEN start <= 300 AND \"end\" >= 310 THEN start WHEN start >= 300 AND \"end\" <= 310 THEN 300 + CAST(floor((start - 300) * 40 / 10.0) AS BIGINT) WHEN start < 300 THEN start ELSE 340 END AS start, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 300 THEN \"end\" WHEN start >= 310 THEN \"end\" + (30) WHEN start <= 300 AND \"end\" >= 310 THEN \"end\" + (30) WHEN start >= 300 AND \"end\" <= 310 THEN 300 + CAST(floor((\"end\" - 300) * 40 / 10.0) AS BIGINT) WHEN start < 300 THEN 300 ELSE \"end\" + (30) END AS \"end\" FROM an WHERE \"end\" > start), h2 AS (SELECT uid, doc_id, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 100 THEN start WHEN start >= 180 THEN start + (-50) WHEN start <= 100 AND \"end\" >= 180 THEN start WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((start - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN start ELSE 130 END AS start, CASE WHEN NOT (doc_id % 2 = 0) OR \"end\" <= 100 THEN \"end\" WHEN start >= 180 THEN \"end\" + (-50) WHEN start <= 100 AND \"end\" >= 180 THEN \"end\" + (-50) WHEN start >= 100 AND \"end\" <= 180 THEN 100 + CAST(floor((\"end\" - 100) * 30 / 80.0) AS BIGINT) WHEN start < 100 THEN 100 ELSE \"end\" + (-50) END AS \"end\" FROM h1 WHERE \"end\" > start), h3 AS (SELECT uid, doc_id, CASE WHEN NOT (doc_id % 6 = 0) OR \"end\" <= 20 THEN start WHEN start >= 60 THEN start + (-40) WHEN start <= 20 AND \"end\" >= 60 THEN start WHEN start >= 20 AND \"end\" <= 60 THEN 20 + CAST(floor((start - 20) * 0 / 40.0) AS BIGINT) WHEN start < 20 THEN start ELSE 20 END AS start, CASE WHEN NOT (doc_id % 6 = 0) OR \"end\" <= 20 THEN \"end\" WHEN start >= 60 THEN \"end\" + (-40) WHEN start <= 20 AND \"end\" >= 60 THEN \"end\" + (-40) WHEN start >= 20 AND \"end\" <= 60 THEN 20 + CAST(floor((\"end\" - 20) * 0 / 40.0) AS BIGINT) WHEN start < 20 THEN 20 ELSE \"end\" + (-40) END AS \"end\" FROM h2 WHERE \"end\" > start) SELECT uid, start, \"end\" FROM h3 WHERE \"end\" > start",
     "tokens_flags": f"WITH {WORDS} SELECT count(*) FILTER (lower(text) IN ({', '.join(repr(w) for w in tokens.STOP_WORDS)})) AS is_stop, CAST(0 AS BIGINT) AS is_punct, count(*) FILTER (regexp_matches(text, '^\\p{{L}}+$')) AS is_alpha, count(*) FILTER (regexp_matches(text, '^[0-9]+$')) AS is_digit, count(*) FILTER (regexp_matches(text, '^[+-]?[0-9][0-9,.]*$')) AS like_num, count(*) FILTER (regexp_matches(text, '^(https?://|www\\.)')) AS like_url, count(*) FILTER (regexp_matches(text, '^[^@\\s]+@[^@\\s]+\\.[a-z]+$')) AS like_email, count(DISTINCT regexp_replace(regexp_replace(regexp_replace(text, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Nd}}', 'd', 'g')) AS shapes FROM t",

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkgraph.operators import actions, annotations, chains, dictionary, paths
+from inkgraph.operators import actions, annotations, chains, dictionary, graph, paths
 
 
 def test_hits_equal_those_of_single_patterns(spark):
@@ -108,3 +108,42 @@ def test_published_nominalizations(spark):
     rows = {r.noun: r.action for r in actions.nominalizations(tokens).collect()}
     assert rows == {"mutation": "mutation", "overexpression": "expression"}
     assert actions.nominalization_table(spark).groupBy("noun").agg(F.count("*").alias("n")).where("n > 1").count() == 0
+
+
+def test_top_chains_equal_enumeration(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for doc in range(4):
+        for x, y in itertools.combinations([(int(s), int(t)) for s in range(3) for t in range(3)], 2):
+            if rng.random() < 0.3:
+                rows.append((doc, *x, *y, str(rng.choice(["CAUSAL", "RESULT"])), float(rng.integers(7, 10)) / 10))
+    found = []
+    for doc in range(4):
+        steps = {((r[1], r[2]), (r[3], r[4])): round(r[6] * 1e6) for r in rows if r[0] == doc}
+        into, out = {b for _, b in steps}, {a for a, _ in steps}
+
+        def walk(path, total):
+            if path[-1] not in out:
+                if len(path) > 2:
+                    found.append((1 - len(path), -total, doc, path[::-1]))
+                return
+            for (a, b), c in steps.items():
+                if a == path[-1]:
+                    walk([*path, b], total + c)
+
+        for v in out - into:
+            walk([v], 0)
+    want = [(d, [tuple(v) for v in p[::-1]]) for _, _, d, p in sorted(found)[:12]]
+    df = spark.createDataFrame(rows, "doc_id long, sent_a long, a long, sent_b long, b long, sequence_type string, confidence double")
+    got = {}
+    for r in sorted(chains.top_chains(df, 12).collect(), key=lambda r: (r["rank"], r.position)):
+        got.setdefault(r["rank"], (r.doc_id, []))[1].append((r.sent_idx, r.token_idx))
+    assert [got[k] for k in sorted(got)] == want
+    assert chains.top_chains(df.limit(0)).count() == 0
+
+
+def test_order_of_a_cyclic_graph(spark):
+    layers = graph.assign_layers(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "src string, dst string"))
+    assert [r.v for r in graph.topological_order(layers).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        graph.topological_order(layers, strict=True)
