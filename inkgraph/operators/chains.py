@@ -28,8 +28,11 @@ DEPENDENCY, MARKER, SHARED, SAME_SENTENCE, ADJACENT, LEAST = 0.7, 0.6, 0.3, 0.15
 
 def verb_table(tokens: DataFrame, deps: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, token_idx, verb, subject, object, entities): verbs with their first nsubj and obj children, and all entities: these and the obl, iobj, xcomp and ccomp children."""
-    text = tokens.select(*KEYS, F.col("token_idx").alias("dependent"), F.lower("text").alias("word"))
-    child = deps.where("head <> dependent AND relation IN ('nsubj', 'obj', 'obl', 'iobj', 'xcomp', 'ccomp')").join(text, [*KEYS, "dependent"])
+    child = deps.where("head <> dependent AND relation IN ('nsubj', 'obj', 'obl', 'iobj', 'xcomp', 'ccomp')")
+    if "dependent_text" in deps.columns:  # dependencies that bring their word need no join
+        child = child.withColumn("word", F.lower("dependent_text"))
+    else:
+        child = child.join(tokens.select(*KEYS, F.col("token_idx").alias("dependent"), F.lower("text").alias("word")), [*KEYS, "dependent"])
     first = lambda rel: F.min(F.when(F.col("relation") == rel, F.struct("dependent", "word")))["word"]
     own = child.groupBy(*KEYS, F.col("head").alias("token_idx")).agg(first("nsubj").alias("subject"), first("obj").alias("object"), F.array_sort(F.collect_set("word")).alias("entities"))
     verbs = tokens.where("pos = 'VERB'").select(*KEYS, "token_idx", F.lower("text").alias("verb"))

@@ -9,22 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkgraph.operators import chains, tokens
-from inkgraph.plans.scratch import written
-
-
-#: Tables that several operators of a query read, by application, input folder and name.
-_stored: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _once(make):
-    """The table that make gives, written at its first use in an application."""
-    def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
-        if key not in _stored:
-            _stored[key] = written(make(spark, sf_dir), make.__name__)
-        return _stored[key]
-    stored.__doc__ = make.__doc__
-    return stored
+from inkgraph.plans.scratch import scratch, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,13 +99,11 @@ POS = "CASE tag WHEN 'NN' THEN 'NOUN' WHEN 'NNS' THEN 'NOUN' WHEN 'VBG' THEN 'VE
 AUXILIARY = ["is", "are", "was", "were", "be", "been", "has", "have", "had", "will", "can", "may"]
 
 
-@_once
-def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sent_idx, token_idx, idx, text, tag, pos, start, end): words of documents with their sentence; a gap with . ! ? and white space ends one."""
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = r"[\p{L}\p{N}]+"
     found, gaps = F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1)), F.split("text", word, -1)
     pairs = F.transform(F.arrays_zip(found.alias("t"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda x: F.struct(x["t"].alias("text"), (F.length(x["g"]) + F.length(x["t"])).alias("n"), F.when(x["g"].rlike(r"[.!?]\s"), 1).otherwise(0).alias("new")))
-    # texts are dealt by document before they are cut, so that no window over a document moves the words
+    # texts are dealt by document before they are cut, so that no window over a document or a sentence moves the words
     rows = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(pairs).alias("idx", "x")).select("doc_id", "idx", "x.*")
     order = W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("n").over(order)).withColumn("sent_idx", F.sum("new").over(order)).withColumn("token_idx", F.col("idx") - F.coalesce(F.max(F.when(F.col("new") == 1, F.col("idx"))).over(order), F.lit(0)))
@@ -129,27 +112,48 @@ def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", "sent_idx", "token_idx", "idx", "text", "tag", pos.alias("pos"), (F.col("end") - F.length("text")).alias("start"), "end")
 
 
+def _with_heads(t: DataFrame) -> DataFrame:
+    whole, order = W.partitionBy("doc_id", "sent_idx"), W.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
+    at, pos, root = F.col("token_idx"), F.col("pos"), F.col("root")
+    rows = t.withColumn("pl", F.lag(F.lower("text")).over(order)).withColumn("pp", F.lag("pos").over(order)).withColumn("np", F.lead("pos").over(order)).withColumn("nn", F.lead("pos", 2).over(order)).withColumn("root", F.min(F.when(pos == "VERB", at)).over(whole))
+    last = (F.col("np") == "NOUN") & (F.coalesce(F.col("nn"), F.lit("")) != "NOUN")
+    relation = (
+        F.when(at == root, "root").when((pos == "VERB") & (F.col("pl") == "to"), "xcomp").when((pos == "VERB") & (F.col("tag") == "VBG"), "advcl").when(pos == "VERB", "conj").when(pos == "AUX", "aux")
+        .when((pos == "NOUN") & (F.col("pp") == "ADP"), "obl").when((pos == "NOUN") & last, "compound").when((pos == "NOUN") & (at < root), "nsubj").when(pos == "NOUN", "obj")
+        .when(pos == "ADJ", "amod").when(pos == "DET", "det").when(pos == "ADP", "case").when(pos == "CCONJ", "cc").when(pos == "NUM", "nummod").when(pos == "ADV", "advmod").otherwise("dep")
+    )
+    out = rows.withColumn("relation", F.when(root.isNotNull(), relation))
+    head = F.when(F.col("relation").isin("amod", "det", "case", "cc", "nummod", "compound") & (F.col("np") == "NOUN"), at + 1).otherwise(root)
+    return out.withColumn("head", head).select(*t.columns, "head", "relation")
+
+
+#: The sentence tables by application and input folder.
+_sentences: dict[tuple[str, str], DataFrame] = {}
+
+
+def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in sentences with their heads, written once in an application: all operators of a query, and later queries, read the same table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _sentences:
+        rows, path = _with_heads(_words(spark, sf_dir)), scratch(spark, "sentences")
+        rows.write.option("compression", "zstd").parquet(path)
+        _sentences[key] = spark.read.schema(rows.schema).parquet(path)
+    return _sentences[key]
+
+
+def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_idx, token_idx, idx, text, tag, pos, start, end): words of documents with their sentence; a gap with . ! ? and white space ends one."""
+    return sentence_table(spark, sf_dir).drop("head", "relation")
+
+
 SW = f"""sw0 AS (SELECT doc_id, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS g, generate_subscripts(ws, 1) - 1 AS idx FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') AS gs FROM documents)),
     sw1 AS (SELECT *, {TAGS} AS tag, CAST(sum(length(g) + length(w)) OVER o AS BIGINT) AS e, CAST(sum(CASE WHEN regexp_matches(g, '[.!?]\\s') THEN 1 ELSE 0 END) OVER o AS BIGINT) AS sent_idx FROM sw0 WINDOW o AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
     sw AS (SELECT doc_id, sent_idx, CAST(row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY idx) - 1 AS INTEGER) AS token_idx, CAST(idx AS INTEGER) AS idx, w AS text, tag, CASE WHEN lower(w) IN ({", ".join(f"'{x}'" for x in AUXILIARY)}) THEN 'AUX' ELSE {POS} END AS pos, e - length(w) AS start, e AS "end" FROM sw1)"""
 
 
-@_once
 def sentence_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sent_idx, head, dependent, relation) by rules: the first verb is the root, and what stands before and behind a word names its relation."""
-    t = sentence_words(spark, sf_dir)
-    whole, order = W.partitionBy("doc_id", "sent_idx"), W.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
-    at, pos = F.col("token_idx"), F.col("pos")
-    rows = t.withColumn("root", F.min(F.when(pos == "VERB", at)).over(whole)).withColumn("pl", F.lag(F.lower("text")).over(order)).withColumn("pp", F.lag("pos").over(order)).withColumn("np", F.lead("pos").over(order)).withColumn("nn", F.lead("pos", 2).over(order)).where("root IS NOT NULL")
-    last = (F.col("np") == "NOUN") & (F.coalesce(F.col("nn"), F.lit("")) != "NOUN")
-    relation = (
-        F.when(at == F.col("root"), "root").when((pos == "VERB") & (F.col("pl") == "to"), "xcomp").when((pos == "VERB") & (F.col("tag") == "VBG"), "advcl").when(pos == "VERB", "conj").when(pos == "AUX", "aux")
-        .when((pos == "NOUN") & (F.col("pp") == "ADP"), "obl").when((pos == "NOUN") & last, "compound").when((pos == "NOUN") & (at < F.col("root")), "nsubj").when(pos == "NOUN", "obj")
-        .when(pos == "ADJ", "amod").when(pos == "DET", "det").when(pos == "ADP", "case").when(pos == "CCONJ", "cc").when(pos == "NUM", "nummod").when(pos == "ADV", "advmod").otherwise("dep")
-    )
-    out = rows.withColumn("relation", relation)
-    head = F.when(F.col("relation").isin("amod", "det", "case", "cc", "nummod", "compound") & (F.col("np") == "NOUN"), at + 1).otherwise(F.col("root"))
-    return out.select("doc_id", "sent_idx", head.alias("head"), at.alias("dependent"), "relation")
+    """(doc_id, sent_idx, head, dependent, relation, dependent_text) by rules: the first verb is the root, and what stands before and behind a word names its relation; dependent_text is the dependent's."""
+    return sentence_table(spark, sf_dir).where("relation IS NOT NULL").select("doc_id", "sent_idx", "head", F.col("token_idx").alias("dependent"), "relation", F.col("text").alias("dependent_text"))
 
 
 SD = """sd0 AS (SELECT *, min(CASE WHEN pos = 'VERB' THEN token_idx END) OVER (PARTITION BY doc_id, sent_idx) AS root, lag(lower(text)) OVER o AS pl, lag(pos) OVER o AS pp, lead(pos) OVER o AS np, lead(pos, 2) OVER o AS nn FROM sw WINDOW o AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)),
