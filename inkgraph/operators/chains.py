@@ -40,12 +40,14 @@ def verb_table(tokens: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def marked_tokens(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, token_idx, marker): places where a marker of up to three words begins; the longest counts."""
+    """(doc_id, sent_idx, token_idx, marker): places where a marker of up to three words begins; the longest counts. Only words that occur in markers are sorted."""
     order = W.partitionBy(*KEYS).orderBy("token_idx")
-    one, two, three = F.lower("text"), F.lower(F.lead("text", 1).over(order)), F.lower(F.lead("text", 2).over(order))
+    rows = tokens.select(*KEYS, "token_idx", F.lower("text").alias("w")).where(F.col("w").isin(sorted({w for m in MARKERS for w in m.split()})))
+    after = lambda n: F.when(F.lead("token_idx", n).over(order) == F.col("token_idx") + n, F.lead("w", n).over(order))
+    one, two, three = F.col("w"), after(1), after(2)
     known = lambda words: F.when(words.isin(list(MARKERS)), words)
     found = F.coalesce(known(F.concat(one, F.lit(" "), two, F.lit(" "), three)), known(F.concat(one, F.lit(" "), two)), known(one))
-    return tokens.select(*KEYS, "token_idx", found.alias("marker")).where("marker IS NOT NULL")
+    return rows.select(*KEYS, "token_idx", found.alias("marker")).where("marker IS NOT NULL")
 
 
 def sequences(tokens: DataFrame, deps: DataFrame, links: DataFrame) -> DataFrame:
