@@ -39,8 +39,6 @@ def guessed_tag(text: Column) -> Column:
 def tokenize(documents: DataFrame, processors: dict[str, str] = PATTERNS) -> DataFrame:
     """Tokens of each processor with code-point offsets: the gaps between tokens and the tokens' lengths are summed up."""
     frames = None
-    # texts are dealt by document before they are cut, so that no window over a document moves the tokens
-    documents = documents.select("doc_id", "text").repartition("doc_id")
     for name, pattern in processors.items():
         found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
         gaps = F.split("text", pattern, -1)
