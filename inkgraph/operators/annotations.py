@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inkgraph.operators import text as text_ops
+from inkgraph.plans.scratch import written
+
 
 def checked(annotations: DataFrame) -> DataFrame:
     """With error: start below 0, or end not behind start; null where both hold."""
@@ -265,3 +270,28 @@ def compared_with_golden(run: DataFrame, golden: DataFrame, near: float = 0.05,
     per = one.groupBy("doc_id").agg(F.count("*").alias("golden"), F.count(F.when(F.col("hit"), 1)).alias("found"))
     share = F.col("found") / F.col("golden")
     return per.select("doc_id", "golden", "found", F.round(share, 6).alias("coverage"), (share >= least).alias("passes"))
+
+
+def auto_annotated(documents: DataFrame, annotate: Callable[[DataFrame], tuple[DataFrame, DataFrame]], types: list[str] | None = None, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(annotations, relations) that an annotator finds in the Markdown-filtered texts, at their places in the texts as they are.
+
+    annotate takes (doc_id, text) and returns spans (doc_id, start, end, text, annotation_type, confidence) and
+    links (doc_id, source_start, source_end, target_start, target_end, relation_type). Spans below `least`, without a confidence or of
+    other types than given are left out. An end is found by the last character of a span. The uid is made
+    of document, place and type, so equal spans of one type are one annotation, with the highest confidence. A link joins the annotations with its spans, of several types that with the last in
+    order of names; links with an end that is no annotation are left out. Documents whose filtered text is blank have none.
+    """
+    pieces = written(text_ops.markdown_pieces(documents), "pieces")
+    filtered = text_ops.joined_pieces(documents, pieces).where("trim(text) <> ''")
+    spans, links = annotate(filtered)
+    sure = spans.where((F.col("confidence") >= least) & (F.col("end") > F.col("start")))
+    if types is not None:
+        sure = sure.where(F.col("annotation_type").isin(types))
+    one = sure.groupBy("doc_id", "start", "end", "annotation_type").agg(F.max("confidence").alias("confidence"), F.max("text").alias("text"))
+    places = text_ops.spans_to_original(one.select("doc_id", "start", "end").distinct(), pieces)
+    placed = one.join(places, ["doc_id", "start", "end"])
+    found = written(placed.select(F.concat_ws("-", "doc_id", "original_start", "original_end", "annotation_type").alias("uid"), "doc_id", "annotation_type", "start", "end", "original_start", "original_end", "text", "confidence"), "found")
+    ends = found.groupBy("doc_id", "start", "end").agg(F.max_by("uid", "annotation_type").alias("uid"))
+    joined = links.join(ends.toDF("doc_id", "source_start", "source_end", "source_uid"), ["doc_id", "source_start", "source_end"]).join(ends.toDF("doc_id", "target_start", "target_end", "target_uid"), ["doc_id", "target_start", "target_end"])
+    annotations = found.select("uid", "doc_id", "annotation_type", F.col("original_start").alias("start"), F.col("original_end").alias("end"), "text", F.lit("auto").alias("source"), "confidence")
+    return annotations, joined.select("source_uid", "target_uid", "relation_type").distinct()

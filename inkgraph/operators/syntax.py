@@ -100,3 +100,51 @@ def verb_phrase_texts(tokens: DataFrame, deps: DataFrame) -> DataFrame:
 def entities_of_types(entities: DataFrame, types: list[str]) -> DataFrame:
     """Entities of the given types, in any case."""
     return entities.where(F.lower("entity_type").isin([t.lower() for t in types]))
+
+
+def noun_groups(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, groups, dropped): coordinated nouns of a sentence as arrays of token places, in order, and the places of the `and` between them.
+
+    Nouns that conj links join, over words of any kind between them, are a group if there are two or more and an `and` depends by cc on one of them.
+    tokens: doc_id, sent_idx, token_idx, text, pos; deps: doc_id, sent_idx, head, dependent, relation, each dependent once. conj links that
+    go backwards are not followed. Sentences without a group have no row.
+    """
+    keys = ["doc_id", "sent_idx"]
+    links = deps.where("relation = 'conj' AND head < dependent").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("dependent", "head"))).alias("links"))
+    first = lambda found, place: F.coalesce(F.element_at(found, place), place)
+    # links in order of their dependent: the root of a head is known when its dependents come
+    roots = F.aggregate("links", F.create_map().cast("map<int,int>"), lambda found, x: F.map_concat(found, F.create_map(x["dependent"], first(found, x["head"]))))
+    chain = links.select(*keys, F.explode(roots).alias("token_idx", "root"))
+    members = chain.unionByName(chain.select(*keys, F.col("root").alias("token_idx"), "root")).distinct()
+    nouns = members.join(tokens.where("pos = 'NOUN'").select(*keys, "token_idx"), [*keys, "token_idx"])
+    ands = deps.where("relation = 'cc'").select(*keys, F.col("head").alias("token_idx"), F.col("dependent").alias("and_idx")).join(tokens.where("lower(text) = 'and'").select(*keys, F.col("token_idx").alias("and_idx")), [*keys, "and_idx"])
+    marked = nouns.join(ands, [*keys, "token_idx"], "left").groupBy(*keys, "root").agg(F.array_sort(F.collect_set("token_idx")).alias("group"), F.array_sort(F.collect_set("and_idx")).alias("ands"))
+    return marked.where((F.size("group") > 1) & (F.size("ands") > 0)).groupBy(*keys).agg(F.array_sort(F.collect_list("group")).alias("groups"), F.flatten(F.collect_list("ands")).alias("dropped"))
+
+
+def coordinated_variants(tokens: DataFrame, choices: DataFrame) -> DataFrame:
+    """choices (doc_id, sent_idx, groups, dropped, digits and any columns) with the text of the sentence in which digits[i] names the noun kept of group i.
+
+    The other nouns of the groups and the `and` between them go. tokens may have `gap`, the white space behind a token; without it, a space.
+    """
+    keys = ["doc_id", "sent_idx"]
+    gap = F.coalesce("gap", F.lit("")) if "gap" in tokens.columns else F.lit(" ")
+    words = tokens.join(choices.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("token_idx", F.concat("text", gap).alias("text")))).alias("words"))
+    chosen = F.transform("groups", lambda g, i: F.get(g, F.get("digits", i)))
+    rows = choices.join(words, keys).withColumn("gone", F.concat(F.array_except(F.flatten("groups"), chosen), "dropped"))
+    kept = F.filter("words", lambda w: ~F.array_contains("gone", w["token_idx"]))
+    return rows.select(*choices.columns, F.trim(F.array_join(F.transform(kept, lambda w: w["text"]), "")).alias("text"))
+
+
+def split_coordinated(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, variant, text): each sentence with coordinated nouns once for each choice of one noun from every group.
+
+    Variants are numbered in mixed radix, the last group fastest, and all come from one `sequence`: the digits of a
+    variant follow from its number, so no table of choices is joined. A sentence makes as many rows as the product of its groups' sizes; one
+    with 2^31 or more raises, and its variants can be had one by one from `coordinated_variants`.
+    """
+    radix = F.transform("groups", lambda g, i: F.aggregate(F.slice("groups", i + 2, F.size("groups")), F.lit(1).cast("long"), lambda n, h: n * F.size(h)))
+    rows = groups.withColumn("radix", radix)
+    rows = rows.withColumn("variant", F.explode(F.sequence(F.lit(0).cast("long"), F.get("radix", F.lit(0)) * F.size(F.get("groups", F.lit(0))) - 1)))
+    digits = F.transform("groups", lambda g, i: (F.floor(F.col("variant") / F.get("radix", i)) % F.size(g)).cast("int"))
+    return coordinated_variants(tokens, rows.withColumn("digits", digits).drop("radix")).select("doc_id", "sent_idx", "variant", "text")

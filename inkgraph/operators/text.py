@@ -45,6 +45,74 @@ def filtered_lines(documents: DataFrame) -> DataFrame:
     return kept.select("doc_id", "line", F.col("s").alias("text"), (F.sum(F.length("s") + 1).over(order) - F.length("s") - 1).alias("filtered_start"), "original_start", F.length("s").alias("length"))
 
 
+def markdown_pieces(documents: DataFrame) -> DataFrame:
+    """(doc_id, line, text, filtered_start, original_start, length): the pieces that Markdown filtering keeps; joined in order they are the filtered text.
+
+    Blocks between --- lines go, an open one to the end of the text; so does all from a References,
+    Bibliography or Citations heading of level 1 or 2 on. Of tables go the row before a separator, the separator and the rows
+    behind it; rows without a separator stay. Headings lose their # and get a final period, which
+    is a piece of its own and comes from the heading's last character. The line end belongs to the last
+    piece of a line, but of a heading is a piece of its own; the last line has none. A null text has no pieces. Offsets count code points.
+    """
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    order = W.partitionBy("doc_id").orderBy("line")
+    to_here, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    s, fence = F.col("s"), F.col("s").rlike(r"^---\s*$")
+    separator, row = s.rlike(r"^\s*\|[\s\-:|]+\|\s*$"), s.rlike(r"^\s*\|.+\|\s*$")
+    lines = lines.withColumn("at", F.coalesce(F.sum(F.length("s") + 1).over(before), F.lit(0))).withColumn("f", F.sum(flag(fence)).over(to_here)).withColumn("next", F.lead("s").over(order))
+    open_lines = lines.where(~fence & (F.col("f") % 2 == 0))
+    open_lines = open_lines.withColumn("tail", F.max(flag(s.rlike(r"(?i)^##?\s*(References|Bibliography|Citations)\s*$"))).over(to_here)).withColumn("in_table", F.last(F.when(separator, True).when(~row, False), True).over(before))
+    in_table = row & (separator | F.coalesce("in_table", F.lit(False)) | F.coalesce(F.col("next").rlike(r"^\s*\|[\s\-:|]+\|\s*$"), F.lit(False)))
+    kept = open_lines.where((F.col("tail") == 0) & ~in_table)
+    heading = s.rlike(r"(?s)^#{1,6}\s+.")
+    title = F.regexp_extract("s", r"(?s)^#{1,6}\s+(.*?)\s*$", 1)
+    newline = F.when(F.col("next").isNull(), "").otherwise("\n")
+    prefix = F.length(F.regexp_extract("s", r"^#{1,6}\s+", 0))
+    piece = lambda words, place: F.struct(words.alias("text"), place.cast("long").alias("original_start"))
+    dot = F.when(title.endswith("."), "").otherwise(".")
+    of_heading = F.array(piece(title, F.col("at") + prefix), piece(dot, F.col("at") + prefix + F.greatest(F.length(title) - 1, F.lit(0))), piece(newline, F.col("at") + F.length("s")))
+    pieces = kept.select("doc_id", "line", F.posexplode(F.filter(F.when(heading, of_heading).otherwise(F.array(piece(F.concat(s, newline), F.col("at")))), lambda x: x["text"] != "")).alias("part", "p"))
+    along = W.partitionBy("doc_id").orderBy("line", "part").rowsBetween(W.unboundedPreceding, 0)
+    return pieces.select("doc_id", "line", "p.text", (F.sum(F.length("p.text")).over(along) - F.length("p.text")).alias("filtered_start"), "p.original_start", F.length("p.text").alias("length"))
+
+
+def joined_pieces(documents: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc_id, text): the filtered text of each document, empty where nothing is kept."""
+    whole = pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filtered_start", "text"))), lambda x: x["text"]), "").alias("text"))
+    return documents.select("doc_id").join(whole, "doc_id", "left").na.fill("", ["text"])
+
+
+def split_like(documents: DataFrame, parts: DataFrame, window: int = 200) -> DataFrame:
+    """(doc_id, chunk_no, start, end, text): each text cut in proportion to the parts (doc_id, chunk_no, n_chars) of another form of it.
+
+    A cut lies its part's share of the text behind the one before, and moves behind the last empty line within `window`
+    characters of it, if that lies behind the cut before. The last part takes the rest, so the parts make up the
+    text again. Parts without any characters in all share the text as if all were equal. Documents without parts
+    have no rows; a null text counts as empty. Cuts depend on those before, so a document's are found by a fold over its parts.
+    """
+    order = F.array_sort(F.collect_list(F.struct("chunk_no", F.coalesce("n_chars", F.lit(0)).alias("n"))))
+    per = parts.groupBy("doc_id").agg(order.alias("parts"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("total"))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(per, "doc_id")
+    size = F.length("text")
+
+    def cut(acc: Column, part: Column) -> Column:
+        begin = F.element_at(acc, -1)
+        share = F.when(F.col("total") > 0, F.floor(size * part["n"] / F.col("total"))).otherwise(F.floor(size / F.size("parts"))).cast("int")
+        end = F.least(begin + share, size)
+        low = F.greatest(end - window, F.lit(0))
+        near = F.substring("text", low + 1, F.least(end + window, size) - low)
+        back = F.locate("\n\n", F.reverse(near))
+        moved = F.when(back > 0, low + F.length(near) - back + 1).otherwise(end)
+        return F.concat(acc, F.array(F.when(moved > begin, moved).otherwise(end)))
+
+    firsts = F.slice("parts", F.lit(1), F.size("parts") - 1)
+    cuts = F.concat(F.aggregate(firsts, F.array(F.lit(0)), cut), F.array(size))
+    spans = F.transform("parts", lambda part, i: F.struct(part["chunk_no"].alias("chunk_no"), F.get(F.col("cuts"), i).alias("start"), F.get(F.col("cuts"), i + 1).alias("end")))
+    out = rows.withColumn("cuts", cuts).select("doc_id", "text", F.explode(spans).alias("x"))
+    return out.select("doc_id", "x.*", F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("text"))
+
+
 def to_original(offsets: DataFrame, segments: DataFrame) -> DataFrame:
     """(doc_id, offset, original) by the last segment that begins at or before the offset: one sort of both tables by document."""
     a = segments.select("doc_id", F.col("filtered_start").alias("at"), F.lit(0).alias("kind"), F.col("original_start").alias("o"), F.col("filtered_start").alias("f"))
