@@ -127,23 +127,27 @@ def virtual_sublevels(blocks: DataFrame, height: float = 520, step: float = 130)
     return blocks.select("v", F.when(F.col("is_pinned"), 0).otherwise(F.floor(rank / room)).cast("int").alias("chunk"))
 
 
-def barycentre(edges: DataFrame, layers: DataFrame, sweeps: int = 3) -> DataFrame:
-    """(v, layer, level) after sweeps left-right and right-left: a vertex goes to the mean place of its neighbours in the layer before, or to half of its layer.
+def barycentre(edges: DataFrame, layers: DataFrame) -> DataFrame:
+    """(v, layer, level): a vertex goes to the mean first place of its predecessors in lower and its successors in higher layers, or to half of its layer; ties by v.
 
-    Each half sweep handles all layers from the state before it, so it is one join whatever their number.
+    First places are by v. The published sweeps, three from left to right and back, layer by layer, sort each
+    layer again and again by these scores; they take places from the order at the start, so the scores
+    never change and one stable sort gives what all sweeps give. Neighbours in the same layer do not count, and
+    neither do vertices without a layer, which have no row. Repeated edges count once.
     """
     from inkgraph.plans.scratch import written
 
     known = layers.where("layer IS NOT NULL").select("v", "layer")
     sizes = known.groupBy("layer").agg(F.count("*").alias("size"))
-    state = written(ranked(known, "layer", ["v"], "level"), "levels")
-    for k in range(2 * sweeps):
-        near, far = ("dst", "src") if k % 2 == 0 else ("src", "dst")
-        other = state.select(F.col("v").alias(far), F.col("level").cast("double").alias("place"))
-        mean = edges.join(other, far).groupBy(F.col(near).alias("v")).agg(F.avg("place").alias("mean"))
-        scored = state.join(mean, "v", "left").join(sizes, "layer").select("v", "layer", F.round(F.coalesce("mean", F.col("size") / 2.0), 9).alias("score"))
-        state = written(ranked(scored, "layer", ["score", "v"], "level").drop("score"), "levels")
-    return state
+    first = written(ranked(known, "layer", ["v"], "place"), "places")
+    a = first.select(F.col("v").alias("src"), F.col("layer").alias("src_layer"), F.col("place").alias("src_place"))
+    b = first.select(F.col("v").alias("dst"), F.col("layer").alias("dst_layer"), F.col("place").alias("dst_place"))
+    up = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("src_layer < dst_layer")
+    both = F.array(F.struct(F.col("dst").alias("v"), F.col("src_place").alias("place")), F.struct(F.col("src").alias("v"), F.col("dst_place").alias("place")))
+    mean = up.select(F.explode(both).alias("x")).groupBy("x.v").agg(F.avg("x.place").alias("mean"))
+    # sizes has a row for each layer, and layers can be as many as vertices: no hint to broadcast it
+    scored = first.join(mean, "v", "left").join(sizes, "layer").select("v", "layer", F.coalesce("mean", F.col("size") / 2.0).alias("score"))
+    return ranked(scored, "layer", ["score", "v"], "level").drop("score")
 
 
 def crossings(edges: DataFrame, placed: DataFrame) -> DataFrame:

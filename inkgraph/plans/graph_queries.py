@@ -61,7 +61,7 @@ QUERIES = {
     "graph_break_cycles": lambda s, d: graph.break_cycles(_cyclic(s, d)).select("src", "dst"),
     "graph_simple_paths": lambda s, d: graph.simple_paths(graph.clean_edges(ad.citations(s, d)).withColumn("confidence", F.lit(0.5)), ad.table(s, d, "documents").where("doc_id > 0 AND doc_id % 50 = 0").select(F.concat(F.lit("D"), "doc_id").alias("v"))).select("start", F.array_join("path", ">").alias("path"), "confidence", "complete", "capped"),
     "layout_crossings": _both(lambda e, p: layout.crossings(e, p)),
-    "layout_barycentre": _both(lambda e, p: layout.barycentre(e, p).groupBy("layer").agg(F.count("*").alias("n"), F.min("level").alias("low"), F.max("level").alias("high"))),
+    "layout_barycentre": _both(lambda e, p: layout.barycentre(e, p)),
     "profile_totals": lambda s, d: profile.totals(ad.articles(s, d), ad.citations(s, d)),
     "profile_top_journals": lambda s, d: profile.top_values(ad.articles(s, d), "journal", 10),
     "profile_latest_years": lambda s, d: profile.latest_years(ad.articles(s, d)),
@@ -114,7 +114,9 @@ QUERIES = {
 ORACLE_SQL = {
     "graph_simple_paths": f"WITH RECURSIVE {CLEAN}, r AS (SELECT 'D' || doc_id AS start, ['D' || doc_id] AS path FROM documents WHERE doc_id > 0 AND doc_id % 50 = 0 UNION ALL SELECT r.start, list_append(r.path, k.dst) FROM r JOIN k ON k.src = r.path[-1] WHERE NOT list_contains(r.path, k.dst)) SELECT start, array_to_string(path, '>') AS path, 0.5::DOUBLE AS confidence, true AS complete, false AS capped FROM r WHERE len(path) > 1 AND path[-1] NOT IN (SELECT src FROM k)",
     "layout_crossings": f"WITH RECURSIVE {PLACED}, c AS (SELECT a.layer AS src_layer, b.layer AS dst_layer, a.level AS p, b.level AS q FROM e JOIN p a ON a.v = e.src JOIN p b ON b.v = e.dst) SELECT x.src_layer, x.dst_layer, count(*) AS crossings FROM c x JOIN c y USING (src_layer, dst_layer) WHERE x.p < y.p AND x.q > y.q GROUP BY 1, 2",
-    "layout_barycentre": f"WITH RECURSIVE {LAYERS} SELECT layer, count(*) AS n, CAST(0 AS INTEGER) AS low, CAST(count(*) - 1 AS INTEGER) AS high FROM l GROUP BY 1",
+    "layout_barycentre": f"""WITH RECURSIVE {LAYERS}, p AS (SELECT v, layer, row_number() OVER (PARTITION BY layer ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY layer) AS size FROM l),
+        x AS (SELECT e.dst AS v, p.place FROM e JOIN p ON p.v = e.src UNION ALL SELECT e.src, p.place FROM e JOIN p ON p.v = e.dst), m AS (SELECT v, avg(place) AS score FROM x GROUP BY 1)
+        SELECT v, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(score, size / 2.0::DOUBLE), v) - 1 AS level FROM p LEFT JOIN m USING (v)""",
     "profile_totals": f"WITH {ARTICLES}, {CITATIONS} SELECT (SELECT count(*) FROM a) AS articles, (SELECT count(*) FROM c) AS links",
     "profile_top_journals": f"WITH {ARTICLES} SELECT journal, count(*) AS n FROM a WHERE journal IS NOT NULL GROUP BY 1 ORDER BY n DESC, journal LIMIT 10",
     "profile_latest_years": f"WITH {ARTICLES} SELECT year, count(*) AS n FROM a GROUP BY 1 ORDER BY year DESC LIMIT 10",

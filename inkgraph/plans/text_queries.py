@@ -131,7 +131,18 @@ QUERIES = {
     "patterns_pivot": lambda s, d: an.pivoted(an.pattern_properties(an.patterns(_annotations(s, d), "multilevel"))).select("pattern_id", "text", "annotation_type"),
 }
 
+#: The kept lines of texts m: no closed block at the head, no table line, nothing from the references on.
+LINES = """ml AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM m),
+    ma AS (SELECT *, CAST(sum(length(s) + 1) OVER o AS BIGINT) - length(s) - 1 AS original_start, count(*) FILTER (s = '---') OVER o AS f, count(*) FILTER (s = '## References') OVER o AS tail FROM ml WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+    sg AS (SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) - length(s) - 1 AS filtered_start, original_start, CAST(length(s) AS INTEGER) AS length FROM ma WHERE f % 2 = 0 AND s <> '---' AND tail = 0 AND s <> '| a | b |')"""
+
 ORACLE_SQL = {
+    "text_without_references": f"WITH {MARKED}, b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 16) ELSE text END AS t FROM m) SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN substr(t, 1, length(t) - 20) ELSE t END) AS hash FROM b",
+    "text_filtered_lines": f"WITH {MARKED}, {LINES} SELECT * FROM sg",
+    "text_map_offsets": f'WITH {MARKED}, {LINES}, o AS (SELECT doc_id, unnest([-1, 0, 9, 40, 10000000])::BIGINT AS "offset" FROM documents) SELECT o.doc_id, o."offset", CASE WHEN o."offset" < 0 THEN 0 ELSE coalesce(sg.original_start + o."offset" - sg.filtered_start, o."offset") END AS original FROM o ASOF LEFT JOIN sg ON sg.doc_id = o.doc_id AND sg.filtered_start <= o."offset"',
+    "text_span_originals": f"""WITH m AS (SELECT doc_id, text FROM documents), {LINES}, o AS (SELECT doc_id, unnest([0, 10])::BIGINT AS "start", unnest([4, 30])::BIGINT AS "end" FROM documents),
+        a AS (SELECT o.*, coalesce(sg.original_start + o."start" - sg.filtered_start, o."start") AS original_start FROM o ASOF LEFT JOIN sg ON sg.doc_id = o.doc_id AND sg.filtered_start <= o."start"), z AS (SELECT *, "end" - 1 AS e FROM a)
+        SELECT z.doc_id, z."start", z."end", z.original_start, coalesce(sg.original_start + z.e - sg.filtered_start, z.e) + 1 AS original_end FROM z ASOF LEFT JOIN sg ON sg.doc_id = z.doc_id AND sg.filtered_start <= z.e""",
     "ingest_page_links": "SELECT page_id, unnest(h) AS href, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)",
     "ingest_tag_counts": "SELECT lower(t) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) GROUP BY 1",
     "text_sentences": "SELECT doc_id, count(*) AS sentences, max(length(x)) AS longest FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM documents) GROUP BY 1",

@@ -40,3 +40,29 @@ def test_null_groups_repeated_rows_and_no_rows(spark):
     got = sorted(((r.g is not None, r.place) for r in ranked(rows, "g", ["v"], "place").collect()))
     assert got == [(False, 0), (False, 1), (True, 0), (True, 1), (True, 2)]
     assert ranked(rows.where("v > 9"), "g", ["v"], "place").count() == 0
+
+
+def swept(edges, layers, sweeps=3):
+    """Sweeps left to right and back, one layer after the other, by the places at the start."""
+    start = {}
+    for v in sorted(layers):
+        start.setdefault(layers[v], []).append(v)
+    now = {k: list(vs) for k, vs in start.items()}
+    for _ in range(sweeps):
+        for k in [*sorted(now), *sorted(now, reverse=True)]:
+            def score(v):
+                near = [start[layers[a]].index(a) for a, b in edges if b == v and layers.get(a, k) < k] + [start[layers[b]].index(b) for a, b in edges if a == v and layers.get(b, k) > k]
+                return sum(near) / len(near) if near else len(now[k]) / 2
+            if len(now[k]) > 1:
+                now[k] = sorted(now[k], key=score)
+    return {(v, k, i) for k, vs in now.items() for i, v in enumerate(vs)}
+
+
+def test_barycentres_are_those_of_the_sweeps(spark):
+    rng = random.Random(11)
+    layers = {f"v{i:02}": rng.randrange(5) for i in range(40)}
+    edges = {(rng.choice(sorted(layers)), rng.choice(sorted(layers))) for _ in range(70)} | {("v00", "gone"), ("gone", "v01")}
+    df = spark.createDataFrame([*edges, *list(edges)[:5]], "src string, dst string")
+    rows = spark.createDataFrame([*layers.items(), ("gone", None)], "v string, layer int")
+    assert {tuple(r) for r in layout.barycentre(df, rows).select("v", "layer", "level").collect()} == swept(edges, layers)
+    assert layout.barycentre(df.limit(0), rows.limit(0)).isEmpty()
