@@ -93,23 +93,29 @@ def split_like(documents: DataFrame, parts: DataFrame, window: int = 200) -> Dat
     """
     order = F.array_sort(F.collect_list(F.struct("chunk_no", F.coalesce("n_chars", F.lit(0)).alias("n"))))
     per = parts.groupBy("doc_id").agg(order.alias("parts"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("total"))
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(per, "doc_id")
-    size = F.length("text")
+    known = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = known.withColumn("size", F.length("text")).join(per, "doc_id")
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that is used several times is found once
+    span = lambda part, start, end: F.struct(part["chunk_no"].alias("chunk_no"), start.alias("start"), end.alias("end"))
 
     def cut(acc: Column, part: Column) -> Column:
-        begin = F.element_at(acc, -1)
-        share = F.when(F.col("total") > 0, F.floor(size * part["n"] / F.col("total"))).otherwise(F.floor(size / F.size("parts"))).cast("int")
-        end = F.least(begin + share, size)
-        low = F.greatest(end - window, F.lit(0))
-        near = F.substring("text", low + 1, F.least(end + window, size) - low)
-        back = F.locate("\n\n", F.reverse(near))
-        moved = F.when(back > 0, low + F.length(near) - back + 1).otherwise(end)
-        return F.concat(acc, F.array(F.when(moved > begin, moved).otherwise(end)))
-
-    firsts = F.slice("parts", F.lit(1), F.size("parts") - 1)
-    cuts = F.concat(F.aggregate(firsts, F.array(F.lit(0)), cut), F.array(size))
-    spans = F.transform("parts", lambda part, i: F.struct(part["chunk_no"].alias("chunk_no"), F.get(F.col("cuts"), i).alias("start"), F.get(F.col("cuts"), i + 1).alias("end")))
-    out = rows.withColumn("cuts", cuts).select("doc_id", "text", F.explode(spans).alias("x"))
+        share = F.when(F.col("total") > 0, F.floor(F.col("size") * part["n"] / F.col("total"))).otherwise(F.floor(F.col("size") / F.size("parts"))).cast("int")
+
+        def moved(end: Column) -> Column:
+            low = F.greatest(end - window, F.lit(0))
+            near = F.substring("text", low + 1, F.least(end + window, F.col("size")) - low)
+            back = lambda w: once(F.locate("\n\n", F.reverse(w)), lambda k: F.when(k > 0, low + F.length(w) - k + 1).otherwise(end))
+            return once(once(near, back), lambda m: F.when(m > acc["begin"], m).otherwise(end))
+
+        closed = lambda end: F.struct(F.concat(acc["done"], F.array(span(part, acc["begin"], end))).alias("done"), end.alias("begin"))
+        return once(once(F.least(acc["begin"] + share, F.col("size")), moved), closed)
+
+    kind = rows.select("parts").schema["parts"].dataType.elementType["chunk_no"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<struct<chunk_no:{kind},start:int,end:int>>").alias("done"), F.lit(0).alias("begin"))
+    firsts, last = F.slice("parts", F.lit(1), F.size("parts") - 1), F.element_at("parts", -1)
+    spans = F.aggregate(firsts, start, cut, lambda acc: F.concat(acc["done"], F.array(span(last, acc["begin"], F.col("size")))))
+    # explode_outer: explode would have the fold done once more, for a filter on its size
+    out = rows.select("doc_id", "text", F.explode_outer(spans).alias("x"))
     return out.select("doc_id", "x.*", F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("text"))
 
 
