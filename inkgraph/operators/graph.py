@@ -160,13 +160,6 @@ def ancestors(edges: DataFrame, goals: DataFrame, max_hops: int = 100_000) -> Da
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goals, max_hops)
 
 
-def would_close_cycle(edges: DataFrame, new_edges: DataFrame, max_hops: int = 100_000) -> DataFrame:
-    """The new edges whose source can be reached from their target, or is it."""
-    reach = reachable(edges, new_edges.select(F.col("dst").alias("v")), max_hops)
-    found = reach.select(F.col("start").alias("dst"), F.col("v").alias("src"))
-    return new_edges.join(found, ["src", "dst"], "left_semi")
-
-
 def longest_path(edges: DataFrame, layers: DataFrame) -> DataFrame:
     """(position, v) of one longest path; at every tie the smallest id."""
     layered = written(layers.where("layer IS NOT NULL"), "layered")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkgraph.operators import graph, layout, profile
+from inkgraph.operators import graph, layout, profile, reach
 from inkgraph.plans import adapters as ad
 from inkgraph.plans.adapters import ARTICLES, CITATIONS, CLEAN, EDGES, LAYERS, PLACED
 from inkgraph.plans.scratch import written
@@ -93,7 +93,8 @@ QUERIES = {
     "graph_longest_path": _both(lambda e, p: graph.longest_path(e, p)),
     "graph_ancestors": lambda s, d: graph.ancestors(written(ad.dag_edges(s, d), "edges"), ad.table(s, d, "part").where("p_size = 50").select(F.concat(F.lit("P"), "p_partkey").alias("v"))).select(F.col("start").alias("goal"), "v", "hops"),
     "graph_descendants": lambda s, d: graph.reachable(written(ad.dag_edges(s, d), "edges"), ad.table(s, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("v"))),
-    "graph_would_close_cycle": lambda s, d: graph.would_close_cycle(written(graph.clean_edges(ad.citations(s, d)), "edges"), ad.table(s, d, "documents").where("doc_id > 0").select(F.concat(F.lit("D"), "doc_id").alias("src"), F.concat(F.lit("D"), F.floor(F.col("doc_id") / 4)).alias("dst"))),
+    "graph_would_close_cycle": lambda s, d: reach.would_close_cycle(written(graph.clean_edges(ad.citations(s, d)), "edges"), ad.table(s, d, "documents").where("doc_id > 0").select(F.concat(F.lit("D"), "doc_id").alias("src"), F.concat(F.lit("D"), F.floor(F.col("doc_id") / 4)).alias("dst"))),
+    "graph_reaching_pairs": lambda s, d: reach.reaching_pairs(written(ad.dag_edges(s, d), "edges"), ad.table(s, d, "orders").select(F.concat(F.lit("N"), F.col("o_custkey") % 25).alias("start"), F.concat(F.lit("P"), F.col("o_orderkey") % 200 + 1).alias("goal"))),
     "graph_merge_duplicates": lambda s, d: graph.merge_duplicate_vertices(ad.table(s, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("id"), F.upper("lang").alias("subject"), F.col("source").alias("verb"), F.when(F.col("doc_id") % 2 == 0, F.lit(" x")).alias("object")), graph.clean_edges(ad.citations(s, d)).select("src", "dst", F.lit("NEXT").alias("relation"), (F.length("dst") / 10.0).alias("confidence"))),
     "graph_same_layer_edges": lambda s, d: graph.same_layer_edges(graph.clean_edges(ad.citations(s, d)), _random_layers(graph.clean_edges(ad.citations(s, d)))),
     "graph_layer_violations": lambda s, d: graph.layer_violations(graph.clean_edges(ad.citations(s, d)), _random_layers(graph.clean_edges(ad.citations(s, d)))),
@@ -149,6 +150,7 @@ ORACLE_SQL = {
     "graph_ancestors": f"WITH RECURSIVE {EDGES}, g AS (SELECT 'P' || p_partkey AS v FROM part WHERE p_size = 50), r AS (SELECT v AS goal, v, 0 AS hops FROM g UNION SELECT r.goal, e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.v) SELECT goal, v, min(hops) AS hops FROM r GROUP BY 1, 2",
     "graph_descendants": f"WITH RECURSIVE {EDGES}, r AS (SELECT 'R' || r_regionkey AS start, 'R' || r_regionkey AS v, 0 AS hops FROM region UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.v) SELECT start, v, min(hops) AS hops FROM r GROUP BY 1, 2",
     "graph_would_close_cycle": f"WITH RECURSIVE {CLEAN}, n AS (SELECT 'D' || doc_id AS src, 'D' || (doc_id // 4) AS dst FROM documents WHERE doc_id > 0), r AS (SELECT DISTINCT dst AS s, dst AS v FROM n UNION SELECT r.s, k.dst FROM r JOIN k ON k.src = r.v) SELECT src, dst FROM n WHERE EXISTS (SELECT 1 FROM r WHERE r.s = n.dst AND r.v = n.src)",
+    "graph_reaching_pairs": f"WITH RECURSIVE {EDGES}, n AS (SELECT DISTINCT 'N' || (o_custkey % 25) AS start, 'P' || (o_orderkey % 200 + 1) AS goal FROM orders), r AS (SELECT DISTINCT start AS s, start AS v FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.v) SELECT start, goal FROM n JOIN r ON r.s = n.start AND r.v = n.goal",
     "graph_merge_duplicates": f"WITH {CLEAN}, m AS (SELECT 'D' || doc_id AS id, min('D' || doc_id) OVER (PARTITION BY lower(lang), lower(source), CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE '' END) AS t FROM documents) SELECT x.t AS src, y.t AS dst, 'NEXT' AS relation, max(length(k.dst) / 10.0::DOUBLE) AS confidence FROM k JOIN m x ON x.id = k.src JOIN m y ON y.id = k.dst WHERE x.t <> y.t GROUP BY 1, 2",
     "graph_same_layer_edges": f"WITH {CLEAN} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(length(src) AS INTEGER) AS layer, src > dst AS turned FROM k WHERE length(src) = length(dst)",
     "graph_layer_violations": f"WITH {CLEAN} SELECT src, dst, CAST(length(src) AS INTEGER) AS src_layer, CAST(length(dst) AS INTEGER) AS dst_layer FROM k WHERE length(src) >= length(dst)",

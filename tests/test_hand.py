@@ -112,7 +112,7 @@ def test_layer_stream_restarts(spark, tmp_path):
     for k, edges in enumerate(batches):
         spark.createDataFrame(edges, "src string, dst string").coalesce(1).write.mode("append").parquet(source)
         incremental.layer_stream(spark, source, store, check).awaitTermination()
-    got = {r.v: r.layer for r in spark.read.parquet(f"{store}/layers-2").collect()}
+    got = {r.v: r.layer for r in incremental.stored_layers(spark, store, 3).collect()}
     assert got == {"x": 0, "a": 1, "b": 2, "c": 3, "d": 4, "e": 5}
 
 
