@@ -25,7 +25,6 @@ def _places(text: str | None, tokens) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(PLACES)
 def _placed(texts: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _places(x, t) for x, t in zip(texts, tokens)])
 
@@ -40,7 +39,7 @@ def align_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     lists = tokens.select("doc_id", F.col("tokens").alias("_tokens"))
     rows = lists.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-    return rows.select("doc_id", F.explode(_placed("_text", "_tokens")).alias("t")).select("doc_id", "t.*")
+    return rows.select("doc_id", F.explode(F.pandas_udf(_placed, PLACES)("_text", "_tokens")).alias("t")).select("doc_id", "t.*")
 
 
 def token_lists(tokens: DataFrame) -> DataFrame:

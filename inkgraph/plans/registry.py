@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this folder that hold QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("graph_queries", "serving_queries", "source_queries", "text_queries", "annotator_queries", "analysis_queries", "matcher_queries", "dataset_queries")
+MODULES: tuple[str, ...] = ("graph_queries", "serving_queries", "source_queries", "text_queries", "annotator_queries", "analysis_queries", "matcher_queries", "dataset_queries", "alignment_queries")
 
 
 def _merged(name: str) -> dict:
