@@ -187,7 +187,10 @@ ORACLE_SQL = {
     "actions_verbs": f"WITH {SW}, {SD}, {_ACT} SELECT * FROM ac",
     "actions_nominalizations": f"WITH {SW} SELECT doc_id, sent_idx, token_idx, left(lower(text), length(text) - 3) AS action, lower(text) AS noun FROM sw WHERE pos = 'NOUN' AND lower(text) LIKE '%tion'",
     "actions_arguments": f"WITH {SW}, {SD}, {_ACT}, ow AS (SELECT doc_id, sent_idx, head AS token_idx, arg_min(lower(text), dependent) FILTER (relation = 'nsubj') AS subject, arg_min(lower(text), dependent) FILTER (relation = 'obj') AS object, string_agg(lower(text), ' ' ORDER BY dependent) FILTER (relation IN ('obl','advmod')) AS modifiers FROM sd GROUP BY 1, 2, 3), pa AS (SELECT d.doc_id, d.sent_idx, d.dependent AS token_idx, o.subject AS above FROM sd d JOIN ow o ON o.doc_id = d.doc_id AND o.sent_idx = d.sent_idx AND o.token_idx = d.head WHERE d.relation = 'xcomp') SELECT doc_id, sent_idx, token_idx, coalesce(subject, above) AS subject, object, CAST(NULL AS VARCHAR) AS indirect, coalesce(modifiers, '') AS modifiers FROM ac LEFT JOIN ow USING (doc_id, sent_idx, token_idx) LEFT JOIN pa USING (doc_id, sent_idx, token_idx)",
-    "actions_passives": f"WITH {SW}, q AS (SELECT *, lag(lower(text)) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx) AS prev FROM sw), b AS (SELECT *, first_value(CASE WHEN pos = 'NOUN' AND prev = 'by' THEN lower(text) END IGNORE NULLS) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS agent FROM q) SELECT doc_id, sent_idx, token_idx, lower(text) AS verb, agent, CASE WHEN regexp_matches(lower(text), '^(inhibit|block|suppress|prevent)') THEN 'PREVENTS' WHEN regexp_matches(lower(text), '^(activat|enabl|promot|facilitat)') THEN 'ENABLES' ELSE 'CAUSES' END AS relation, 0.85::DOUBLE AS confidence FROM b WHERE prev IN ('is','are','was','were','be','been') AND regexp_matches(lower(text), '(ed|en)$') AND agent IS NOT NULL",
+    "actions_passives": f"""WITH {SW}, q AS (SELECT *, lag(lower(text)) OVER o AS prev, lag(lower(text), 2) OVER o AS prev2, last_value(CASE WHEN pos = 'NOUN' THEN lower(text) END IGNORE NULLS) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS patient FROM sw WINDOW o AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)),
+        b AS (SELECT *, first_value(CASE WHEN pos = 'NOUN' AND prev = 'by' THEN lower(text) END IGNORE NULLS) OVER (PARTITION BY doc_id, sent_idx ORDER BY token_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS agent FROM q)
+        SELECT doc_id, sent_idx, token_idx, lower(text) AS verb, agent, patient, CASE WHEN regexp_matches(lower(text), '^(inhibit|block|suppress|prevent)') THEN 'PREVENTS' WHEN regexp_matches(lower(text), '^(activat|enabl|promot|facilitat)') THEN 'ENABLES' ELSE 'CAUSES' END AS relation, 0.85::DOUBLE AS confidence FROM b
+        WHERE agent IS NOT NULL AND (prev IN ('is','are','was','were','be','been') AND regexp_matches(lower(text), '(ed|en)$') OR lower(text) IN ('inhibitor','activator') AND (prev IN ('is','are','was','were','be','been') OR prev IN ('a','an','the') AND prev2 IN ('is','are','was','were','be','been')))""",
     "actions_coordinated": f"WITH {SW}, {ENT}, q AS (SELECT en.*, lag(\"end\") OVER (PARTITION BY doc_id ORDER BY start) AS before FROM en), g AS (SELECT q.*, CASE WHEN start - before < 20 AND regexp_matches(substr(d.text, before + 1, start - before), '(?i)^\\s*(,|,?\\s*\\b(and|or)\\b)\\s*$') THEN 0 ELSE 1 END AS new FROM q JOIN documents d USING (doc_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM g), l AS (SELECT *, last_value(text) OVER w AS target, last_value(start) OVER w AS place FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT doc_id, text AS source, target, 0.7::DOUBLE AS confidence FROM l WHERE start <> place",
     "actions_part_of": f"WITH {SW}, {ENT}, p AS (SELECT x.doc_id, x.text AS e1, y.text AS e2, substr(d.text, x.\"end\" + 1, y.start - x.\"end\") AS gap FROM en x JOIN en y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND y.start >= x.\"end\" AND y.start - x.\"end\" <= 100 JOIN documents d ON d.doc_id = x.doc_id) SELECT DISTINCT doc_id, CASE WHEN regexp_matches(gap, '{_WHOLE}') THEN e2 ELSE e1 END AS part, CASE WHEN regexp_matches(gap, '{_WHOLE}') THEN e1 ELSE e2 END AS whole, CASE WHEN length(gap) <= 50 THEN 0.8 ELSE 0.75 END::DOUBLE AS confidence FROM p WHERE regexp_matches(gap, '{_PARTS}')",
     "actions_entity_cascade": f"WITH {SW}, o AS (SELECT *, lead(pos) OVER w AS p2, lead(\"end\") OVER w AS e2 FROM sw WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY token_idx)), k1 AS (SELECT doc_id, start, \"end\", CAST(1 AS INTEGER) AS priority FROM o WHERE length(text) >= 12), k2 AS (SELECT doc_id, start, e2 AS \"end\", CAST(2 AS INTEGER) AS priority FROM o WHERE pos = 'NOUN' AND p2 = 'NOUN' AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.doc_id = o.doc_id AND k1.start < o.e2 AND k1.\"end\" > o.start)), k12 AS (FROM k1 UNION ALL FROM k2), k3 AS (SELECT doc_id, start, \"end\", CAST(3 AS INTEGER) AS priority FROM o WHERE length(text) BETWEEN 9 AND 11 AND NOT EXISTS (SELECT 1 FROM k12 WHERE k12.doc_id = o.doc_id AND k12.start < o.\"end\" AND k12.\"end\" > o.start)) SELECT * FROM k12 UNION ALL SELECT * FROM k3",

@@ -106,3 +106,12 @@ def test_entity_clusters_by_any_member(spark):
             if a[0] == b[0] and max(0, min(a[2], b[2]) - max(a[1], b[1])) / (max(a[2], b[2]) - min(a[1], b[1])) >= 0.5:
                 parent[root(a)] = root(b)
     assert all((cluster[a] == cluster[b]) == (root(a) == root(b)) for a in spans for b in spans)
+
+
+def test_passives_have_agent_and_patient(spark):
+    sentences = ["growth was inhibited by iron", "iron is an activator made by cells", "was blocked by salt", "growth was inhibited"]
+    nouns = {"growth", "iron", "cells", "salt"}
+    rows = [(1, k, i, w, "NOUN" if w in nouns else "VERB") for k, s in enumerate(sentences) for i, w in enumerate(s.split())]
+    tokens = spark.createDataFrame(rows, "doc_id long, sent_idx int, token_idx int, text string, pos string")
+    got = {(r.sent_idx, r.verb, r.agent, r.patient, r.relation) for r in actions.passives(tokens).collect()}
+    assert got == {(0, "inhibited", "iron", "growth", "PREVENTS"), (1, "activator", "cells", "iron", "ENABLES"), (2, "blocked", "salt", None, "PREVENTS")}
