@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window as W
 
 from inkgraph.operators import text as text_ops
@@ -116,11 +118,11 @@ def shifted(annotations: DataFrame, edits: DataFrame) -> DataFrame:
 def text_changed(annotations: DataFrame, texts: DataFrame) -> DataFrame:
     """Annotations whose text is not what stands at their offsets."""
     joined = annotations.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id")
-    return joined.where(F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text")).select("uid")
+    return joined.where(F.substring("_text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")) != F.col("text")).select("uid")
 
 
 def validation_issues(annotations: DataFrame, texts: DataFrame) -> DataFrame:
-    """(uid, severity, rule) of every rule that an annotation breaks."""
+    """(uid, severity, rule) of every rule that an annotation breaks; offsets may be of any number type, a column color is looked at where there is one."""
     repeated = annotations.groupBy("uid").agg(F.count("*").alias("_n")).where("_n > 1")
     # texts meet the annotations last, so that no text goes through another shuffle
     joined = annotations.join(repeated, "uid", "left").join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
@@ -128,10 +130,15 @@ def validation_issues(annotations: DataFrame, texts: DataFrame) -> DataFrame:
     rules = [
         ("error", "required field", F.col("annotation_type").isNull() | F.col("text").isNull()),
         ("error", "offsets", ~off),
-        ("warning", "text differs", off & (F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text"))),
+        ("warning", "text differs", off & (F.substring("_text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")) != F.col("text"))),
         ("error", "confidence", F.col("confidence").isNotNull() & ~F.col("confidence").between(0, 1)),
         ("error", "uid not unique", F.col("_n") > 1),
     ]
+    broken = [F.col(c) != F.floor(c) for c in ("start", "end") if not isinstance(annotations.schema[c].dataType, IntegralType)]
+    if broken:
+        rules.append(("error", "offsets not integer", reduce(lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)), broken, F.lit(False))))
+    if "color" in annotations.columns:
+        rules.append(("warning", "color", ~(F.startswith("color", F.lit("#")) & (F.length("color") == 7))))
     found = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, bad in rules)))
     return joined.select("uid", F.explode(found).alias("x")).select("uid", "x.*")
 

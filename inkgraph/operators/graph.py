@@ -139,6 +139,28 @@ def graph_statistics(edges: DataFrame) -> DataFrame:
     )
 
 
+def graph_report(edges: DataFrame, all_vertices: DataFrame) -> DataFrame:
+    """One row over all vertices (v) and edges: vertices, isolated ones, components (each isolated vertex is one), size and share in percent of the largest, mean out and in degree, is_dag.
+
+    The mean degrees are over vertices with an edge, and null without any.
+    """
+    edges = written(edges.select("src", "dst"), "edges")
+    alone = isolated(all_vertices.select("v").distinct(), edges).agg(F.count("*").alias("isolated"))
+    sizes = component_sizes(edges).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("connected"), F.max("size").alias("m"))
+    means = degrees(edges).agg(F.round(F.avg("out_degree"), 6).alias("mean_out"), F.round(F.avg("in_degree"), 6).alias("mean_in"))
+    acyclic = is_dag(assign_layers(edges)).select("is_dag")
+    row = alone.crossJoin(sizes).crossJoin(means).crossJoin(acyclic)  # four tables of one row
+    total = F.col("isolated") + F.col("connected")
+    largest = F.coalesce("m", F.when(F.col("isolated") > 0, 1).otherwise(0))
+    return row.select(total.alias("vertices"), "isolated", (F.col("n") + F.col("isolated")).alias("components"), largest.cast("long").alias("largest"), F.when(total > 0, F.round(100.0 * largest / total, 4)).alias("largest_percent"), "mean_out", "mean_in", "is_dag")
+
+
+def without_coordinates(placed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Positions (v, ...) whose other columns are null for the vertices in gone (v), as for isolated ones."""
+    marked = placed.join(gone.select("v", F.lit(True).alias("_gone")).distinct(), "v", "left")
+    return marked.select("v", *(F.when(F.col("_gone").isNull(), F.col(c)).alias(c) for c in placed.columns if c != "v"))
+
+
 def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 100_000) -> DataFrame:
     """(start, v, hops) with the fewest hops from each start to every vertex it reaches, itself with 0."""
     edges = edges.select("src", "dst")
@@ -270,6 +292,35 @@ def simple_paths(edges: DataFrame, starts: DataFrame, cutoff: int = 10, per_star
     return out.where(F.size("path") > 1).select("start", "path", F.round(F.col("sum") / (F.size("path") - 1), 6).alias("confidence"), "complete", "capped")
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame, cutoff: int = 10) -> DataFrame:
+    """(start, goal, path) of all simple paths of at most `cutoff` edges from the start to the goal of distinct pairs; edges: src, dst.
+
+    The hops that still lead from a vertex to a goal are found first, against the edges, so a path is only
+    made longer where it can come to its goal in the steps that are left. There can be very many paths
+    in a graph that is dense; `paths.best_paths` keeps the best. A start that is its goal has the path of one vertex.
+    """
+    edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    pairs = written(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct(), "pairs")
+    back = left = written(pairs.select("goal", F.col("goal").alias("v"), F.lit(0).alias("left")).distinct(), "left")
+    for k in range(1, cutoff + 1):
+        step = back.join(edges, back.v == edges.dst).select("goal", F.col("src").alias("v")).distinct().join(left, ["goal", "v"], "left_anti")
+        back = written(step.withColumn("left", F.lit(k)), "left")
+        if back.isEmpty():
+            break
+        left = left.unionByName(back)
+    left = written(left, "left")
+    open_ = written(pairs.join(left.withColumnRenamed("v", "start"), ["start", "goal"], "left_semi").withColumn("path", F.array("start")), "paths")
+    done = open_.where("start = goal")
+    for k in range(1, cutoff + 1):
+        on = open_.where(F.element_at("path", -1) != F.col("goal")).withColumn("src", F.element_at("path", -1)).join(edges, "src").where(~F.array_contains("path", F.col("dst")))
+        near = left.select("goal", F.col("v").alias("dst"), "left")
+        open_ = written(on.join(near, ["goal", "dst"]).where(F.col("left") <= cutoff - k).select("start", "goal", F.concat("path", F.array("dst")).alias("path")), "paths")
+        if open_.isEmpty():
+            break
+        done = done.unionByName(open_.where(F.element_at("path", -1) == F.col("goal")))
+    return done
+
+
 def path_statistics(path: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of a path (position, v): vertices, first and last, steps that are no edge, and whether it is a path."""
     steps = path.select(F.col("v").alias("src"), F.lead("v").over(W.orderBy("position")).alias("dst")).where("dst IS NOT NULL")

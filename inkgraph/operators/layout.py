@@ -179,6 +179,21 @@ def blocks_with_tags(blocks: DataFrame, tags: DataFrame) -> DataFrame:
     return blocks.join(own, "uid", "left").na.fill("", ["tags"])
 
 
+def blocks_of_layer(blocks: DataFrame, layer: int) -> DataFrame:
+    """Blocks (uid, layer, level, ...) of one layer."""
+    return blocks.where(F.col("layer") == layer)
+
+
+def blocks_of_users(blocks: DataFrame, owners: DataFrame) -> DataFrame:
+    """(user, uid, ...) of blocks by their users; owners: user, uid. A user without a block and an owner of an unknown one give no row, a repeated owner one."""
+    return owners.select("user", "uid").distinct().join(blocks, "uid").select("user", *blocks.columns)
+
+
+def without_link(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """Links (uid, ...) without those whose uid is in gone (uid)."""
+    return links.join(gone.select("uid").distinct(), "uid", "left_anti").select(*links.columns)
+
+
 def without_blocks(gone: DataFrame, blocks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, links) without the blocks that go and all links at either of their ends."""
     g = gone.select("v")

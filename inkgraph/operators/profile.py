@@ -53,6 +53,13 @@ def bad_ids(articles: DataFrame) -> DataFrame:
     return articles.agg(F.count(F.when(F.coalesce(F.trim("uid"), F.lit("")) == "", 1)).alias("bad"), F.count("*").alias("total"))
 
 
+def edge_sample(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(relation, src, dst): of each type of edge the first `most` by (src, dst), repeats once; a null type is one of them."""
+    order = W.partitionBy("relation").orderBy("src", "dst")
+    rows = edges.select("relation", "src", "dst").distinct().withColumn("_r", F.row_number().over(order))
+    return rows.where(F.col("_r") <= most).drop("_r")
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """(value, n, percent) of a column."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

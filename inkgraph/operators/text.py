@@ -221,10 +221,21 @@ def content_hashes(documents: DataFrame) -> DataFrame:
     return documents.groupBy(F.md5("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-def active_version(documents: DataFrame) -> DataFrame:
-    """(doc_id, version, text): user text before formatted before raw."""
-    version = F.when(F.col("user_text").isNotNull(), "user").when(F.col("formatted_text").isNotNull(), "formatted").when(F.col("raw_text").isNotNull(), "raw")
-    return documents.select("doc_id", version.alias("version"), F.coalesce("user_text", "formatted_text", "raw_text").alias("text"))
+#: Versions of a text, the first that is there is active.
+VERSIONS = ("user", "formatted", "raw", "legacy")
+
+
+def active_version(documents: DataFrame, selected: str | None = None) -> DataFrame:
+    """(doc_id, version, text): user text before formatted before raw before legacy, of columns user_text and so on; those that are missing count as null.
+
+    A column named by `selected` holds the version wanted for a document: it is taken as it is, null text
+    where it is not there; null or an unknown name leaves the order above.
+    """
+    have = [v for v in VERSIONS if f"{v}_text" in documents.columns]
+    first = F.coalesce(*(F.when(F.col(f"{v}_text").isNotNull(), F.lit(v)) for v in have))
+    version = first if selected is None else F.coalesce(F.when(F.col(selected).isin(*VERSIONS), F.col(selected)), first)
+    texts = F.coalesce(*(F.when(F.col("version") == v, F.col(f"{v}_text")) for v in have))
+    return documents.withColumn("version", version).select("doc_id", "version", texts.alias("text"))
 
 
 def absolute_images(text: Column, base: str) -> Column:

@@ -154,6 +154,9 @@ QUERIES = {
     "text_readiness": lambda s, d: text.readiness(_documents(s, d), {"annotations": _annotated(s, d), "sequences": sentence_words(s, d).where("pos = 'ADV'")}),
     "text_cascade_delete": lambda s, d: text.without_documents(table(s, d, "labels").where("toxic = 1"), {"annotations": _annotated(s, d)})["annotations"].select("uid"),
     "serve_display_titles": lambda s, d: layout.display_titles(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("uid"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("title"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("name"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).alias("content"))),
+    "serve_layer_blocks": lambda s, d: layout.blocks_of_layer(table(s, d, "orders").select(F.col("o_orderkey").alias("uid"), (F.col("o_custkey") % 7).alias("layer")), 3),
+    "serve_user_blocks": lambda s, d: layout.blocks_of_users(table(s, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("title")), table(s, d, "lineitem").select(F.col("l_suppkey").alias("user"), F.col("l_orderkey").alias("uid"))),
+    "serve_without_link": lambda s, d: layout.without_link(table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("uid"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), table(s, d, "orders").where("o_orderstatus = 'F'").select(F.concat_ws("-", "o_orderkey", F.lit(2)).alias("uid"))),
     "serve_blocks_with_tags": lambda s, d: layout.blocks_with_tags(table(s, d, "customer").select(F.col("c_custkey").alias("uid")), table(s, d, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("tag"))),
     "serve_without_blocks": lambda s, d: layout.without_blocks(table(s, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("C"), "c_custkey").alias("v")), _blocks(s, d), table(s, d, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("O"), "o_orderkey").alias("dst")))[1],
     "layout_pins": lambda s, d: layout.with_pins(_blocks(s, d), table(s, d, "customer").where("c_acctbal < 3000").select(F.concat(F.lit("C"), "c_custkey").alias("v"), F.when(F.col("c_custkey") % 3 == 0, F.lit(True)).when(F.col("c_custkey") % 3 == 1, F.lit(False)).alias("pin"), F.lit(3).alias("scale"), F.lit(99).alias("level"))),
@@ -225,6 +228,9 @@ ORACLE_SQL = {
     "text_readiness": f"WITH {SW}, {AN9}, x AS (SELECT doc_id, count(*) AS n FROM a9 GROUP BY 1), y AS (SELECT doc_id, count(*) AS n FROM sw WHERE pos = 'ADV' GROUP BY 1) SELECT doc_id, coalesce(x.n, 0) AS annotations, coalesce(y.n, 0) AS sequences, concat_ws(',', CASE WHEN x.n IS NULL THEN 'annotations' END, CASE WHEN y.n IS NULL THEN 'sequences' END) AS missing, x.n IS NOT NULL AND y.n IS NOT NULL AS is_ready FROM documents LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)",
     "text_cascade_delete": f"WITH {SW}, {AN9} SELECT uid FROM a9 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "serve_display_titles": "SELECT CAST(p_partkey AS VARCHAR) AS uid, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 5 = 0 THEN p_type ELSE CAST(p_partkey AS VARCHAR) END AS display FROM part",
+    "serve_layer_blocks": "SELECT o_orderkey AS uid, o_custkey % 7 AS layer FROM orders WHERE o_custkey % 7 = 3",
+    "serve_user_blocks": "SELECT DISTINCT l_suppkey AS user, o_orderkey AS uid, o_orderpriority AS title FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'",
+    "serve_without_link": "SELECT l_orderkey || '-' || l_linenumber AS uid, l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber <> 2 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "serve_blocks_with_tags": "SELECT c_custkey AS uid, coalesce((SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE o_custkey = c_custkey), '') AS tags FROM customer",
     "serve_without_blocks": "SELECT 'C' || o_custkey AS src, 'O' || o_orderkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "layout_pins": "WITH q AS (SELECT *, c_acctbal < 3000 AS ch, CASE WHEN c_acctbal < 3000 AND c_custkey % 3 = 0 THEN true WHEN c_acctbal < 3000 AND c_custkey % 3 = 1 THEN false ELSE c_custkey % 2 = 0 END AS p FROM customer) SELECT 'C' || c_custkey AS v, CAST(CASE WHEN ch AND p THEN 99 ELSE c_nationkey END AS INTEGER) AS level, p AS is_pinned, CAST(CASE WHEN ch AND p THEN 3 ELSE 0 END AS INTEGER) AS scale FROM q",

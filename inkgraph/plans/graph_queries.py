@@ -74,6 +74,7 @@ QUERIES = {
     "profile_coverage": lambda s, d: profile.coverage(ad.articles(s, d)),
     "profile_edge_quality": lambda s, d: graph.edge_quality(ad.citations(s, d)),
     "profile_bad_ids": lambda s, d: profile.bad_ids(ad.articles(s, d)),
+    "profile_edge_sample": lambda s, d: profile.edge_sample(ad.dag_edges(s, d).select(F.concat(F.substring("src", 1, 1), F.substring("dst", 1, 1)).alias("relation"), "src", "dst")),
     "profile_distribution": lambda s, d: profile.distribution(ad.table(s, d, "documents"), "lang"),
     "profile_compare_runs": lambda s, d: profile.compare_runs(ad.table(s, d, "orders").where("o_orderstatus = 'F'").groupBy("o_orderpriority").agg(F.count("*").cast("double")), ad.table(s, d, "orders").where("o_orderstatus = 'O'").groupBy("o_orderpriority").agg(F.count("*").cast("double"))),
     "ingest_missing_reasons": lambda s, d: profile.missing_reasons(ad.articles(s, d), ["title", "doi", "abstract"]),
@@ -86,6 +87,9 @@ QUERIES = {
     "graph_degrees": lambda s, d: graph.degrees(ad.dag_edges(s, d)),
     "graph_component_sizes": lambda s, d: graph.component_sizes(_same_source(s, d)),
     "graph_statistics": lambda s, d: graph.graph_statistics(ad.dag_edges(s, d)),
+    "graph_report": lambda s, d: graph.graph_report(_same_source(s, d), ad.articles(s, d).select(F.col("uid").alias("v"))),
+    "graph_paths_between": lambda s, d: graph.paths_between(graph.clean_edges(ad.citations(s, d)), ad.table(s, d, "documents").where("doc_id > 0").select(F.concat(F.lit("D"), F.floor(F.col("doc_id") / 12)).alias("start"), F.concat(F.lit("D"), "doc_id").alias("goal"))).select("start", "goal", F.array_join("path", ">").alias("path")),
+    "layout_without_isolated": lambda s, d: graph.without_coordinates(ad.articles(s, d).select(F.col("uid").alias("v"), F.length("uid").alias("layer"), (F.length("uid") * 240.0).alias("x")), graph.isolated(ad.articles(s, d).select(F.col("uid").alias("v")), _same_source(s, d))),
     "graph_isolated": lambda s, d: graph.isolated(ad.articles(s, d).select(F.col("uid").alias("v")), _same_source(s, d)),
     "graph_topological_order": lambda s, d: graph.topological_order(_layers(s, d), strict=True),
     "graph_order_violations": _order_check,
@@ -130,6 +134,7 @@ ORACLE_SQL = {
     "profile_coverage": f"WITH {ARTICLES}, t AS (SELECT 'doi' AS field, count(doi) AS n FROM a UNION ALL SELECT 'abstract', count(abstract) FROM a UNION ALL SELECT 'keywords', count(*) FILTER (len(keywords) > 0) FROM a) SELECT field, n, round(100.0::DOUBLE * n / (SELECT count(*) FROM a), 4) AS percent FROM t",
     "profile_edge_quality": f"WITH {CITATIONS}, g AS (SELECT *, coalesce(trim(src) = '', true) AS bs, coalesce(trim(dst) = '', true) AS bd FROM c) SELECT count(*) AS edges, count(*) FILTER (bs) AS blank_src, count(*) FILTER (bd) AS blank_dst, count(*) FILTER (NOT bs AND NOT bd AND src = dst) AS self_loops, count(*) FILTER (NOT bs AND NOT bd AND src <> dst) AS valid, count(DISTINCT (src, dst)) FILTER (NOT bs AND NOT bd AND src <> dst) AS unique_edges, count(*) FILTER (NOT bs AND NOT bd AND src <> dst) - count(DISTINCT (src, dst)) FILTER (NOT bs AND NOT bd AND src <> dst) AS duplicates FROM g",
     "profile_bad_ids": f"WITH {ARTICLES} SELECT count(*) FILTER (coalesce(trim(uid), '') = '') AS bad, count(*) AS total FROM a",
+    "profile_edge_sample": f"WITH {EDGES} SELECT src[1:1] || dst[1:1] AS relation, src, dst FROM e QUALIFY row_number() OVER (PARTITION BY src[1:1] || dst[1:1] ORDER BY src, dst) <= 10",
     "profile_distribution": "SELECT lang AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS percent FROM documents GROUP BY 1",
     "profile_compare_runs": "WITH x AS (SELECT o_orderpriority AS metric, count(*)::DOUBLE AS before FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), y AS (SELECT o_orderpriority AS metric, count(*)::DOUBLE AS after FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT metric, before, after, round(100.0::DOUBLE * (after - before) / before, 4) AS change_percent FROM x FULL JOIN y USING (metric)",
     "ingest_missing_reasons": f"WITH {ARTICLES}, t AS (SELECT concat_ws(', ', CASE WHEN coalesce(trim(title), '') = '' THEN 'title' END, CASE WHEN coalesce(trim(doi), '') = '' THEN 'doi' END, CASE WHEN coalesce(trim(abstract), '') = '' THEN 'abstract' END) AS m FROM a) SELECT CASE WHEN m <> '' THEN 'missing: ' || m ELSE '' END AS reason, count(*) AS n FROM t GROUP BY 1",
@@ -142,6 +147,15 @@ ORACLE_SQL = {
     "graph_degrees": f"WITH {EDGES} SELECT v, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS v, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY v",
     "graph_component_sizes": f"WITH RECURSIVE {CLEAN}, q AS (SELECT src, dst FROM k JOIN documents a ON 'D' || a.doc_id = src JOIN documents b ON 'D' || b.doc_id = dst WHERE a.source = b.source), u AS (SELECT src AS a, dst AS b FROM q UNION SELECT dst, src FROM q), r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON u.a = r.w) SELECT component, count(*) AS size FROM (SELECT v, min(w) AS component FROM r GROUP BY v) GROUP BY component",
     "graph_statistics": f"WITH {EDGES}, g AS (SELECT v, sum(o) AS o, sum(i) AS i FROM (SELECT src AS v, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY v), t AS (SELECT count(*) AS vertices, CAST(sum(o) AS BIGINT) AS edges, CAST(max(o) AS BIGINT) AS max_out, CAST(max(i) AS BIGINT) AS max_in FROM g) SELECT *, round(edges / vertices, 6) AS mean_out, round(2 * edges / vertices, 6) AS mean_degree, round(edges / (vertices * (vertices - 1.0::DOUBLE)), 9) AS density FROM t",
+    "graph_report": f"""WITH RECURSIVE {ARTICLES}, {CLEAN}, q AS (SELECT src, dst FROM k JOIN documents a ON 'D' || a.doc_id = src JOIN documents b ON 'D' || b.doc_id = dst WHERE a.source = b.source), u AS (SELECT src AS a, dst AS b FROM q UNION SELECT dst, src FROM q),
+        r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON u.a = r.w), z AS (SELECT component, count(*) AS size FROM (SELECT v, min(w) AS component FROM r GROUP BY v) GROUP BY component),
+        n AS (SELECT uid AS v FROM a UNION SELECT src FROM q UNION SELECT dst FROM q), i AS (SELECT count(*) AS isolated FROM n WHERE v NOT IN (SELECT a FROM u)),
+        f AS (SELECT src AS v, dst AS w FROM q UNION SELECT f.v, q.dst FROM f JOIN q ON q.src = f.w)
+        SELECT (SELECT count(*) FROM n) AS vertices, isolated, (SELECT count(*) FROM z) + isolated AS components, (SELECT max(size) FROM z) AS largest, round(100.0::DOUBLE * (SELECT max(size) FROM z) / (SELECT count(*) FROM n), 4) AS largest_percent,
+            round((SELECT count(*) FROM q) / (SELECT count(DISTINCT a) FROM u), 6) AS mean_out, round((SELECT count(*) FROM q) / (SELECT count(DISTINCT a) FROM u), 6) AS mean_in, NOT EXISTS (SELECT 1 FROM f WHERE v = w) AS is_dag FROM i""",
+    "graph_paths_between": f"""WITH RECURSIVE {CLEAN}, g AS (SELECT DISTINCT 'D' || (doc_id // 12) AS start, 'D' || doc_id AS goal FROM documents WHERE doc_id > 0), r AS (SELECT DISTINCT start, [start] AS p FROM g UNION ALL SELECT start, list_append(p, k.dst) FROM r JOIN k ON k.src = p[-1] WHERE NOT list_contains(p, k.dst) AND len(p) <= 10)
+        SELECT g.start, g.goal, array_to_string(p, '>') AS path FROM r JOIN g ON g.start = r.start AND g.goal = p[-1]""",
+    "layout_without_isolated": f"WITH {ARTICLES}, {CLEAN}, q AS (SELECT src, dst FROM k JOIN documents a ON 'D' || a.doc_id = src JOIN documents b ON 'D' || b.doc_id = dst WHERE a.source = b.source), h AS (SELECT uid, uid IN (SELECT src FROM q UNION SELECT dst FROM q) AS linked FROM a) SELECT uid AS v, CASE WHEN linked THEN CAST(length(uid) AS INTEGER) END AS layer, CASE WHEN linked THEN length(uid) * 240.0::DOUBLE END AS x FROM h",
     "graph_isolated": f"WITH {ARTICLES}, {CLEAN}, q AS (SELECT src, dst FROM k JOIN documents a ON 'D' || a.doc_id = src JOIN documents b ON 'D' || b.doc_id = dst WHERE a.source = b.source) SELECT uid AS v FROM a WHERE uid NOT IN (SELECT src FROM q UNION SELECT dst FROM q)",
     "graph_topological_order": f"WITH RECURSIVE {LAYERS} SELECT v, layer, row_number() OVER (ORDER BY layer, v) - 1 AS position FROM l",
     "graph_order_violations": f"WITH RECURSIVE {LAYERS}, o AS (SELECT v, row_number() OVER (ORDER BY layer, v) AS p FROM l) SELECT count(*) AS violations FROM e JOIN o a ON a.v = e.src JOIN o b ON b.v = e.dst WHERE a.p >= b.p",

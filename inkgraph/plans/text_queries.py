@@ -42,6 +42,16 @@ def _annotations(s, d):
     return w.select(F.concat_ws("-", "doc_id", "idx").alias("uid"), "doc_id", F.col("pos").alias("annotation_type"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", F.when(F.col("idx") % 2 == 0, "user").otherwise("multilevel").alias("source"), (F.col("idx") % 10 / 10.0).alias("confidence"))
 
 
+def _faulty_annotations(s, d):
+    """The annotations with faults by place in the document: moved, broken, repeated, unsure, without type, or of a wrong colour."""
+    i = F.substring_index("uid", "-", -1).cast("int")
+    moved = F.when(i % 41 == 0, 0.5).when(i % 43 == 0, 1.0).when(i % 47 == 0, 1e6).otherwise(0.0)
+    return _annotations(s, d).select(
+        F.when(i % 37 == 0, F.concat("doc_id", F.lit("-x"))).otherwise(F.col("uid")).alias("uid"), "doc_id", F.when(i % 53 != 0, F.col("annotation_type")).alias("annotation_type"),
+        (F.col("start") + moved).alias("start"), (F.col("end") + moved).alias("end"), "text", (F.col("confidence") * 1.2).alias("confidence"),
+        F.when(i % 5 == 0, "#12aBf0").when(i % 5 == 1, "red").when(i % 5 == 2, "#12g").alias("color"))
+
+
 def _ratings(s, d):
     lab, docs = table(s, d, "labels"), _docs(s, d)
     a = lab.select(F.col("doc_id").alias("item"), F.lit("quality").alias("rater"), F.col("quality").cast("string").alias("category"))
@@ -94,6 +104,7 @@ QUERIES = {
     "text_chunks": lambda s, d: text.chunks(_docs(s, d)),
     "text_merged_chunks": lambda s, d: text.merged(text.chunks(_docs(s, d))).select("doc_id", F.length("text").alias("n")),
     "text_content_hashes": lambda s, d: text.content_hashes(_docs(s, d)),
+    "text_selected_version": lambda s, d: text.active_version(_docs(s, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("user_text"), F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).alias("formatted_text"), F.when(F.col("doc_id") % 5 == 1, F.col("source")).alias("raw_text"), F.col("lang").alias("legacy_text"), F.when(F.col("doc_id") % 4 == 1, "raw").when(F.col("doc_id") % 4 == 2, "none such").alias("wanted")), "wanted").select("doc_id", "version", F.md5("text").alias("hash")),
     "text_active_version": lambda s, d: text.active_version(_docs(s, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("user_text"), F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).alias("formatted_text"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("raw_text"))).select("doc_id", "version", F.md5("text").alias("hash")),
     "text_absolute_images": lambda s, d: _docs(s, d).select("doc_id", text.absolute_images(F.concat(F.lit("![a]("), "source", F.lit(".png) ![b](http://x/y.png)")), "https://img/").alias("text")),
     "tokens_statistics": lambda s, d: tokens.statistics(_words(s, d)),
@@ -124,6 +135,7 @@ QUERIES = {
     "annotations_edit_range": _edit_check,
     "annotations_shift": lambda s, d: an.shifted(_annotations(s, d), _edits(s, d)).select("uid", "start", "end"),
     "annotations_text_changed": lambda s, d: an.text_changed(_annotations(s, d), _docs(s, d).select("doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "x").otherwise(""), "text").alias("text"))),
+    "annotations_all_rules": lambda s, d: an.validation_issues(_faulty_annotations(s, d), _docs(s, d)),
     "annotations_issues": lambda s, d: an.validation_issues(_annotations(s, d).withColumn("confidence", F.col("confidence") * 1.2), _docs(s, d)).groupBy("severity", "rule").agg(F.count("*").alias("n")),
     "annotations_verdict": lambda s, d: an.verdict(an.validation_issues(_annotations(s, d).withColumn("confidence", F.col("confidence") * F.when(F.col("doc_id") % 2 == 0, 1.2).otherwise(1.0)), _docs(s, d)), _annotations(s, d)),
     "annotations_for_selections": lambda s, d: an.overlapping_types(_annotations(s, d), _docs(s, d).select(F.col("doc_id").alias("sel_id"), "doc_id", F.lit(0).alias("start"), F.lit(10000000).alias("end"))),
@@ -148,6 +160,7 @@ ORACLE_SQL = {
     "text_sentences": "SELECT doc_id, count(*) AS sentences, max(length(x)) AS longest FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM documents) GROUP BY 1",
     "text_first_heading": f"WITH {MARKED} SELECT doc_id, trim(substr(trim([l FOR l IN string_split(text, chr(10)) IF regexp_matches(trim(l), '^# ')][1]), 3)) AS title FROM m",
     "text_content_hashes": "SELECT md5(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "text_selected_version": "WITH v AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 'raw' WHEN doc_id % 3 = 0 THEN 'user' WHEN doc_id % 2 = 0 THEN 'formatted' WHEN doc_id % 5 = 1 THEN 'raw' ELSE 'legacy' END AS version FROM documents) SELECT doc_id, version, md5(CASE version WHEN 'user' THEN CASE WHEN doc_id % 3 = 0 THEN text END WHEN 'formatted' THEN reverse(text) WHEN 'raw' THEN CASE WHEN doc_id % 5 = 1 THEN source END ELSE lang END) AS hash FROM v",
     "text_active_version": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'user' WHEN doc_id % 2 = 0 THEN 'formatted' WHEN doc_id % 7 <> 0 THEN 'raw' END AS version, md5(CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 2 = 0 THEN reverse(text) WHEN doc_id % 7 <> 0 THEN source END) AS hash FROM documents",
     "text_absolute_images": "SELECT doc_id, '![a](https://img/' || source || '.png) ![b](http://x/y.png)' AS text FROM documents",
     "tokens_statistics": f"WITH {WORDS} SELECT 'word' AS processor, count(*) AS tokens, count(DISTINCT doc_id) AS documents, round(avg(length(text)), 6) AS mean_length, count(DISTINCT lower(text)) AS forms, count(DISTINCT pos) AS tags FROM t",
@@ -175,6 +188,11 @@ ORACLE_SQL = {
     "tokens_flags": f"WITH {WORDS} SELECT count(*) FILTER (lower(text) IN ({', '.join(repr(w) for w in tokens.STOP_WORDS)})) AS is_stop, CAST(0 AS BIGINT) AS is_punct, count(*) FILTER (regexp_matches(text, '^\\p{{L}}+$')) AS is_alpha, count(*) FILTER (regexp_matches(text, '^[0-9]+$')) AS is_digit, count(*) FILTER (regexp_matches(text, '^[+-]?[0-9][0-9,.]*$')) AS like_num, count(*) FILTER (regexp_matches(text, '^(https?://|www\\.)')) AS like_url, count(*) FILTER (regexp_matches(text, '^[^@\\s]+@[^@\\s]+\\.[a-z]+$')) AS like_email, count(DISTINCT regexp_replace(regexp_replace(regexp_replace(text, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Nd}}', 'd', 'g')) AS shapes FROM t",
     "vote_dependencies": "WITH x AS (SELECT l_orderkey AS doc_id, l_partkey AS head, l_linenumber AS dependent, CASE WHEN l_returnflag = 'R' THEN 'nmod' ELSE 'obj' END AS base, CASE WHEN l_returnflag = 'R' THEN 'nmod' ELSE 'obj' END || ':' || l_linestatus AS relation, 'p' || l_suppkey % 4 AS processor, l_discount AS confidence FROM lineitem), own AS (SELECT doc_id, head, dependent, arg_max(relation, (confidence, relation)) AS relation, CAST(1 AS BIGINT) AS votes FROM x WHERE processor = 'p0' GROUP BY 1, 2, 3), rest AS (SELECT * FROM x WHERE (doc_id, head, dependent) NOT IN (SELECT (doc_id, head, dependent) FROM own)), g AS (SELECT doc_id, head, dependent, base, count(DISTINCT processor) AS votes, avg(confidence) AS sure FROM rest GROUP BY 1, 2, 3, 4), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, head, dependent ORDER BY votes DESC, sure DESC, base) AS r FROM g), f AS (SELECT doc_id, head, dependent, b.votes, relation, count(*) AS n FROM rest JOIN b USING (doc_id, head, dependent, base) WHERE r = 1 AND b.votes >= 2 GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, head, dependent ORDER BY n DESC, relation) AS r FROM f) SELECT * FROM own UNION ALL SELECT doc_id, head, dependent, relation, votes FROM z WHERE r = 1",
     "text_heading_periods": f"WITH {MARKED} SELECT doc_id, md5(array_to_string([CASE WHEN regexp_matches(l, '^#{{1,6}}\\s+.*[^.\\s][ \\t]*$') THEN regexp_replace(l, '^(#{{1,6}})\\s+(.*[^.\\s])[ \\t]*$', '\\1 \\2.') ELSE l END FOR l IN string_split(text, chr(10))], chr(10))) AS hash FROM m",
+    "annotations_all_rules": f"""WITH {ANN}, g AS (SELECT *, CASE WHEN idx % 41 = 0 THEN 0.5 WHEN idx % 43 = 0 THEN 1 WHEN idx % 47 = 0 THEN 1e6 ELSE 0 END AS m, CASE WHEN idx % 37 = 0 THEN doc_id || '-x' ELSE uid END AS u FROM an),
+        h AS (SELECT u, idx, confidence, g.text AS t, start + m AS a, "end" + m AS b, m, count(*) OVER (PARTITION BY u) AS n, w.text AS whole, start + m >= 0 AND "end" + m <= length(w.text) AS inside FROM g JOIN documents w USING (doc_id))
+        SELECT u AS uid, 'error' AS severity, 'required field' AS rule FROM h WHERE idx % 53 = 0 UNION ALL SELECT u, 'error', 'offsets' FROM h WHERE NOT inside
+        UNION ALL SELECT u, 'warning', 'text differs' FROM h WHERE inside AND substr(whole, CAST(floor(a) AS INTEGER) + 1, CAST(b - a AS INTEGER)) <> t UNION ALL SELECT u, 'error', 'confidence' FROM h WHERE confidence * 1.2 > 1
+        UNION ALL SELECT u, 'error', 'uid not unique' FROM h WHERE n > 1 UNION ALL SELECT u, 'error', 'offsets not integer' FROM h WHERE m = 0.5 UNION ALL SELECT u, 'warning', 'color' FROM h WHERE idx % 5 IN (1, 2)""",
     "annotations_issues": f"WITH {ANN} SELECT 'error' AS severity, 'confidence' AS rule, count(*) AS n FROM an WHERE confidence * 1.2 > 1 HAVING count(*) > 0",
     "annotations_verdict": f"WITH {ANN} SELECT doc_id, CASE WHEN count(*) FILTER (doc_id % 2 = 0 AND confidence * 1.2 > 1) > 0 THEN 'failed' ELSE 'valid' END AS verdict FROM an GROUP BY 1",
     "annotations_for_selections": f"WITH {ANN} SELECT doc_id AS sel_id, annotation_type, max(confidence) AS confidence FROM an GROUP BY 1, 2",

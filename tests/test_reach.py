@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkgraph.operators import reach
+from inkgraph.operators import graph, reach
 
 
 def closure(edges):
@@ -79,3 +79,35 @@ def test_no_edges_no_pairs(spark):
     none = frame(spark, [], ["src", "dst"])
     assert reach.would_close_cycle(none, none).isEmpty()
     assert reach.would_close_cycle(none, frame(spark, [("a", "a"), ("a", "b")], ["src", "dst"])).count() == 1
+
+
+def every_path(edges, start, goal, cutoff):
+    found, todo = [], [[start]]
+    while todo:
+        path = todo.pop()
+        if path[-1] == goal:
+            found.append(tuple(path))
+        elif len(path) <= cutoff:
+            todo += [path + [b] for a, b in edges if a == path[-1] and b not in path]
+    return sorted(found)
+
+
+def test_paths_between_equal_an_enumeration(spark):
+    edges = random_graph(7, 14, 34, True) + [("v3", "v3")]
+    pairs = [(f"v{a}", f"v{b}") for a, b in [(0, 9), (9, 0), (4, 4), (2, 13), (11, 5), (1, 99)]] + [("v0", "v9"), (None, "v1")]
+    for cutoff in (3, 5):
+        got = sorted((r.start, r.goal, tuple(r.path)) for r in graph.paths_between(frame(spark, edges, ["src", "dst"]), frame(spark, pairs, ["start", "goal"]), cutoff).collect())
+        assert got == sorted((a, b, p) for a, b in set(pairs) if a for p in every_path(edges, a, b, cutoff) if a != b or len(p) == 1)
+
+
+def test_report_of_small_graphs(spark):
+    edges = frame(spark, [("a", "b"), ("b", "c"), ("x", "y")], ["src", "dst"])
+    points = frame(spark, [("a",), ("b",), ("c",), ("x",), ("y",), ("z",), ("z",)], ["v"])
+    assert tuple(graph.graph_report(edges, points).first()) == (6, 1, 3, 3, 50.0, 0.6, 0.6, True)
+    loop = frame(spark, [("a", "b"), ("b", "a")], ["src", "dst"])
+    assert graph.graph_report(loop, points).first().is_dag is False
+    none = frame(spark, [], ["src", "dst"])
+    assert tuple(graph.graph_report(none, points.where("v = 'z'")).first()) == (1, 1, 1, 1, 100.0, None, None, True)
+    assert tuple(graph.graph_report(none, points.where("v = '-'")).first()) == (0, 0, 0, 0, None, None, None, True)
+    placed = spark.createDataFrame([("a", 1, 2.0), ("z", 3, 4.0)], "v string, layer int, x double")
+    assert sorted(map(tuple, graph.without_coordinates(placed, points.where("v = 'z'")).collect())) == [("a", 1, 2.0), ("z", None, None)]
