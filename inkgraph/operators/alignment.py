@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-PLACES = "array<struct<idx:int,text:string,start:int,end:int,found:boolean>>"
+#: Columns of a placed token.
+TYPES = {"idx": pa.int32(), "text": pa.string(), "start": pa.int32(), "end": pa.int32(), "found": pa.bool_()}
+#: Placed tokens that are handed on together.
+ROWS = 20_000
 
 
 def _places(text: str | None, tokens) -> list[tuple]:
@@ -25,8 +31,19 @@ def _places(text: str | None, tokens) -> list[tuple]:
     return out
 
 
-def _placed(texts: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _places(x, t) for x, t in zip(texts, tokens)])
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of placed tokens, handed on document by document once there are so many, so that a batch of long texts is never held as Python objects."""
+    for batch in batches:
+        ids, texts, lists = batch.column(0), batch.column(1), batch.column(2)
+        at, rows = [], []
+        for i in range(batch.num_rows):
+            found = _places(texts[i].as_py(), lists[i].as_py() or ())
+            at += [i] * len(found)
+            rows += found
+            if len(rows) >= ROWS or i == batch.num_rows - 1:
+                columns = list(zip(*rows)) or [()] * len(TYPES)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, TYPES.values()))], ["doc_id", *TYPES])
+                at, rows = [], []
 
 
 def align_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -39,7 +56,8 @@ def align_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     lists = tokens.select("doc_id", F.col("tokens").alias("_tokens"))
     rows = lists.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-    return rows.select("doc_id", F.explode(F.pandas_udf(_placed, PLACES)("_text", "_tokens")).alias("t")).select("doc_id", "t.*")
+    kind = StructType([rows.schema["doc_id"], *StructType.fromDDL("idx int, text string, start int, end int, found boolean").fields])
+    return rows.select("doc_id", "_text", "_tokens").mapInArrow(_aligned, kind)
 
 
 def token_lists(tokens: DataFrame) -> DataFrame:
