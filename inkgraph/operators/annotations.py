@@ -79,10 +79,12 @@ def edit_range(old: Column, new: Column) -> Column:
 
         return F.aggregate(F.array(*(F.lit(1 << k) for k in range(26, -1, -1))), F.lit(0), step)
 
-    most = F.least(F.length(old), F.length(new))
-    prefix = common(old, new, most)
-    suffix = common(F.reverse(old), F.reverse(new), most - prefix)
-    return F.struct(prefix.alias("start"), (F.length(old) - suffix).alias("old_end"), (F.length(new) - suffix).alias("new_end"))
+    # each length is found once and then named, since a step that holds another length's steps would take them again
+    named = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    texts = F.struct(old.alias("a"), new.alias("b"), F.reverse(old).alias("c"), F.reverse(new).alias("d"), F.length(old).alias("m"), F.length(new).alias("n"))
+    prefixed = named(texts, lambda t: F.struct(*(t[k].alias(k) for k in "cdmn"), common(t["a"], t["b"], F.least(t["m"], t["n"])).alias("p")))
+    sized = named(prefixed, lambda t: F.struct(*(t[k].alias(k) for k in "mnp"), common(t["c"], t["d"], F.least(t["m"], t["n"]) - t["p"]).alias("s")))
+    return named(sized, lambda t: F.struct(t["p"].alias("start"), (t["m"] - t["s"]).alias("old_end"), (t["n"] - t["s"]).alias("new_end")))
 
 
 def _after(span: Column, e: Column) -> Column:

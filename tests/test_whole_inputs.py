@@ -49,3 +49,14 @@ def test_orders_vote_on_their_dependencies_alone(spark, tmp_path):
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = registry.queries()["vote_dependencies"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.head, r.dependent, r.relation, r.votes) for r in got) == [(3, 8, 2, "obj:O", 1), (41, 7, 1, "obj:O", 2)]
+
+
+def test_edit_range_finds_each_length_once(spark):
+    """The halving of the suffix must not hold that of the prefix: the plan names the texts a bounded number of times."""
+    from pyspark.sql import functions as F
+    from inkgraph.operators.annotations import edit_range
+
+    rows = spark.createDataFrame([("abcdef", "abXYef"), ("same", "same"), ("", "new"), ("aaa", "aa")], "o string, n string")
+    found = rows.select("o", "n", edit_range(F.col("o"), F.col("n")).alias("r"))
+    assert found._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2
+    assert [tuple(r.r) for r in found.collect()] == [(2, 4, 4), (4, 4, 4), (0, 0, 3), (2, 3, 2)]
