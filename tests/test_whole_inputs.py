@@ -51,6 +51,19 @@ def test_orders_vote_on_their_dependencies_alone(spark, tmp_path):
     assert sorted((r.doc_id, r.head, r.dependent, r.relation, r.votes) for r in got) == [(3, 8, 2, "obj:O", 1), (41, 7, 1, "obj:O", 2)]
 
 
+def test_paths_that_the_cutoff_ends_equal_their_sql(spark, tmp_path):
+    """Ids that lie more than ten halvings over a start: the query ends their paths at its cutoff, and so does its SQL."""
+    from oracle import same
+    from inkgraph.plans import registry
+
+    docs = [(50 * 2**k, "x") for k in range(13)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    name = "graph_simple_paths"
+    assert same(spark, registry.queries()[name], registry.oracle_sql()[name], str(tmp_path)) > 0
+    cut = registry.queries()[name](spark, str(tmp_path)).where("NOT complete").collect()
+    assert cut and all(r.path.count(">") == 10 for r in cut)
+
+
 def test_edit_range_finds_each_length_once(spark):
     """The halving of the suffix must not hold that of the prefix: the plan names the texts a bounded number of times."""
     from pyspark.sql import functions as F
