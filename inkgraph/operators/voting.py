@@ -12,19 +12,14 @@ def cluster_tokens(tokens: DataFrame, iou: float = 0.5) -> DataFrame:
 
     Spans that no overlap connects cannot meet in a cluster, so a document falls into islands first, by
     a running maximum of ends. Most islands are settled at once: all their spans overlap the first by iou
-    or more. The order matters inside the others alone, where the spans are folded.
+    or more. The order matters inside the others alone, where the spans are folded. The tokens are dealt by
+    document once, and what follows by document and cluster needs no other shuffle.
     """
     order = W.partitionBy("doc_id").orderBy("start", "end", "processor", "idx")
     ahead = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = tokens.withColumn("_new", F.when(F.col("start") < ahead, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    island = W.partitionBy("doc_id", "_island")
-    seed = F.first(F.struct("start", "end")).over(island.orderBy("start", "end", "processor", "idx"))
-    share = F.greatest(F.lit(0), F.least("end", "_seed.end") - F.greatest("start", "_seed.start")) / (F.greatest("end", "_seed.end") - F.least("start", "_seed.start"))
-    islands = islands.withColumn("_seed", seed).withColumn("_least", F.min(share).over(island))
     names = ["start", "end", "processor", "idx", "text", "pos", "confidence"]
-    settled = islands.where(F.col("_least") >= iou).select("doc_id", F.concat_ws(".", "_island", F.lit(0)).alias("cluster"), *names)
-    spans = F.array_sort(F.collect_list(F.struct(*names)))
-    grouped = islands.where(~F.coalesce(F.col("_least") >= iou, F.lit(False))).groupBy("doc_id", "_island").agg(spans.alias("s"))
+    grouped = islands.groupBy("doc_id", "_island").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("s"))
     kind = "array<struct<start:bigint,end:bigint,cluster:int>>"
 
     def overlap(a: Column, b: Column) -> Column:
@@ -42,9 +37,11 @@ def cluster_tokens(tokens: DataFrame, iou: float = 0.5) -> DataFrame:
         seed = F.array(F.struct(x["start"].cast("bigint").alias("start"), x["end"].cast("bigint").alias("end"), acc["next"].alias("cluster")))
         return F.struct(F.when(joins, alive).otherwise(F.concat(alive, seed)).alias("open"), F.when(joins, acc["next"]).otherwise(acc["next"] + 1).alias("next"), F.concat(acc["out"], F.array(number)).alias("out"))
 
-    folded = grouped.withColumn("c", F.aggregate("s", init, step, lambda acc: acc["out"]))
-    rest = folded.select("doc_id", "_island", F.explode(F.arrays_zip("s", "c")).alias("x")).select("doc_id", F.concat_ws(".", "_island", "x.c").alias("cluster"), "x.s.*")
-    return settled.unionByName(rest)
+    first = F.get("s", F.lit(0))
+    one = F.coalesce(F.forall("s", lambda x: overlap(first, x) >= iou), F.lit(False))
+    number = F.when(one, F.transform("s", lambda x: F.lit(0))).otherwise(F.aggregate("s", init, step, lambda acc: acc["out"]))
+    rows = grouped.withColumn("c", number).select("doc_id", "_island", F.explode(F.arrays_zip("s", "c")).alias("x"))
+    return rows.select("doc_id", F.concat_ws(".", "_island", "x.c").alias("cluster"), "x.s.*")
 
 
 def vote_tokens(clustered: DataFrame, min_agreement: int = 2) -> DataFrame:

@@ -27,3 +27,11 @@ def test_offsets_count_code_points(spark):
     docs = spark.createDataFrame([(7, "\U0001F600 né x")], "doc_id long, text string")
     got = tokens.tokenize(docs, {"space": r"\S+"}).where(F.substring(F.lit("\U0001F600 né x"), F.col("start").cast("int") + 1, F.length("text")) == F.col("text"))
     assert got.count() == 3
+
+
+def test_votes_deal_the_tokens_once(spark):
+    from inkgraph.operators import voting
+
+    docs = spark.createDataFrame([(1, "a b-c"), (2, None)], "doc_id long, text string")
+    voted = voting.vote_tokens(voting.cluster_tokens(tokens.tagged(tokens.tokenize(docs))))
+    assert voted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
