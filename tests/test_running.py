@@ -35,3 +35,16 @@ def test_votes_deal_the_tokens_once(spark):
     docs = spark.createDataFrame([(1, "a b-c"), (2, None)], "doc_id long, text string")
     voted = voting.vote_tokens(voting.cluster_tokens(tokens.tagged(tokens.tokenize(docs))))
     assert voted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_each_marker_is_looked_for_once(spark):
+    from inkgraph.operators import actions
+
+    docs = spark.createDataFrame([(1, "we aim to see, then to do; to be"), (2, "none"), (3, None)], "doc_id long, text string")
+    found = actions.marker_hits(docs)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == sum(len(m[3]) for m in actions.MARKERS)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert sorted((r.doc_id, r.at, r.marker) for r in found.where("marker IN ('to', 'then')").collect()) == [(1, 7, "to"), (1, 15, "then"), (1, 20, "to")]
