@@ -225,7 +225,11 @@ def relations_from_dependencies(deps: DataFrame, annotated: DataFrame, least: fl
 def display_graph(tokens: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, label, kind; edges: source, target, label) of content words and the dependencies between them."""
     key = F.concat_ws(".", "doc_id", "sent_idx", "token_idx")
-    nodes = tokens.where(F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV")).select("doc_id", "sent_idx", "token_idx", key.alias("id"), F.col("text").alias("label"), F.lower("pos").alias("kind"))
+    content = ("NOUN", "VERB", "ADJ", "ADV")
+    nodes = tokens.where(F.col("pos").isin(*content)).select("doc_id", "sent_idx", "token_idx", key.alias("id"), F.col("text").alias("label"), F.lower("pos").alias("kind"))
+    if {"dependent_pos", "head_pos"} <= set(deps.columns):  # dependencies that bring these need no join
+        own = deps.where(F.col("dependent_pos").isin(*content) & F.col("head_pos").isin(*content) & (F.col("head") != F.col("dependent")))
+        return nodes.select("id", "label", "kind"), own.select(F.concat_ws(".", "doc_id", "sent_idx", "dependent").alias("source"), F.concat_ws(".", "doc_id", "sent_idx", "head").alias("target"), F.col("relation").alias("label"))
     ends = nodes.select("doc_id", "sent_idx", "token_idx", "id")
     edges = deps.where("head <> dependent").join(ends.withColumnsRenamed({"token_idx": "head", "id": "target"}), ["doc_id", "sent_idx", "head"]).join(ends.withColumnsRenamed({"token_idx": "dependent", "id": "source"}), ["doc_id", "sent_idx", "dependent"])
     return nodes.select("id", "label", "kind"), edges.select("source", "target", F.col("relation").alias("label"))
@@ -235,10 +239,15 @@ def property_graph(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, kind; edges: source, target, kind): documents hold sentences, sentences hold tokens, a token is followed by the next of its sentence."""
     doc, sent = F.col("doc_id").cast("string"), F.concat_ws(".", "doc_id", "sent_idx")
     token = F.concat_ws(".", "doc_id", "sent_idx", "token_idx")
-    follow = F.lead(token).over(W.partitionBy("doc_id", "sent_idx").orderBy("token_idx"))
-    nodes = tokens.select(F.explode(F.array(F.struct(doc.alias("id"), F.lit("document").alias("kind")), F.struct(sent.alias("id"), F.lit("sentence").alias("kind")), F.struct(token.alias("id"), F.lit("token").alias("kind")))).alias("n")).select("n.*").distinct()
-    rows = tokens.withColumn("_next", follow)
-    edges = rows.select(F.explode(F.array(F.struct(doc.alias("source"), sent.alias("target"), F.lit("HAS_SENTENCE").alias("kind")), F.struct(sent.alias("source"), token.alias("target"), F.lit("HAS_TOKEN").alias("kind")), F.struct(token.alias("source"), F.col("_next").alias("target"), F.lit("NEXT").alias("kind")))).alias("e")).select("e.*").where("target IS NOT NULL").distinct()
+    # places are dealt once by sentence and made unique as numbers; ids are made last and never compared
+    places = tokens.select("doc_id", "sent_idx", "token_idx").repartition("doc_id", "sent_idx").distinct()
+    sentences = tokens.select("doc_id", "sent_idx").distinct()
+    nodes = tokens.select(doc.alias("id")).distinct().select("id", F.lit("document").alias("kind")).unionByName(sentences.select(sent.alias("id"), F.lit("sentence").alias("kind"))).unionByName(places.select(token.alias("id"), F.lit("token").alias("kind")))
+    order = W.partitionBy("doc_id", "sent_idx").orderBy("token_idx")
+    rows = places.withColumn("_next", F.lead(F.struct("doc_id", "sent_idx", "token_idx")).over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    follow = F.concat_ws(".", "_next.doc_id", "_next.sent_idx", "_next.token_idx")
+    made = F.array(F.when(F.col("_first"), F.struct(doc.alias("source"), sent.alias("target"), F.lit("HAS_SENTENCE").alias("kind"))), F.struct(sent.alias("source"), token.alias("target"), F.lit("HAS_TOKEN").alias("kind")), F.when(F.col("_next").isNotNull(), F.struct(token.alias("source"), follow.alias("target"), F.lit("NEXT").alias("kind"))))
+    edges = rows.select(F.explode(made).alias("e")).where("e IS NOT NULL").select("e.*")
     return nodes, edges
 
 
