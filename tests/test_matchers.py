@@ -77,6 +77,14 @@ def test_parts_of_all_neighbours_in_reach(spark):
     assert sorted((r.part, r.whole) for r in rows) == [(x, "z") for x in "abcde"]
 
 
+def test_gaps_of_parts_come_from_two_stretches_of_their_text(spark):
+    text = "\U0001F600" * 95 + "ab in cd" + "-" * 90 + "ef within\ngh"
+    ents = [(1, 0, m.start(), m.end(), m.group()) for m in re.finditer("ab|cd|ef|gh", text)]
+    made = actions.parts_of(spark.createDataFrame(ents, "doc_id long, sent_idx long, start long, end long, text string"), spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert sorted((r.part, r.whole, r.confidence) for r in made.collect()) == [("ab", "cd", 0.8), ("ab", "ef", 0.75), ("cd", "gh", 0.75), ("ef", "gh", 0.8)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # a text is cut once, not for each pair
+
+
 def test_edits_follow_each_other(spark):
     text = "".join(chr(97 + k % 26) for k in range(60))
     spans = [(f"u{s}-{t}", 1, s, t) for s, t in itertools.combinations(range(0, 60, 7), 2)] + [("other", 2, 3, 9)]
