@@ -192,3 +192,15 @@ def test_copies_are_told_apart_and_word_order_counts(spark):
     unlearnt = [k for k in range(60) if held[k] and not held[1000 + k]]
     assert unlearnt and min(gain(k) for k in unlearnt) > max(single)
     assert got[5000].score < got[pairs[0]].score - 10 and got[5000].base_score == pytest.approx(got[pairs[0]].base_score)
+
+
+def test_pairs_of_class_and_symbol_come_from_every_text():
+    texts = ["b a b c", "", "a b a b x y", "c b a", "only here"] * 40
+    words = cm.Tokens.of(*cm.by.flat(pa.array(texts))).words
+    hashes, counts = np.unique(words.hashes, return_counts=True)
+    lexicon = cm.Lexicon.of(hashes[:3], counts[:3])
+    batches = [pa.RecordBatch.from_arrays([pa.array(part)], names=["_text"]) for part in (texts[:7], texts[7:])]
+    got = {k: c for out in cm._pairs(iter(batches), lexicon) for k, c in zip(*(x.to_pylist() for x in out.columns))}
+    symbol, before = lexicon.coded(cm.Tokens.of(*cm.by.flat(pa.array(texts))))
+    assert got == dict(Counter((before * 5 + symbol).tolist()))
+    assert (cm.first_weights() == cm.first_weights()).all() and cm.first_weights().shape == (cm._GATES, cm._INPUTS)
