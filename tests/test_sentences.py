@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
-from inkgraph.operators import annotations, syntax, tokens
+from inkgraph.operators import annotations, chains, syntax, tokens
 from inkgraph.operators.sentences import words_in_sentences
+from inkgraph.plans import adapters, registry
+from inkgraph.plans.scratch import dealt
 
 plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
 
@@ -38,3 +40,37 @@ def test_property_graph_compares_no_ids(spark):
     assert plan(edges).count("Exchange") == 1
     assert sorted(map(tuple, edges.collect())) == [("1", "1.0", "HAS_SENTENCE"), ("1", "1.1", "HAS_SENTENCE"), ("1.0", "1.0.0", "HAS_TOKEN"), ("1.0", "1.0.1", "HAS_TOKEN"), ("1.0.0", "1.0.1", "NEXT"), ("1.1", "1.1.0", "HAS_TOKEN"), ("2", "2.0", "HAS_SENTENCE"), ("2.0", "2.0.0", "HAS_TOKEN")]
     assert nodes.count() == 9
+
+
+def test_queries_on_the_sentence_table_shuffle_no_words(spark):
+    made = registry.queries()
+    for name in ("chains_verbs", "chains_sequences", "chains_page", "tokens_feature_table"):
+        assert "Exchange" not in plan(made[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_buckets_keep_rows_and_spare_shuffles(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("doc_id"), "id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("x"))
+    kept = dealt(rows.repartition(5, "doc_id"), "rows", "doc_id", 5)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert "Exchange" not in plan(kept.groupBy("doc_id", "x").agg(F.count("*")))
+    assert dealt(rows.where("id < 0"), "rows", "doc_id", 5).isEmpty()
+
+
+def test_sequences_are_the_same_in_buckets_and_not(spark):
+    words = "in order to stop dogs by walking , then barking because eating meat after eating meat . therefore eating meat following running dogs . dogs ended walking to going".split()
+    docs = spark.createDataFrame([(k, " ".join(words[k:] + words[:k])) for k in range(len(words))] + [(99, None)], "doc_id long, text string")
+    rows = adapters._with_heads(words_in_sentences(docs, ["is"]))
+    deps = rows.where("relation IS NOT NULL").select("doc_id", "sent_idx", "head", F.col("token_idx").alias("dependent"), "relation", F.col("text").alias("dependent_text"), F.col("pos").alias("dependent_pos"), "head_pos")
+    kept = dealt(rows.repartition(3, "doc_id"), "rows", "doc_id", 3)
+    plain, own = (sorted(map(tuple, chains.sequences(t, deps, syntax.direct_verb_links(t, deps), n).collect())) for t, n in ((rows, None), (kept, 3)))
+    assert plain == own and {r[5] for r in own} >= {"PURPOSE", "CAUSAL", "RESULT", "TEMPORAL_AFTER"} and any(r[1] < r[3] for r in own)
+    # one row for each pair, also where a word comes twice
+    twice = sorted(map(tuple, chains.sequences(rows.unionByName(rows), deps, syntax.direct_verb_links(rows, deps)).collect()))
+    assert twice == own
+
+
+def test_nearest_actions_of_many_hits(spark):
+    actions = spark.createDataFrame([(1, p, f"a{p}") for p in (5, 20, 21, 900)] + [(2, 3, "b")], "doc_id long, pos int, id string")
+    hits = spark.createDataFrame([(1, 0), (1, 20), (1, 22), (1, 300), (1, 1500), (2, 4), (3, 1)], "doc_id long, at int")
+    got = chains.nearest_actions(actions, hits)
+    assert "unboundedfollowing" not in plan(got) and sorted(map(tuple, got.collect())) == [(1, 0, None, "a5"), (1, 20, "a20", "a21"), (1, 22, "a21", None), (1, 300, "a21", None), (1, 1500, None, None), (2, 4, "b", None), (3, 1, None, None)]
