@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 
@@ -186,23 +189,52 @@ def trimmed_means(rows: DataFrame, keys: list[str], share: float = 0.1, value: s
     return placed.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*keys).agg(F.round(F.avg(value), 6).alias("trimmed"))
 
 
+def chained_spans(start: np.ndarray, end: np.ndarray, iou: float) -> np.ndarray:
+    """For spans in order of (start, end) the place of the first span that a chain of overlaps of iou or more joins each with.
+
+    A span is held against the ones behind it, nearest first, until one begins at its end or later: memory is that of the spans, however many overlap.
+    """
+    first = np.arange(len(start))
+
+    def root(k: int) -> int:
+        while first[k] != k:
+            first[k] = k = first[first[k]]
+        return k
+
+    open_, lag = first.copy(), 0
+    while len(open_):
+        lag += 1
+        open_ = open_[open_ + lag < len(start)]
+        open_ = open_[start[open_ + lag] < end[open_]]
+        other = open_ + lag
+        both = np.minimum(end[open_], end[other]) - start[other]
+        near = (both > 0) & (both / np.maximum(np.maximum(end[open_], end[other]) - start[open_], 1) >= iou)
+        for a, b in zip(open_[near].tolist(), other[near].tolist(), strict=True):
+            a, b = sorted((root(a), root(b)))
+            first[b] = a
+    return np.array([root(k) for k in range(len(first))], np.int64)
+
+
 def cluster_entities(entities: DataFrame, iou: float = 0.5) -> DataFrame:
     """Entities (doc_id, start, end, ...) with cluster: spans belong together where a chain of overlaps of iou or more joins them.
 
-    Overlaps are looked for inside islands of touching spans only. The cluster is named by its first span.
+    A document's spans are joined in one task, and no pairs of them are listed. The cluster is named by its first span. Entities without a document or a place have no row.
     """
-    from inkgraph.operators.components import connected_components
 
-    order = W.partitionBy("doc_id").orderBy("start", "end")
-    ahead = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    spans = entities.select("doc_id", "start", "end").distinct().withColumn("_new", F.when(F.col("start") < ahead, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    named = spans.withColumn("node", F.format_string("%s:%012d:%012d", F.col("doc_id").cast("string"), F.col("start").cast("long"), F.col("end").cast("long")))
-    b = named.select("doc_id", "_island", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("node").alias("node2"))
-    both = named.join(b, ["doc_id", "_island"]).where("node < node2")
-    share = F.greatest(F.lit(0), F.least("end", "e2") - F.greatest("start", "s2")) / (F.greatest("end", "e2") - F.least("start", "s2"))
-    classes = connected_components(both.where(share >= iou).select("node", "node2"), "node", "node2")
-    out = named.join(classes, "node", "left").select("doc_id", "start", "end", F.coalesce("component", "node").alias("cluster"))
-    return entities.join(out, ["doc_id", "start", "end"])
+    def joined(rows: pa.Table) -> pa.Table:
+        start, end = (rows.column(c).combine_chunks().cast(pa.int64()).to_numpy() for c in ("start", "end"))
+        order = np.lexsort((end, start))
+        a, b = start[order], end[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))  # equal spans are one
+        heads = np.flatnonzero(new)
+        first = np.empty(len(order), np.int64)
+        first[order] = order[heads[chained_spans(a[heads], b[heads], iou)][np.cumsum(new) - 1]]
+        return rows.append_column("_s", pa.array(start[first])).append_column("_e", pa.array(end[first]))
+
+    known = entities.where("doc_id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL")
+    schema = StructType([*known.schema.fields, StructField("_s", LongType()), StructField("_e", LongType())])
+    name = F.format_string("%s:%012d:%012d", F.col("doc_id").cast("string"), "_s", "_e")
+    return known.groupBy("doc_id").applyInArrow(joined, schema).withColumn("cluster", name).drop("_s", "_e")
 
 
 def fan_out(documents: DataFrame, processors: dict) -> tuple[DataFrame | None, dict[str, str]]:

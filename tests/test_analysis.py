@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkgraph.operators import actions, graph, text, voting
@@ -108,6 +109,17 @@ def test_entity_clusters_by_any_member(spark):
     assert all((cluster[a] == cluster[b]) == (root(a) == root(b)) for a in spans for b in spans)
 
 
+def test_entity_clusters_list_no_pairs(spark):
+    spans = [(1, 0, 10, "a")] * 2000 + [(1, 1, 10, "b"), (1, 9, 12, "c"), (1, 20, 20, "d"), (2, 0, 10, "e"), (None, 0, 1, "f"), (2, None, 1, "g")]
+    made = voting.cluster_entities(spark.createDataFrame(spans, "doc_id long, start int, end int, text string"))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.text, r.cluster): r["count"] for r in made.groupBy("doc_id", "text", "cluster").count().collect()}
+    one = "1:000000000000:000000000010"
+    assert got == {(1, "a", one): 2000, (1, "b", one): 1, (1, "c", "1:000000000009:000000000012"): 1, (1, "d", "1:000000000020:000000000020"): 1, (2, "e", "2:000000000000:000000000010"): 1}
+    # thousands of spans that overlap: lags are gone through in arrays
+    assert voting.chained_spans(np.arange(3000), np.arange(3000) + 2000, 0.5).max() == 0
+
+
 def test_passives_have_agent_and_patient(spark):
     sentences = ["growth was inhibited by iron", "iron is an activator made by cells", "was blocked by salt", "growth was inhibited"]
     nouns = {"growth", "iron", "cells", "salt"}
