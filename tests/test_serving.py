@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkgraph.operators import graph as operators
 from inkgraph.operators import layout
-from inkgraph.operators.serving import Store, morton, write_store
+from inkgraph.operators.serving import Store, morton, write_links, write_nodes, write_store
 from inkgraph.plans.scratch import scratch
 
 
@@ -75,3 +76,27 @@ def test_empty_store(spark):
     write_store(spark.createDataFrame([], "v string, layer int, level int, x double, y double"), spark.createDataFrame([], "src string, dst string"), path)
     store = Store(spark, path)
     assert store.total() == 0 and store.page(0, 0, 0, 5).count() == 0 and store.blocks(0, 0, 9, 9).count() == 0 and store.page_blocks(0, 0, 0, 5).count() == 0
+
+
+def test_pages_need_no_links(spark, graph):
+    _, placed, links, at, _ = graph
+    path = scratch(spark, "layout")
+    write_nodes(placed, path, per_file=200)
+    bare = Store(spark, path, links=False)
+    assert bare.total() == len(at) and [r.v for r in bare.page(0, 0, 0, 10).collect()] == [r.v for r in graph[0].page(0, 0, 0, 10).collect()]
+    write_links(links, path, per_file=200)
+    whole = Store(spark, path)
+    assert sorted(map(tuple, whole.links(0, 0, 2000, 900, 4).collect())) == sorted(map(tuple, graph[0].links(0, 0, 2000, 900, 4).collect()))
+
+
+def test_layers_of_dealt_edges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "z"), ("q", "d")], "src string, dst string")
+    want = {"a": 0, "b": 1, "c": 2, "d": 3, "q": 0, "x": None, "y": None, "z": None}
+    kept = operators.dealt_edges(edges)
+    assert kept.count() == 8 and "Exchange" not in kept.groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
+    for made in (operators.assign_layers(edges), operators.assign_layers(kept, dealt_by_src=True)):
+        rows = made.collect()
+        assert len(rows) == 8 and {r.v: r.layer for r in rows} == want
+        # layers meet edges by vertex without another shuffle of the edges
+        plan = kept.join(made.withColumnRenamed("v", "src").hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
