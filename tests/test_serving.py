@@ -100,3 +100,14 @@ def test_layers_of_dealt_edges(spark):
         # layers meet edges by vertex without another shuffle of the edges
         plan = kept.join(made.withColumnRenamed("v", "src").hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+
+
+def test_no_edges_go_through_the_driver(spark, monkeypatch):
+    plans = []
+    put = operators.written
+    monkeypatch.setattr(operators, "written", lambda rows, name: plans.append((name, rows._jdf.queryExecution().executedPlan().toString())) or put(rows, name))
+    edges = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.4), ("b", "c", 0.9), ("c", "b", 0.1), ("x", "y", 0.2), ("y", "x", 0.2), ("d", "a", 0.3)], "src string, dst string, confidence double")
+    assert sorted((r.src, r.dst) for r in operators.break_cycles(edges).collect()) == [("a", "b"), ("b", "c"), ("d", "a"), ("y", "x")]
+    found = operators.simple_paths(edges, spark.createDataFrame([("d",)], "v string"), 3).collect()
+    assert sorted(tuple(r.path) for r in found) == [("d", "a", "b", "c")]
+    assert not any("Broadcast" in plan for name, plan in plans if name in ("edges", "grown", "done"))
