@@ -4,18 +4,54 @@ The label of a vertex holds the `size` smallest of the vertices that it reaches,
 order of a hash (an independent permutation of the vertices). A label with fewer entries is the whole
 set. One that is full tells for every vertex below its last entry whether it is in the set, and a
 vertex whose own label has an entry below that bound that is missing can't be in the set either. Only
-pairs that pass all these tests are searched for.
+pairs that pass all these tests are searched for. Labels are made for the edges that lie on a way from
+some start to some goal: no other edge can matter, and mostly these are few.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inkgraph.operators import graph
 from inkgraph.plans.scratch import written
 
 
+def _crossed(edges: DataFrame, ends: DataFrame, max_rounds: int) -> DataFrame:
+    """The edges (src, dst), which come from `graph.dealt_edges`, that a walk from any of ends (v) crosses. An edge is written once, in the round after its source is met."""
+    none = edges.limit(0)
+    crossed, met, front = [], [], ends
+    for _ in range(max_rounds):
+        rows = written(edges.join(front.withColumnRenamed("v", "src"), "src", "left_semi"), "crossed")
+        _push(crossed, rows, "crossed")
+        _push(met, front, "met")
+        front = rows.select(F.col("dst").alias("v")).distinct()
+        for _, part in met:
+            front = front.join(part, "v", "left_anti")
+        front = written(front, "front")
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, (part for _, part in crossed), none)
+    raise RuntimeError(f"vertices are met for the first time after {max_rounds} rounds")
+
+
+def _push(parts: list[tuple[int, DataFrame]], rows: DataFrame, name: str) -> None:
+    """Adds rows to a list of (level, rows). Two of one level become one of the next, so n rounds leave log n parts, and a row is rewritten as often at most."""
+    level = 0
+    while parts and parts[-1][0] == level:
+        rows, level = written(parts.pop()[1].unionByName(rows), name), level + 1
+    parts.append((level, rows))
+
+
+def edges_between(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """The distinct edges (src, dst) on walks from a vertex of starts (v) to one of goals (v); both without repeats. Edges are shuffled once; those that lead to no goal go before anything is sought from the starts."""
+    turned = graph.dealt_edges(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    back = _crossed(turned, goals, max_rounds)
+    return _crossed(graph.dealt_edges(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), starts, max_rounds)
+
+
 def _entry(v: str) -> Column:
     return F.struct(F.xxhash64(v).alias("h"), F.col(v).alias("v"))
 
@@ -70,8 +106,9 @@ def reaching_pairs(edges: DataFrame, pairs: DataFrame, size: int = 8, max_rounds
     labels can't tell that it leads nowhere. A pair ends when a label says yes, when both ends meet or
     when one end has no way on. Rows with a null are left out.
     """
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
-    pairs = pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL")
+    pairs = written(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct(), "pairs")
+    starts, goals = (written(pairs.select(F.col(c).alias("v")).distinct(), "ends") for c in ("start", "goal"))
+    edges = edges_between(edges.where("src IS NOT NULL AND dst IS NOT NULL"), starts, goals, max_rounds)
     labels = reach_labels(edges, size)
     told = written(label_answers(pairs, labels, size), "answers")
     found = told.where("answer").select("start", "goal")

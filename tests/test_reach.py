@@ -111,3 +111,19 @@ def test_report_of_small_graphs(spark):
     assert tuple(graph.graph_report(none, points.where("v = '-'")).first()) == (0, 0, 0, 0, None, None, None, True)
     placed = spark.createDataFrame([("a", 1, 2.0), ("z", 3, 4.0)], "v string, layer int, x double")
     assert sorted(map(tuple, graph.without_coordinates(placed, points.where("v = 'z'")).collect())) == [("a", 1, 2.0), ("z", None, None)]
+
+
+def test_only_edges_between_starts_and_goals_are_kept(spark, monkeypatch):
+    edges = random_graph(11, 60, 150, False) + [(f"far{k}", f"far{k + 1}") for k in range(50)]
+    starts, goals = [f"v{k}" for k in (1, 2, 3)], ["v40", "v41", "nowhere"]
+    reached = closure(edges)
+    want = {(a, b) for a, b in edges if any(a in reached.get(s, {s}) for s in starts) and any(g in reached[b] for g in goals)}
+    assert 0 < len(want) < len(edges) / 2
+    rows = frame(spark, edges + edges[:9], ["src", "dst"])
+    got = list(map(tuple, reach.edges_between(rows, frame(spark, [(v,) for v in starts], ["v"]), frame(spark, [(v,) for v in goals], ["v"])).collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    labelled, whole = [], reach.reach_labels
+    monkeypatch.setattr(reach, "reach_labels", lambda kept, *more: labelled.append(kept.count()) or whole(kept, *more))
+    pairs = [(a, b) for a in starts for b in goals]
+    found = {tuple(r) for r in reach.reaching_pairs(rows, frame(spark, pairs, ["start", "goal"])).collect()}
+    assert labelled == [len(want)] and found == {(a, b) for a, b in pairs if b in reached[a]}
