@@ -251,11 +251,14 @@ def property_graph(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def linguistic_relations(relations: DataFrame, pattern_rows: DataFrame) -> DataFrame:
-    """(source_pattern, target_pattern, relation_type): relations of annotations lifted to the patterns made from them."""
-    a = pattern_rows.select(F.col("source_token_uid").alias("source_uid"), F.col("pattern_id").alias("source_pattern"))
-    b = pattern_rows.select(F.col("source_token_uid").alias("target_uid"), F.col("pattern_id").alias("target_pattern"))
-    return relations.join(a, "source_uid").join(b, "target_uid").select("source_pattern", "target_pattern", "relation_type")
+def linguistic_relations(relations: DataFrame, pattern_rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(source_pattern, target_pattern, relation_type): relations of annotations lifted to the patterns made from them.
+
+    within: columns of both tables, such as doc_id, that a relation has in common with both its ends. Tables that lie in buckets by one of them are joined as they lie.
+    """
+    a = pattern_rows.select(*within, F.col("source_token_uid").alias("source_uid"), F.col("pattern_id").alias("source_pattern"))
+    b = pattern_rows.select(*within, F.col("source_token_uid").alias("target_uid"), F.col("pattern_id").alias("target_pattern"))
+    return relations.join(a, [*within, "source_uid"]).join(b, [*within, "target_uid"]).select("source_pattern", "target_pattern", "relation_type")
 
 
 def relation_issues(relations: DataFrame, annotations: DataFrame) -> DataFrame:

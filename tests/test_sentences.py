@@ -48,6 +48,23 @@ def test_queries_on_the_sentence_table_shuffle_no_words(spark):
         assert "Exchange" not in plan(made[name](spark, "/root/testdata/sf0.001")), name
 
 
+def test_relations_within_documents_meet_their_patterns_as_they_lie(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lifted = registry.queries()["patterns_relations"](spark, "/root/testdata/sf0.001")
+        assert "Exchange" not in plan(lifted) and "SortMergeJoin" in plan(lifted) and not lifted.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    made = annotations.patterns(spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 2, "x"), ("a", 2, "x")], "uid string, doc_id long, source string").selectExpr("*", "'t' AS text", "'n' AS annotation_type", "0.5D AS confidence"), "x")
+    links = spark.createDataFrame([(1, "a", "b"), (1, "a", "a"), (2, "c", "a"), (2, "c", "b"), (1, "b", None), (1, "b", "z")], "doc_id long, source_uid string, target_uid string").withColumn("relation_type", F.lit("NEXT"))
+    of = {(r.doc_id, r.source_token_uid): r.pattern_id for r in made.collect()}
+    got = annotations.linguistic_relations(links, made, within=("doc_id",))
+    assert sorted(map(tuple, got.collect())) == sorted((of[d, a], of[d, b], "NEXT") for d, a, b in [(1, "a", "b"), (1, "a", "a"), (2, "c", "a")])
+    unique = made.where("doc_id = 1")  # without columns in common, uids alone decide
+    assert annotations.linguistic_relations(links.drop("doc_id").where("source_uid <> 'c'"), unique).count() == 2
+
+
 def test_buckets_keep_rows_and_spare_shuffles(spark):
     rows = spark.range(1000).select((F.col("id") % 7).alias("doc_id"), "id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("x"))
     kept = dealt(rows.repartition(5, "doc_id"), "rows", "doc_id", 5)
