@@ -204,3 +204,36 @@ def test_pairs_of_class_and_symbol_come_from_every_text():
     symbol, before = lexicon.coded(cm.Tokens.of(*cm.by.flat(pa.array(texts))))
     assert got == dict(Counter((before * 5 + symbol).tolist()))
     assert (cm.first_weights() == cm.first_weights()).all() and cm.first_weights().shape == (cm._GATES, cm._INPUTS)
+
+
+def test_words_are_found_from_their_first_bits():
+    rng = np.random.default_rng(8)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    crowded = (np.uint64(5) << np.uint64(60)) + np.arange(40, dtype=np.uint64) * np.uint64(3)  # no first bits tell these apart
+    for own in (np.concatenate((crowded, rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2), np.array([0, top], np.uint64))), crowded, np.array([7], np.uint64), np.array([top])):
+        lexicon = cm.Lexicon.of(np.unique(own), np.arange(1, len(np.unique(own)) + 1))
+        assert len(lexicon.begins[1]) >= 2 * len(lexicon.hashes)
+        asked = np.concatenate((own, own + np.uint64(1), own - np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([0, top], np.uint64)))
+        at, hit = lexicon.find(asked)
+        assert (hit == np.isin(asked, own)).all() and (lexicon.hashes[at[hit]] == asked[hit]).all()
+    assert not cm.Lexicon.of(own[:0], np.zeros(0, np.int64)).find(own)[1].any()
+
+
+def test_nearly_sure_bits_keep_their_small_costs():
+    n = 100  # one block: no refinement
+    z = np.linspace(8, 13.5, n).astype(np.float32)
+    weights = np.zeros((42, 4), np.float32)
+    weights[:, 0] = 1
+    e = cm.Events([z, np.zeros(n, np.float32), np.zeros(n, np.float32)], np.zeros(n, np.int8), np.ones(n, np.uint8), np.arange(n), np.array([0, n]))
+    assert cm.mixed_bits(weights, e)[0] == pytest.approx(-np.log1p(np.exp(-z.astype(np.float64))).sum(), rel=1e-4)
+
+
+def test_distinct_hashes_equal_a_plain_count():
+    rng = np.random.default_rng(12)
+    for hashes in (rng.integers(0, 1 << 63, 500, dtype=np.uint64)[rng.integers(0, 500, 3000)], rng.integers(0, 9, 300).astype(np.uint64), np.array([3], np.uint64)):  # the second lot differ in their last bits alone
+        _, first, count = np.unique(hashes, return_index=True, return_counts=True)
+        assert [x.tolist() for x in cm.distinct(hashes)] == [first.tolist(), count.tolist()]
+    every = np.arange(256, dtype=np.uint8)
+    assert (by.Words(every, np.array([0, 256])).low == by.LOWER).all()
+    alone = np.stack((every, np.full(256, 32, np.uint8)), axis=1).ravel()
+    assert (by.Words(alone, np.arange(0, 513, 2)).counts == ~by.SPACE).all()
