@@ -207,7 +207,10 @@ def for_selections(tokens: DataFrame, entities: DataFrame, selections: DataFrame
 
 def from_votes(voted: DataFrame, documents: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, start, end, text, annotation_type, confidence) of agreed tokens that are sure enough, no white space, and stand in the text at their offsets."""
-    rows = voted.where(F.col("agreed") & (F.col("confidence") >= least) & (F.trim("text") != "")).select("doc_id", "start", "end", F.col("text").alias("word"), F.col("pos").alias("annotation_type"), "confidence")
+    sure = voted.where(F.col("agreed") & (F.col("confidence") >= least) & (F.trim("text") != ""))
+    if "stands" in voted.columns:  # votes that bring whether they stand in their text need no join
+        return sure.where("stands AND doc_id IS NOT NULL").select("doc_id", "start", "end", "text", F.col("pos").alias("annotation_type"), "confidence")
+    rows = sure.select("doc_id", "start", "end", F.col("text").alias("word"), F.col("pos").alias("annotation_type"), "confidence")
     joined = rows.join(documents.select("doc_id", "text"), "doc_id")
     there = F.substring("text", F.col("start").cast("int") + 1, F.length("word")) == F.col("word")
     return joined.where(there).select("doc_id", "start", "end", F.col("word").alias("text"), "annotation_type", "confidence")
