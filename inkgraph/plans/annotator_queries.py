@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkgraph.operators import chains, syntax, tokens, voting
+from inkgraph.operators import chains, syntax, text_votes, tokens, voting
 from inkgraph.plans.adapters import SD, SW, sentence_deps, sentence_words, table
 from inkgraph.plans.text_queries import RATINGS, WORDS, _docs, _ratings, _words
 
@@ -12,10 +12,6 @@ from inkgraph.plans.text_queries import RATINGS, WORDS, _docs, _ratings, _words
 SDEPS = f"{SW}, {SD}, dp AS (SELECT * FROM sd)"
 
 
-def _voted(s, d):
-    return voting.cluster_tokens(tokens.tagged(tokens.tokenize(_docs(s, d))))
-
-
 def _pairs_of_raters(s, d):
     """(kind, agreed, total) of each two raters, in the places of tokens, dependencies and entities."""
     r = _ratings(s, d)
@@ -38,7 +34,7 @@ QUERIES = {
     "tokens_morph": lambda s, d: _words(s, d).groupBy(tokens.guessed_morph(F.col("text"), F.col("pos")).alias("morph")).agg(F.count("*").alias("n")),
     "tokens_with_feature": lambda s, d: tokens.with_feature(_words(s, d).withColumn("morph", tokens.parsed_morph(tokens.guessed_morph(F.col("text"), F.col("pos")))), "Tense", "Past").groupBy("doc_id").agg(F.count("*").alias("n")),
     "tokens_types": lambda s, d: tokens.types_by_category(_words(s, d)),
-    "vote_merge_tokens": lambda s, d: voting.merge_tokens(_voted(s, d)).groupBy("sources", "pos").agg(F.count("*").alias("n")),
+    "vote_merge_tokens": lambda s, d: text_votes.merge_texts(_docs(s, d)).groupBy("sources", "pos").agg(F.count("*").alias("n")),
     "vote_entities": lambda s, d: voting.vote_entities(tokens.tagged(tokens.tokenize(_docs(s, d))).where("length(text) > 8").withColumnRenamed("pos", "entity_type")).groupBy("entity_type", "votes").agg(F.count("*").alias("n")),
     "vote_overall": lambda s, d: voting.overall_agreement(_pairs_of_raters(s, d)),
     "chains_upsert": lambda s, d: chains.upsert_sequences(table(s, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_discount").alias("confidence")), table(s, d, "lineitem").where("l_linenumber >= 2 AND l_linenumber <= 3").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_tax").alias("confidence"))),
