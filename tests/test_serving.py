@@ -111,3 +111,20 @@ def test_no_edges_go_through_the_driver(spark, monkeypatch):
     found = operators.simple_paths(edges, spark.createDataFrame([("d",)], "v string"), 3).collect()
     assert sorted(tuple(r.path) for r in found) == [("d", "a", "b", "c")]
     assert not any("Broadcast" in plan for name, plan in plans if name in ("edges", "grown", "done"))
+
+
+def test_links_carry_no_more_than_their_file_needs(spark):
+    nodes = [("a", -2, -3, None, None), ("b", 4, 2**31 - 1, 7.5, None), ("c", 0, 5, 0.0, 650.0)]
+    edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "lost")]
+    path = scratch(spark, "layout")
+    write_store(spark.createDataFrame(nodes, "v string, layer int, level int, x double, y double"), spark.createDataFrame(edges, "src string, dst string"), path)
+    store = Store(spark, path)
+    assert "in_rank" not in store.schemas["links_src"].names and "out_rank" not in store.schemas["links_dst"].names
+    kept = {(r.src, r.dst): (r.src_x, r.src_y, r.dst_x, r.dst_y) for r in spark.read.parquet(f"{path}/links_src").collect()}
+    assert kept == {("a", "b"): (None, None, 7.5, None), ("a", "c"): (None,) * 4, ("b", "c"): (7.5, None, None, None), ("c", "lost"): (None,) * 4}
+    every = (-1e12, -1e12, 1e12, 1e12)
+    want = {("a", -2, -3, -480.0, -390.0, True), ("b", 4, 2**31 - 1, 7.5, (2**31 - 1) * 130.0, True), ("c", 0, 5, 0.0, 650.0, True), ("lost", 0, 0, 0.0, 0.0, False)}
+    assert {tuple(r) for r in store.blocks(*every).collect()} == want
+    assert sorted(map(tuple, store.links(*every).collect())) == edges
+    # a link whose ends are both in view comes once, by whichever end has room for it
+    assert sorted(map(tuple, store.links(*every, 1).collect())) == [("a", "b"), ("a", "c"), ("b", "c"), ("c", "lost")]
