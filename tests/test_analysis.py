@@ -127,3 +127,20 @@ def test_passives_have_agent_and_patient(spark):
     tokens = spark.createDataFrame(rows, "doc_id long, sent_idx int, token_idx int, text string, pos string")
     got = {(r.sent_idx, r.verb, r.agent, r.patient, r.relation) for r in actions.passives(tokens).collect()}
     assert got == {(0, "inhibited", "iron", "growth", "PREVENTS"), (1, "activator", "cells", "iron", "ENABLES"), (2, "blocked", "salt", None, "PREVENTS")}
+
+
+def test_coordinated_words_need_no_text(spark, tmp_path):
+    """Words with the gaps before them give what entities and texts give, and no text is joined."""
+    from inkgraph.operators import actions
+    from inkgraph.plans import adapters, registry
+
+    rng = random.Random(9)
+    texts = ["alpha, beta and gamma or delta. Epsilon, AND zeta  eta1, iota", "alpha_and_beta, gamma\nand\tdelta,or omega x and kappa", "alpha,,beta , and, gamma" + " " * 30 + ", delta, " + "é" * 5, None, ""]
+    texts += ["".join(rng.choice(["alpha", "beta", "and", "or", "xy", ",", " ", " ", ", ", "_", ".", "\n"]) for _ in range(60)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, entities = spark.read.parquet(f"{tmp_path}/documents.parquet"), adapters.sentence_words(spark, str(tmp_path)).where("pos = 'NOUN' AND length(text) >= 4")
+    found = registry.queries()["actions_coordinated"](spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, actions.coordinations(entities, docs).collect())) and len(got) > 20
+    assert (0, "alpha", "delta", 0.7) in got
