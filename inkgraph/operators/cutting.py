@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgraph.operators.tokens import SURE, UNIVERSAL, form_tag
+
 #: White space as in Spark's and DuckDB's patterns.
 _SPACES = r" \t\n\x0b\f\r"
 #: tokens.PATTERNS in Python's terms.
@@ -73,3 +75,22 @@ def in_rows(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
     rows = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     for a in range(0, rows.num_rows, ROWS):
         yield rows.slice(a, ROWS)
+
+
+def tagged_texts(documents: DataFrame, processor: str) -> DataFrame:
+    """`tokens.tagged` tokens of one of the rule tokenizers, cut and tagged many texts at once: a form is tagged once for all its tokens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in whole_documents(batches):
+            words, n, start, end = cut(texts, CUTS[processor])
+            code, forms = coded(words)
+            tags = [form_tag(x) for x in forms]
+            of = lambda values: pa.array(values, pa.string()).take(pa.array(code))
+            yield from in_rows({
+                "doc_id": ids.take(pa.array(np.repeat(np.arange(len(n)), n))), "idx": pa.array((np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)),
+                "text": of(forms), "start": pa.array(start), "end": pa.array(end), "tag": of(tags), "pos": of([UNIVERSAL.get(t, "X") for t in tags]),
+            })
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    found = documents.select("doc_id", "text").repartition(text_parts(documents)).mapInArrow(rows, f"doc_id {kind}, idx int, text string, start long, end long, tag string, pos string")
+    return found.select("doc_id", F.lit(processor).alias("processor"), "idx", "text", "start", "end", "tag", "pos", F.lit(SURE[processor]).alias("confidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkgraph.operators import chains, syntax, text_votes, tokens, voting
+from inkgraph.operators.cutting import tagged_texts
 from inkgraph.plans.adapters import SD, SW, sentence_deps, sentence_words, table
 from inkgraph.plans.text_queries import RATINGS, WORDS, _docs, _ratings, _words
 
@@ -32,7 +33,7 @@ QUERIES = {
     "syntax_relations": lambda s, d: syntax.relation_distribution(sentence_deps(s, d)),
     "chains_direct_links": lambda s, d: syntax.direct_verb_links(sentence_words(s, d), sentence_deps(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")),
     "tokens_morph": lambda s, d: _words(s, d).groupBy(tokens.guessed_morph(F.col("text"), F.col("pos")).alias("morph")).agg(F.count("*").alias("n")),
-    "tokens_with_feature": lambda s, d: tokens.with_feature(_words(s, d).withColumn("morph", tokens.parsed_morph(tokens.guessed_morph(F.col("text"), F.col("pos")))), "Tense", "Past").groupBy("doc_id").agg(F.count("*").alias("n")),
+    "tokens_with_feature": lambda s, d: tokens.with_feature(tagged_texts(_docs(s, d), "word").withColumn("morph", tokens.parsed_morph(tokens.guessed_morph(F.col("text"), F.col("pos")))), "Tense", "Past").groupBy("doc_id").agg(F.count("*").alias("n")),
     "tokens_types": lambda s, d: tokens.types_by_category(_words(s, d)),
     "vote_merge_tokens": lambda s, d: text_votes.merge_texts(_docs(s, d)).groupBy("sources", "pos").agg(F.count("*").alias("n")),
     "vote_entities": lambda s, d: voting.vote_entities(tokens.tagged(tokens.tokenize(_docs(s, d))).where("length(text) > 8").withColumnRenamed("pos", "entity_type")).groupBy("entity_type", "votes").agg(F.count("*").alias("n")),

@@ -59,3 +59,16 @@ def test_documents_stay_whole_in_a_step():
 
     batches = [pa.RecordBatch.from_pydict({"doc_id": ids, "text": texts}) for ids, texts in (([1, 1, 2], ["aaa", "b", None]), ([2, 3], ["cc", "d"]))]
     assert [(a.to_pylist(), b) for a, b in whole_documents(iter(batches), 2)] == [([1, 1], ["aaa", "b"]), ([2, 2], ["", "cc"]), ([3], ["d"])]
+
+
+def test_tagged_texts_equal_tagged_tokens(spark, tmp_path):
+    from inkgraph.operators.cutting import tagged_texts
+
+    docs = _docs(spark)
+    for name, pattern in tokens.PATTERNS.items():
+        plain = tokens.tagged(tokens.tokenize(docs, {name: pattern}))
+        _same(tagged_texts(docs, name).select(plain.columns), plain)
+    docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")}).write.parquet(f"{tmp_path}/documents.parquet")
+    # texts are dealt to all tasks, and no array of tokens is made
+    plan = registry.queries()["tokens_with_feature"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Generate" not in plan
