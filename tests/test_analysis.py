@@ -144,3 +144,36 @@ def test_coordinated_words_need_no_text(spark, tmp_path):
     got = sorted(map(tuple, found.collect()))
     assert got == sorted(map(tuple, actions.coordinations(entities, docs).collect())) and len(got) > 20
     assert (0, "alpha", "delta", 0.7) in got
+
+
+def test_markers_are_looked_for_where_a_piece_of_them_is(spark, monkeypatch):
+    """No match is lost by it: texts of marker words give what all patterns give without it."""
+    from inkgraph.operators import actions
+    from inkgraph.operators.markers import MARKERS, needed
+
+    assert needed(r"\b(plays? a (?:key |major )?role in|thus)\b") == ["role in", "thus"] and needed(r"\b(a|b).*(c)\b") == []
+    rng = random.Random(3)
+    # one text for each way to read a pattern: optional pieces in or out, each alternative
+    texts = []
+    for p in (p for m in MARKERS for p in m[3]):
+        for _ in range(6):
+            t = p.replace(r"\b", "").replace(r"\s+", " ").replace(r"\w+", "bind").replace(".*", " x ")
+            t = re.sub(r"(\w)\?", lambda m: rng.choice(["", m[1]]), t.replace("(?:", "("))
+            while "(" in t:
+                t = re.sub(r"\(([^()]*)\)(\??)", lambda m: "" if m[2] and rng.random() < 0.5 else rng.choice(m[1].split("|")), t, count=1)
+            texts.append(rng.choice(["we ", ""]) + rng.choice([t, t.upper(), t.title()]) + rng.choice([" it", ""]))
+    texts += [" ".join(rng.sample(texts, 12)) for _ in range(20)] + [None, "", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = sorted(map(tuple, actions.marker_hits(docs).collect()))
+    monkeypatch.setattr(actions, "needed", lambda p: [])
+    assert got == sorted(map(tuple, actions.marker_hits(docs).collect())) and len({r[0] for r in got}) > 500
+
+
+def test_texts_are_gone_through_once_for_markers(spark):
+    from inkgraph.operators import actions
+
+    docs = spark.createDataFrame([(1, "we see a thing then do it")], "doc_id long, text string")
+    verbs = spark.createDataFrame([(1, 3, "see"), (1, 20, "do")], "doc_id long, pos int, id string")
+    found = actions.marker_dependencies(verbs, actions.marker_hits(docs))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    assert [(r.src, r.dst, r.marker) for r in found.collect()] == [("see", "do", "then")]
